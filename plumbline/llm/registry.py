@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe_automaton, chat_format, external_shuffle, simhash
+from plumbline.llm import bpe_automaton, chat_format, external_shuffle, simhash, warc_archive
 from plumbline.sources.tables import table
 
 def default_tokenizer() -> str:
@@ -14,6 +14,11 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op5_warc_capture_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    history = warc_archive.archive_and_index(table(spark, sf_dir, "pages").select("page_id", "url", "html"), min_revisit_bytes=0)
+    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
+
+
 def op7_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     written = external_shuffle.shuffle_to_shards(docs, shards=8, seed=42)
@@ -45,6 +50,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_warc_capture_history": op5_warc_capture_history,
     "op7_external_shuffle": op7_external_shuffle,
     "op8_chat_format": op8_chat_format,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
