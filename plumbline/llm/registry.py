@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe_automaton, chat_format, external_shuffle, simhash, warc_archive
+from plumbline.llm import bpe_automaton, chat_format, external_shuffle, maxscore, simhash, url_filter, warc_archive
 from plumbline.sources.tables import table
 
 def default_tokenizer() -> str:
@@ -14,6 +14,23 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(table(spark, sf_dir, "embeddings"), k=5, query_every=50)
+
+
+URL_RULES = [
+    url_filter.Rule("block", "com", "/en/"),
+    url_filter.Rule("allow", "example.com", "/en/7"),
+    url_filter.Rule("block", "net", "/de/"),
+    url_filter.Rule("block", "example.net", "/de/8"),
+    url_filter.Rule("block", "org", "/es/"),
+]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op5_warc_capture_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     history = warc_archive.archive_and_index(table(spark, sf_dir, "pages").select("page_id", "url", "html"), min_revisit_bytes=0)
     return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
@@ -50,6 +67,8 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_maxscore_top_k": op1_maxscore_top_k,
+    "op4_url_filter": op4_url_filter,
     "op5_warc_capture_history": op5_warc_capture_history,
     "op7_external_shuffle": op7_external_shuffle,
     "op8_chat_format": op8_chat_format,
@@ -59,6 +78,15 @@ QUERIES = {
 
 _ESC = r"regexp_replace(replace({0}, '\', '\\'), '([<\[])(\||/?s>|/?INST\])', '\1\\\2', 'g')"
 ORACLES = {
+    "op1_maxscore_top_k": """
+with u as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::bigint as score
+  from u q join u c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+ranked as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from pairs)
+select query_id, rank, vec_id, score from ranked where rank <= 5""",
     "op8_chat_format": rf"""
 with rows as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
