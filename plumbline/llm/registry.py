@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe_automaton, chat_format, external_shuffle, maxscore, simhash, url_filter, warc_archive
+from plumbline.llm import bpe_automaton, chat_format, external_shuffle, maxscore, simhash, source_mixing, url_filter, warc_archive
 from plumbline.sources.tables import table
 
 def default_tokenizer() -> str:
@@ -18,6 +18,12 @@ def op1_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(table(spark, sf_dir, "embeddings"), k=5, query_every=50)
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = source_mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), power=0.8, keep=0.7, sweeps=20, seed=42)
+    name = lambda c: F.coalesce(c, F.lit(source_mixing.NONE)).alias(c)
+    return mixed.select("doc_id", name("source"), name("lang"), "topic", "tokens", F.round("probability", 6).alias("probability"), "kept")
+
+
 URL_RULES = [
     url_filter.Rule("block", "com", "/en/"),
     url_filter.Rule("allow", "example.com", "/en/7"),
@@ -68,6 +74,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_maxscore_top_k": op1_maxscore_top_k,
+    "op3_source_mixing": op3_source_mixing,
     "op4_url_filter": op4_url_filter,
     "op5_warc_capture_history": op5_warc_capture_history,
     "op7_external_shuffle": op7_external_shuffle,
@@ -78,6 +85,7 @@ QUERIES = {
 
 _ESC = r"regexp_replace(replace({0}, '\', '\\'), '([<\[])(\||/?s>|/?INST\])', '\1\\\2', 'g')"
 ORACLES = {
+    "op3_source_mixing": source_mixing.oracle_sql(power=0.8, keep=0.7, sweeps=20, seed=42),
     "op1_maxscore_top_k": """
 with u as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
