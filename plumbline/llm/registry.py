@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe_automaton, chat_format, external_shuffle, maxscore, simhash, source_mixing, url_filter, warc_archive
+from plumbline.llm import bpe_automaton, chat_format, external_shuffle, maxscore, simhash, source_mixing, toxicity, url_filter, warc_archive
 from plumbline.sources.tables import table
 
 def default_tokenizer() -> str:
@@ -18,6 +18,11 @@ def op1_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(table(spark, sf_dir, "embeddings"), k=5, query_every=50)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = source_mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), power=0.8, keep=0.7, sweeps=20, seed=42)
     name = lambda c: F.coalesce(c, F.lit(source_mixing.NONE)).alias(c)
@@ -74,6 +79,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_maxscore_top_k": op1_maxscore_top_k,
+    "op2_toxicity": op2_toxicity,
     "op3_source_mixing": op3_source_mixing,
     "op4_url_filter": op4_url_filter,
     "op5_warc_capture_history": op5_warc_capture_history,
