@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe_automaton, chat_format, external_shuffle, maxscore, simhash, source_mixing, toxicity, url_filter, warc_archive
+from plumbline.llm import bpe_automaton, chat_format, chroma_fingerprint, external_shuffle, maxscore, simhash, source_mixing, toxicity, url_filter, warc_archive
 from plumbline.sources.tables import table
 
 def default_tokenizer() -> str:
@@ -47,6 +47,12 @@ def op5_warc_capture_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
 
 
+def op6_chroma_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of every conversation, rendered as music, is a recording."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return chroma_fingerprint.match_recordings(turns, "text", ["conv_id", "turn"], decode=chroma_fingerprint.melody)
+
+
 def op7_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     written = external_shuffle.shuffle_to_shards(docs, shards=8, seed=42)
@@ -83,6 +89,7 @@ QUERIES = {
     "op3_source_mixing": op3_source_mixing,
     "op4_url_filter": op4_url_filter,
     "op5_warc_capture_history": op5_warc_capture_history,
+    "op6_chroma_alignment": op6_chroma_alignment,
     "op7_external_shuffle": op7_external_shuffle,
     "op8_chat_format": op8_chat_format,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
