@@ -1,4 +1,6 @@
 """Every query over the given tables, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from plumbline.plans import text_queries
+
+QUERIES: dict = {**text_queries.QUERIES}
+ORACLES: dict = {**text_queries.ORACLES}
