@@ -51,8 +51,8 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool = T
         rows = df.filter("embedding is not null and size(embedding) > 0").select(F.col("sample_id").cast("bigint").alias("sample_id"), "embedding")
         return rows.withColumn("block", F.pmod(F.xxhash64("sample_id"), F.lit(blocks))).groupBy("block").applyInArrow(pack, "block bigint, ids binary, m binary")
 
-    left = packed(queries, q_blocks).select(F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), F.explode(F.sequence(F.lit(0), F.lit(b_blocks - 1))).cast("bigint").alias("b"))
-    right = packed(base, b_blocks).select(F.col("block").alias("b"), "ids", "m", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).cast("bigint").alias("q"))
+    left = packed(queries, q_blocks).select(F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), F.explode(F.sequence(F.expr("0L"), F.lit(b_blocks - 1).cast("bigint"))).alias("b"))
+    right = packed(base, b_blocks).select(F.col("block").alias("b"), "ids", "m", F.explode(F.sequence(F.expr("0L"), F.lit(q_blocks - 1).cast("bigint"))).alias("q"))
 
     def best(batches):
         for batch in batches:
