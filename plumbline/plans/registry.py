@@ -1,6 +1,6 @@
 """Every query over the given tables, and the SQL that gives the same rows."""
 
-from plumbline.plans import text_queries, vector_queries
+from plumbline.plans import review_queries, text_queries, vector_queries
 
-QUERIES: dict = {**text_queries.QUERIES, **vector_queries.QUERIES}
-ORACLES: dict = {**text_queries.ORACLES, **vector_queries.ORACLES}
+QUERIES: dict = {**text_queries.QUERIES, **vector_queries.QUERIES, **review_queries.QUERIES}
+ORACLES: dict = {**text_queries.ORACLES, **vector_queries.ORACLES, **review_queries.ORACLES}

@@ -1,0 +1,38 @@
+"""Case status from a stream of decisions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.functions.shared_storage import scratch_path
+from plumbline.operators.review import active_decisions, case_status
+from plumbline.sources.bindings import decisions
+
+
+def keep_latest(spark: SparkSession, store: str):
+    """A ``foreachBatch`` function that appends each batch's latest votes by (case, reviewer) to ``store``.
+
+    The store has one folder per batch, overwritten if the batch is run again, so that replays
+    after a failure change nothing. Late rows are ordered by their own time when read.
+    """
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+
+    return append
+
+
+def live_status(spark: SparkSession, store: str) -> DataFrame:
+    return case_status(active_decisions(spark.read.parquet(store).drop("batch")))
+
+
+def run_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stream the decisions of ``events`` until none is left, then read the live status."""
+    store = scratch_path(spark, "decision-store")
+    source = scratch_path(spark, "decision-log")
+    decisions(spark, sf_dir).repartition(4, F.col("case_id")).write.parquet(source)
+    stream = spark.readStream.schema(decisions(spark, sf_dir).schema).option("maxFilesPerTrigger", 2).parquet(source)
+    q = stream.writeStream.foreachBatch(keep_latest(spark, store)).option("checkpointLocation", scratch_path(spark, "decision-progress")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return live_status(spark, store)
