@@ -52,7 +52,7 @@ def rake(tokens: np.ndarray, levels: list[np.ndarray], targets: list[np.ndarray]
     for _ in range(sweeps):
         for level, target in zip(levels, targets):
             now = np.bincount(level, weights, len(target))
-            factor = np.divide(target * budget, now, out=np.ones_like(now), where=now > 0)
+            factor = np.divide(target * budget, now, out=np.ones(len(now)), where=now > 0)
             weights = np.minimum(weights * factor[level], tokens)
     return weights
 

@@ -54,15 +54,15 @@ class Transducer:
         return self.moves.get((state, symbol), (state, 1.0))
 
 
-def scope(opening: int, length: int, factors: dict[int, float]) -> Transducer:
-    """After ``opening``, symbols of the next ``length`` words get the given factors."""
+def scope(opening: int, length: int, factors: dict[int, float], closing: int | None = None) -> Transducer:
+    """After ``opening``, symbols of the next ``length`` words get the given factors; ``closing`` ends that early."""
     moves = {}
     for state in range(length + 1):
         for symbol in range(7):
             if symbol == opening:
                 moves[state, symbol] = (length, factors.get(symbol, 1.0) if state else 1.0)
             elif state:
-                moves[state, symbol] = (state - 1, factors.get(symbol, 1.0))
+                moves[state, symbol] = (0 if symbol == closing else state - 1, factors.get(symbol, 1.0))
     return Transducer(moves)
 
 
@@ -99,7 +99,7 @@ def grammar() -> list[list[tuple[int, float]]]:
     return compose(
         Transducer(),  # insults pass as they are
         scope(THREAT, 3, {TARGET: 1.0}),  # a threat opens a scope; see Grammar.clause for its target
-        scope(TARGET, 4, {INSULT: 1.5, THREAT: 1.5}),
+        scope(TARGET, 4, {INSULT: 1.5, THREAT: 1.5}, closing=REPORT),  # who speaks is no target
         scope(NEGATION, 2, {INSULT: 0.5, THREAT: 0.3}),
         reported_speech(0.7),
     )
