@@ -16,12 +16,12 @@ SPLIT_ALIASES = {
 def assign_layout(paths: DataFrame) -> DataFrame:
     """``path``, ``split``, ``label``, ``layout`` and ``reason`` (why a file has no label).
 
-    One folder that all paths share is dropped. If four fifths of the paths name a split in the
+    One folder that all paths share is dropped, if some path is deeper than folder and file. If four fifths of the paths name a split in the
     first folder, the layout is split/class/file; if in the second, class/split/file; else
     class/file without splits. Two aggregates decide, one row each.
     """
     parts = paths.withColumn("p", F.split("path", "/"))
-    root = parts.agg((F.count_distinct(F.col("p")[0]) == 1).alias("shared"), F.min(F.size("p")).alias("depth")).select(F.when(F.col("shared") & (F.col("depth") > 2), 1).otherwise(0).alias("skip"))
+    root = parts.agg((F.count_distinct(F.col("p")[0]) == 1).alias("shared"), F.max(F.size("p")).alias("depth")).select(F.when(F.col("shared") & (F.col("depth") > 2), 1).otherwise(0).alias("skip"))
     cut = parts.crossJoin(root).withColumn("p", F.slice("p", F.col("skip") + 1, F.greatest(F.size("p") - F.col("skip"), F.lit(0)))).drop("skip")
     name = lambda i: F.lower(F.get("p", F.lit(i)))
     alias = lambda c: F.coalesce(*[F.when(c.isin(*names), split) for split, names in SPLIT_ALIASES.items()])
