@@ -51,7 +51,7 @@ def agreement(active: DataFrame) -> DataFrame:
     weighted = cells.join(per_case.filter("v >= 2").select("case_id", "v"), "case_id").groupBy("action").agg(F.sum(F.col("n") * (F.col("v") - 1)).alias("w"))
     pe = weighted.agg((F.sum(F.col("w") * F.col("w")) / (F.sum("w") * F.sum("w"))).alias("pe"))
     po = F.col("same") / F.col("pairs")
-    return pairs.crossJoin(pe).select(F.col("pairs").cast("bigint").alias("pairs"), F.round(po, 6).alias("agreement"), F.round(F.when(F.col("pe") < 1, (po - F.col("pe")) / (1 - F.col("pe"))), 6).alias("kappa"))
+    return pairs.crossJoin(pe).select(F.coalesce("pairs", F.lit(0)).cast("bigint").alias("pairs"), F.round(po, 6).alias("agreement"), F.round(F.when(F.col("pe") < 1, (po - F.col("pe")) / (1 - F.col("pe"))), 6).alias("kappa"))
 
 
 def review_budget(cases: DataFrame, max_items: int, max_minutes: float) -> DataFrame:

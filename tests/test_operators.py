@@ -43,7 +43,7 @@ def test_layouts(spark):
     def run(paths):
         return {r.path: (r.split, r.label, r.reason) for r in assign_layout(spark.createDataFrame([(p,) for p in paths], "path string")).collect()}
 
-    first = run(["root/Train/cat/1.png", "root/valid/dog/2.png", "root/test/cat/3.png", "root/orphan.png"])
+    first = run(["root/Train/cat/1.png", "root/valid/dog/2.png", "root/test/cat/3.png", "root/test/dog/4.png", "root/orphan.png"])
     assert first["root/Train/cat/1.png"] == ("train", "cat", None)
     assert run(["cat/train/1.png", "dog/test/2.png"])["dog/test/2.png"] == ("test", "dog", None)
     assert run(["cat/1.png", "dog/2.png", "3.png"])["3.png"] == ("unsplit", None, "no class folder")
