@@ -128,7 +128,7 @@ class Grammar:
         tokens = TOKEN.findall((text or "").lower())
         new = set(tokens).difference(self.memo)
         if new:
-            if len(self.memo) > 500_000:
+            if len(self.memo) > 250_000:
                 self.memo.clear()
                 new = set(tokens)
             for t in new:
