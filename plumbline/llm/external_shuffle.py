@@ -34,13 +34,15 @@ def shard_of(key, shards: int, seed: int):
     return F.array_max(F.array(*[F.struct(F.xxhash64(F.lit(seed), F.lit(s), key).alias("h"), F.lit(s).alias("s")) for s in range(shards)]))["s"]
 
 
-def shuffle_to_shards(docs: DataFrame, shards: int = 8, seed: int = 42, bucket_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+def shuffle_to_shards(docs: DataFrame, shards: int = 8, seed: int = 42, bucket_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, measures: dict | None = None) -> DataFrame:
     """Write ``docs`` in random order as ``shards`` shards, and return what was written.
 
     The folder ``path`` (a fresh one in the shared folder by default) gets Parquet files
     partitioned by ``shard``; ``bucket`` and ``place`` give the order within a shard. Returns the
     written rows: all columns of ``docs``, ``shard``, and ``slot``, which counts from 0 in each
-    shard without gaps. Columns of ``docs`` with the names of these four are replaced.
+    shard without gaps. Columns of ``docs`` with the names of these four are replaced. With
+    ``measures`` (name to column over ``docs``) the result has these instead of the columns of
+    ``docs``, taken as the shards are read, so that whole texts need not move again.
 
     Law ``key``: the id and the number of shards decide the shard. Equal ids share a shard, null
     being one id. Null texts are kept. Repeated rows are spread over buckets like others. An
@@ -69,4 +71,6 @@ def shuffle_to_shards(docs: DataFrame, shards: int = 8, seed: int = 42, bucket_b
     written = spark.read.schema(out_type).parquet(path)
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = written.groupBy("shard", "bucket").count().withColumn("ahead", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    return written.join(sizes.select("shard", "bucket", "ahead"), ["shard", "bucket"]).select(*docs.columns, "shard", (F.col("ahead") + F.col("place")).alias("slot"))
+    out = measures or {c: F.col(c) for c in docs.columns}
+    rows = written.select(*[e.alias(c) for c, e in out.items()], "shard", "bucket", "place")
+    return rows.join(sizes.select("shard", "bucket", "ahead"), ["shard", "bucket"]).select(*out, "shard", (F.col("ahead") + F.col("place")).alias("slot"))

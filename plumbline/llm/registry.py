@@ -55,17 +55,11 @@ def op6_chroma_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    written = external_shuffle.shuffle_to_shards(docs, shards=8, seed=42)
     text = F.coalesce("text", F.lit(""))
-    return written.select(
-        "doc_id",
-        (F.octet_length(text) + 1).cast("bigint").alias("size"),
-        F.crc32(text).alias("text_crc32"),
-        F.lit("key").alias("law"),
-        "shard",
-        "slot",
-        external_shuffle.shard_of(F.col("doc_id"), 9, 42).alias("grown_shard"),
-    )
+    measures = {"doc_id": F.col("doc_id"), "size": (F.octet_length(text) + 1).cast("bigint"), "text_crc32": F.crc32(text)}
+    written = external_shuffle.shuffle_to_shards(docs, shards=8, seed=42, measures=measures)
+    grown = external_shuffle.shard_of(F.col("doc_id"), 9, 42)
+    return written.select(*measures, F.lit("key").alias("law"), "shard", "slot", grown.alias("grown_shard"))
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
