@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from plumbline.sources.tables import table
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least half as many partitions as there are cores; unchanged where the files give enough.
+
+    A small table in one file is one task otherwise, however much work follows.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() * 2 >= cores else df.repartition(cores)
+
+
 def split_of(sample_id: Column) -> Column:
     """70 % train, 10 % val, 20 % test by the id's last digit."""
     return F.when(sample_id % 10 < 7, "train").when(sample_id % 10 < 8, "val").otherwise("test")
@@ -15,7 +24,7 @@ def split_of(sample_id: Column) -> Column:
 
 def text_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as samples; the label is the language."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
     return d.select(F.col("doc_id").alias("sample_id"), "text", F.col("lang").alias("label"), "source", "n_chars", split_of(F.col("doc_id")).alias("split"))
 
 
