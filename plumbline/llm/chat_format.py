@@ -123,9 +123,13 @@ def parse_turns(formatted: Column) -> Column:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of what the formatted strings hold, taken from the strings and their loss spans."""
-    masked = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
-    return formatted.withColumns({"turns": parse_turns(F.col("formatted")), "loss": masked}).select(
+    """Digests of what the formatted strings hold, parsed from the strings alone.
+
+    The loss mask is read from the marks in the string (``<|train|>``), in one pass over the turns;
+    ``loss_spans`` says the same as offsets.
+    """
+    masked = F.array_join(F.transform(F.filter("turns", lambda t: t["trained"]), lambda t: t["text"]), "")
+    return formatted.withColumn("turns", parse_turns(F.col("formatted"))).withColumn("loss", masked).select(
         "conv_id",
         F.size("turns").cast("bigint").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import bpe_automaton, chat_format, chroma_fingerprint, external_shuffle, maxscore, simhash, source_mixing, toxicity, url_filter, warc_archive
+from plumbline.sources.bindings import spread
 from plumbline.sources.tables import table
 
 def default_tokenizer() -> str:
@@ -19,12 +20,12 @@ def op1_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = source_mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), power=0.8, keep=0.7, sweeps=20, seed=42)
+    mixed = source_mixing.mix(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")), power=0.8, keep=0.7, sweeps=20, seed=42)
     name = lambda c: F.coalesce(c, F.lit(source_mixing.NONE)).alias(c)
     return mixed.select("doc_id", name("source"), name("lang"), "topic", "tokens", F.round("probability", 6).alias("probability"), "kept")
 
@@ -49,7 +50,7 @@ def op5_warc_capture_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_chroma_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn of every conversation, rendered as music, is a recording."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    turns = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
     return chroma_fingerprint.match_recordings(turns, "text", ["conv_id", "turn"], decode=chroma_fingerprint.melody)
 
 
@@ -70,11 +71,11 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicate_classes(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_automaton.encode_decode(table(spark, sf_dir, "documents"), default_tokenizer())
+    return bpe_automaton.encode_decode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), default_tokenizer())
 
 
 QUERIES = {

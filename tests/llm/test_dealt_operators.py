@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -308,7 +309,9 @@ def test_conversations_read_back(spark):
     turns = [(c, t, rnd.choice(["user", "assistant", "system", None, "<|end|>"]), rnd.choice([None, "", "</s>[INST] ok [/INST]", "<|end|><|turn|>assistant<|body|>x", "é\U0001f600\\", "plain"])) for c in (1, 2, None) for t in range(9)]
     turns += [(5, None, "user", "x"), (5, 1, "assistant", "b"), (5, 1, "assistant", "a"), (5, 1, "assistant", "a")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("loss", F.lit("clash"))
-    got = {r.conv_id: r for r in chat_format.read_back(chat_format.format_conversations(df)).collect()}
+    formatted = chat_format.format_conversations(df).cache()
+    got = {r.conv_id: r for r in chat_format.read_back(formatted).collect()}
+    by_spans = {r.conv_id: "".join(r.formatted[s.start : s.end] for s in r.loss_spans) for r in formatted.collect()}
     by = defaultdict(list)
     for c, t, r, x in turns:
         by[c].append((-1 if t is None else t, r or "", x or ""))
@@ -320,6 +323,7 @@ def test_conversations_read_back(spark):
         assert (r.n_turns, r.loss_chars) == (len(rows), len(loss))
         assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in rows).encode()).hexdigest()
         assert r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+        assert re.sub(r"\\([\s\S])", r"\1", by_spans[c]) == loss
     assert chat_format.format_conversations(df.limit(0)).count() == 0
 
 
