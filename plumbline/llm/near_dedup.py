@@ -1,20 +1,24 @@
-"""Near-duplicate removal at a shingle similarity, by wide SimHash fingerprints and multi-index hashing.
-
-64 bits are too few to tell a similarity of 0.8 from one of 0.7, so a text gets two wide
-fingerprints. That of its distinct words serves for search: copies that share four fifths of
-their five-word shingles share nearly all words, so this fingerprint hardly changes, and of its
-20 segments of 24 bits some are equal (the ball of radius 0 in each segment; measured recall of
-pairs at 0.8 or more: 0.98 and up). That of its shingles serves to verify: a distance that leaves
-no doubt decides, and in between the shingle sets themselves are compared.
-
-Members of a segment's bucket are compared with a few anchors of the bucket (its least id and
-four chosen by hash, so that each segment has anchors of its own), not with each other, so a
-family of any size costs a bounded number of comparisons for each member.
+"""Near-duplicate removal at a shingle similarity, by prefix filtering and wide SimHash fingerprints.
+
+Search is exact. Put the shingles of all texts into one order, the same for all. Two texts with a
+Jaccard similarity of ``t`` or more then share one of the first ``n - ceil(t * n) + 1`` of their
+``n`` shingles, wherever and however they differ: scattered edits, a passage added, cut off or
+replaced. Any order will do; rare shingles come first, so that a common passage fills no buckets.
+Which shingles are common is seen from a sample, which affects the cost alone.
+
+A SimHash fingerprint of 512 bits of the shingles serves to verify: a distance that leaves no doubt
+decides, and in between the shingle sets themselves are compared.
+
+A bucket holds the texts with a certain shingle among their first. Its members are first compared
+with one of them, its anchor, which joins large families at the cost of one comparison for each
+member. Then the members of every bucket that are still in different groups are compared with each
+other, those of crowded buckets in blocks of bounded size.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +30,9 @@ from plumbline.llm.common import map_batches
 from plumbline.llm.simhash import majority, shingle_hashes
 from plumbline.operators.graph import connected_components
 
-SEGMENTS, SEGMENT_BYTES = 24, 3
 SURE, POSSIBLE = 44, 128  # of 512 bits: up to SURE the similarity is 0.8 or more; beyond POSSIBLE it is not
+SAMPLED, COMMON = 64, 200_000  # one text in SAMPLED is looked at for the COMMON most common shingles
+CROWDED, BLOCK = 32, 2048  # buckets of more members are compared in blocks of up to twice BLOCK
 
 
 def widen(hashes: np.ndarray, words: int) -> np.ndarray:
@@ -50,25 +55,54 @@ def wide_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(votes * 2 > len(hashes), bitorder="little")
 
 
-def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
-    """``doc_id``, ``row_key`` (of id and text), ``words_key`` (of the words), ``segments`` and ``signature`` of every row."""
+def common_shingles(docs: DataFrame, width: int = 5) -> np.ndarray:
+    """Hashes of the shingles that occur in several texts of a sample, the rarest first; at most ``COMMON`` reach the driver."""
+    text = F.coalesce(docs["text"], F.lit(""))
+
+    def make():
+        return lambda batch: {"hash": np.concatenate([np.empty(0, np.uint64), *(np.unique(shingle_hashes(t.as_py(), width)) for t in batch.column(0))]).view(np.int64)}
+
+    seen = map_batches(docs.select(text.alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).distinct(), "hash bigint", make)
+    top = seen.groupBy("hash").count().filter("count > 1").orderBy(F.desc("count"), "hash").limit(COMMON).select("hash").toArrow()
+    return top.column("hash").to_numpy()[::-1].view(np.uint64)
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    """How many of ``n`` shingles, in an order common to all texts, must be looked at to meet every similar text."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+
+
+def sketches(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``doc_id``, ``row_key`` (of id and text), ``words_key`` (of the words), ``prefix`` and ``signature`` of every row."""
+    common = common_shingles(docs, width)
+    by_hash = np.argsort(common)
+    shared = docs.sparkSession.sparkContext.broadcast((common[by_hash], by_hash))
 
     def make():
+        known, rank = shared.value
+
+        def first(hashes):
+            if len(known):
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                order = np.where(known[at] == hashes, rank[at], -1)
+                hashes = hashes[np.argsort(order, kind="stable")]
+            return hashes[: prefix_length(len(hashes), similarity)].view(np.int64)
+
         def run(batch):
-            out = {k: [] for k in ("row_key", "words_key", "segments", "signature")}
+            out = {k: [] for k in ("row_key", "words_key", "prefix", "signature")}
             for i, t in zip(batch.column(0), batch.column(1)):
                 text = t.as_py() or ""
                 data = text.encode()
                 out["row_key"].append(row_key(i.as_py(), data))
-                out["words_key"].append(hashlib.md5(b" ".join(data.lower().split())).hexdigest())
-                terms = wide_fingerprint(np.unique(shingle_hashes(text, 1)), 9).astype(np.int32).reshape(-1)[: SEGMENTS * SEGMENT_BYTES].reshape(SEGMENTS, SEGMENT_BYTES)
-                out["segments"].append(terms @ np.array([1, 256, 65536], np.int32))
-                out["signature"].append(wide_fingerprint(np.unique(shingle_hashes(text, width)), 8).view(np.int64))
+                out["words_key"].append(int.from_bytes(hashlib.md5(b" ".join(data.lower().split())).digest()[:8], "little", signed=True))
+                hashes = np.unique(shingle_hashes(text, width))
+                out["prefix"].append(first(hashes))
+                out["signature"].append(wide_fingerprint(hashes, 8).view(np.int64))
             return out | {"doc_id": batch.column(0)}
 
         return run
 
-    return map_batches(docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text")), "doc_id bigint, row_key string, words_key string, segments array<int>, signature array<bigint>", make)
+    return map_batches(docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text")), "doc_id bigint, row_key string, words_key bigint, prefix array<bigint>, signature array<bigint>", make)
 
 
 def row_key(doc_id: int | None, data: bytes) -> str:
@@ -79,25 +113,74 @@ def row_key_column(doc_id, text):
     return F.concat(F.coalesce(doc_id.cast("bigint").cast("string"), F.lit("None")), F.lit("|"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def candidate_links(nodes: DataFrame) -> DataFrame:
-    """``a``, ``b`` and ``bits`` (distance of the signatures, at most POSSIBLE) of nodes and anchors of a shared bucket."""
-    apart = lambda x, y: sum(F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(8))
-    # Most buckets have one member: only members of others carry their signatures on.
-    keys = nodes.select("node", F.posexplode("segments").alias("seg", "key"))
-    shared = keys.groupBy("seg", "key").agg(F.count("*").alias("n")).filter("n > 1").select("seg", "key")
-    seats = keys.join(shared, ["seg", "key"], "left_semi").join(nodes.select("node", "least", "signature"), "node").withColumn("h", F.xxhash64("node", "seg"))
-    who = F.struct("node", "signature")
-    anchors = seats.groupBy("seg", "key").agg(
-        F.count("*").alias("n"),
-        F.min(F.struct(F.col("least").isNull().alias("z"), "least", who.alias("w")))["w"].alias("a0"),
-        F.min(who).alias("a1"),
-        F.max(who).alias("a2"),
-        F.min(F.struct("h", who.alias("w")))["w"].alias("a3"),
-        F.max(F.struct("h", who.alias("w")))["w"].alias("a4"),
-    ).filter("n > 1").select("seg", "key", F.array_distinct(F.array("a0", "a1", "a2", "a3", "a4")).alias("anchors"))
-    met = seats.join(anchors, ["seg", "key"])
-    near = F.filter(F.transform("anchors", lambda a: F.struct(a["node"].alias("b"), apart(a["signature"], F.col("signature")).alias("bits"))), lambda a: (a["bits"] <= POSSIBLE) & (a["b"] != F.col("node")))
-    return met.select("node", F.explode(near).alias("x")).select(F.greatest("node", "x.b").alias("a"), F.least("node", "x.b").alias("b"), "x.bits").distinct()
+def shared_seats(nodes: DataFrame) -> DataFrame:
+    """``key``, ``node``, ``n`` and ``anchor`` of every seat in a bucket of several members."""
+    keys = nodes.select("node", F.explode("prefix").alias("key"))
+    return keys.join(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("anchor")).filter("n > 1"), "key")
+
+
+def _measured(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``a``, ``b`` and ``bits`` (distance of the signatures) of the pairs at most POSSIBLE apart."""
+    at = lambda side: nodes.select(F.col("node").alias(side), F.col("signature").alias(f"s{side}"))
+    bits = sum(F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(8))
+    return pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", bits.cast("int").alias("bits")).filter(F.col("bits") <= POSSIBLE)
+
+
+def anchor_links(seats: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a > b) of members and the anchors of their buckets."""
+    return _measured(seats.filter("node <> anchor").select(F.col("node").alias("a"), F.col("anchor").alias("b")).distinct(), nodes)
+
+
+def links_between(seats: DataFrame, nodes: DataFrame, groups: DataFrame, crowded: int = CROWDED, block: int = BLOCK) -> DataFrame:
+    """Links (a > b) of members of a bucket that are in different groups: all doubtful ones, and of the sure ones as many as join the same groups."""
+    placed = seats.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("g"))
+    mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("key", "n")
+    seated = materialize(placed.join(mixed, "key"), "mixed-buckets")
+    few = seated.filter(F.col("n") <= crowded)
+    x, y = few.select("key", F.col("node").alias("a"), F.col("g").alias("ga")), few.select("key", F.col("node").alias("b"), F.col("g").alias("gb"))
+    direct = _measured(x.join(y, "key").filter("a > b and ga <> gb").select("a", "b").distinct(), nodes)
+    crowds = seated.filter(F.col("n") > crowded)
+    if crowds.isEmpty():
+        return direct
+    blocks = (
+        crowds.join(nodes.select("node", "signature"), "node")
+        .withColumn("chunks", F.ceil(F.col("n") / block).cast("int"))
+        .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .select("key", F.least("mine", "other").alias("c"), F.greatest("mine", "other").alias("d"), "mine", "node", "g", *[F.col("signature")[i].alias(f"s{i}") for i in range(8)])
+    )
+
+    def compare(group: pa.Table) -> pa.Table:
+        column = lambda c: group.column(c).to_numpy()
+        a, b, bits = _between(column("node"), column("g"), column("mine"), np.stack([column(f"s{i}") for i in range(8)], 1).view(np.uint64))
+        return pa.table({"a": a, "b": b, "bits": bits}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bits", pa.int32())]))
+
+    return direct.unionByName(blocks.groupBy("key", "c", "d").applyInArrow(compare, "a bigint, b bigint, bits int")).distinct()
+
+
+def _between(nodes: np.ndarray, groups: np.ndarray, chunks: np.ndarray, signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links between groups of one block's members; of two chunks, each member is compared with those of the other chunk."""
+    order = np.argsort(chunks, kind="stable")
+    nodes, chunks, signatures = nodes[order], chunks[order], signatures[order]
+    root = np.unique(groups[order], return_inverse=True)[1]
+    half = int(np.searchsorted(chunks, chunks[-1]))  # 0 if there is one chunk
+    sure, doubtful = [np.zeros((0, 3), np.int64)], [np.zeros((0, 3), np.int64)]
+    for i in range(half or len(nodes)):
+        rest = np.arange(half or i + 1, len(nodes))
+        rest = rest[root[rest] != root[i]]
+        bits = np.bitwise_count(signatures[rest] ^ signatures[i]).sum(1, dtype=np.int64)
+        near = bits <= POSSIBLE
+        rest, bits = rest[near], bits[near]
+        for j, n in zip(rest[bits <= SURE].tolist(), bits[bits <= SURE].tolist()):
+            if root[i] != root[j]:
+                root[root == root[j]] = root[i]
+                sure.append(np.array([[i, j, n]]))
+        open_ = bits > SURE
+        doubtful.append(np.stack((np.full(open_.sum(), i), rest[open_], bits[open_]), 1))
+    maybe = np.concatenate(doubtful)
+    out = np.concatenate((*sure, maybe[root[maybe[:, 0]] != root[maybe[:, 1]]]))
+    x, y = nodes[out[:, 0]], nodes[out[:, 1]]
+    return np.maximum(x, y), np.minimum(x, y), out[:, 2].astype(np.int32)
 
 
 def _similar(docs: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -117,32 +200,34 @@ def _similar(docs: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, sim
 
         return run
 
-    return map_batches(both.select("a", "b", "ta", "tb"), "a string, b string, good boolean", make, rows_at_once=500).filter("good").select("a", "b")
+    return map_batches(both.select("a", "b", "ta", "tb"), "a bigint, b bigint, good boolean", make, rows_at_once=500).filter("good").select("a", "b")
 
 
 def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """The sketch of every row, and ``words_key`` with ``component`` of all texts that have a link to another text."""
-    rows = materialize(sketches(docs, width), "sketches")
-    one = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row_key", "segments", "signature"))
-    nodes = materialize(rows.groupBy(F.col("words_key").alias("node")).agg(one.alias("o")).select("node", F.col("o.doc_id").alias("least"), "o.row_key", "o.segments", "o.signature"), "texts")
-    links = materialize(candidate_links(nodes), "candidates")
+    rows = materialize(sketches(docs, width, similarity), "sketches")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row_key", "prefix", "signature"))
+    nodes = materialize(rows.groupBy(F.col("words_key").alias("node")).agg(one.alias("o")).select("node", "o.row_key", "o.prefix", "o.signature"), "texts")
+    seats = materialize(shared_seats(nodes), "seats")
+    reps = nodes.select("node", "row_key")
+    links = materialize(anchor_links(seats, nodes), "anchor-links")
     sure = links.filter(F.col("bits") <= SURE).select("a", "b")
     found = materialize(connected_components(sure, "a", "b"), "groups")
     # Doubtful links matter only between groups; the closest of each two groups are compared first.
-    doubtful = links.filter(F.col("bits") > SURE)
-    reps = nodes.select("node", "row_key")
-    for last in (False, True):
-        at = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))  # noqa: B023, E731
-        open_ = doubtful.join(at("a"), "a", "left").join(at("b"), "b", "left").withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).filter("ca <> cb")
-        if not last:
-            nearest = Window.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy("bits", "a", "b")
-            open_ = open_.withColumn("k", F.row_number().over(nearest)).filter("k = 1")
-        pairs = materialize(open_.select("a", "b"), "doubtful")
-        good = materialize(_similar(docs, pairs, reps, width, similarity), "similar")
+    at = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+    open_ = links.filter(F.col("bits") > SURE).join(at("a"), "a", "left").join(at("b"), "b", "left").withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).filter("ca <> cb")
+    nearest = Window.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy("bits", "a", "b")
+    pairs = materialize(open_.withColumn("k", F.row_number().over(nearest)).filter("k = 1").select("a", "b"), "doubtful")
+    good = materialize(_similar(docs, pairs, reps, width, similarity), "similar")
+    if not good.isEmpty():
         sure = sure.unionByName(good)
-        doubtful = doubtful.join(pairs, ["a", "b"], "left_anti")
-        if not good.isEmpty():
-            found = materialize(connected_components(sure, "a", "b"), "groups")
+        found = materialize(connected_components(sure, "a", "b"), "groups")
+    # What the anchors left apart meets in full.
+    links = materialize(links_between(seats, nodes, found), "links-between")
+    doubtful = links.filter(F.col("bits") > SURE).select("a", "b").join(pairs, ["a", "b"], "left_anti")
+    more = materialize(links.filter(F.col("bits") <= SURE).select("a", "b").unionByName(_similar(docs, doubtful, reps, width, similarity)), "similar")
+    if not more.isEmpty():
+        found = materialize(connected_components(sure.unionByName(more), "a", "b"), "groups")
     return rows, found
 
 

@@ -425,6 +425,66 @@ def test_near_dedup_keeps_one_of_each_group(spark, odd):
     assert near_dedup.without_near_duplicates(odd.limit(0)).count() == 0
 
 
+def kept_by_brute_force(texts, width=5, similarity=0.8):
+    """Positions of the first text of each group, all pairs compared."""
+    sets = [{tuple(t[i : i + width]) for i in range(max(1, len(t) - width + 1))} for t in map(str.split, texts)]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if group[i] != group[j] and (n := len(sets[i] & sets[j])) >= similarity * (len(sets[i]) + len(sets[j]) - n):
+                lo, hi = sorted((group[i], group[j]))
+                group = [lo if g == hi else g for g in group]
+    return sorted(set(group))
+
+
+def kept(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return sorted(r.doc_id for r in near_dedup.without_near_duplicates(df).collect())
+
+
+@pytest.mark.parametrize("kind", ["permutations", "template", "template, unknown as common"])
+def test_near_dedup_in_crowds_of_unlike_texts(spark, kind, monkeypatch):
+    rnd = random.Random(12)
+    words = [f"w{i}" for i in range(120)]
+    fixed, texts = " ".join(words[:60]), []
+    if "unknown" in kind:
+        monkeypatch.setattr(near_dedup, "SAMPLED", 2**62)
+    for _ in range(150):
+        base = rnd.sample(words, 120) if kind == "permutations" else [f"{w}x{rnd.randrange(400)}" for w in words[60:]]
+        texts += [" ".join(base), " ".join(base[:-2] + ["end"])]
+    if kind != "permutations":
+        texts = [f"{fixed} {t}" for t in texts]
+    rnd.shuffle(texts)
+    want = kept_by_brute_force(texts)
+    assert len(want) == 150 and kept(spark, texts) == want
+
+
+def test_blocks_of_crowded_buckets_find_all_links(spark):
+    rnd = np.random.default_rng(13)
+    base = rnd.integers(-(2**62), 2**62, 8)
+    sig = np.array([[x ^ int(sum(1 << int(b) for b in rnd.choice(62, k, False))) for x in base] for k in rnd.integers(0, 9, 90)], np.int64)
+    nodes = spark.createDataFrame([(i, [int(x) for x in s]) for i, s in enumerate(sig)], "node long, signature array<long>")
+    seats = spark.createDataFrame([(5, i, 90, 0) for i in range(90)], "key long, node long, n long, anchor long")
+    groups = spark.createDataFrame([(i, 0) for i in range(10)], "node long, component long")
+    far = lambda i, j: int(np.bitwise_count((sig[i] ^ sig[j]).view(np.uint64)).sum())
+
+    def parts(edges):
+        label = [0 if i < 10 else i for i in range(90)]
+        for a, b in edges:
+            lo, hi = sorted((label[a], label[b]))
+            label = [lo if x == hi else x for x in label]
+        return label
+
+    every = [(i, j, far(i, j)) for i in range(90) for j in range(i)]
+    for size in (7, 40, 2048):
+        got = [(r.a, r.b, r.bits) for r in near_dedup.links_between(seats, nodes, groups, crowded=20, block=size).collect()]
+        assert all(b == far(i, j) for i, j, b in got)
+        joined = parts((i, j) for i, j, b in every if b <= near_dedup.SURE)
+        assert parts((i, j) for i, j, b in got if b <= near_dedup.SURE) == joined
+        open_ = {(i, j) for i, j, b in every if near_dedup.SURE < b <= near_dedup.POSSIBLE and joined[i] != joined[j]}
+        assert open_ and open_ <= {(i, j) for i, j, _ in got}
+
+
 # 10 --------------------------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
