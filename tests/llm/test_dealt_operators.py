@@ -485,6 +485,23 @@ def test_blocks_of_crowded_buckets_find_all_links(spark):
         assert open_ and open_ <= {(i, j) for i, j, _ in got}
 
 
+@pytest.mark.parametrize("n", [9, 60, 300])
+def test_near_dedup_finds_passages_added_cut_and_replaced(spark, n):
+    rnd = random.Random(n)
+    fresh = iter(f"v{i}" for i in range(10**6))
+    own = lambda k: [next(fresh) for _ in range(k)]
+    texts, shingles = [], n - 4
+    most = shingles // 4  # shingles that may be added at 0.8
+    swap = max(0, shingles // 9)  # shingles that may be replaced at 0.8
+    for _ in range(60):
+        base, at = own(n), rnd.randrange(5, max(6, n - swap - 5))
+        copies = [base + own(most), own(most) + base, base[: n - shingles // 5], base[shingles // 5 :], base[: n - swap] + own(swap), base[:at] + own(max(0, swap - 4)) + base[at + max(0, swap - 4) :]]
+        copies += [base + own(most + 1), base[: n - swap - 1] + own(swap + 1)]  # just below
+        texts += [" ".join(t) for t in (base, rnd.choice(copies))]
+    want = kept_by_brute_force(texts)
+    assert 60 < len(want) < 120 and kept(spark, texts) == want
+
+
 # 10 --------------------------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
