@@ -5,9 +5,9 @@ weights to the target share of each source, each language and each topic in turn
 tokens a cell has, until all three margins agree. A document is then kept with the probability
 weight / tokens of its cell, by a hash of its id and a seed.
 
-The tally is the only thing gathered, and its size is bounded: each margin has at most
-``max_levels`` levels (those with most tokens; all others together are the level ``(other)``,
-which is fitted and sampled like any level).
+Every level is fitted as itself, however many there are. A tally whose margins have at most
+``max_levels`` levels each is gathered and fitted at once; a larger one stays a Spark table, and
+each step of a sweep is an aggregation and a join.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.shared_storage import materialize
 
-OTHER, NONE = "(other)", "(none)"
+NONE = "(none)"
 MARGINS = ("source", "lang", "topic")
 
 #: Topics by form: name and the pattern that a text must contain; the first that fits wins.
@@ -92,18 +92,14 @@ def mix(
     rows = docs.withColumns({"topic": topic, "tokens": token_count(F.coalesce(docs[text_col], F.lit("")))})
     named = {m: F.coalesce(F.col(m).cast("string"), F.lit(NONE)) for m in MARGINS}
     tally = materialize(rows.select(*[named[m].alias(m) for m in MARGINS], "tokens").groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), "mix-tally")
-    tops = {}
-    for m in MARGINS:  # at most max_levels rows each
-        best = tally.groupBy(m).agg(F.sum("tokens").alias("t")).orderBy(F.desc("t"), m).limit(max_levels)
-        tops[m] = [r[m] for r in best.collect()] if m != "topic" or "topic" in own else [n for n, _ in TOPICS] + ["prose"]
-    level = lambda m: F.when(named[m].isin(tops[m]), named[m]).otherwise(OTHER)
-    cells = tally.select(*[level(m).alias(m) for m in MARGINS], "tokens").groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")).orderBy(*MARGINS).toPandas()
-    probability = _probabilities(cells, targets or {}, power, keep, sweeps)
-    table = docs.sparkSession.createDataFrame(
-        [(*key, p) for key, p in probability.items()] or [("", "", "", 1.0)], "c_source string, c_lang string, c_topic string, probability double"
-    )
-    met = rows.withColumns({f"l_{m}": level(m) for m in MARGINS})
-    joined = met.join(F.broadcast(table), [met[f"l_{m}"] == table[f"c_{m}"] for m in MARGINS], "left")
+    most = max(tally.agg(*[F.count_distinct(m) for m in MARGINS]).first())
+    if most <= max_levels:
+        probability = _probabilities(tally.orderBy(*MARGINS).toPandas(), targets or {}, power, keep, sweeps)
+        table = F.broadcast(docs.sparkSession.createDataFrame([(*key, p) for key, p in probability.items()] or [("", "", "", 1.0)], "c_source string, c_lang string, c_topic string, probability double"))
+    else:
+        table = _fitted(tally, targets or {}, power, keep, sweeps)
+    met = rows.withColumns({f"l_{m}": named[m] for m in MARGINS})
+    joined = met.join(table, [met[f"l_{m}"] == table[f"c_{m}"] for m in MARGINS], "left")
     luck = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit(NONE)))), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
     return joined.select(*[c for c in own if c != "topic"], "topic", "tokens", F.coalesce("probability", F.lit(1.0)).alias("probability")).withColumn("kept", luck < F.col("probability"))
 
@@ -126,13 +122,36 @@ def _probabilities(cells, targets: dict, power: float, keep: float, sweeps: int)
     return {(s, la, t): round(float(p), 9) for s, la, t, p in zip(cells["source"], cells["lang"], cells["topic"], share)}
 
 
+def _fitted(tally: DataFrame, targets: dict, power: float, keep: float, sweeps: int) -> DataFrame:
+    """The same as ``_probabilities`` as a table: ``c_source``, ``c_lang``, ``c_topic`` and ``probability`` of every cell."""
+    spark = tally.sparkSession
+    budget = keep * float(tally.agg(F.sum("tokens")).first()[0] or 0)
+    goals = {}
+    for m in MARGINS:
+        asked = spark.createDataFrame([(k, float(v)) for k, v in (targets.get(m) or {}).items()], f"{m} string, fixed double")
+        have = tally.groupBy(m).agg(F.pow(F.sum("tokens").cast("double"), F.lit(float(power))).alias("goal")).join(asked, m, "left")
+        have = materialize(have, "mix-goals")
+        free = F.sum(F.when(F.col("fixed").isNull(), F.col("goal")))
+        sums = have.agg(F.coalesce(F.sum("fixed"), F.lit(0.0)).alias("fixed"), F.coalesce(free, F.lit(0.0)).alias("free")).first()
+        left = max(0.0, 1.0 - sums["fixed"]) / max(sums["free"], 1e-300)
+        goals[m] = have.select(m, (F.coalesce("fixed", F.col("goal") * left) * budget).alias("goal"))
+    cells = tally.select(*MARGINS, F.col("tokens").cast("double").alias("tokens")).withColumn("w", F.col("tokens") * keep)
+    for _ in range(sweeps):
+        for m in MARGINS:
+            factor = cells.groupBy(m).agg(F.sum("w").alias("now")).join(goals[m], m).select(m, F.when(F.col("now") > 0, F.col("goal") / F.col("now")).otherwise(1.0).alias("factor"))
+            cells = cells.join(factor, m).select(*MARGINS, "tokens", F.least(F.col("w") * F.col("factor"), "tokens").alias("w"))
+        cells = materialize(cells, "mix-sweep")
+    share = F.round(F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(1.0), 9)
+    return cells.select(*[F.col(m).alias(f"c_{m}") for m in MARGINS], share.alias("probability"))
+
+
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The rows that ``mix`` keeps, with the columns they came with."""
     return mix(docs, **settings).filter("kept").select(*docs.columns)
 
 
 def oracle_sql(power: float, keep: float, sweeps: int, seed: int) -> str:
-    """The same as SQL for tables of at most ``max_levels`` sources and languages: one block per margin and sweep."""
+    """The same as SQL: one block per margin and sweep."""
     pattern = " ".join(f"when regexp_matches(t, '{p}') then '{n}'" for n, p in TOPICS)
     parts = [
         "docs as (select doc_id, coalesce(source, '(none)') as source, coalesce(lang, '(none)') as lang, coalesce(text, '') as t from documents)",

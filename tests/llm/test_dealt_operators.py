@@ -141,6 +141,23 @@ def test_mixing_on_odd_input(spark, odd):
     assert source_mixing.mixed_documents(odd).columns == odd.columns
 
 
+def test_mixing_fits_every_level(spark):
+    rnd = random.Random(4)
+    rows = [(i, "w " * rnd.randrange(1, 60), rnd.choice(["en", "de"]), f"host{min(rnd.randrange(90), rnd.randrange(90))}") for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    tokens = Counter()
+    for _, t, _, s in rows:
+        tokens[s] += len(t.split())
+    rare = min(tokens, key=lambda s: (tokens[s], s))
+    targets = {"source": {rare: 0.2 * tokens[rare] / tokens.total()}}
+    args = dict(targets=targets, keep=0.3, sweeps=8)
+    got, want = ({r.doc_id: r for r in source_mixing.mix(df, max_levels=n, **args).collect()} for n in (64, 100))
+    assert len(tokens) > 64 and len(got) == len(rows)
+    assert all(abs(got[i].probability - want[i].probability) < 1e-8 and got[i].kept == want[i].kept for i in got)
+    weight = sum(r.probability * r.tokens for r in got.values() if r.source == rare)
+    assert abs(weight - 0.3 * 0.2 * tokens[rare]) < 0.1 * weight
+
+
 # 4 ---------------------------------------------------------------------------------------------
 
 def judge(url, rules):
