@@ -1,16 +1,19 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Words are mapped to symbols: insult, threat, target, negation, reporting, quote, other. Five small
-weighted transducers read the symbols of a clause: one passes insults on, one passes threats on
-(fully where a target follows), and those for targets, negation and reported speech raise or lower
-the weight of what lies in their scope. Their composition is compiled into one table of
-transitions, and a clause's score is the sum of its words' weights times the factors on its path.
-A document's score is a logistic function of its clauses' scores.
+weighted transducers read the symbols of a clause in a cascade, each reading what the one before
+it writes. The first writes a target that follows a threat as a completed threat, which carries
+most of the threat's weight; the second lifts insults that follow closely on others; the
+remaining three raise or lower the weight of what stands in the scope of a target, of a negation,
+or of reported speech. Their composition is compiled into one table of transitions, and a
+clause's score is the sum of its words' weights times the factors on its path. An open quotation
+carries on into the next clause, up to the end of its line. A document's score is a logistic
+function of its clauses' scores.
 
 What an insult looks like is learned from labelled documents: whole words and word beginnings
 that stand in toxic documents far more often than in others, in varied surroundings (so that
 copies of one toxic document do not teach their other words). Everything learned comes from a
-sample of at most ``max_labelled`` labelled documents and at most ``max_patterns`` patterns.
+sample of at most ``max_labelled`` labelled documents, which bounds the patterns as well.
 """
 
 from __future__ import annotations
@@ -29,7 +32,8 @@ from plumbline.llm.common import map_batches
 
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;,\n\"“”«»]")
 BOUNDARY = frozenset(".!?;\n")
-INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, OTHER = range(7)
+INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, OTHER = SYMBOLS = range(7)
+COMPLETED = 7  # written, never read from text: a target that completes a threat
 
 #: Seed words of the grammar; learned patterns come on top.
 SEEDS = {
@@ -41,28 +45,57 @@ SEEDS = {
     QUOTE: ['"', "“", "”", "«", "»"],
 }
 SEED_WEIGHT = {INSULT: 2.0, THREAT: 2.0}
+#: Shares of a threat's weight: what the threatening word has by itself, and what a target adds.
+THREATENING, COMPLETING = 0.25, 0.75
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """``moves[state, symbol]`` is the next state and the factor of the symbol's weight; a symbol without a move keeps the state at factor 1."""
+    """``moves[state, symbol]`` is the next state, the symbol written and its factor; a symbol without a move is written as it is, at factor 1."""
 
     moves: dict = field(default_factory=dict)
     start: int = 0
 
-    def step(self, state: int, symbol: int) -> tuple[int, float]:
-        return self.moves.get((state, symbol), (state, 1.0))
+    def step(self, state: int, symbol: int) -> tuple[int, int, float]:
+        return self.moves.get((state, symbol), (state, symbol, 1.0))
 
 
-def scope(opening: int, length: int, factors: dict[int, float], closing: int | None = None) -> Transducer:
-    """After ``opening``, symbols of the next ``length`` words get the given factors; ``closing`` ends that early."""
+def threats(length: int) -> Transducer:
+    """A threatening word counts for little by itself; a target among the next ``length`` words is written as its completion."""
     moves = {}
     for state in range(length + 1):
-        for symbol in range(7):
-            if symbol == opening:
-                moves[state, symbol] = (length, factors.get(symbol, 1.0) if state else 1.0)
+        for symbol in SYMBOLS:
+            if symbol == THREAT:
+                moves[state, symbol] = (length, THREAT, THREATENING)
+            elif state and symbol == TARGET:
+                moves[state, symbol] = (0, COMPLETED, COMPLETING)
             elif state:
-                moves[state, symbol] = (0 if symbol == closing else state - 1, factors.get(symbol, 1.0))
+                moves[state, symbol] = (state - 1, symbol, 1.0)
+    return Transducer(moves)
+
+
+def insults(length: int, factor: float) -> Transducer:
+    """An insult within ``length`` words of another counts by ``factor``."""
+    moves = {}
+    for state in range(length + 1):
+        for symbol in (*SYMBOLS, COMPLETED):
+            if symbol == INSULT:
+                moves[state, symbol] = (length, INSULT, factor if state else 1.0)
+            elif state:
+                moves[state, symbol] = (state - 1, symbol, 1.0)
+    return Transducer(moves)
+
+
+def scope(opening: tuple[int, ...], length: int, factors: dict[int, float], closing: tuple[int, ...] = ()) -> Transducer:
+    """After a symbol of ``opening``, those of the next ``length`` words get the given factors; one of ``closing`` ends that early."""
+    moves = {}
+    for state in range(length + 1):
+        for symbol in (*SYMBOLS, COMPLETED):
+            factor = factors.get(symbol, 1.0) if state else 1.0
+            if symbol in opening:
+                moves[state, symbol] = (length, symbol, factor)
+            elif state:
+                moves[state, symbol] = (0 if symbol in closing else state - 1, symbol, factor)
     return Transducer(moves)
 
 
@@ -70,41 +103,48 @@ def reported_speech(factor: float) -> Transducer:
     """Within quotes, or after a reporting word up to the end of the clause, what is said counts by ``factor``."""
     moves = {}
     for state in (0, 1, 2):  # 0 plain, 1 after a reporting word, 2 within quotes
-        moves[state, REPORT] = (max(state, 1), 1.0)
-        moves[state, QUOTE] = ({0: 2, 1: 2, 2: 0}[state], 1.0)
-        for symbol in (INSULT, THREAT):
-            moves[state, symbol] = (state, factor if state else 1.0)
+        moves[state, REPORT] = (max(state, 1), REPORT, 1.0)
+        moves[state, QUOTE] = ({0: 2, 1: 2, 2: 0}[state], QUOTE, 1.0)
+        for symbol in (INSULT, THREAT, COMPLETED):
+            moves[state, symbol] = (state, symbol, factor if state else 1.0)
     return Transducer(moves)
 
 
-def compose(*parts: Transducer) -> list[list[tuple[int, float]]]:
-    """The product of the transducers: a table from (state, symbol) to (state, product of factors), from state 0 on."""
+def compose(*parts: Transducer) -> list[list[tuple[int, int, float]]]:
+    """The cascade of the transducers as one table, from state 0 on: (state, symbol) to (state, symbol written at last, product of factors)."""
     start = tuple(t.start for t in parts)
     number, table, queue = {start: 0}, [], deque([start])
     while queue:
         state = queue.popleft()
         row = []
-        for symbol in range(7):
-            steps = [t.step(s, symbol) for t, s in zip(parts, state)]
-            to = tuple(s for s, _ in steps)
-            if to not in number:
+        for symbol in SYMBOLS:
+            to, factor = [], 1.0
+            for t, s in zip(parts, state):
+                at, symbol, f = t.step(s, symbol)
+                to.append(at)
+                factor *= f
+            if (to := tuple(to)) not in number:
                 number[to] = len(number)
                 queue.append(to)
-            row.append((number[to], float(np.prod([f for _, f in steps]))))
+            row.append((number[to], symbol, factor))
         table.append(row)
     return table
 
 
-def grammar() -> list[list[tuple[int, float]]]:
-    return compose(
-        Transducer(),  # insults pass as they are
-        scope(THREAT, 3, {TARGET: 1.0}),  # a threat opens a scope; see Grammar.clause for its target
-        scope(TARGET, 4, {INSULT: 1.5, THREAT: 1.5}, closing=REPORT),  # who speaks is no target
-        scope(NEGATION, 2, {INSULT: 0.5, THREAT: 0.3}),
+def cascade() -> tuple[Transducer, ...]:
+    return (
+        threats(3),
+        insults(2, 1.25),
+        scope((TARGET, COMPLETED), 4, {INSULT: 1.5, THREAT: 1.5}, closing=(REPORT,)),  # who speaks is no target
+        scope((NEGATION,), 2, {INSULT: 0.5, THREAT: 0.3, COMPLETED: 0.3}),
         reported_speech(0.7),
     )
 
 
+def grammar() -> list[list[tuple[int, int, float]]]:
+    return compose(*cascade())
+
+
 def beginnings(word: str) -> list[str]:
     """Patterns that a word fits: beginnings of 4 to 8 letters, and the whole word marked by ``$``."""
     return [word[:k] for k in range(4, min(8, len(word)) + 1)] + ([word + "$"] if len(word) >= 3 else [])
@@ -113,10 +153,12 @@ def beginnings(word: str) -> list[str]:
 class Grammar:
     """Compiled patterns and transitions; ``features`` of one text."""
 
-    def __init__(self, patterns: dict[str, float]):
+    def __init__(self, patterns: dict[str, float], kept_words: int = 100_000):
         self.table = grammar()
         self.patterns = patterns
         self.symbols = {w: s for s, words in SEEDS.items() for w in words}
+        self.quoted = self.table[0][QUOTE][0]
+        self.kept_words = kept_words
         self.memo: dict[str, float] = {}
 
     def _weight(self, token: str) -> float:
@@ -128,14 +170,14 @@ class Grammar:
         tokens = TOKEN.findall((text or "").lower())
         new = set(tokens).difference(self.memo)
         if new:
-            if len(self.memo) > 250_000:
+            if len(self.memo) + len(new) > self.kept_words:
                 self.memo.clear()
                 new = set(tokens)
             for t in new:
                 self.memo[t] = self._weight(t)
         weights = list(map(self.memo.__getitem__, tokens))
         total = top = 0.0
-        done = -1
+        done, read, quoted = -1, 0, False  # ``quoted``: whether a quotation of this line is open at token ``read``
         for i, w in enumerate(weights):
             if w and i > done:
                 a, b = i, i
@@ -144,29 +186,25 @@ class Grammar:
                 while b + 1 < len(tokens) and tokens[b + 1] not in BOUNDARY:
                     b += 1
                 done = b
-                score = self.clause(tokens[a : b + 1], weights[a : b + 1])
+                for t in tokens[read:a]:
+                    quoted = t != "\n" and quoted != (self.symbols.get(t) == QUOTE)
+                read = a
+                score = self.clause(tokens[a : b + 1], weights[a : b + 1], quoted)
                 total += score
                 top = max(top, score)
         return float(np.log1p(total)), min(top, 10.0), float(np.log1p(100 * total / (len(tokens) + 20)))
 
-    def clause(self, tokens: list[str], weights: list[float]) -> float:
-        state, score, threat, table, symbols = 0, 0.0, 0.0, self.table, self.symbols
-        left = 0
+    def clause(self, tokens: list[str], weights: list[float], quoted: bool = False) -> float:
+        """The sum of weights times factors on the path; a completed threat has the weight of the threatening word."""
+        state, score, threat, table, symbols = self.quoted if quoted else 0, 0.0, 0.0, self.table, self.symbols
         for token, weight in zip(tokens, weights):
             symbol = symbols.get(token, OTHER)
             if weight and symbol not in (INSULT, THREAT):
                 symbol = INSULT
-            state, factor = table[state][symbol]
-            if symbol == INSULT:
-                score += weight * factor
-            elif symbol == THREAT:
-                threat, left = weight * factor, 3
-                score += 0.25 * threat
-            elif left:
-                left -= 1
-                if symbol == TARGET:
-                    score += 0.75 * threat
-                    left = 0
+            if symbol == THREAT:
+                threat = weight
+            state, written, factor = table[state][symbol]
+            score += (threat if written == COMPLETED else weight) * factor
         return score
 
 
@@ -216,7 +254,7 @@ def _pattern_counts(rows: DataFrame) -> DataFrame:
                 mine: dict[str, int] = {}
                 for t, i in first.items():
                     if t not in cache:
-                        if len(cache) > 300_000:
+                        if len(cache) > 50_000:
                             cache.clear()
                         cache[t] = beginnings(t) if t.isalpha() else []
                     for p in cache[t]:
@@ -231,7 +269,7 @@ def _pattern_counts(rows: DataFrame) -> DataFrame:
                         row[at + 2] |= -(1 << 63) if near == 63 else 1 << near
                     else:
                         row[at] += 1
-                if len(found) > 400_000:
+                if len(found) > 100_000:
                     yield flush()
         if found:
             yield flush()
@@ -246,7 +284,7 @@ def hash_of(text: str) -> int:
     return xxhash.xxh64_intdigest(text) & 63
 
 
-def _patterns(counts: DataFrame, pos: str, neg: str, seen: str, n_pos: int, n_neg: int, most: int) -> dict[str, float]:
+def _patterns(counts: DataFrame, pos: str, neg: str, seen: str, n_pos: int, n_neg: int) -> dict[str, float]:
     """The patterns that tell toxic documents apart, with log odds as weights; no pattern that a kept one covers."""
     if not n_pos or not n_neg:
         return {}
@@ -257,7 +295,7 @@ def _patterns(counts: DataFrame, pos: str, neg: str, seen: str, n_pos: int, n_ne
     share = (n_pos + 0.0) / (n_pos + n_neg)
     odds = F.log((p + 0.5) / (n_pos + 1)) - F.log((q + 0.5) / (n_neg + 1))
     surprise = 2 * (p * F.log((p + 1e-9) / ((p + q) * share)) + q * F.log((q + 1e-9) / ((p + q) * (1 - share))))
-    best = counts.withColumns({"p": p, "odds": odds}).filter((F.col("p") >= 3) & (F.col("odds") >= 2.0)).withColumn("g", surprise).filter("g >= 18").orderBy(F.desc("g"), "pattern").limit(most)
+    best = counts.withColumns({"p": p, "odds": odds}).filter((F.col("p") >= 3) & (F.col("odds") >= 2.0)).withColumn("g", surprise).filter("g >= 18")
     rows = sorted(best.select("pattern", "p", "odds", "g").collect(), key=lambda r: (-round(r["g"], 6), -r["pattern"].endswith("$"), -len(r["pattern"]), r["pattern"]))
     kept: dict[str, float] = {}
     for r in rows:
@@ -280,7 +318,7 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[flo
     return w[0], w[1:]
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_patterns: int = 4000) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> ToxicityModel:
     """Learn patterns and the logistic function from documents whose crc32(doc_id) mod 5 is not 0.
 
     The logistic function is fitted on a fifth of these with patterns from the others, so that it
@@ -291,8 +329,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_patt
     n = {(r["late"], r["bad"]): r["count"] for r in rows.groupBy((F.col("fold") == 4).alias("late"), (F.col("toxic") > 0).alias("bad")).count().collect()}
     of = lambda late, bad: n.get((late, bad), 0)
     counts = materialize(_pattern_counts(rows).filter("pos_a + pos_b >= 3"), "patterns")
-    early = _patterns(counts, "pos_a", "neg_a", "seen_a", of(False, True), of(False, False), max_patterns)
-    model = ToxicityModel(_patterns(counts, "pos_a + pos_b", "neg_a + neg_b", "seen_a | seen_b", of(False, True) + of(True, True), of(False, False) + of(True, False), max_patterns))
+    early = _patterns(counts, "pos_a", "neg_a", "seen_a", of(False, True), of(False, False))
+    model = ToxicityModel(_patterns(counts, "pos_a + pos_b", "neg_a + neg_b", "seen_a | seen_b", of(False, True) + of(True, True), of(False, False) + of(True, False)))
     if of(True, True) >= 5 and of(True, False) >= 5:
         held = _features(rows.filter("fold = 4").select("toxic", "text"), "toxic", early).toPandas()
         x, y = held[["f0", "f1", "f2"]].to_numpy(), (held["toxic"] > 0).to_numpy(float)
@@ -302,7 +340,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_patt
 
 
 def _features(rows: DataFrame, key: str, patterns: dict[str, float]) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(patterns)  # at most max_patterns words
+    shared = rows.sparkSession.sparkContext.broadcast(patterns)  # learned from at most max_labelled documents
 
     def make():
         known = Grammar(shared.value)
