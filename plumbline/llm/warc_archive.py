@@ -1,12 +1,13 @@
 """WARC archives, and capture indexes merged from sorted runs.
 
 Archives are written by Spark's own file writer: a record is one line of a text sink whose line
-separator is the blank line that ends a WARC record. They are valid WARC files, bounded in
-size, and committed like any Spark output.
+separator is the blank line that ends a WARC record. They are valid WARC files, of a bounded
+number of records that shrinks with the pages' sizes, and committed like any Spark output.
 
 Reading an archive back gives a run of its captures, sorted by URL key and time. Runs are cut
-into ranges of (URL key, time, record), and each range merges its pieces of all runs with a
-loser tree; the ranges in order are one globally ordered capture history.
+into ranges of (URL key, time, record) that hold a bounded number of captures, and each range
+merges its pieces of all runs with a loser tree; the ranges in order are one globally ordered
+capture history.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,7 +37,7 @@ def base32_of_hex(digest: Column) -> Column:
     return F.concat(*[letter(part(i), k) for i in range(4) for k in range(8)])
 
 
-def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, records_per_file: int = 2000) -> None:
+def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, records_per_file: int = 2000, file_bytes: int = 64 << 20) -> None:
     """Write one WARC record per row of ``pages`` (``page_id``, ``url``, ``html``) under ``path``.
 
     The payload is the html in UTF-8, empty for null. Of the rows with equal payloads of at
@@ -42,11 +45,14 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, reco
     revisits that refer to it and carry no payload. Rows that repeat the largest id are
     responses too, as are rows with a null id unless a row with an id has the same payload.
     Captures are dated by id, a second each, unless there is a column ``captured_at``. A null
-    URL is written as an empty one; blanks and controls in URLs as ``%20``. Other columns are
-    ignored; an empty table gives no records.
+    URL is written as an empty one; blanks and controls in URLs as ``%20``. Very long pages are
+    written whole. Other columns are ignored; an empty table gives no records.
 
-    Equal payloads are found through one small row per digest that occurs more than once
-    (combined before the shuffle); a hot payload is then a skewed key of a left join at most.
+    A file holds at most ``records_per_file`` records, and so many fewer as pages are large that
+    it has about ``file_bytes`` before compression (a single larger page aside).
+
+    Who is a response is decided on ids and digests alone, so pages meet their decision by
+    (id, digest) and a payload that very many pages share is no skewed key of theirs.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     if "captured_at" in pages.columns:
@@ -54,17 +60,14 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, reco
     else:
         when = F.timestamp_seconds(F.lit(1_704_067_200) + F.coalesce("page_id", F.lit(0)))
     size = F.octet_length(payload).cast("bigint")
-    repeated = (
-        pages.select("page_id", F.sha1(payload.cast("binary")).alias("sha1"), size.alias("bytes"))
-        .filter(F.col("bytes") >= min_revisit_bytes)
-        .groupBy("sha1")
-        .agg(F.max("page_id").alias("keeper"), F.count("*").alias("copies"))
-        .filter("copies > 1")
-        .select("sha1", "keeper")
-    )
+    keys = pages.select("page_id", F.sha1(payload.cast("binary")).alias("sha1"), size.alias("bytes"))
+    repeated = keys.filter(F.col("bytes") >= min_revisit_bytes).groupBy("sha1").agg(F.max("page_id").alias("keeper"), F.count("*").alias("copies")).filter("copies > 1").select("sha1", "keeper")
+    decided = keys.select("page_id", "sha1").distinct().join(repeated, "sha1").withColumnsRenamed({"page_id": "d_id", "sha1": "d_sha1"})
+    mean = max(1.0, keys.agg(F.avg(F.col("bytes") + 400)).first()[0] or 0)
+    records_per_file = int(max(1, min(records_per_file, file_bytes / mean)))
     url = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20\x7f]", "%20")
     rows = pages.select("page_id", url.alias("url"), payload.alias("html"), F.sha1(payload.cast("binary")).alias("sha1"), size.alias("bytes"), F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"))
-    rows = rows.join(repeated, "sha1", "left").withColumn("revisit", F.coalesce(F.col("page_id") < F.col("keeper"), F.col("keeper").isNotNull() & F.col("page_id").isNull()))
+    rows = rows.join(decided, F.col("page_id").eqNullSafe(F.col("d_id")) & (F.col("sha1") == F.col("d_sha1")), "left").withColumn("revisit", F.coalesce(F.col("page_id") < F.col("keeper"), F.col("keeper").isNotNull() & F.col("page_id").isNull()))
     name = lambda i: F.concat(F.lit("<urn:page:"), F.coalesce(i.cast("string"), F.lit("")), F.lit(">"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("bytes").cast("string"), F.lit(CRLF * 2))
     block = F.concat(http, F.when(~F.col("revisit"), F.col("html")).otherwise(""))
@@ -98,20 +101,28 @@ def url_key(url: str) -> str:
     return ",".join(reversed(rest[:cut].split("."))) + ")" + rest[cut:]
 
 
-def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], dict[str, str], bytes]]:
-    """WARC headers, HTTP headers and payload of each record, by the stated lengths."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        first, *lines = data[at:end].decode().split(CRLF)
+def parse_archive(stream: BinaryIO) -> Iterator[tuple[dict[str, str], dict[str, str], bytes]]:
+    """WARC headers, HTTP headers and payload of each record, by the stated lengths; one record in memory at a time."""
+
+    def headers() -> list[str]:
+        lines = []
+        while line := stream.readline():
+            if line == b"\r\n":
+                return lines
+            lines.append(line.decode().removesuffix(CRLF))
+        if lines:
+            raise ValueError("headers without an end")
+        return lines
+
+    while lines := headers():
+        first, *lines = lines
         if first != "WARC/1.1":
-            raise ValueError(f"no WARC record at byte {at}")
+            raise ValueError(f"no WARC record: {first!r}")
         head = dict(x.split(": ", 1) for x in lines)
-        block = data[end + 4 : end + 4 + int(head["Content-Length"])]
-        at = end + 4 + len(block)
-        if data[at : at + 4] != b"\r\n\r\n":
-            raise ValueError(f"record not closed at byte {at}")
-        at += 4
+        length = int(head["Content-Length"])
+        block = stream.read(length)
+        if len(block) != length or stream.read(4) != b"\r\n\r\n":
+            raise ValueError(f"record {head['WARC-Record-ID']} not closed")
         http, _, payload = block.partition(b"\r\n\r\n")
         yield head, dict(x.split(": ", 1) for x in http.decode().split(CRLF)[1:]), payload
 
@@ -132,7 +143,7 @@ def read_runs(spark, path: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1)):
                 rows = []
-                for head, http, payload in parse_archive(gzip.decompress(content.as_py())):
+                for head, http, payload in parse_archive(gzip.GzipFile(fileobj=io.BytesIO(content.as_py()))):
                     digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
                     response = head["WARC-Type"] == "response"
                     if response and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
@@ -193,11 +204,14 @@ class LoserTree:
             self.winner = w
 
 
-def merge_histories(runs: DataFrame) -> DataFrame:
-    """Captures of all runs in global order of (URL key, time, record): partitions are consecutive ranges.
+def merge_histories(runs: DataFrame, range_rows: int = 100_000) -> DataFrame:
+    """Captures of all runs in global order of (URL key, time, record): partitions are consecutive ranges of about ``range_rows``.
 
-    The record breaks ties, so the captures of one very frequent URL can fill many ranges.
+    The record breaks ties, so the captures of one very frequent URL can fill many ranges. A
+    shuffle doesn't keep the order of the rows it brings, so the pieces of the runs are put in
+    order again as they arrive.
     """
+    ranges = max(-(-runs.count() // range_rows), 1)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -209,8 +223,7 @@ def merge_histories(runs: DataFrame) -> DataFrame:
         merged = [i for *_, i in LoserTree([[(_order(keys[i]), i) for i in range(a, b)] for a, b in zip(cuts, cuts[1:])])]
         yield from piece.take(pa.array(merged)).combine_chunks().to_batches()
 
-    ranges = runs.repartitionByRange("url_key", "captured", "page_id")
-    return ranges.sortWithinPartitions("run", "url_key", "captured", "page_id").mapInArrow(merge, CAPTURE)
+    return runs.repartitionByRange(ranges, "url_key", "captured", "page_id").sortWithinPartitions("run", "url_key", "captured", "page_id").mapInArrow(merge, CAPTURE)
 
 
 def archive_and_index(pages: DataFrame, min_revisit_bytes: int = 0, path: str | None = None) -> DataFrame:
