@@ -2,8 +2,9 @@
 
 Pass one scatters the rows over buckets that each fit in a task's memory, by a seeded hash; a
 Spark shuffle is the scatter, so buckets spill to disk and come back after an executor is lost.
-Pass two loads one bucket at a time, permutes it by Fisher-Yates with a generator seeded by the
-bucket, and writes it. The buckets one after another are a random order of all rows, and the
+Pass two loads one bucket at a time, puts it in the order of a seeded hash of the rows, permutes
+it by Fisher-Yates with a generator seeded by the bucket, and writes it. The seed and the rows alone
+decide the order, not how they were laid out in files. The buckets one after another are a random order of all rows, and the
 rows of each shard are read in that order.
 """
 
@@ -34,6 +35,26 @@ def shard_of(key, shards: int, seed: int):
     return F.array_max(F.array(*[F.struct(F.xxhash64(F.lit(seed), F.lit(s), key).alias("h"), F.lit(s).alias("s")) for s in range(shards)]))["s"]
 
 
+def numbered_repeats(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with ``tie``: 0, or a number that tells apart rows of equal ``key``.
+
+    Rows are numbered within their task and then by the counts of the tasks before, so that a row
+    that occurs very often is never sorted in one task. Which of them gets which number doesn't
+    matter, since they are equal.
+    """
+    repeated = docs.groupBy(key).count().filter("count > 1").select(key)
+    if repeated.isEmpty():
+        return docs.withColumn("tie", F.lit(0).cast("bigint"))
+    parted = docs.withColumn("part", F.spark_partition_id())
+    again = parted.join(repeated, key, "left_semi")
+    per_part = again.groupBy(key, "part").count()
+    before = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = per_part.select(key, "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
+    within = Window.partitionBy(key, "part").orderBy(F.lit(0))
+    ties = again.withColumn("rank", F.row_number().over(within)).join(ahead, [key, "part"]).withColumn("tie", F.col("rank") - 1 + F.col("ahead"))
+    return docs.join(repeated, key, "left_anti").withColumn("tie", F.lit(0).cast("bigint")).unionByName(ties.select(*docs.columns, F.col("tie").cast("bigint")))
+
+
 def shuffle_to_shards(docs: DataFrame, shards: int = 8, seed: int = 42, bucket_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, measures: dict | None = None) -> DataFrame:
     """Write ``docs`` in random order as ``shards`` shards, and return what was written.
 
@@ -45,21 +66,24 @@ def shuffle_to_shards(docs: DataFrame, shards: int = 8, seed: int = 42, bucket_b
     ``docs``, taken as the shards are read, so that whole texts need not move again.
 
     Law ``key``: the id and the number of shards decide the shard. Equal ids share a shard, null
-    being one id. Null texts are kept. Repeated rows are spread over buckets like others. An
-    empty table gives no rows.
+    being one id. Null texts are kept. Repeated rows are numbered, and so spread over buckets like
+    others. A very long text is moved whole, and its bucket is as large as it at least. An empty
+    table gives no rows. Seed, rows and ``bucket_bytes`` decide every slot; columns that can't be
+    hashed (maps) don't tell rows apart.
     """
     spark = docs.sparkSession
-    docs = docs.drop("shard", "slot", "bucket", "place")
+    docs = docs.drop("shard", "slot", "bucket", "place", "luck", "tie", "part")
     total = docs.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 64).alias("bytes")).first()["bytes"] or 0
     buckets = max(1, -(-total // bucket_bytes))
-    # The row's number within its task spreads rows that are equal in every column.
-    scatter = F.pmod(F.xxhash64(F.lit(seed + 1), id_col, F.crc32(F.coalesce(text_col, F.lit(""))), F.monotonically_increasing_id()), F.lit(buckets))
-    scattered = docs.withColumns({"bucket": scatter, "shard": shard_of(F.col(id_col), shards, seed)})
+    hashed = [f.name for f in docs.schema if not f.dataType.simpleString().count("map<")]
+    ties = numbered_repeats(docs.withColumn("luck", F.xxhash64(F.lit(seed), *hashed)), "luck")
+    luck = F.xxhash64(F.lit(seed + 1), "luck", "tie")
+    scattered = ties.select(*docs.columns, luck.alias("luck")).withColumns({"bucket": F.pmod("luck", F.lit(buckets)), "shard": shard_of(F.col(id_col), shards, seed)})
     out_type = scattered.withColumn("place", F.lit(0).cast("bigint")).schema
     arrow_type = to_arrow_schema(out_type)
 
     def permute(key: tuple, bucket: pa.Table) -> pa.Table:
-        order = fisher_yates(bucket.num_rows, (seed, key[0].as_py()))
+        order = np.argsort(bucket.column("luck").to_numpy(), kind="stable")[fisher_yates(bucket.num_rows, (seed, key[0].as_py()))]
         shard = bucket.column("shard").to_numpy()[order]
         place = np.empty(len(order), np.int64)
         for s in np.unique(shard):
