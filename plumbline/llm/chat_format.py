@@ -8,8 +8,8 @@ with ``<|train|>`` in place of ``<|body|>`` where the content is under the loss
 content is the flattening of its parts: text is escaped, and an image, audio or document part
 becomes ``<|kind:n|>``, where n counts the conversation's attachments from 0.
 
-Control strings inside texts (and roles) are escaped: a backslash is doubled, and one is put
-after the first character of ``<|``, ``<s>``, ``</s>``, ``[INST]`` and ``[/INST]``. No control
+Control strings inside texts (and roles) are escaped, adjacent text parts as the one text that
+they make: a backslash is doubled, and one is put after the first character of ``<|``, ``<s>``, ``</s>``, ``[INST]`` and ``[/INST]``. No control
 string of the template can thus occur inside a text, and dropping each backslash that starts a
 pair restores the text exactly.
 """
@@ -47,10 +47,11 @@ def format_conversations(turns: DataFrame, train_roles: tuple[str, ...] = ("assi
     Null roles, texts and part lists count as empty; rows with a null ``conv_id`` form one
     conversation; an unknown part kind becomes an attachment without tokens. Turns are ordered
     by ``turn`` (nulls first), ties by role and content, so repeated rows give repeated turns.
-    Other columns are ignored. An empty table gives no rows. The rows of a conversation meet in
+    Very long texts are formatted whole. Other columns are ignored, whatever their names. An empty table gives no rows. The rows of a conversation meet in
     one task, because its string is one value; there is one shuffle.
     """
-    if "parts" in turns.columns:
+    typed = "parts" in turns.columns
+    if typed:
         parts = turns["parts"].cast(f"array<{PART}>")
     else:
         parts = F.array(F.struct(F.lit("text").alias("kind"), turns["text"].alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("bigint").alias("units")))
@@ -71,9 +72,16 @@ def format_conversations(turns: DataFrame, train_roles: tuple[str, ...] = ("assi
     )
 
     def content(turn: Column, first: Column) -> Column:
-        place = lambda i: first + F.size(F.filter(F.slice(turn["parts"], 1, i + 1), lambda p: ~is_text(p))) - 1
-        shown = lambda p, i: F.when(is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), escape(p["kind"]), F.lit(":"), place(i).cast("string"), F.lit("|>")))
-        return F.array_join(F.transform(turn["parts"], shown), "")
+        parts, text = turn["parts"], lambda p: F.coalesce(p["text"], F.lit(""))
+        if not typed:
+            return F.array_join(F.transform(parts, lambda p: escape(text(p))), "")
+        # Stretches of adjacent text parts are escaped as one text; attachments are numbered in order.
+        at = F.filter(F.sequence(F.lit(0), F.size(parts)), lambda i: i < F.size(parts))
+        said = lambda i: F.get(parts, i).isNotNull() & is_text(F.get(parts, i))
+        begins, ends = F.filter(at, lambda i: said(i) & ~said(i - 1)), F.filter(at, lambda i: said(i) & ~said(i + 1))
+        texts = F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("at"), escape(F.array_join(F.transform(F.slice(parts, a + 1, b - a + 1), text), "")).alias("shown")))
+        media = F.transform(F.filter(at, lambda i: ~said(i)), lambda i, k: F.struct(i.alias("at"), F.concat(F.lit("<|"), escape(F.get(parts, i)["kind"]), F.lit(":"), (first + k).cast("string"), F.lit("|>")).alias("shown")))
+        return F.array_join(F.transform(F.array_sort(F.concat(texts, media)), lambda x: x["shown"]), "")
 
     visited = grouped.withColumn("first", before).select(
         "conv_id",
