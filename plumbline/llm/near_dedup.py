@@ -1,18 +1,23 @@
-"""Near-duplicate removal at a shingle similarity, by prefix filtering and wide SimHash fingerprints.
-
-Search is exact. Put the shingles of all texts into one order, the same for all. Two texts with a
-Jaccard similarity of ``t`` or more then share one of the first ``n - ceil(t * n) + 1`` of their
-``n`` shingles, wherever and however they differ: scattered edits, a passage added, cut off or
-replaced. Any order will do; rare shingles come first, so that a common passage fills no buckets.
-Which shingles are common is seen from a sample, which affects the cost alone.
-
-A SimHash fingerprint of 512 bits of the shingles serves to verify: a distance that leaves no doubt
-decides, and in between the shingle sets themselves are compared.
-
-A bucket holds the texts with a certain shingle among their first. Its members are first compared
-with one of them, its anchor, which joins large families at the cost of one comparison for each
-member. Then the members of every bucket that are still in different groups are compared with each
-other, those of crowded buckets in blocks of bounded size.
+"""Near-duplicate removal at a shingle similarity: SimHash fingerprints, a complete search, exact verification.
+
+The search has three steps. Each is linear in the rows but for what is said of the last.
+
+1. Candidates. Fingerprints of 64 bits are looked up by multi-index hashing (``simhash``), which
+   finds copies that differ little. At a similarity of 0.8 such fingerprints differ in some ten
+   bits, more than small balls in few segments can reach, so the search is completed by prefixes:
+   put the shingles of all texts into one order, the same for all; two texts with a Jaccard
+   similarity of ``t`` or more then share one of the first ``n - ceil(t * n) + 1`` of their ``n``
+   shingles, wherever and however they differ. Any order will do; shingles seen to be common in a
+   sample come last, so that a common passage fills no buckets (this affects the cost alone).
+2. Clusters. A bucket holds the texts with a certain shingle among their first. Each member meets
+   the bucket's anchor, and members still in different clusters then meet each other; texts whose
+   sizes, places in the order or 256-bit fingerprints rule the similarity out are passed over.
+   What is left as possible connects clusters, and only as many pairs as connect them are kept.
+3. Verification. The texts of a cluster are sent once to a block of bounded size, where the
+   shingle sets themselves are compared unless they are connected already, and the links of a
+   spanning forest are returned. A cluster that needs several blocks is compared within its
+   blocks first, all of which also hold some members in common; then those outside its largest
+   group meet the others, block by block.
 """
 
 from __future__ import annotations
@@ -27,26 +32,30 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.shared_storage import materialize
 from plumbline.llm.common import map_batches
-from plumbline.llm.simhash import majority, shingle_hashes
+from plumbline.llm.simhash import hamming_links, majority, shingle_hashes
 from plumbline.operators.graph import connected_components
 
-SURE, POSSIBLE = 44, 128  # of 512 bits: up to SURE the similarity is 0.8 or more; beyond POSSIBLE it is not
+WORDS = 4  # of 64 bits in a fingerprint; the first is that of operator 9
+POSSIBLE = 76  # of 256 bits; at a similarity of 0.8 they are 39 apart, give or take 6
+FEW = 16  # shingles below which fingerprints are too coarse to rule anything out
 SAMPLED, COMMON = 64, 200_000  # one text in SAMPLED is looked at for the COMMON most common shingles
-CROWDED, BLOCK = 32, 2048  # buckets of more members are compared in blocks of up to twice BLOCK
+CROWDED, SEATS = 512, 2048  # buckets of more members are compared in blocks of up to twice SEATS
+SHINGLES = 500_000  # in a block of the verification
+HUBS = 8  # members that all first blocks of a cluster share
 
 
 def widen(hashes: np.ndarray, words: int) -> np.ndarray:
-    """``words`` independent 64-bit hashes of each hash, as rows of bytes."""
-    x = hashes[:, None] + np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (x ^ (x >> np.uint64(31))).view(np.uint8).reshape(len(hashes), 8 * words)
+    """``words`` independent 64-bit hashes of each hash, as rows of bytes; the first is the hash itself."""
+    x = hashes[:, None] + np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    rest = x[:, 1:]
+    rest = (rest ^ (rest >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    rest = (rest ^ (rest >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x[:, 1:] = rest ^ (rest >> np.uint64(31))
+    return x.view(np.uint8).reshape(len(hashes), 8 * words)
 
 
 def wide_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
-    """Majority bits of the widened hashes."""
-    if not len(hashes):
-        return np.zeros(8 * words, np.uint8)
+    """Majority bits of the widened hashes, a bounded number of them at a time."""
     if len(hashes) <= 20_000:
         return majority(widen(hashes, words))
     votes = np.zeros(64 * words, np.int64)
@@ -73,10 +82,10 @@ def prefix_length(n: int, similarity: float) -> int:
 
 
 def sketches(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``doc_id``, ``row_key`` (of id and text), ``words_key`` (of the words), ``prefix`` and ``signature`` of every row."""
+    """``doc_id``, ``row_key`` (of id and text), ``words_key`` (of the words), ``size`` (different shingles), ``prefix`` and ``signature`` of every row."""
     common = common_shingles(docs, width)
     by_hash = np.argsort(common)
-    shared = docs.sparkSession.sparkContext.broadcast((common[by_hash], by_hash))
+    shared = docs.sparkSession.sparkContext.broadcast((common[by_hash], by_hash))  # at most COMMON entries
 
     def make():
         known, rank = shared.value
@@ -89,20 +98,22 @@ def sketches(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFr
             return hashes[: prefix_length(len(hashes), similarity)].view(np.int64)
 
         def run(batch):
-            out = {k: [] for k in ("row_key", "words_key", "prefix", "signature")}
+            out = {k: [] for k in ("row_key", "words_key", "size", "prefix", "signature")}
             for i, t in zip(batch.column(0), batch.column(1)):
                 text = t.as_py() or ""
                 data = text.encode()
                 out["row_key"].append(row_key(i.as_py(), data))
-                out["words_key"].append(int.from_bytes(hashlib.md5(b" ".join(data.lower().split())).digest()[:8], "little", signed=True))
+                out["words_key"].append(hashlib.md5(b" ".join(data.lower().split())).hexdigest())
                 hashes = np.unique(shingle_hashes(text, width))
+                out["size"].append(len(hashes))
                 out["prefix"].append(first(hashes))
-                out["signature"].append(wide_fingerprint(hashes, 8).view(np.int64))
+                out["signature"].append(wide_fingerprint(hashes, WORDS).view(np.int64))
             return out | {"doc_id": batch.column(0)}
 
         return run
 
-    return map_batches(docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text")), "doc_id bigint, row_key string, words_key bigint, prefix array<bigint>, signature array<bigint>", make)
+    schema = "doc_id bigint, row_key string, words_key string, size int, prefix array<bigint>, signature array<bigint>"
+    return map_batches(docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text")), schema, make, rows_at_once=500)
 
 
 def row_key(doc_id: int | None, data: bytes) -> str:
@@ -113,142 +124,215 @@ def row_key_column(doc_id, text):
     return F.concat(F.coalesce(doc_id.cast("bigint").cast("string"), F.lit("None")), F.lit("|"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
+def distinct_texts(rows: DataFrame) -> DataFrame:
+    """A numbered ``node`` for each text: ``words_key``, ``copies``, its first row (``doc_id``, ``row_key``, ``is_null``), ``size``, ``prefix`` and ``signature``."""
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("is_null"), "doc_id", "row_key", "size", "prefix", "signature"))
+    texts = rows.groupBy("words_key").agg(F.count("*").alias("copies"), one.alias("o"))
+    return materialize(texts.select(F.monotonically_increasing_id().alias("node"), "words_key", "copies", "o.*"), "texts")
+
+
 def shared_seats(nodes: DataFrame) -> DataFrame:
-    """``key``, ``node``, ``n`` and ``anchor`` of every seat in a bucket of several members."""
-    keys = nodes.select("node", F.explode("prefix").alias("key"))
-    return keys.join(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("anchor")).filter("n > 1"), "key")
+    """``key``, ``node``, ``size``, ``at`` (place in the order) and ``anchor`` of every seat in a bucket of several members."""
+    keys = nodes.select("node", "size", F.posexplode("prefix").alias("at", "key"))
+    return keys.join(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("anchor")).filter("n > 1").select("key", "anchor"), "key")
+
 
+def _sizes_allow(a: str, b: str, similarity: float):
+    return F.least(a, b) >= F.lit(similarity - 1e-9) * F.greatest(a, b)
 
-def _measured(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``a``, ``b`` and ``bits`` (distance of the signatures) of the pairs at most POSSIBLE apart."""
-    at = lambda side: nodes.select(F.col("node").alias(side), F.col("signature").alias(f"s{side}"))
-    bits = sum(F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(8))
-    return pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", bits.cast("int").alias("bits")).filter(F.col("bits") <= POSSIBLE)
 
+def possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``a``, ``b`` whose sizes and signatures allow the similarity."""
+    at = lambda side: nodes.select(F.col("node").alias(side), F.col("size").alias(f"n{side}"), F.col("signature").alias(f"s{side}"))
+    bits = sum(F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(WORDS))
+    return pairs.join(at("a"), "a").join(at("b"), "b").filter(_sizes_allow("na", "nb", similarity) & ((F.least("na", "nb") < FEW) | (bits <= POSSIBLE))).select("a", "b")
 
-def anchor_links(seats: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links (a > b) of members and the anchors of their buckets."""
-    return _measured(seats.filter("node <> anchor").select(F.col("node").alias("a"), F.col("anchor").alias("b")).distinct(), nodes)
 
+def looked_up(nodes: DataFrame) -> DataFrame:
+    """Pairs of texts whose first fingerprint words operator 9 links, or which are equal."""
+    prints = materialize(nodes.filter("size > 0").groupBy(F.col("signature")[0].alias("fp")).agg(F.min("node").alias("least"), F.count("*").alias("n")), "fingerprints")
+    equal = nodes.select("node", F.col("signature")[0].alias("fp")).join(prints.filter("n > 1"), "fp").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    end = lambda side, to: prints.select(F.col("fp").alias(side), F.col("least").alias(to))
+    return hamming_links(prints.select("fp")).join(end("src", "a"), "src").join(end("dst", "b"), "dst").select("a", "b").unionByName(equal)
 
-def links_between(seats: DataFrame, nodes: DataFrame, groups: DataFrame, crowded: int = CROWDED, block: int = BLOCK) -> DataFrame:
-    """Links (a > b) of members of a bucket that are in different groups: all doubtful ones, and of the sure ones as many as join the same groups."""
-    placed = seats.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("g"))
+
+def between(seats: DataFrame, nodes: DataFrame, clusters: DataFrame, similarity: float, crowded: int = CROWDED, block: int = SEATS) -> DataFrame:
+    """Pairs ``a``, ``b`` of clusters that share a bucket and may hold similar texts: enough pairs to connect them."""
+    placed = seats.join(clusters, "node", "left").select("key", "node", "size", "at", F.coalesce("cluster", "node").alias("g"))
     mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("key", "n")
     seated = materialize(placed.join(mixed, "key"), "mixed-buckets")
     few = seated.filter(F.col("n") <= crowded)
-    x, y = few.select("key", F.col("node").alias("a"), F.col("g").alias("ga")), few.select("key", F.col("node").alias("b"), F.col("g").alias("gb"))
-    direct = _measured(x.join(y, "key").filter("a > b and ga <> gb").select("a", "b").distinct(), nodes)
+    side = lambda s: few.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "at", "g")])
+    # Equal shingles stand in the same order in both texts: so many can still be equal after the first.
+    most = F.lit(1) + F.least(F.col("size_a") - F.col("at_a") - 1, F.col("size_b") - F.col("at_b") - 1) + F.least("at_a", "at_b")
+    least = F.lit(similarity / (1 + similarity)) * (F.col("size_a") + F.col("size_b")) - 1e-6
+    met = side("a").join(side("b"), "key").filter((F.col("node_a") > F.col("node_b")) & (F.col("g_a") != F.col("g_b")) & _sizes_allow("size_a", "size_b", similarity) & (most >= least))
+    group = met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "g_a", "g_b").distinct()
+    direct = possible(group.select("a", "b"), nodes, similarity).join(group, ["a", "b"]).select(F.col("g_a").alias("a"), F.col("g_b").alias("b"))
     crowds = seated.filter(F.col("n") > crowded)
     if crowds.isEmpty():
-        return direct
+        return direct.distinct()
     blocks = (
         crowds.join(nodes.select("node", "signature"), "node")
         .withColumn("chunks", F.ceil(F.col("n") / block).cast("int"))
         .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("key", F.least("mine", "other").alias("c"), F.greatest("mine", "other").alias("d"), "mine", "node", "g", *[F.col("signature")[i].alias(f"s{i}") for i in range(8)])
+        .select("key", F.least("mine", "other").alias("c"), F.greatest("mine", "other").alias("d"), "mine", "g", "size", *[F.col("signature")[i].alias(f"s{i}") for i in range(WORDS)])
     )
 
     def compare(group: pa.Table) -> pa.Table:
         column = lambda c: group.column(c).to_numpy()
-        a, b, bits = _between(column("node"), column("g"), column("mine"), np.stack([column(f"s{i}") for i in range(8)], 1).view(np.uint64))
-        return pa.table({"a": a, "b": b, "bits": bits}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bits", pa.int32())]))
+        a, b = connect_possible(column("g"), column("mine"), column("size"), np.stack([column(f"s{i}") for i in range(WORDS)], 1).view(np.uint64), similarity)
+        return pa.table({"a": a, "b": b}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    return direct.unionByName(blocks.groupBy("key", "c", "d").applyInArrow(compare, "a bigint, b bigint, bits int")).distinct()
+    return direct.unionByName(blocks.groupBy("key", "c", "d").applyInArrow(compare, "a bigint, b bigint")).distinct()
 
 
-def _between(nodes: np.ndarray, groups: np.ndarray, chunks: np.ndarray, signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links between groups of one block's members; of two chunks, each member is compared with those of the other chunk."""
+def connect_possible(groups: np.ndarray, chunks: np.ndarray, sizes: np.ndarray, signatures: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of groups that connect what possible pairs of members connect; of two chunks, members meet those of the other chunk."""
     order = np.argsort(chunks, kind="stable")
-    nodes, chunks, signatures = nodes[order], chunks[order], signatures[order]
-    root = np.unique(groups[order], return_inverse=True)[1]
+    groups, chunks, sizes, signatures = groups[order], chunks[order], sizes[order], signatures[order]
+    root = np.unique(groups, return_inverse=True)[1]
     half = int(np.searchsorted(chunks, chunks[-1]))  # 0 if there is one chunk
-    sure, doubtful = [np.zeros((0, 3), np.int64)], [np.zeros((0, 3), np.int64)]
-    for i in range(half or len(nodes)):
-        rest = np.arange(half or i + 1, len(nodes))
-        rest = rest[root[rest] != root[i]]
-        bits = np.bitwise_count(signatures[rest] ^ signatures[i]).sum(1, dtype=np.int64)
-        near = bits <= POSSIBLE
-        rest, bits = rest[near], bits[near]
-        for j, n in zip(rest[bits <= SURE].tolist(), bits[bits <= SURE].tolist()):
+    out = []
+    for i in range(half or len(groups)):
+        rest = np.arange(half or i + 1, len(groups))
+        rest = rest[_possible_with(i, rest, root, sizes, signatures, similarity)]
+        for j in rest.tolist():
             if root[i] != root[j]:
                 root[root == root[j]] = root[i]
-                sure.append(np.array([[i, j, n]]))
-        open_ = bits > SURE
-        doubtful.append(np.stack((np.full(open_.sum(), i), rest[open_], bits[open_]), 1))
-    maybe = np.concatenate(doubtful)
-    out = np.concatenate((*sure, maybe[root[maybe[:, 0]] != root[maybe[:, 1]]]))
-    x, y = nodes[out[:, 0]], nodes[out[:, 1]]
-    return np.maximum(x, y), np.minimum(x, y), out[:, 2].astype(np.int32)
+                out.append((groups[i], groups[j]))
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
 
 
-def _similar(docs: DataFrame, pairs: DataFrame, reps: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs of ``pairs`` whose texts' shingle sets have at least the given Jaccard similarity."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps, "node")
-    texts = docs.select(row_key_column(docs["doc_id"], docs["text"]).alias("row_key"), F.coalesce(docs["text"], F.lit("")).alias("text")).join(asked, "row_key").select("node", "text").dropDuplicates(["node"])
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+def _possible_with(i: int, rest: np.ndarray, root: np.ndarray, sizes: np.ndarray, signatures: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of ``rest`` are not connected with member ``i`` yet and may be similar to it."""
+    n, mine = sizes[rest], sizes[i]
+    fits = (root[rest] != root[i]) & (np.minimum(n, mine) >= (similarity - 1e-9) * np.maximum(n, mine))
+    at = np.nonzero(fits)[0]
+    near = np.bitwise_count(signatures[rest[at]] ^ signatures[i]).sum(1, dtype=np.int64) <= POSSIBLE
+    fits[at] = near | (np.minimum(n[at], mine) < FEW)
+    return fits
 
-    def make():
-        def run(batch):
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = (np.unique(shingle_hashes(t.as_py(), width)) for t in (x, y))
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                good.append(common >= similarity * (len(p) + len(q) - common))
-            return {"a": batch.column(0), "b": batch.column(1), "good": good}
 
-        return run
+def connect_similar(sets: list[np.ndarray], groups: np.ndarray, kind: np.ndarray, signatures: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of members with a Jaccard similarity of at least ``similarity``: as many as connect what all such pairs connect.
+
+    Members of kind 0 meet each other; those of kind 1 meet those of kind 2 only.
+    """
+    sizes = np.array([len(s) for s in sets])
+    _, shingle, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True) if len(sets) else (None, np.zeros(0, int), np.zeros(0, int))
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    mark = np.zeros(len(seen), bool)
+    root = np.unique(groups, return_inverse=True)[1]
+    others = np.nonzero(kind == 2)[0]
+    out = []
+    for i in np.nonzero(kind != 2)[0].tolist():
+        rest = others if kind[i] == 1 else np.arange(i + 1, len(sets))
+        rest = rest[_possible_with(i, rest, root, sizes, signatures, similarity)]
+        if not len(rest):
+            continue
+        mine = shingle[starts[i] : ends[i]]
+        mark[mine] = True
+        n = sizes[rest]
+        before = np.cumsum(n) - n
+        flat = np.repeat(starts[rest] - before, n) + np.arange(n.sum())
+        common = np.add.reduceat(np.append(mark[shingle[flat]], False).astype(np.int64), before) if n.all() else np.zeros(len(rest), np.int64)
+        mark[mine] = False
+        for j in rest[common >= similarity * (n + sizes[i] - common) - 1e-9].tolist():
+            if root[i] != root[j]:
+                root[root == root[j]] = root[i]
+                out.append((i, j))
+    return out
 
-    return map_batches(both.select("a", "b", "ta", "tb"), "a bigint, b bigint, good boolean", make, rows_at_once=500).filter("good").select("a", "b")
 
+def _verified(members: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links ``a``, ``b`` within every ``cluster`` and ``block`` of ``members`` (``node``, ``row_key``, ``g``, ``kind``, ``signature``)."""
+    seated = members.join(texts, "row_key").select("cluster", "block", "node", "g", "kind", "text", *[F.col("signature")[i].alias(f"s{i}") for i in range(WORDS)])
+    # Repeated rows give a text several times; the shuffle to blocks serves to drop them.
+    seated = seated.repartition("cluster", "block").dropDuplicates(["cluster", "block", "node", "kind"])
 
-def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """The sketch of every row, and ``words_key`` with ``component`` of all texts that have a link to another text."""
+    def compare(group: pa.Table) -> pa.Table:
+        column = lambda c: group.column(c).to_numpy()
+        sets = [np.unique(shingle_hashes(t.as_py(), width)) for t in group.column("text")]
+        found = connect_similar(sets, column("g"), column("kind"), np.stack([column(f"s{i}") for i in range(WORDS)], 1).view(np.uint64), similarity)
+        at = np.array(found, np.int64).reshape(-1, 2)
+        node = column("node")
+        return pa.table({"a": node[at[:, 0]], "b": node[at[:, 1]]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return seated.groupBy("cluster", "block").applyInArrow(compare, "a bigint, b bigint")
+
+
+def verified_links(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, width: int, similarity: float, shingles: int = SHINGLES) -> DataFrame:
+    """A forest of the links between texts of a cluster (``node``, ``cluster``): their connected components are exact."""
+    texts = docs.select(row_key_column(docs["doc_id"], docs["text"]).alias("row_key"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    per_cluster = clusters.join(nodes.select("node", "size"), "node").groupBy("cluster").agg(F.ceil(F.sum("size") / shingles).cast("int").alias("chunks"))
+    members = clusters.join(nodes.select("node", "row_key", "size", "signature"), "node").join(per_cluster, "cluster")
+    members = materialize(members.withColumn("chunk", F.pmod(F.xxhash64("node"), F.greatest("chunks", F.lit(1))).cast("int")), "members")
+    several = members.filter("chunks > 1")
+    alone = F.col("node").alias("g"), F.lit(0).alias("kind")
+    first = members.select("cluster", F.col("chunk").alias("block"), "node", "row_key", "signature", *alone)
+    split = not several.isEmpty()
+    if split:
+        hubs = several.withColumn("k", F.row_number().over(Window.partitionBy("cluster").orderBy("node"))).filter(F.col("k") <= HUBS)
+        everywhere = hubs.select("cluster", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("block"), "node", "row_key", "signature", *alone)
+        first = first.unionByName(everywhere).dropDuplicates(["cluster", "block", "node"])
+    links = materialize(_verified(first, texts, width, similarity), "links")
+    if not split:
+        return links
+    found = materialize(connected_components(links, "a", "b"), "groups")
+    grouped = several.join(found, "node", "left").withColumn("g", F.coalesce("component", "node"))
+    largest = grouped.groupBy("cluster", "g").count().groupBy("cluster").agg(F.max(F.struct("count", "g")).alias("most")).select("cluster", F.col("most.g").alias("largest"))
+    asks = grouped.join(largest, "cluster").withColumn("asks", F.col("g") != F.col("largest"))
+    turns = asks.filter("asks").groupBy("cluster").agg(F.ceil(F.sum("size") / shingles).cast("int").alias("turns"))
+    asks = materialize(asks.join(turns, "cluster").withColumn("turn", F.pmod(F.xxhash64("node"), F.greatest("turns", F.lit(1))).cast("int")), "asking")
+    block = lambda turn, chunk: F.concat_ws("/", turn, chunk)
+    seat = ("node", "row_key", "signature", "g")
+    askers = asks.filter("asks").select("cluster", "turn", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c"), *seat).select("cluster", block("turn", "c").alias("block"), *seat, F.lit(1).alias("kind"))
+    asked = asks.select("cluster", "chunk", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("t"), *seat).select("cluster", block("t", "chunk").alias("block"), *seat, F.lit(2).alias("kind"))
+    return links.unionByName(materialize(_verified(askers.unionByName(asked), texts, width, similarity), "links"))
+
+
+def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, shingles: int = SHINGLES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sketch of every row, the different texts, and ``node`` with ``component`` of all texts that have a link to another text."""
     rows = materialize(sketches(docs, width, similarity), "sketches")
-    one = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row_key", "prefix", "signature"))
-    nodes = materialize(rows.groupBy(F.col("words_key").alias("node")).agg(one.alias("o")).select("node", "o.row_key", "o.prefix", "o.signature"), "texts")
+    nodes = distinct_texts(rows)
     seats = materialize(shared_seats(nodes), "seats")
-    reps = nodes.select("node", "row_key")
-    links = materialize(anchor_links(seats, nodes), "anchor-links")
-    sure = links.filter(F.col("bits") <= SURE).select("a", "b")
-    found = materialize(connected_components(sure, "a", "b"), "groups")
-    # Doubtful links matter only between groups; the closest of each two groups are compared first.
-    at = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-    open_ = links.filter(F.col("bits") > SURE).join(at("a"), "a", "left").join(at("b"), "b", "left").withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).filter("ca <> cb")
-    nearest = Window.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy("bits", "a", "b")
-    pairs = materialize(open_.withColumn("k", F.row_number().over(nearest)).filter("k = 1").select("a", "b"), "doubtful")
-    good = materialize(_similar(docs, pairs, reps, width, similarity), "similar")
-    if not good.isEmpty():
-        sure = sure.unionByName(good)
-        found = materialize(connected_components(sure, "a", "b"), "groups")
-    # What the anchors left apart meets in full.
-    links = materialize(links_between(seats, nodes, found), "links-between")
-    doubtful = links.filter(F.col("bits") > SURE).select("a", "b").join(pairs, ["a", "b"], "left_anti")
-    more = materialize(links.filter(F.col("bits") <= SURE).select("a", "b").unionByName(_similar(docs, doubtful, reps, width, similarity)), "similar")
+    met = seats.filter("node <> anchor").select(F.col("node").alias("a"), F.col("anchor").alias("b")).unionByName(looked_up(nodes)).distinct()
+    clusters = materialize(connected_components(possible(met, nodes, similarity), "a", "b").withColumnRenamed("component", "cluster"), "clusters")
+    more = materialize(between(seats, nodes, clusters, similarity), "between")
     if not more.isEmpty():
-        found = materialize(connected_components(sure.unionByName(more), "a", "b"), "groups")
-    return rows, found
+        merged = connected_components(more, "a", "b").withColumnRenamed("component", "into")
+        alone = more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(clusters, "node", "left_anti").withColumn("cluster", F.col("node"))
+        every = clusters.unionByName(alone)
+        clusters = materialize(every.join(merged, every["cluster"] == merged["node"], "left").select(every["node"], F.coalesce("into", "cluster").alias("cluster")), "clusters")
+    links = verified_links(docs, nodes, clusters, width, similarity, shingles)
+    return rows, nodes, materialize(connected_components(links, "a", "b"), "groups")
 
 
-def without_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, shingles: int = SHINGLES) -> DataFrame:
     """One row of each group of near copies, with the columns of ``docs``.
 
     Rows whose texts have the same words (A-Z lower-cased) are copies; texts whose sets of
     ``width``-word shingles have a Jaccard similarity of ``similarity`` or more are linked, and
     groups are what links connect. The row with the smallest ``doc_id`` stays (nulls last, ties by
     text). Null, empty and wordless texts are copies of each other. Fully repeated rows count as
-    copies. An empty table gives no rows.
+    copies. Very long texts are compared whole. Other columns may have any names. An empty table
+    gives no rows.
     """
-    rows, found = near_duplicate_groups(docs, width, similarity)
-    group = rows.select("doc_id", "row_key", "words_key").join(found.select(F.col("node").alias("words_key"), "component"), "words_key", "left").withColumn("g", F.coalesce("component", "words_key"))
-    keeper = group.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row_key")).alias("k"), F.count("*").alias("n"))
-    kept = keeper.select(F.col("k.row_key").alias("row_key"))
-    gone = rows.select("row_key").distinct().join(kept, "row_key", "left_anti")
-    repeated = materialize(rows.groupBy("row_key").count().filter("count > 1").select("row_key"), "repeated")
+    rows, nodes, found = near_duplicate_groups(docs, width, similarity, shingles)
+    # Copies of a text give way to its first row; texts of a group give way to the first of these.
+    copied = nodes.filter("copies > 1").select("words_key", F.col("row_key").alias("first"))
+    copies = rows.select("row_key", "words_key").join(copied, "words_key").filter("row_key <> first").select("row_key")
+    grouped = nodes.join(found, "node")
+    keeper = grouped.groupBy("component").agg(F.min(F.struct("is_null", "doc_id", "row_key")).alias("k")).select(F.col("k.row_key").alias("row_key"))
+    near = grouped.select("row_key").join(keeper, "row_key", "left_anti")
+    gone = materialize(copies.unionByName(near).distinct().withColumnRenamed("row_key", "__key"), "gone")
+    repeated = materialize(rows.groupBy("row_key").count().filter("count > 1").select(F.col("row_key").alias("__key")), "repeated")
     keyed = docs.withColumn("__key", row_key_column(docs["doc_id"], docs["text"]))
-    left = keyed.join(materialize(gone, "gone").withColumnRenamed("row_key", "__key"), "__key", "left_anti")
+    left = keyed.join(gone, "__key", "left_anti")
     if not repeated.isEmpty():
-        again = repeated.withColumnRenamed("row_key", "__key")
-        left = left.join(again, "__key", "left_anti").unionByName(left.join(again, "__key", "left_semi").dropDuplicates(["__key"]))
+        left = left.join(repeated, "__key", "left_anti").unionByName(left.join(repeated, "__key", "left_semi").dropDuplicates(["__key"]))
     return left.select(*docs.columns)
