@@ -102,7 +102,7 @@ class TokenAutomaton:
         """Whether token ``q`` may follow token ``p``."""
         found = self.arcs.get(p << 32 | q)
         if found is None:
-            if len(self.arcs) > 500_000:
+            if len(self.arcs) > 250_000:
                 self.arcs.clear()
             found = self.arcs[p << 32 | q] = self._follow(p, q)
         return found
@@ -176,7 +176,7 @@ def load_tokenizer(path: str) -> dict:
 class Codec:
     """Splits texts, keeps the ids of recent words, and joins what the automaton returns."""
 
-    def __init__(self, spec: dict, kept_words: int = 250_000):
+    def __init__(self, spec: dict, kept_words: int = 100_000):
         import regex
 
         self.automaton = TokenAutomaton(spec["vocab"], spec["merges"], spec["special"])
