@@ -69,17 +69,60 @@ def test_grammar_scores_clauses():
     assert g.features(None) == g.features("") == (0.0, 0.0, 0.0)
 
 
-def test_composition_is_the_product_of_factors():
-    parts = (toxicity.scope(toxicity.TARGET, 2, {toxicity.INSULT: 2.0}), toxicity.reported_speech(0.5))
-    table = toxicity.compose(*parts)
-    rnd = random.Random(1)
-    for _ in range(200):
-        state, states = 0, [t.start for t in parts]
-        for s in (rnd.randrange(7) for _ in range(12)):
-            state, factor = table[state][s]
-            steps = [t.step(x, s) for t, x in zip(parts, states)]
-            states = [x for x, _ in steps]
-            assert factor == pytest.approx(np.prod([f for _, f in steps]))
+def score_by_rules(symbols, weights):
+    """The grammar's rules applied to each word by looking back over the clause."""
+    T = toxicity
+    total, threat, open_until, in_quotes, reported = 0.0, 0.0, -1, False, False
+    within = lambda i, opening, length, closing=(): next((symbols[j] in opening for j in range(i - 1, max(-1, i - 1 - length), -1) if symbols[j] in (*opening, *closing)), False)
+    for i, (s, w) in enumerate(zip(symbols, weights)):
+        event, value = s, w
+        if s == T.THREAT:
+            threat, open_until, value = w, i + 3, 0.25 * w
+        elif s == T.TARGET and i <= open_until:
+            event, open_until, value = T.COMPLETED, -1, 0.75 * threat
+        if s == T.INSULT and within(i, (T.INSULT,), 2):
+            value *= 1.25
+        if event in (T.INSULT, T.THREAT) and within(i, (T.TARGET,), 4, (T.REPORT,)):
+            value *= 1.5
+        if within(i, (T.NEGATION,), 2):
+            value *= {T.INSULT: 0.5, T.THREAT: 0.3, T.COMPLETED: 0.3}.get(event, 1.0)
+        if event in (T.INSULT, T.THREAT, T.COMPLETED):
+            total += value * (0.7 if in_quotes or reported else 1.0)
+        if s == T.QUOTE:
+            in_quotes, reported = not in_quotes, False
+        elif s == T.REPORT and not in_quotes:
+            reported = True
+    return total
+
+
+def test_composed_grammar_equals_its_rules():
+    words = {toxicity.INSULT: "idiot", toxicity.THREAT: "kill", toxicity.TARGET: "you", toxicity.NEGATION: "not", toxicity.REPORT: "said", toxicity.QUOTE: '"', toxicity.OTHER: "thing"}
+    g, rnd = toxicity.Grammar({}), random.Random(1)
+    for _ in range(3000):
+        symbols = [rnd.randrange(7) for _ in range(rnd.randrange(1, 14))]
+        tokens = [words[s] for s in symbols]
+        weights = [g._weight(t) for t in tokens]
+        assert g.clause(tokens, weights) == pytest.approx(score_by_rules(symbols, weights))
+        if any(weights):
+            assert g.features(" ".join(tokens))[1] == pytest.approx(min(10.0, score_by_rules(symbols, weights)))
+
+
+def test_quotation_carries_on_to_the_end_of_the_line():
+    g = toxicity.Grammar({})
+    top = lambda t: g.features(t)[1]
+    assert top('"well. idiot."') == pytest.approx(0.7 * top("well. idiot."))
+    assert top('"well.\nidiot.') == top("well. idiot.")
+    assert top('"well." idiot.') == top("well. idiot.")
+
+
+def test_patterns_are_not_capped(spark):
+    """More telling words than any former limit are all learned."""
+    docs = [(i, f"common filler {i % 50} " + " ".join(f"bad{'abcdefghij'[k % 10]}{'abcdefghij'[k // 10 % 10]}{'abcdefghij'[k // 100 % 10]}{'abcdefghij'[k // 1000]} {'abcdefghij'[(i // 5 * 7 + k) % 10]}{'abcdefghij'[(i // 5 + k // 10) % 10]}" for k in range(4500)) if i % 5 == 0 else f"common filler {i % 50}") for i in range(100)]
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(100)], "doc_id long, quality int, toxic int")
+    frame = spark.createDataFrame([(i, t) for i, t in docs], "doc_id long, text string")
+    counts = toxicity._pattern_counts(toxicity._labelled(frame, labels, 1000))
+    words = toxicity._patterns(counts.filter("pattern like '%$'"), "pos_a + pos_b", "neg_a + neg_b", "seen_a | seen_b", 16, 64)
+    assert len(words) >= 4500
 
 
 def planted_toxic(spark, n=600):
@@ -199,18 +242,57 @@ def test_url_model_carries_over(spark):
     assert [v[400 + i] for i in range(3)] == ["block"] * 3
 
 
-def test_smoothed_probabilities_sum_to_one():
-    counts = np.zeros((2, url_filter.ORDERS, url_filter.CONTEXTS * url_filter.SYMBOLS), np.int64)
-    cells, _ = url_filter._cells(["abc/def", "abd/x"])
-    for o in range(url_filter.ORDERS):
-        np.add.at(counts[0, o], cells[o], 1)
-    m = url_filter.UrlModel(counts)
-    row = cells[:, 2] // url_filter.SYMBOLS
-    p = np.full(url_filter.SYMBOLS, 1 / url_filter.SYMBOLS)
-    for o in range(url_filter.ORDERS):
-        c = m.counts[0, o].reshape(-1, url_filter.SYMBOLS)[row[o]]
-        p = (c + m.kinds[0, o][row[o]] * p) / (m.seen[0, o][row[o]] + m.kinds[0, o][row[o]])
-    assert p.sum() == pytest.approx(1)
+def scores_by_hand(texts):
+    """Leave-one-out scores by dictionaries of counts; ``texts`` are (text, rejected)."""
+    U, counts = url_filter, [[defaultdict(Counter) for _ in range(url_filter.ORDERS)] for _ in range(2)]
+
+    def steps(text):
+        t = [c if c in U.ALPHABET else U.OTHER for c in "".join(c.lower() if "A" <= c <= "Z" else c for c in text)] + [U.CLOSE]
+        padded = [U.START] * (U.ORDERS - 1) + t
+        for i in range(len(t)):
+            yield padded[i : i + U.ORDERS - 1], t[i]
+
+    for text, bad in texts:
+        for before, c in steps(text):
+            for o in range(U.ORDERS):
+                counts[bad][o]["".join(before[len(before) - o :])][c] += 1
+    out = []
+    for text, bad in texts:
+        total = n = 0
+        for before, c in steps(text):
+            p = []
+            for k in (0, 1):
+                x = 1 / U.SYMBOLS
+                for o in range(U.ORDERS):
+                    row = counts[k][o]["".join(before[len(before) - o :])]
+                    own = int(bad == k)
+                    seen, kinds = sum(row.values()) - own, len([1 for v in row.values() if v]) - (own and row[c] == 1)
+                    if seen > 0:
+                        x = (max(row[c] - own, 0) + kinds * x) / (seen + kinds)
+                p.append(x)
+            total, n = total + np.log(p[1]) - np.log(p[0]), n + 1
+        out.append(total / n)
+    return out
+
+
+def test_url_scores_equal_counting_by_hand(spark):
+    rnd = random.Random(4)
+    urls = ["http://" + "".join(rnd.choice("abé-./X?[*<") for _ in range(rnd.randrange(1, 25))) for _ in range(150)] + [f"http://spam{i % 7}.com/{'a/b' * (i % 4)}" for i in range(40)] + [None, "", "no-scheme", "http://spam.com/" + "long/" * 900, "http://a.b/" + "long/" * 900]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls + urls[:30])], "page_id long, url string")
+    rows = sorted(url_filter.judge_urls(df, []).collect(), key=lambda r: r.page_id)
+    bad = [int("spam" in r.host) for r in rows]
+    want = scores_by_hand([(r.host + r.path, b) for r, b in zip(rows, bad)])
+    assert [r.score for r in rows] == pytest.approx(want, abs=1e-8)
+    right = lambda t: np.mean([s >= t for s, b in zip(want, bad) if b]) + np.mean([s < t for s, b in zip(want, bad) if not b])
+    assert right(rows[0].threshold) >= max(map(right, want)) - 0.02
+    assert all((r.verdict == "block") == (r.score >= r.threshold) for r in rows)
+
+
+def test_url_model_keeps_every_context(spark):
+    """Windows are as many as the texts have: no fixed number of rows is shared."""
+    texts = spark.range(30_000).select(F.concat(F.lit("h/"), F.md5(F.col("id").cast("string"))).alias("text"), F.lit(False).alias("bad"), F.lit(1).alias("n"))
+    seen = {("<<<<" + r.text + ">")[i : i + 5] for r in texts.collect() for i in range(len(r.text) + 1)}
+    assert url_filter.window_counts(texts).count() == len(seen) > 500_000
 
 
 # 5 ---------------------------------------------------------------------------------------------
@@ -248,6 +330,18 @@ def test_warc_repeats_nulls_and_nothing(spark):
     assert {r.record_type for r in kept} == {"response"}
 
 
+def test_warc_of_long_pages(spark, tmp_path):
+    """Files hold fewer records where pages are long; one is read record by record."""
+    pages = [(i, f"http://a.b/{i}", f"{i} é " * 60_000) for i in range(12)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    warc_archive.write_archives(df, str(tmp_path / "w"), file_bytes=1 << 20)
+    runs = warc_archive.read_runs(spark, str(tmp_path / "w"))
+    assert {r["count"] for r in runs.groupBy("run").count().collect()} <= {1, 2, 3}
+    merged = warc_archive.merge_histories(runs, range_rows=3)
+    assert 2 <= merged.rdd.getNumPartitions() <= 4
+    assert [(r.page_id, r.payload_bytes) for r in merged.collect()] == [(i, len(t.encode())) for i, _, t in sorted(pages, key=lambda p: warc_archive.url_key(p[1]))]
+
+
 # 6 ---------------------------------------------------------------------------------------------
 
 def test_integral_image_filters_equal_direct_sums():
@@ -287,6 +381,34 @@ def test_recordings_align_with_their_excerpts(spark):
     assert chroma_fingerprint.match_recordings(spark.createDataFrame([], "id long, audio binary"), "audio", ["id"]).count() == 0
 
 
+@pytest.mark.parametrize("block", [5, 1000])
+def test_alignments_connect_what_brute_force_connects(spark, block):
+    """Medleys, excerpts and a jingle that unlike recordings share: every pair is tried at every run that it shares."""
+    rnd = np.random.default_rng(block)
+    songs = [rnd.integers(0, 36, n) for n in (60, 70, 80, 90, 50)]
+    jingle = rnd.integers(0, 36, 16)
+    parts = [*songs, np.concatenate((songs[0][:30], songs[1][20:60])), np.concatenate((songs[2][40:], songs[3][:50])), songs[3][10:60], songs[4][5:40]]
+    parts += [np.concatenate((rnd.integers(0, 36, k), jingle, rnd.integers(0, 36, 90 - k))) for k in (10, 30, 50, 70)] + [np.concatenate((jingle, songs[4][:30]))]
+    codes = [chroma_fingerprint.fingerprint(chroma_fingerprint._notes()[p].ravel()) for p in parts]
+    df = spark.createDataFrame([(i, [int(c) for c in x.astype(np.int64)]) for i, x in enumerate(codes)], "id long, codes array<long>")
+    n, run, want = len(codes), chroma_fingerprint.RUN, list(range(len(codes)))
+    for i in range(n):
+        for j in range(i):
+            at = {}
+            for k in range(len(codes[j]) - run + 1):
+                at.setdefault(tuple(codes[j][k : k + run]), []).append(k)
+            shifts = {b - a for a in range(len(codes[i]) - run + 1) for b in at.get(tuple(codes[i][a : a + run]), [])}
+            if any(m >= 8 and e <= 0.35 for m, e in (chroma_fingerprint.overlap_error(codes[i], codes[j], s) for s in shifts)):
+                lo, hi = sorted((want[i], want[j]))
+                want = [lo if x == hi else x for x in want]
+    found = chroma_fingerprint.align(df, block=block).collect()
+    for r in found:
+        m, e = chroma_fingerprint.overlap_error(codes[r.id], codes[r.anchor], r.shift)
+        assert (r.overlap, r.bit_error) == (m, pytest.approx(e)) and m >= 8 and e <= 0.35
+    assert parts_of(n, [(r.id, r.anchor) for r in found]) == want and 1 < len(set(want)) < n
+    assert want[5] == want[0] == want[1]
+
+
 # 7 ---------------------------------------------------------------------------------------------
 
 def test_fisher_yates_is_a_uniform_permutation():
@@ -310,6 +432,19 @@ def test_sharding_law_and_slots(spark, odd):
     assert external_shuffle.shuffle_to_shards(odd.limit(0)).count() == 0
 
 
+def test_slots_depend_on_seed_and_rows_alone(spark):
+    rows = [(i, f"text {i % 40}") for i in range(700)] + [(3, "again")] * 150 + [(None, None)] * 20
+    slots = lambda data, parts, seed=42: sorted((str(r.doc_id), str(r.text), r.shard, r.slot) for r in external_shuffle.shuffle_to_shards(spark.createDataFrame(data, "doc_id long, text string").repartition(parts), shards=4, seed=seed, bucket_bytes=3000).collect())
+    mixed = random.Random(3).sample(rows, len(rows))
+    first = slots(rows, 3)
+    assert first == slots(mixed, 7) != slots(rows, 3, seed=43)
+    ties = external_shuffle.numbered_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5).withColumn("k", F.xxhash64("doc_id", "text")), "k")
+    numbers = defaultdict(list)
+    for r in ties.collect():
+        numbers[r.doc_id, r.text].append(r.tie)
+    assert all(sorted(v) == list(range(len(v))) for v in numbers.values())
+
+
 # 8 ---------------------------------------------------------------------------------------------
 
 def test_escape_is_reversible(spark):
@@ -353,6 +488,40 @@ def test_content_parts_become_placeholders(spark):
     assert [r.formatted[s.start : s.end] for s in r.loss_spans] == ["ok"] and r.attachment_tokens == 425 + 77 + 604
 
 
+def test_control_strings_over_adjacent_text_parts(spark):
+    """However a text is cut into parts, it is escaped as one and read back whole."""
+    rnd, whole = random.Random(8), ["<|end|>", "<|turn|>", "<|body|>", "<|train|>", "<|image:0|>", "[INST]", "[/INST]", "<s>", "</s>", "\\", "[\\", "<\\|end|>", "a[", "<"]
+    rows, want = [], {}
+    for c in range(120):
+        text, parts = rnd.choice(whole) + rnd.choice(whole) + rnd.choice(["", "x", "\\"]), []
+        cuts = sorted(rnd.randrange(len(text) + 1) for _ in range(rnd.randrange(6)))
+        pieces = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
+        parts += [("text", p, None, None) for p in pieces]
+        if c % 3 == 0:
+            at = rnd.randrange(len(parts) + 1)
+            parts.insert(at, ("image", None, "r", 1))
+            text = "".join(p[1] for p in parts[:at]) + "<|image:0|>" + "".join(p[1] for p in parts[at + 1 :])
+        rows += [(c, 0, "assistant", parts), (c, 1, "user", [("text", "next", None, None)])]
+        want[c] = text
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat_format.PART}>")
+    done = chat_format.format_conversations(df)
+    got = done.select("conv_id", "formatted", "loss_spans", chat_format.parse_turns(F.col("formatted")).alias("t")).collect()
+    assert len(got) == 120
+    for r in got:
+        assert [(t.role, t.text, t.trained) for t in r.t] == [("assistant", want[r.conv_id], True), ("user", "next", False)]
+        inside = r.formatted[r.loss_spans[0].start : r.loss_spans[0].end]
+        assert r.formatted == f"<|turn|>assistant<|train|>{inside}<|end|><|turn|>user<|body|>next<|end|>"
+        assert not re.search(r"<\|(?!image:0\|>)|</?s>|\[/?INST\]", inside)
+
+
+def test_loss_spans_say_the_same_as_the_marks(spark):
+    rows = [(c, t, ["user", "assistant"][t % 2], f"<s>{c}[INST] é😀 {t}" * (c % 3)) for c in range(9) for t in range(c)]
+    done = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    for r in done.select("formatted", "loss_spans", chat_format.parse_turns(F.col("formatted")).alias("t")).collect():
+        by_span = [re.sub(r"\\([\s\S])", r"\1", r.formatted[s.start : s.end]) for s in r.loss_spans]
+        assert by_span == [t.text for t in r.t if t.trained]
+
+
 # 9 ---------------------------------------------------------------------------------------------
 
 def plain_fingerprint(text):
@@ -476,30 +645,49 @@ def test_near_dedup_in_crowds_of_unlike_texts(spark, kind, monkeypatch):
     assert len(want) == 150 and kept(spark, texts) == want
 
 
-def test_blocks_of_crowded_buckets_find_all_links(spark):
+def parts_of(n, edges):
+    label = list(range(n))
+    for a, b in edges:
+        lo, hi = sorted((label[a], label[b]))
+        label = [lo if x == hi else x for x in label]
+    return label
+
+
+def test_crowded_buckets_connect_all_that_is_possible(spark):
     rnd = np.random.default_rng(13)
-    base = rnd.integers(-(2**62), 2**62, 8)
-    sig = np.array([[x ^ int(sum(1 << int(b) for b in rnd.choice(62, k, False))) for x in base] for k in rnd.integers(0, 9, 90)], np.int64)
-    nodes = spark.createDataFrame([(i, [int(x) for x in s]) for i, s in enumerate(sig)], "node long, signature array<long>")
-    seats = spark.createDataFrame([(5, i, 90, 0) for i in range(90)], "key long, node long, n long, anchor long")
-    groups = spark.createDataFrame([(i, 0) for i in range(10)], "node long, component long")
+    base = rnd.integers(-(2**62), 2**62, near_dedup.WORDS)
+    sig = np.array([[x ^ int(sum(1 << int(b) for b in rnd.choice(62, k, False))) for x in base] for k in rnd.integers(0, 31, 90)], np.int64)
+    nodes = spark.createDataFrame([(i, 100, [int(x) for x in s]) for i, s in enumerate(sig)], "node long, size int, signature array<long>")
+    seats = spark.createDataFrame([(5, i, 100, 0) for i in range(90)], "key long, node long, size int, at int")
+    clusters = spark.createDataFrame([(i, 0) for i in range(10)], "node long, cluster long")
     far = lambda i, j: int(np.bitwise_count((sig[i] ^ sig[j]).view(np.uint64)).sum())
-
-    def parts(edges):
-        label = [0 if i < 10 else i for i in range(90)]
-        for a, b in edges:
-            lo, hi = sorted((label[a], label[b]))
-            label = [lo if x == hi else x for x in label]
-        return label
-
-    every = [(i, j, far(i, j)) for i in range(90) for j in range(i)]
-    for size in (7, 40, 2048):
-        got = [(r.a, r.b, r.bits) for r in near_dedup.links_between(seats, nodes, groups, crowded=20, block=size).collect()]
-        assert all(b == far(i, j) for i, j, b in got)
-        joined = parts((i, j) for i, j, b in every if b <= near_dedup.SURE)
-        assert parts((i, j) for i, j, b in got if b <= near_dedup.SURE) == joined
-        open_ = {(i, j) for i, j, b in every if near_dedup.SURE < b <= near_dedup.POSSIBLE and joined[i] != joined[j]}
-        assert open_ and open_ <= {(i, j) for i, j, _ in got}
+    inner = [(0, i) for i in range(10)]
+    possible = {(i, j) for i in range(90) for j in range(i) if far(i, j) <= near_dedup.POSSIBLE}
+    want = parts_of(90, [*inner, *possible])
+    assert 1 < len(set(want)) < 80
+    for crowded, block in ((1000, 0), (20, 7), (20, 40), (20, 2048)):
+        got = [(r.a, r.b) for r in near_dedup.between(seats, nodes, clusters, 0.8, crowded=crowded, block=block).collect()]
+        assert parts_of(90, [*inner, *got]) == want
+
+
+@pytest.mark.parametrize("shingles", [300, 2000])
+def test_clusters_of_many_blocks_are_compared_in_full(spark, shingles):
+    """Families whose members differ from each other more than from their middle, over many blocks."""
+    rnd = random.Random(shingles)
+    fresh = iter(f"v{i}" for i in range(10**6))
+    texts = []
+    for size in (90, 40, 3):
+        base = [next(fresh) for _ in range(60)]
+        for _ in range(size):
+            t, at = list(base), rnd.randrange(60)
+            for k in range(rnd.choice((1, 2, 3, 8))):
+                t[(at + k) % 60] = next(fresh)
+            texts.append(" ".join(t))
+    rnd.shuffle(texts)
+    want = kept_by_brute_force(texts)
+    assert 3 < len(want) < 120
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_dedup.without_near_duplicates(df, shingles=shingles).collect()) == want
 
 
 @pytest.mark.parametrize("n", [9, 60, 300])
