@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where the session names none (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only where a local session names none (tests).
+
+    On a cluster every machine has its own temporary folders, so there the setting is required.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
@@ -18,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named.rstrip("/")
     if not current.isDefined():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-checkpoint-"))
         current = sc._jsc.sc().getCheckpointDir()
     return current.get().rstrip("/")
@@ -34,3 +40,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def written_once(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The result of ``build``, written at the first call of a session for ``source`` and ``name`` and read from then on.
+
+    For measures that many queries over the same tables share. The tables at ``source`` are taken
+    not to change while the session lasts.
+    """
+    key = (spark.sparkContext.applicationId, source, name)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = materialize(build(), name)
+    return _WRITTEN[key]

@@ -67,3 +67,16 @@ def bootstrap_f1(before: DataFrame, after: DataFrame, replicates: int = 50, seed
     f1 = truth.join(said, ["r", "v", "c"], "left").groupBy("r", "v").agg(F.avg(2 * F.col("tp") / (F.col("t") + F.coalesce("s", F.lit(0)))).alias("f1"))
     delta = f1.groupBy("r").agg(F.sum(F.when(F.col("v") == 1, F.col("f1")).otherwise(-F.col("f1"))).alias("d"))
     return delta.agg(F.round(F.avg("d"), 6).alias("mean"), F.round(F.percentile("d", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("d", F.lit(0.975)), 6).alias("high"), F.count("*").alias("replicates"))
+
+
+def holdout(samples: DataFrame, touched: DataFrame, leaked: DataFrame) -> DataFrame:
+    """Evaluation samples that no action touches and no leak reaches: what a change can be measured on."""
+    held = samples.filter("split in ('val', 'test')")
+    return held.join(touched.select("sample_id"), "sample_id", "left_anti").join(leaked.select("sample_id"), "sample_id", "left_anti")
+
+
+def anchors(gaps: DataFrame, members: DataFrame, key: str, most: int = 6) -> DataFrame:
+    """For each gap the ``most`` densest members of its ``key``, as examples to collect more of."""
+    ranked = gaps.select(key).distinct().join(members, key)
+    w = Window.partitionBy(key).orderBy(F.desc("density"), "sample_id")
+    return ranked.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= most).select(key, "sample_id", "density", "rk")

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 REAL_SPLITS = ("train", "val", "test")
 EVAL_SPLITS = ("val", "test")
 
 
+def normal_text(text: str = "text") -> Column:
+    """Trimmed, lower-cased, runs of blanks made one."""
+    return F.lower(F.regexp_replace(F.regexp_replace(text, r"^[ \t\r\n]+|[ \t\r\n]+$", ""), r"[ \t\r\n]+", " "))
+
+
 def content_hash(samples: DataFrame) -> DataFrame:
-    """``raw_sha``: of the text; ``norm_sha``: of the text trimmed, lower-cased, runs of blanks made one."""
-    normal = F.lower(F.regexp_replace(F.regexp_replace("text", r"^[ \t\r\n]+|[ \t\r\n]+$", ""), r"[ \t\r\n]+", " "))
-    return samples.withColumns({"raw_sha": F.sha2("text", 256), "norm_sha": F.sha2(normal, 256)})
+    """``raw_sha``: of the text; ``norm_sha``: of ``normal_text``."""
+    return samples.withColumns({"raw_sha": F.sha2("text", 256), "norm_sha": F.sha2(normal_text(), 256)})
 
 
 def star_edges(hashed: DataFrame, key: str = "norm_sha") -> DataFrame:

@@ -85,3 +85,22 @@ def contract(facts: DataFrame, rules: list[tuple[str, str, float]]) -> DataFrame
     compare = {"<=": lambda a, b: a <= b, "<": lambda a, b: a < b, ">=": lambda a, b: a >= b, ">": lambda a, b: a > b, "==": lambda a, b: a == b}
     rows = [F.struct(F.lit(m).alias("metric"), F.lit(op).alias("op"), F.lit(float(v)).alias("expected"), F.round(F.col(m).cast("double"), 5).alias("actual"), F.coalesce(compare[op](F.col(m), F.lit(v)), F.lit(False)).alias("passed")) for m, op, v in rules]
     return facts.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+
+def contract_includes(actual: DataFrame, rules: list[tuple[str, list[str]]]) -> DataFrame:
+    """``metric``, ``missing`` and ``passed`` of rules that a set of values must include others.
+
+    ``actual`` has ``metric`` and ``values`` (an array); a metric that is not there lacks everything.
+    """
+    asked = actual.sparkSession.createDataFrame([(m, e) for m, e in rules], "metric string, expected array<string>")
+    met = asked.join(actual, "metric", "left")
+    missing = F.array_sort(F.array_except("expected", F.coalesce("values", F.array().cast("array<string>"))))
+    return met.select("metric", F.array_join(missing, ",").alias("missing"), (F.size(missing) == 0).alias("passed"))
+
+
+#: Levels in rising order, for rules that compare them.
+LEVELS = ("LOW", "MODERATE", "HIGH", "CRITICAL")
+
+
+def level_rank(level: str):
+    return F.coalesce(*[F.when(F.col(level) == name, F.lit(i)) for i, name in enumerate(LEVELS)])

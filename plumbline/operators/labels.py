@@ -7,7 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WEIGHTS = {"model": 0.35, "neighbor": 0.30, "centroid": 0.15, "dup": 0.10}
+WEIGHTS = {"model": 0.35, "neighbor": 0.30, "centroid": 0.15, "dynamics": 0.10, "dup": 0.10}
+LEAST_RELIABILITY = 0.05
+#: How doubtful a category of training dynamics makes a label.
+DYNAMICS = {"hard": 1.0, "forgotten": 0.7, "ambiguous": 0.5, "unstable": 0.4, "easy": 0.0}
 REVIEW, LOW_PRIORITY = 0.55, 0.38
 HYPOTHESES = ("likely_mislabeled", "rare_valid", "poor_quality", "domain_shifted", "ambiguous")
 
@@ -16,12 +19,19 @@ def score_labels(evidence: DataFrame) -> DataFrame:
     """``suspicion`` (weighted mean of the signals) and ``action`` for each sample.
 
     ``evidence`` has p_given, neighbor_same, neighbor_major_share, centroid_ratio, density_pct,
-    dup_conflict (boolean) and severity (0 to 1).
+    dup_conflict (boolean) and severity (0 to 1). Where it has ``reliability_model``,
+    ``reliability_neighbor`` or ``reliability_centroid``, the witness's weight is scaled by that,
+    and where it has ``dynamics`` (a category, or null) that is a signal with the model's reliability.
     """
     c = F.col
     centroid = F.least(F.greatest((c("centroid_ratio") - 0.4) / 0.3, F.lit(0.0)), F.lit(1.0))
-    parts = {"model": 1 - c("p_given"), "neighbor": 1 - c("neighbor_same"), "centroid": centroid, "dup": c("dup_conflict").cast("double")}
-    suspicion = reduce(lambda a, b: a + b, [parts[k] * w for k, w in WEIGHTS.items()]) / sum(WEIGHTS.values())
+    weight = lambda k, witness: F.lit(WEIGHTS[k]) * (F.greatest(c(f"reliability_{witness}"), F.lit(LEAST_RELIABILITY)) if f"reliability_{witness}" in evidence.columns else F.lit(1.0))
+    parts = {"model": 1 - c("p_given"), "neighbor": 1 - c("neighbor_same"), "centroid": centroid}
+    terms = [(v, weight(k, k)) for k, v in parts.items()] + [(c("dup_conflict").cast("double"), F.lit(WEIGHTS["dup"]))]
+    if "dynamics" in evidence.columns:
+        signal = reduce(lambda acc, kv: F.when(c("dynamics") == kv[0], kv[1]).otherwise(acc), DYNAMICS.items(), F.lit(None).cast("double"))
+        terms.append((F.coalesce(signal, F.lit(0.0)), F.when(signal.isNotNull(), weight("dynamics", "model")).otherwise(0.0)))
+    suspicion = reduce(lambda a, b: a + b, [v * w for v, w in terms]) / reduce(lambda a, b: a + b, [w for _, w in terms])
     rare = (parts["model"] >= 0.5) & (c("neighbor_major_share") < 0.5) & (c("density_pct") <= 0.08) & (c("centroid_ratio") < 0.55) & (c("severity") < 0.6)
     action = F.when(rare, "LIKELY_RARE").when(c("suspicion") >= REVIEW, "REVIEW").when(c("suspicion") >= LOW_PRIORITY, "LOW_PRIORITY_REVIEW").otherwise("NO_ACTION")
     return evidence.withColumns({"s_centroid": centroid, "suspicion": suspicion}).withColumn("action", action)
@@ -48,26 +58,33 @@ def rare_or_wrong(scored: DataFrame) -> DataFrame:
 def reason_codes(judged: DataFrame) -> DataFrame:
     """``codes``: the reasons that a sample's evidence gives, in a fixed order."""
     c = F.col
+    differs = c("pred") != c("label")
     rules: list[tuple[str, Column]] = [
-        ("HIGH_MODEL_DISAGREEMENT", c("p_given") < 0.2),
-        ("MODEL_DISAGREEMENT", (c("p_given") >= 0.2) & (c("p_given") < 0.4)),
-        ("MODEL_AGREES", c("p_given") >= 0.6),
-        ("HIGH_NEIGHBOR_DISAGREEMENT", c("neighbor_same") < 0.35),
+        ("HIGH_MODEL_DISAGREEMENT", differs & (c("p_given") < 0.2)),
+        ("MODEL_DISAGREEMENT", differs & (c("p_given") >= 0.2) & (c("p_given") < 0.4)),
+        ("MODEL_AGREES", (c("p_given") >= 0.6)),
+        ("HIGH_NEIGHBOR_DISAGREEMENT", (c("neighbor_same") < 0.35) & (c("neighbor_major_share") >= 0.5)),
         ("NEIGHBORS_AGREE", c("neighbor_same") >= 0.6),
         ("OUTSIDE_CLASS_CLUSTER", c("centroid_ratio") > 0.55),
         ("INSIDE_CLASS_CLUSTER", c("centroid_ratio") < 0.45),
         ("CONSISTENT_ALTERNATIVE_LABEL", c("consistent")),
         ("LOW_DENSITY", c("density_pct") <= 0.05),
+        ("QUALITY_OK", c("severity") < 0.6),
         ("SEVERE_QUALITY_ISSUE", c("severity") >= 0.9),
         ("QUALITY_CONCERN", (c("severity") >= 0.6) & (c("severity") < 0.9)),
         ("EXACT_DUPLICATE_COPY", c("is_copy")),
         ("DUPLICATE_LABEL_CONFLICT", c("dup_conflict")),
         ("CROSS_SPLIT_LEAKAGE", c("leaks")),
+        ("NO_LEAKAGE", ~c("leaks")),
         ("RARE_HYPOTHESIS", c("hypothesis") == "rare_valid"),
         ("MISLABEL_HYPOTHESIS", c("hypothesis") == "likely_mislabeled"),
         ("AMBIGUOUS_HYPOTHESIS", c("hypothesis") == "ambiguous"),
         ("DOMAIN_SHIFT_HYPOTHESIS", c("hypothesis") == "domain_shifted"),
+        ("EVALUATION_SAMPLE", c("split").isin("val", "test")),
     ]
+    if "dynamics" in judged.columns:
+        names = {"hard": "HARD_TO_LEARN", "forgotten": "FORGOTTEN_DURING_TRAINING", "ambiguous": "AMBIGUOUS_TRAINING", "unstable": "UNSTABLE_TRAINING", "easy": "EASY_TO_LEARN"}
+        rules += [(name, c("dynamics") == category) for category, name in names.items()]
     return judged.withColumn("codes", F.array_compact(F.array(*[F.when(when, name) for name, when in rules])))
 
 
@@ -97,5 +114,73 @@ def deliberate(coded: DataFrame) -> DataFrame:
     out = coded.withColumns({"rule": rule, "verdict": verdict})
     severity = reduce(lambda acc, kv: F.when(F.col("verdict") == kv[0], kv[1]).otherwise(acc), SEVERITY.items(), F.lit(0.0))
     strength = F.greatest("suspicion", F.when(F.col("leaks"), 0.85).otherwise(0.0), 0.8 * F.col("severity"))
-    impact = F.when(F.col("split").isin("val", "test"), 0.6 * strength).otherwise(0.0)
-    return out.withColumns({"target": F.when(F.col("verdict") == "POSSIBLE_RELABEL", F.col("pred")), "priority": F.round(0.45 * severity + 0.4 * strength + 0.15 * impact, 4)})
+    out = out.withColumn("strength", strength)
+    impact = F.when(F.col("split").isin("val", "test"), 0.6 * F.col("strength")).otherwise(0.0)
+    concerns = {"leakage": has("CROSS_SPLIT_LEAKAGE"), "label": model | near | far, "quality": has("SEVERE_QUALITY_ISSUE", "QUALITY_CONCERN"), "duplicate": has("EXACT_DUPLICATE_COPY", "DUPLICATE_LABEL_CONFLICT")}
+    uncertainty = F.when(F.col("verdict").isin("LEAKAGE_ACTION_NEEDED", "POSSIBLE_RELABEL"), "low").when(F.col("verdict").isin("UNCERTAIN", "REVIEW"), "high").otherwise("medium")
+    return out.withColumns(
+        {
+            "impact": impact,
+            "categories": F.array_compact(F.array(*[F.when(when, name) for name, when in concerns.items()])),
+            "uncertainty": uncertainty,
+            "target": F.when(F.col("verdict") == "POSSIBLE_RELABEL", F.col("pred")),
+            "priority": F.round(0.45 * severity + 0.4 * F.col("strength") + 0.15 * impact, 4),
+        }
+    )
+
+
+def witnesses(coded: DataFrame) -> DataFrame:
+    """``witnesses``: what each source of evidence says of the label, as ``struct<witness, stance, weight>``, and ``dissent``.
+
+    Stances are prosecution (against the label), defense and neutral. ``dissent`` is the weight of
+    the witnesses who speak against the verdict: prosecutors of a sample that is kept or rare,
+    defenders of one that is not.
+    """
+    c = F.col
+    has = lambda *names: reduce(lambda a, b: a | b, [F.array_contains("codes", n) for n in names])
+    stance = lambda against, in_favour: F.when(against, "prosecution").when(in_favour, "defense").otherwise("neutral")
+    said = [
+        ("model", stance(has("HIGH_MODEL_DISAGREEMENT", "MODEL_DISAGREEMENT"), has("MODEL_AGREES")), F.abs(0.5 - c("p_given")) * 2, F.lit(True)),
+        ("neighbor", stance(has("HIGH_NEIGHBOR_DISAGREEMENT"), has("NEIGHBORS_AGREE")), F.abs(0.5 - c("neighbor_same")) * 2, F.lit(True)),
+        ("centroid", stance(has("OUTSIDE_CLASS_CLUSTER"), has("INSIDE_CLASS_CLUSTER")), F.abs(0.5 - c("centroid_ratio")) * 2, F.lit(True)),
+        ("quality", stance(has("SEVERE_QUALITY_ISSUE", "QUALITY_CONCERN"), has("QUALITY_OK")), F.when(has("QUALITY_OK"), 0.4).otherwise(c("severity")), F.lit(True)),
+        ("duplicate", stance(has("DUPLICATE_LABEL_CONFLICT", "EXACT_DUPLICATE_COPY"), F.lit(False)), F.when(has("DUPLICATE_LABEL_CONFLICT"), 1.0).otherwise(0.6), has("DUPLICATE_LABEL_CONFLICT", "EXACT_DUPLICATE_COPY")),
+        ("split", stance(has("CROSS_SPLIT_LEAKAGE"), has("NO_LEAKAGE")), F.when(has("CROSS_SPLIT_LEAKAGE"), 0.9).otherwise(0.3), F.lit(True)),
+        ("dynamics", stance(has("HARD_TO_LEARN", "FORGOTTEN_DURING_TRAINING"), has("EASY_TO_LEARN")), F.lit(0.6), has("HARD_TO_LEARN", "FORGOTTEN_DURING_TRAINING", "AMBIGUOUS_TRAINING", "UNSTABLE_TRAINING", "EASY_TO_LEARN")),
+        ("rarity", stance(F.lit(False), has("RARE_HYPOTHESIS")), F.lit(0.8), has("RARE_HYPOTHESIS")),
+    ]
+    heard = F.array_compact(F.array(*[F.when(there, F.struct(F.lit(name).alias("witness"), s.alias("stance"), F.round(w, 4).alias("weight"))) for name, s, w, there in said]))
+    against = F.when(c("verdict").isin("KEEP", "LIKELY_RARE"), "prosecution").otherwise("defense")
+    return coded.withColumn("witnesses", heard).withColumn("dissent", F.round(F.aggregate("witnesses", F.lit(0.0), lambda a, w: a + F.when(w["stance"] == against, w["weight"]).otherwise(0.0)), 4))
+
+
+def rule_trace(deliberated: DataFrame) -> DataFrame:
+    """``trace``: the rules looked at for each sample, in order, with whether they matched; the last one did."""
+    names = [f"R{i}" for i in range(1, 11)]
+    looked = F.filter(F.array(*[F.struct(F.lit(n).alias("rule"), (F.col("rule") == n).alias("matched"), F.lit(i).alias("i")) for i, n in enumerate(names)]), lambda t: t["i"] < F.substring(F.col("rule"), 2, 2).cast("int"))
+    return deliberated.withColumn("trace", F.transform(looked, lambda t: F.struct(t["rule"].alias("rule"), t["matched"].alias("matched"))))
+
+
+def case_candidates(*signals: DataFrame) -> DataFrame:
+    """The distinct ``sample_id`` that any of the signals names: the samples to make cases of."""
+    return reduce(lambda a, b: a.unionByName(b), [s.select("sample_id") for s in signals]).distinct()
+
+
+#: What a review is worth, by objective.
+OBJECTIVES = {
+    "balanced": {"risk": 1.0, "impact": 0.6, "uncertainty": 0.3, "leakage": 0.6, "label": 0.6, "quality": 0.3, "coverage": 0.3},
+    "leakage": {"risk": 0.5, "impact": 0.3, "uncertainty": 0.1, "leakage": 2.0, "label": 0.2, "quality": 0.1, "coverage": 0.1},
+    "label_errors": {"risk": 0.8, "impact": 0.4, "uncertainty": 0.2, "leakage": 0.1, "label": 2.0, "quality": 0.1, "coverage": 0.2},
+    "model_impact": {"risk": 0.5, "impact": 2.0, "uncertainty": 0.2, "leakage": 0.6, "label": 0.5, "quality": 0.1, "coverage": 0.2},
+    "quality": {"risk": 0.5, "impact": 0.2, "uncertainty": 0.1, "leakage": 0.1, "label": 0.2, "quality": 2.0, "coverage": 0.1},
+}
+
+
+def case_value(cases: DataFrame, objective: str = "balanced") -> DataFrame:
+    """``value`` of a review of each case, from its priority, impact, uncertainty, concerns and split; likely rare ones count less."""
+    w, c = OBJECTIVES[objective], F.col
+    concern = lambda name, share: F.when(F.array_contains("categories", name), w[name] * share * c("strength")).otherwise(0.0)
+    doubt = F.when(c("uncertainty") == "low", 0.2).when(c("uncertainty") == "high", 1.0).otherwise(0.5)
+    seen = F.when(c("split").isin("val", "test"), w["coverage"] * 0.2 * c("strength")).otherwise(0.0)
+    value = w["risk"] * c("priority") + w["impact"] * c("impact") + w["uncertainty"] * 0.3 * doubt + concern("leakage", 1.0) + concern("label", 1.0) + concern("quality", 0.6) + seen
+    return cases.withColumn("value", F.round(F.greatest(value * F.when(c("verdict") == "LIKELY_RARE", 0.6).otherwise(1.0), F.lit(0.0)), 6))

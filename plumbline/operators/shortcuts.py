@@ -76,3 +76,31 @@ def dna_drift(a: DataFrame, b: DataFrame) -> DataFrame:
     half = lambda x: F.when(F.col(x) > 0, F.col(x) * F.log2(F.col(x) / ((F.col("p") + F.col("q")) / 2))).otherwise(0.0)
     js = j.groupBy("dimension").agg(F.sum(0.5 * half("p") + 0.5 * half("q")).alias("js"))
     return js.select("dimension", F.round("js", 6).alias("js"), F.when(F.col("js") >= 0.15, "strong").when(F.col("js") >= 0.05, "moderate").otherwise("none").alias("drift"))
+
+
+def cue_predictability(cues: DataFrame, folds: int = 5) -> DataFrame:
+    """How well the cues alone tell the label: balanced accuracy out of fold, against chance.
+
+    A naive Bayes classifier with add-one smoothing; a sample's fold is its id modulo ``folds``, and
+    the counts of its own fold have no part in its prediction.
+    """
+    rows = cues.select("sample_id", "label", "cue", "value", (F.col("sample_id") % folds).alias("fold"))
+    people = rows.select("sample_id", "label", "fold").distinct()
+    per = people.groupBy("fold", "label").agg(F.count("*").alias("n"))
+    total = per.groupBy("label").agg(F.sum("n").alias("n_all"))
+    every = total.crossJoin(rows.select("fold").distinct())  # classes times folds
+    prior = every.join(per, ["fold", "label"], "left").select("fold", "label", (F.col("n_all") - F.coalesce("n", F.lit(0))).alias("n_out"))
+    cell = rows.groupBy("fold", "cue", "value", "label").agg(F.count("*").alias("n"))
+    kinds = rows.groupBy("cue").agg(F.count_distinct("value").alias("kinds"))
+    cells = cell.groupBy("cue", "value", "label").agg(F.sum("n").alias("n_all"))
+    grid = rows.select("cue", "value").distinct().crossJoin(prior)  # values times classes times folds
+    likely = (
+        grid.join(cells, ["cue", "value", "label"], "left")
+        .join(cell, ["fold", "cue", "value", "label"], "left")
+        .join(kinds, "cue")
+        .select("fold", "cue", "value", F.col("label").alias("guess"), "n_out", F.log((F.coalesce("n_all", F.lit(0)) - F.coalesce("n", F.lit(0)) + 1) / (F.col("n_out") + F.col("kinds"))).alias("l"))
+    )
+    scores = rows.join(likely, ["fold", "cue", "value"]).groupBy("sample_id", "label", "guess", "n_out").agg(F.sum("l").alias("l")).withColumn("s", F.round(F.col("l") + F.log(F.col("n_out") + 1), 9))
+    best = scores.groupBy("sample_id", "label").agg(F.min(F.struct((-F.col("s")).alias("s"), "guess")).alias("b"))
+    recall = best.groupBy("label").agg(F.avg((F.col("b.guess") == F.col("label")).cast("double")).alias("r"), F.count("*").alias("n"))
+    return recall.agg(F.round(F.avg("r"), 6).alias("balanced_accuracy"), F.round(1 / F.count("*"), 6).alias("chance"), F.sum("n").alias("n"))

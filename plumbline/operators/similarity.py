@@ -30,8 +30,8 @@ def register_functions(spark) -> None:
     )
 
 
-def knn_join(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool = True, decimals: int = 4, block_rows: int = 2048) -> DataFrame:
-    """The ``k`` rows of ``base`` with the highest cosine for each row of ``queries``.
+def knn_join(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool = True, decimals: int = 4, block_rows: int = 2048, cosine: bool = True) -> DataFrame:
+    """The ``k`` rows of ``base`` with the highest cosine (or inner product, without ``cosine``) for each row of ``queries``.
 
     Both have ``sample_id`` and ``embedding`` of one length. Returns ``sample_id``, ``neighbor_id``,
     ``sim`` (rounded) and ``rk`` from 1; ties go to the smaller id. Rows without a vector take no
@@ -43,7 +43,8 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool = T
 
     def pack(key: tuple, group: pa.Table) -> pa.Table:
         vectors = np.array(group.column("embedding").to_pylist(), np.float64)
-        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+        if cosine:
+            vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
         ids = group.column("sample_id").to_numpy().astype(np.int64)
         return pa.table({"block": [key[0].as_py()], "ids": [ids.tobytes()], "m": [vectors.tobytes()]}, schema=pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("m", pa.binary())]))
 
@@ -145,3 +146,10 @@ def centroid_evidence(vectors: DataFrame) -> DataFrame:
     own = F.filter("s", lambda s: s["k"] == F.col("label"))[0]["d"]
     other = F.array_min(F.transform(F.filter("s", lambda s: s["k"] != F.col("label")), lambda s: F.struct(F.round(s["d"], 9).alias("d"), s["k"].alias("k"))))
     return sims.select("sample_id", "label", own.alias("own"), other.alias("o")).select("sample_id", "label", (F.col("own") / F.greatest(F.col("own") + F.col("o.d"), F.lit(1e-9))).alias("ratio"), F.col("o.k").alias("nearest_other"))
+
+
+def seed_regions(vectors: DataFrame, n: int = 8) -> DataFrame:
+    """``region`` of every vector: which of the ``n`` vectors of the smallest ids is nearest by inner product, ties to the smaller id."""
+    seeds = vectors.orderBy("sample_id").limit(n).select("sample_id", "embedding").agg(F.array_sort(F.collect_list(F.struct("sample_id", F.col("embedding").alias("at")))).alias("seeds"))
+    near = F.transform("seeds", lambda s, i: F.struct((-F.round(dot(F.col("embedding"), s["at"]), 9)).alias("d"), i.cast("bigint").alias("region")))
+    return vectors.crossJoin(F.broadcast(seeds)).withColumn("region", F.array_min(near)["region"]).drop("seeds")  # n vectors

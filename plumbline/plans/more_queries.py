@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import coverage, evidence, families
+from plumbline.operators import coverage, evidence, families, predictions, similarity
 from plumbline.plans import text_queries as texts
-from plumbline.sources.bindings import SQL_TEXT, SQL_VECTORS, pseudo_predictions, text_samples, vector_samples
+from plumbline.sources.bindings import SQL_REGIONS, SQL_TEXT, SQL_VECTORS, text_samples, vector_samples
 from plumbline.sources.files import integrity_check as check_content
 from plumbline.sources.tables import table
 
 
 def _regions(spark, d):
-    return vector_samples(spark, d).withColumn("region", F.col("sample_id") % 8)
+    return similarity.seed_regions(vector_samples(spark, d))
 
 
 def coverage_gaps(spark: SparkSession, d: str) -> DataFrame:
@@ -29,7 +29,7 @@ def class_cap(spark, d):
 
 
 def bootstrap_f1(spark, d):
-    p = pseudo_predictions(vector_samples(spark, d))
+    p = predictions.fold_predictions(vector_samples(spark, d))
     return coverage.bootstrap_f1(p, p.withColumn("pred", F.when(F.col("sample_id") % 8 == 0, F.col("label")).otherwise(F.col("pred"))))
 
 
@@ -84,7 +84,7 @@ def audit_report(spark, d):
 
 QUERIES = {f.__name__: f for f in (coverage_gaps, plan_collection, class_cap, bootstrap_f1, sample_detail, narrative, unverified_numbers, lineage_tree, stream_ingest, integrity_check, audit_report)}
 
-_GAPS = SQL_VECTORS + """, rg as (select *, sample_id % 8 as region from vectors), ol as (select region, label, count(*) as n, count(*) filter (split = 'train') as n_train from rg group by all), tot as (select label, sum(n) as n_label from ol group by label),
+_GAPS = SQL_VECTORS + ", " + SQL_REGIONS + """, rg as (select * from vectors join regions using (sample_id)), ol as (select region, label, count(*) as n, count(*) filter (split = 'train') as n_train from rg group by all), tot as (select label, sum(n) as n_label from ol group by label),
  sz as (select region, sum(n) as size, sum(n_train) as train from ol group by region), mx as (select region, label, n, row_number() over (partition by region order by n desc, label) as r from ol),
  g as (select 'boundary_zone' as kind, region, label, round(1 - n / size::double, 6) as severity from mx join sz using (region) where r = 1 and n / size::double < 0.6
  union all select 'weak_mode', region, label, round(1 - n / n_label::double / 0.08::double, 6) from ol join tot using (label) where n / n_label::double < 0.08

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.shared_storage import written_once
 from plumbline.operators import families, governance, review
 from plumbline.plans import text_queries as texts
 from plumbline.sources.bindings import SQL_DECISIONS, decisions, text_samples
@@ -87,6 +88,11 @@ def stream_issue_rates(spark, d):
 
 
 def facts(spark, d):
+    """The facts, written once: debt, preflight, contract and reports read the same row."""
+    return written_once(spark, d, "facts", lambda: _facts(spark, d))
+
+
+def _facts(spark, d):
     """One row of counts over the texts and the decisions, from which governance is decided."""
     h = families.content_hash(text_samples(spark, d))
     fam = families.exact_families(h)

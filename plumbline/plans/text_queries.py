@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import families, profile, shortcuts
+from plumbline.functions.shared_storage import written_once
+from plumbline.operators import families, near_text, profile, shortcuts
 from plumbline.operators.graph import connected_components
 from plumbline.sources.bindings import SQL_TEXT, text_samples
 from plumbline.sources.layout import assign_layout
@@ -17,7 +18,8 @@ def _hashed(spark, d):
 
 
 def _attributes(spark, d):
-    return profile.text_attributes(text_samples(spark, d))
+    """Numbers measured on the texts; written once, since most audits read them."""
+    return written_once(spark, d, "attributes", lambda: profile.text_attributes(text_samples(spark, d)).drop("text"))
 
 
 def version_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -87,11 +89,22 @@ def dup_pairs(spark, d):
     return families.star_edges(h, "raw_sha").unionByName(families.star_edges(h, "norm_sha"))
 
 
+def _near(spark, d):
+    """Near pairs of different texts, classified."""
+    h = near_text.representatives(_hashed(spark, d))
+    pairs = written_once(spark, d, "near-pairs", lambda: near_text.near_pairs(h.withColumn("text", families.normal_text())))
+    return near_text.classify_pairs(pairs, h)
+
+
+def near_pairs(spark, d):
+    """Texts that share four fifths of their five-word shingles or more, compared whole."""
+    return _near(spark, d).select("a", "b", F.round("jaccard", 4).alias("jaccard"), F.round("size_ratio", 4).alias("size_ratio"), "relation")
+
+
 def families_components(spark, d):
-    """Families as components of copies and near copies: equal texts, or equal first 40 characters and language."""
-    h = _hashed(spark, d)
-    head = h.filter("length(text) >= 40").withColumn("head", F.concat_ws("|", "label", F.substring("text", 1, 40)))
-    return connected_components(families.star_edges(h, "norm_sha").unionByName(families.star_edges(head, "head")), "b", "a").select(F.col("node").alias("sample_id"), F.col("component").alias("family_id"))
+    """Families as components of copies and near copies."""
+    links = families.star_edges(_hashed(spark, d), "norm_sha").select("a", "b").unionByName(_near(spark, d).select("a", "b"))
+    return connected_components(links, "b", "a").select(F.col("node").alias("sample_id"), F.col("component").alias("family_id"))
 
 
 def family_leaks(spark, d):
@@ -180,10 +193,15 @@ def quality_labels(spark, d):
     return j.agg(tp.alias("true_positives"), hits.alias("found"), bad.alias("planted"), F.round(tp / F.greatest(hits, F.lit(1)), 6).alias("precision"), F.round(tp / F.greatest(bad, F.lit(1)), 6).alias("recall"))
 
 
-QUERIES = {f.__name__: f for f in (version_stats, class_balance, layout_assign, content_hash, sample_index, robust_z, attribute_deviation, quality_rules, quality_escalate, quality_facets, histograms, exact_families, dup_pairs, families_components, family_leaks, split_integrity_exact, contamination_exact, contamination_contains, version_diff, label_split_changes, capture_conditions, condition_gaps, underrepresented, cramers_v, shortcut_findings, privacy_patterns, dna_profile, dna_drift, list_samples, quality_labels)}
+QUERIES = {f.__name__: f for f in (version_stats, class_balance, layout_assign, content_hash, sample_index, robust_z, attribute_deviation, quality_rules, quality_escalate, quality_facets, histograms, exact_families, dup_pairs, near_pairs, families_components, family_leaks, split_integrity_exact, contamination_exact, contamination_contains, version_diff, label_split_changes, capture_conditions, condition_gaps, underrepresented, cramers_v, shortcut_findings, privacy_patterns, dna_profile, dna_drift, list_samples, quality_labels)}
 
 _W = r"[^ \t\r\n]+"
 HASHED = SQL_TEXT + r""", hashed as (select *, sha256(text) as raw_sha, sha256(lower(regexp_replace(regexp_replace(text, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g'), '[ \t\r\n]+', ' ', 'g'))) as norm_sha from samples)"""
+NEAR = HASHED + r""", reps as (select sample_id, list_filter(string_split(lower(regexp_replace(regexp_replace(text, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g'), '[ \t\r\n]+', ' ', 'g')), ' '), lambda x: x <> '') as w from hashed where norm_sha is not null qualify row_number() over (partition by norm_sha order by sample_id) = 1),
+ sh as (select distinct sample_id, array_to_string(w[i:i + 4], ' ') as s from (select sample_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from reps where len(w) > 0)),
+ sz as (select sample_id, count(*) as n from sh group by sample_id),
+ cm as (select x.sample_id as a, y.sample_id as b, count(*) as c from sh x join sh y on x.s = y.s and x.sample_id < y.sample_id group by all),
+ near as (select a, b, c / (m.n + k.n - c)::double as jaccard, least(m.n, k.n) / greatest(m.n, k.n)::double as size_ratio from cm join sz m on m.sample_id = a join sz k on k.sample_id = b where c / (m.n + k.n - c)::double >= 0.8 - 1e-9)"""
 _COUNT = "len(regexp_extract_all(t, '{}'))"
 ATTR = SQL_TEXT + rf""", a0 as (select *, coalesce(text, '') as t from samples),
 a1 as (select *, length(t) as chars, {_COUNT.format(_W)} as words, list_filter(string_split(t, chr(10)), lambda x: x <> '') as lines from a0),
@@ -253,8 +271,9 @@ ORACLES = {
     "exact_families": f"with {HASHED} select min(sample_id) as family_id, count(*) as size, count(distinct label) as n_labels, count(distinct raw_sha) as n_raw, string_agg(distinct split, ',' order by split) as splits, count(*) * (count(*) - 1) // 2 as pairs from hashed where norm_sha is not null group by norm_sha having count(*) > 1",
     "dup_pairs": f"with {HASHED} "
     + " union all ".join(f"select m as a, sample_id as b, '{r}' as relation from (select sample_id, min(sample_id) over (partition by {k}) as m from hashed where {k} is not null) where sample_id <> m" for k, r in (("raw_sha", "exact"), ("norm_sha", "normalized"))),
-    "families_components": f"""with recursive {HASHED}, keys as (select sample_id, norm_sha as k from hashed union all select sample_id, label || '|' || substring(text, 1, 40) from hashed where length(text) >= 40),
- star as (select sample_id as b, min(sample_id) over (partition by k) as a from keys), e as (select distinct a, b from star where a <> b), both_ as (select a, b from e union select b, a from e),
+    "near_pairs": f"with {NEAR} select a, b, round(jaccard, 4) as jaccard, round(size_ratio, 4) as size_ratio, case when x.raw_sha = y.raw_sha then 'exact' when x.norm_sha = y.norm_sha then 'normalized' when size_ratio < 0.97 then 'resized' else 'near' end as relation from near join hashed x on x.sample_id = a join hashed y on y.sample_id = b",
+    "families_components": f"""with recursive {NEAR}, e as (select min(sample_id) over (partition by norm_sha) as a, sample_id as b from hashed where norm_sha is not null union all select a, b from near),
+ both_ as (select distinct a, b from e where a <> b union select b, a from e where a <> b),
  reach as (select distinct a as node, a as seen from both_ union select r.node, b.b from reach r join both_ b on r.seen = b.a)
  select node as sample_id, min(seen) as family_id from reach group by node""",
     "family_leaks": f"""with {HASHED}, r as (select norm_sha, raw_sha, count(distinct split) > 1 as x, bool_or(split = 'test') as t from hashed where norm_sha is not null group by all),

@@ -34,12 +34,6 @@ def vector_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("sample_id"), "embedding", "label", split_of(F.col("vec_id")).alias("split"))
 
 
-def pseudo_predictions(vectors: DataFrame) -> DataFrame:
-    """A prediction for each vector from its id alone, so that metrics can be checked in SQL."""
-    i = F.col("sample_id")
-    return vectors.select("sample_id", "label", "split", ((F.col("label") + F.when(i % 4 == 0, 1).otherwise(0)) % 10).alias("pred"), F.round(F.lit(0.5) + (i % 50) / 100.0, 4).alias("conf"))
-
-
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as review decisions: 4,000 cases, five reviewers."""
     e, kind = table(spark, sf_dir, "events"), F.col("event_type")
@@ -60,7 +54,15 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SPLIT = "case when {0} % 10 < 7 then 'train' when {0} % 10 < 8 then 'val' else 'test' end as split"
 SQL_TEXT = f"samples as (select doc_id as sample_id, text, lang as label, source, n_chars, {_SPLIT.format('doc_id')} from documents)"
 SQL_VECTORS = f"vectors as (select vec_id as sample_id, list_transform(embedding, lambda x: cast(x as double)) as embedding, label, {_SPLIT.format('vec_id')} from embeddings)"
-SQL_PREDICTIONS = SQL_VECTORS + ", predictions as (select sample_id, label, split, (label + case when sample_id % 4 = 0 then 1 else 0 end) % 10 as pred, round(0.5 + (sample_id % 50) / 100.0, 4) as conf from vectors)"
+SQL_PROBABILITIES = """folds as (select unnest(range(0, 5)) as f),
+fold_cents as (select f, label as k, list(c order by i) as c from (select f, label, i, avg(embedding[i]) as c from folds join vectors on split = 'train' and sample_id % 5 <> f, range(1, 65) t(i) group by all) group by all),
+fold_e as (select sample_id, label, split, embedding, k, exp(20 * list_inner_product(embedding, c)) as e from vectors join fold_cents on f = sample_id % 5),
+probabilities as (select *, e / sum(e) over (partition by sample_id) as p from fold_e)"""
+SQL_PREDICTIONS = SQL_VECTORS + ", " + SQL_PROBABILITIES + """, fold_ranks as (select *, row_number() over (partition by sample_id order by round(p, 9) desc, k) as r from probabilities),
+predictions as (select sample_id, label, split, max(k) filter (r = 1) as pred, round(max(p) filter (r = 1), 6) as conf, round(coalesce(max(p) filter (k = label), 0), 6) as p_given, round(max(p) filter (r = 1) - coalesce(max(p) filter (r = 2), 0), 6) as gap from fold_ranks group by sample_id, label, split)"""
+SQL_REGIONS = """seeds as (select sample_id as seed, embedding as spot, row_number() over (order by sample_id) - 1 as region from vectors order by sample_id limit 8),
+near_seed as (select sample_id, region, row_number() over (partition by sample_id order by round(list_inner_product(embedding, spot), 9) desc, region) as r from vectors cross join seeds),
+regions as (select sample_id, region from near_seed where r = 1)"""
 SQL_DECISIONS = """decisions as (select event_id as decision_id, event_id % 4000 as case_id, user_id % 5 as reviewer,
   case event_type when 'view' then 'keep' when 'click' then 'relabel' when 'purchase' then 'remove' when 'signup' then 'unsure' else 'escalate' end as action,
   case when event_type = 'click' then cast(floor(value) as integer) % 3 end as target, ts as created_at, event_id % 17 = 0 as undone, event_id % 101 = 0 as adjudicate from events)"""
