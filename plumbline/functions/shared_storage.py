@@ -39,7 +39,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._written_at = path
+    return written
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for ``df``, once nothing reads it any more; other tables are left alone."""
+    if path := getattr(df, "_written_at", None):
+        sc = df.sparkSession.sparkContext
+        place = sc._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
 
 
 _WRITTEN: dict[tuple[str, str, str], DataFrame] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.shared_storage import materialize
+from plumbline.functions.shared_storage import discard, materialize
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
@@ -15,7 +15,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     aggregation (the minimum neighbour, combined before the shuffle) and one join, so a node
     with very many edges is an ordinary skewed join key that adaptive execution splits; no
     neighbour list is ever gathered. The edge set is written to the shared folder every round,
-    which keeps the plan short and survives lost executors.
+    which keeps the plan short and survives lost executors; the round before is deleted then.
 
     Self loops and null ends are ignored; an empty input gives an empty result.
     Returns ``node`` and ``component`` with the type of ``src``.
@@ -41,7 +41,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             .filter("u <> v")
             .distinct()
         )
-        current = materialize(small, "components")
+        last, current = current, materialize(small, "components")
+        discard(last)
         before, state = state, _state(current)
         if before == state:
             break
