@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.shared_storage import materialize
 from plumbline.llm.common import map_batches
+from plumbline.llm.key_filter import split_by_keys
 from plumbline.llm.simhash import hamming_links, majority, shingle_hashes
 from plumbline.operators.graph import connected_components
 
@@ -40,7 +41,7 @@ POSSIBLE = 76  # of 256 bits; at a similarity of 0.8 they are 39 apart, give or
 FEW = 16  # shingles below which fingerprints are too coarse to rule anything out
 SAMPLED, COMMON = 64, 200_000  # one text in SAMPLED is looked at for the COMMON most common shingles
 CROWDED, SEATS = 512, 2048  # buckets of more members are compared in blocks of up to twice SEATS
-SHINGLES = 500_000  # in a block of the verification
+SHINGLES = 100_000  # in a block of the verification
 HUBS = 8  # members that all first blocks of a cluster share
 
 
@@ -82,7 +83,7 @@ def prefix_length(n: int, similarity: float) -> int:
 
 
 def sketches(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``doc_id``, ``row_key`` (of id and text), ``words_key`` (of the words), ``size`` (different shingles), ``prefix`` and ``signature`` of every row."""
+    """``doc_id``, ``row_key`` (of id and text), ``words_key`` (of the words), ``size`` (different shingles), ``prefix``, ``rare`` (how many of the prefix are not common) and ``signature`` of every row."""
     common = common_shingles(docs, width)
     by_hash = np.argsort(common)
     shared = docs.sparkSession.sparkContext.broadcast((common[by_hash], by_hash))  # at most COMMON entries
@@ -91,14 +92,16 @@ def sketches(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFr
         known, rank = shared.value
 
         def first(hashes):
+            rare = len(hashes)
             if len(known):
                 at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
                 order = np.where(known[at] == hashes, rank[at], -1)
-                hashes = hashes[np.argsort(order, kind="stable")]
-            return hashes[: prefix_length(len(hashes), similarity)].view(np.int64)
+                hashes, rare = hashes[np.argsort(order, kind="stable")], int((order < 0).sum())
+            n = prefix_length(len(hashes), similarity)
+            return hashes[:n].view(np.int64), min(rare, n)
 
         def run(batch):
-            out = {k: [] for k in ("row_key", "words_key", "size", "prefix", "signature")}
+            out = {k: [] for k in ("row_key", "words_key", "size", "prefix", "rare", "signature")}
             for i, t in zip(batch.column(0), batch.column(1)):
                 text = t.as_py() or ""
                 data = text.encode()
@@ -106,13 +109,15 @@ def sketches(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFr
                 out["words_key"].append(hashlib.md5(b" ".join(data.lower().split())).hexdigest())
                 hashes = np.unique(shingle_hashes(text, width))
                 out["size"].append(len(hashes))
-                out["prefix"].append(first(hashes))
+                prefix, rare = first(hashes)
+                out["prefix"].append(prefix)
+                out["rare"].append(rare)
                 out["signature"].append(wide_fingerprint(hashes, WORDS).view(np.int64))
             return out | {"doc_id": batch.column(0)}
 
         return run
 
-    schema = "doc_id bigint, row_key string, words_key string, size int, prefix array<bigint>, signature array<bigint>"
+    schema = "doc_id bigint, row_key string, words_key string, size int, prefix array<bigint>, rare int, signature array<bigint>"
     return map_batches(docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].alias("text")), schema, make, rows_at_once=500)
 
 
@@ -124,17 +129,34 @@ def row_key_column(doc_id, text):
     return F.concat(F.coalesce(doc_id.cast("bigint").cast("string"), F.lit("None")), F.lit("|"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def distinct_texts(rows: DataFrame) -> DataFrame:
-    """A numbered ``node`` for each text: ``words_key``, ``copies``, its first row (``doc_id``, ``row_key``, ``is_null``), ``size``, ``prefix`` and ``signature``."""
-    one = F.min(F.struct(F.col("doc_id").isNull().alias("is_null"), "doc_id", "row_key", "size", "prefix", "signature"))
-    texts = rows.groupBy("words_key").agg(F.count("*").alias("copies"), one.alias("o"))
-    return materialize(texts.select(F.monotonically_increasing_id().alias("node"), "words_key", "copies", "o.*"), "texts")
+def distinct_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A numbered ``node`` for each text (its first row, by id and text), and the ``row_key`` of the rows that repeat a text.
+
+    Texts are told apart by their keys alone; sketches are not shuffled.
+    """
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("is_null"), "doc_id", "row_key"))
+    several = rows.groupBy("words_key").agg(F.count("*").alias("n"), one["row_key"].alias("first")).filter("n > 1")
+    several = materialize(several, "repeated-texts")
+    again, alone = split_by_keys(rows, several.select("words_key"), "words_key")
+    again = again.join(several, "words_key", "left")
+    copies = materialize(again.filter("row_key <> first").select("row_key"), "copies")
+    first = again.filter("first is null or row_key = first").drop("n", "first").dropDuplicates(["row_key"])
+    nodes = alone.unionByName(first).withColumn("is_null", F.col("doc_id").isNull()).drop("words_key")
+    return materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "texts"), copies
 
 
 def shared_seats(nodes: DataFrame) -> DataFrame:
-    """``key``, ``node``, ``size``, ``at`` (place in the order) and ``anchor`` of every seat in a bucket of several members."""
-    keys = nodes.select("node", "size", F.posexplode("prefix").alias("at", "key"))
-    return keys.join(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("anchor")).filter("n > 1").select("key", "anchor"), "key")
+    """``key``, ``node``, ``size``, ``at`` (place in the order) and ``anchor`` of every seat in a bucket of several members.
+
+    Buckets of rare shingles are small and are looked at where a shuffle brings them together;
+    those of common ones may be very large, so they are counted first and then joined.
+    """
+    seats = nodes.select("node", "size", "rare", F.posexplode("prefix").alias("at", "key"))
+    bucket = Window.partitionBy("key")
+    rare = seats.filter("at < rare").drop("rare").withColumns({"n": F.count("*").over(bucket), "anchor": F.min("node").over(bucket)}).filter("n > 1").drop("n")
+    common = seats.filter("at >= rare").drop("rare")
+    full = common.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("anchor")).filter("n > 1").select("key", "anchor")
+    return rare.select("key", "node", "size", "at", "anchor").unionByName(common.join(full, "key").select("key", "node", "size", "at", "anchor"))
 
 
 def _sizes_allow(a: str, b: str, similarity: float):
@@ -268,6 +290,7 @@ def _verified(members: DataFrame, texts: DataFrame, width: int, similarity: floa
 def verified_links(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, width: int, similarity: float, shingles: int = SHINGLES) -> DataFrame:
     """A forest of the links between texts of a cluster (``node``, ``cluster``): their connected components are exact."""
     texts = docs.select(row_key_column(docs["doc_id"], docs["text"]).alias("row_key"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    texts, _ = split_by_keys(texts, clusters.join(nodes.select("node", "row_key"), "node").select("row_key"), "row_key")
     per_cluster = clusters.join(nodes.select("node", "size"), "node").groupBy("cluster").agg(F.ceil(F.sum("size") / shingles).cast("int").alias("chunks"))
     members = clusters.join(nodes.select("node", "row_key", "size", "signature"), "node").join(per_cluster, "cluster")
     members = materialize(members.withColumn("chunk", F.pmod(F.xxhash64("node"), F.greatest("chunks", F.lit(1))).cast("int")), "members")
@@ -295,10 +318,10 @@ def verified_links(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, width
     return links.unionByName(materialize(_verified(askers.unionByName(asked), texts, width, similarity), "links"))
 
 
-def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, shingles: int = SHINGLES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The sketch of every row, the different texts, and ``node`` with ``component`` of all texts that have a link to another text."""
+def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, shingles: int = SHINGLES) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The sketch of every row, the different texts, the rows that repeat one, and ``node`` with ``component`` of all texts that have a link to another text."""
     rows = materialize(sketches(docs, width, similarity), "sketches")
-    nodes = distinct_texts(rows)
+    nodes, copies = distinct_texts(rows)
     seats = materialize(shared_seats(nodes), "seats")
     met = seats.filter("node <> anchor").select(F.col("node").alias("a"), F.col("anchor").alias("b")).unionByName(looked_up(nodes)).distinct()
     clusters = materialize(connected_components(possible(met, nodes, similarity), "a", "b").withColumnRenamed("component", "cluster"), "clusters")
@@ -309,7 +332,7 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0
         every = clusters.unionByName(alone)
         clusters = materialize(every.join(merged, every["cluster"] == merged["node"], "left").select(every["node"], F.coalesce("into", "cluster").alias("cluster")), "clusters")
     links = verified_links(docs, nodes, clusters, width, similarity, shingles)
-    return rows, nodes, materialize(connected_components(links, "a", "b"), "groups")
+    return rows, nodes, copies, materialize(connected_components(links, "a", "b"), "groups")
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, shingles: int = SHINGLES) -> DataFrame:
@@ -322,17 +345,16 @@ def without_near_duplicates(docs: DataFrame, width: int = 5, similarity: float =
     copies. Very long texts are compared whole. Other columns may have any names. An empty table
     gives no rows.
     """
-    rows, nodes, found = near_duplicate_groups(docs, width, similarity, shingles)
+    rows, nodes, copies, found = near_duplicate_groups(docs, width, similarity, shingles)
     # Copies of a text give way to its first row; texts of a group give way to the first of these.
-    copied = nodes.filter("copies > 1").select("words_key", F.col("row_key").alias("first"))
-    copies = rows.select("row_key", "words_key").join(copied, "words_key").filter("row_key <> first").select("row_key")
     grouped = nodes.join(found, "node")
     keeper = grouped.groupBy("component").agg(F.min(F.struct("is_null", "doc_id", "row_key")).alias("k")).select(F.col("k.row_key").alias("row_key"))
     near = grouped.select("row_key").join(keeper, "row_key", "left_anti")
     gone = materialize(copies.unionByName(near).distinct().withColumnRenamed("row_key", "__key"), "gone")
     repeated = materialize(rows.groupBy("row_key").count().filter("count > 1").select(F.col("row_key").alias("__key")), "repeated")
     keyed = docs.withColumn("__key", row_key_column(docs["doc_id"], docs["text"]))
-    left = keyed.join(gone, "__key", "left_anti")
+    maybe, stay = split_by_keys(keyed, gone, "__key")
+    left = stay.unionByName(maybe.join(gone, "__key", "left_anti"))
     if not repeated.isEmpty():
         left = left.join(repeated, "__key", "left_anti").unionByName(left.join(repeated, "__key", "left_semi").dropDuplicates(["__key"]))
     return left.select(*docs.columns)
