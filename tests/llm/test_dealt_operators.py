@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -445,6 +446,34 @@ def test_slots_depend_on_seed_and_rows_alone(spark):
     assert all(sorted(v) == list(range(len(v))) for v in numbers.values())
 
 
+def spark_hash(*values, seed=42):
+    """Spark's xxhash64 of ints ("i"), longs ("q") and texts: XXH64 of each value's bytes, seeded with the hash so far."""
+    for kind, v in values:
+        seed = xxhash.xxh64(v.encode() if kind == "s" else struct.pack("<" + kind, v), seed=seed & (2**64 - 1)).intdigest()
+    return seed - 2**64 if seed >= 2**63 else seed
+
+
+def test_slots_equal_brute_force(spark):
+    rows = [(i, f"text {i * 7 % 90} é") for i in range(400)]
+    shards, seed, bucket_bytes = 5, 11, 2000
+    found = external_shuffle.shuffle_to_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shards=shards, seed=seed, bucket_bytes=bucket_bytes)
+    got = {r.doc_id: (r.shard, r.slot) for r in found.collect()}
+    buckets = max(1, -(-sum(len(t.encode()) + 64 for _, t in rows) // bucket_bytes))
+    held = defaultdict(list)
+    for i, t in rows:
+        luck = spark_hash(("i", seed + 1), ("q", spark_hash(("i", seed), ("q", i), ("s", t))), ("q", 0))
+        held[luck % buckets].append((luck, i))
+    want, filled = {}, Counter()
+    for b in sorted(held):
+        members = sorted(held[b])
+        for k in external_shuffle.fisher_yates(len(members), (seed, b)):
+            i = members[k][1]
+            shard = max((spark_hash(("i", seed), ("i", s), ("q", i)), s) for s in range(shards))[1]
+            want[i] = (shard, filled[shard])
+            filled[shard] += 1
+    assert got == want and buckets > 5
+
+
 # 8 ---------------------------------------------------------------------------------------------
 
 def test_escape_is_reversible(spark):
@@ -690,6 +719,19 @@ def test_clusters_of_many_blocks_are_compared_in_full(spark, shingles):
     assert sorted(r.doc_id for r in near_dedup.without_near_duplicates(df, shingles=shingles).collect()) == want
 
 
+def test_split_by_keys_loses_no_key(spark, monkeypatch):
+    from plumbline.llm import key_filter
+
+    rows = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("key"), F.lit(1).alias("x")).unionByName(spark.createDataFrame([(None, 2)], "key string, x int"))
+    keys = rows.filter("x = 1 and substr(key, 2) % 7 = 0").select("key")
+    for bits in (2**27, key_filter.PAGE):
+        monkeypatch.setattr(key_filter, "MOST_BITS", bits)
+        maybe, no = key_filter.split_by_keys(rows, keys, "key")
+        assert maybe.join(keys, "key", "left_semi").count() == keys.count() and no.join(keys, "key", "left_semi").count() == 0
+        assert maybe.count() + no.count() == 5001 and maybe.count() < 1200 and no.filter("key is null").count() == 1
+    assert key_filter.split_by_keys(rows, keys.limit(0), "key")[1].count() == 5001
+
+
 @pytest.mark.parametrize("n", [9, 60, 300])
 def test_near_dedup_finds_passages_added_cut_and_replaced(spark, n):
     rnd = random.Random(n)
@@ -750,6 +792,61 @@ def test_automaton_forbids_what_merges_would_join():
 
 # pipeline --------------------------------------------------------------------------------------
 
+def run_pipeline(spark, folder):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
+
+
+def test_pipeline_equals_brute_force(spark, sf_dir, codecs):
+    """Each stage by plain means: scores of operator 2, all pairs of texts, dictionaries of cells, the library's tokenizer."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    clean = {r.doc_id for r in QUERIES["op2_toxicity"](spark, sf_dir).collect() if not r.predicted}
+    docs = sorted((r for r in docs if r.doc_id in clean), key=lambda r: r.doc_id)
+    docs = [docs[i] for i in kept_by_brute_force(["".join(c.lower() if "A" <= c <= "Z" else c for c in r.text or "") for r in docs])]
+    topic = lambda t: next((n for n, p in source_mixing.TOPICS if re.search(p, t)), "prose")
+    cell = {r.doc_id: (r.source or source_mixing.NONE, r.lang or source_mixing.NONE, topic(r.text or "")) for r in docs}
+    tokens = Counter()
+    for r in docs:
+        tokens[cell[r.doc_id]] += len(re.findall(r"[^ \t\r\n]+", r.text or ""))
+    total, weight = sum(tokens.values()), {c: 0.7 * n for c, n in tokens.items()}
+    level = lambda of: [sum(of[c] for c in tokens if c[m] == v) for m in range(3) for v in sorted({c[m] for c in tokens})]
+    names = [(m, v) for m in range(3) for v in sorted({c[m] for c in tokens})]
+    have = dict(zip(names, level(tokens)))
+    goal = {(m, v): 0.7 * total * have[m, v] ** 0.8 / sum(have[k] ** 0.8 for k in names if k[0] == m) for m, v in names}
+    for _ in range(20):
+        for m in range(3):
+            now = Counter()
+            for c, w in weight.items():
+                now[c[m]] += w
+            weight = {c: min(w * (goal[m, c[m]] / now[c[m]] if now[c[m]] else 1.0), tokens[c]) for c, w in weight.items()}
+    luck = lambda i: int(hashlib.md5(f"42|{i}".encode()).hexdigest()[:8], 16) / 2**32
+    docs = [r for r in docs if luck(r.doc_id) < (round(weight[cell[r.doc_id]] / tokens[cell[r.doc_id]], 9) if tokens[cell[r.doc_id]] else 1.0)]
+    want = {}
+    for r in docs:
+        ids = codecs[1].encode(r.text or "", add_special_tokens=False).ids
+        want[r.doc_id] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest())
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in run_pipeline(spark, sf_dir).collect()}
+    assert got == want and 50 < len(got) < len(clean)
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd, tmp_path):
+    """Every stage gets nulls, repeats, empty and very long texts and extra columns; then nothing at all."""
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(1, 1, 0), (None, 0, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+    for name, docs in (("odd", odd), ("empty", odd.limit(0))):
+        folder = str(tmp_path / name)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        at = docs
+        for stage, function in corpus_pipeline.STAGES:
+            at = function(spark, at, folder)
+            assert stage == "bpe" or at.columns == docs.columns
+        kept = [r.doc_id for r in run_pipeline(spark, folder).collect()]
+        assert set(kept) <= {1, 2, None, 5, 6} and len(kept) == len(set(kept)) and (name == "odd") == bool(kept)
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline
 
