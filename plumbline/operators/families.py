@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 REAL_SPLITS = ("train", "val", "test")
@@ -97,12 +97,13 @@ def contamination_contains(samples: DataFrame, passages: DataFrame, width: int =
     """
     blank = r"[ \t\r\n]+"
     cut = passages.filter("text is not null and text <> ''").withColumn("w", F.split("text", blank)).withColumn("k", F.least(F.size("w") - 2, F.lit(width)))
-    keys = cut.filter("k > 0").select("item_id", F.col("text").alias("passage"), "k", F.xxhash64(F.array_join(F.slice("w", F.lit(2), F.col("k")), " ")).alias("key"))
+    numbers = lambda words: F.transform(words, lambda w: F.xxhash64(w))
+    keys = cut.filter("k > 0").select("item_id", F.col("text").alias("passage"), "k", F.xxhash64(F.slice(numbers(F.col("w")), F.lit(2), F.col("k"))).alias("key"))
     texts = samples.filter("text is not null").select("sample_id", "text")
-    words = texts.select("sample_id", F.split("text", blank).alias("w"))
+    words = texts.select("sample_id", numbers(F.split("text", blank)).alias("w"))
     found = []
     for k in sorted(r["k"] for r in keys.select("k").distinct().collect()):  # at most ``width`` numbers
-        inner = F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(k)), " ")))  # noqa: B023
+        inner = F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i: F.xxhash64(F.slice("w", i, F.lit(k))))  # noqa: B023
         windows = words.filter(F.size("w") >= k).select("sample_id", F.explode(F.array_distinct(inner)).alias("key"))
         found.append(windows.join(keys.filter(F.col("k") == k), "key").select("sample_id", "item_id", "passage"))
     short = cut.filter("k <= 0").select("item_id", F.col("text").alias("passage"))
@@ -130,12 +131,14 @@ def family_signatures(hashed: DataFrame, key: str = "norm_sha") -> DataFrame:
 
 
 def export_clean(samples: DataFrame, final: DataFrame) -> DataFrame:
-    """The cleaned version: removed samples go, relabelled ones move, names that meet get a suffix.
+    """The cleaned version: removed samples go, relabelled ones move, and of samples that would have one name all but the first get a suffix of content and id.
 
-    ``final`` has ``sample_id``, ``action`` (keep, remove, relabel) and ``target``.
+    ``final`` has ``sample_id``, ``action`` (keep, remove, relabel) and ``target``. Names are few and
+    shared by many samples, so the first of each is an aggregate, not the head of a sorted group.
     """
     kept = samples.join(final.select("sample_id", "action", "target"), "sample_id", "left").filter("coalesce(action, 'keep') <> 'remove'")
     label = F.when(F.col("action") == "relabel", F.col("target")).otherwise(F.col("label"))
     named = kept.select("sample_id", "split", label.alias("label"), F.coalesce("action", F.lit("keep")).alias("action"), F.substring("raw_sha", 1, 8).alias("sha8"), "raw_sha", F.concat_ws("/", "split", label, F.concat(F.col("source"), F.lit(".txt"))).alias("path"))
-    nth = F.row_number().over(Window.partitionBy("path").orderBy("sample_id"))
-    return named.withColumn("path", F.when(nth > 1, F.regexp_replace("path", r"\.txt$", F.concat(F.lit("-"), F.col("sha8"), F.lit("-"), nth.cast("string"), F.lit(".txt")))).otherwise(F.col("path"))).drop("sha8")
+    first = named.groupBy("path").agg(F.min("sample_id").alias("first"))
+    suffixed = F.regexp_replace("path", r"\.txt$", F.concat_ws("-", F.lit(""), F.coalesce("sha8", F.lit("")), F.concat(F.col("sample_id").cast("string"), F.lit(".txt"))))
+    return named.join(first, "path").withColumn("path", F.when(F.col("sample_id") == F.col("first"), F.col("path")).otherwise(suffixed)).drop("sha8", "first")

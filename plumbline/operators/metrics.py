@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.ranges import ranked as in_order
+
 
 def confusion(predictions: DataFrame) -> DataFrame:
     return predictions.groupBy("label", "pred").agg(F.count("*").alias("n"))
@@ -36,25 +38,23 @@ def ece(predictions: DataFrame, bins: int = 15) -> DataFrame:
 
 
 def average_precision(ranked: DataFrame, score: str, truth: str) -> DataFrame:
-    """Average precision of ``truth`` by falling ``score`` (ties by id), and precision and recall at 40 and 80.
-
-
-
-    """
-    w = Window.orderBy(F.desc(score), "sample_id")
-    t = F.col(truth).cast("int")
-    r = ranked.select("sample_id", score, t.alias("t")).withColumns({"rk": F.row_number().over(w), "hits": F.sum("t").over(w)})
+    """Average precision of ``truth`` by falling ``score`` (ties by id), and precision and recall at 40 and 80."""
+    r = ranked_by(ranked, score, truth)
     at = lambda k: F.sum(F.when(F.col("rk") <= k, F.col("t")).otherwise(0))
     n = F.sum("t")
-    return r.agg(F.round(F.sum(F.col("t") * F.col("hits") / F.col("rk")) / n, 6).alias("ap"), F.round(at(40) / 40, 6).alias("p40"), F.round(at(40) / n, 6).alias("r40"), F.round(at(80) / 80, 6).alias("p80"), F.round(at(80) / n, 6).alias("r80"))
+    return r.agg(F.round(F.sum(F.col("t") * F.col("t_sum") / F.col("rk")) / n, 6).alias("ap"), F.round(at(40) / 40, 6).alias("p40"), F.round(at(40) / n, 6).alias("r40"), F.round(at(80) / 80, 6).alias("p80"), F.round(at(80) / n, 6).alias("r80"))
+
+
+def ranked_by(rows: DataFrame, score: str, truth: str) -> DataFrame:
+    """``t`` (0 or 1), its rank ``rk`` by falling score and ``t_sum``, the true ones up to it."""
+    return in_order(rows.select("sample_id", score, F.col(truth).cast("int").alias("t")), [F.desc(score), F.col("sample_id")], ("t",))
 
 
 def review_effort(ranked: DataFrame, score: str, truth: str, levels: tuple[float, ...] = (0.5, 0.8)) -> DataFrame:
     """Reviews in score order until a share of the true ones is found, and how many a random order takes."""
-    w = Window.orderBy(F.desc(score), "sample_id")
-    r = ranked.select(F.row_number().over(w).alias("rk"), F.sum(F.col(truth).cast("int")).over(w).alias("hits"))
+    r = ranked_by(ranked, score, truth).select("rk", F.col("t_sum").alias("hits"))
     total = r.agg(F.max("hits").alias("n"), F.count("*").alias("rows"))
-    j = r.crossJoin(total).select("*", F.explode(F.array(*[F.lit(x) for x in levels])).alias("recall"))
+    j = r.crossJoin(total).select("*", F.explode(F.array(*[F.lit(x) for x in levels])).alias("recall"))  # one row
     return j.filter(F.col("hits") >= F.ceil(F.col("recall") * F.col("n"))).groupBy("recall").agg(F.min("rk").cast("bigint").alias("reviews"), F.max(F.round(F.ceil(F.col("recall") * F.col("n")) * (F.col("rows") + 1) / (F.col("n") + 1), 4)).alias("random_reviews"))
 
 

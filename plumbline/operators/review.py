@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,25 +72,30 @@ def review_budget(cases: DataFrame, max_items: int, max_minutes: float) -> DataF
 
 
 def ledger_append(entries: DataFrame) -> DataFrame:
-    """Chain ``entries`` (org, seq, event_type, entity, payload, ts): each hash covers the one before.
+    """Chain ``entries`` (org, seq, event_type, entity, payload, ts): each hash covers the one before (``prev``, ``hash``).
 
-    A chain is sequential by definition, so an organisation's entries are folded in order in one
-    value; ``ledger_verify`` checks all entries in parallel.
+    A chain is sequential by definition, so an organisation's entries pass through one task in
+    order; but they stream, and only the last hash is kept, so that nothing is gathered.
+    ``ledger_verify`` checks all entries in parallel.
     """
     body = F.concat_ws("\x1f", "event_type", F.col("entity").cast("string"), F.sha2("payload", 256), F.col("ts").cast("string"))
-    rows = entries.groupBy("org").agg(F.array_sort(F.collect_list(F.struct("seq", body.alias("body"), F.sha2("payload", 256).alias("payload_sha")))).alias("rows"))
-    start = F.struct(F.lit("0" * 64).alias("prev"), F.array().cast("array<struct<seq: bigint, prev: string, hash: string>>").alias("chain"))
-    fold = F.aggregate(
-        "rows",
-        start,
-        lambda acc, r: F.struct(
-            F.sha2(F.concat_ws("\x1f", acc["prev"], r["body"]), 256).alias("prev"),
-            F.concat(acc["chain"], F.array(F.struct(r["seq"].cast("bigint").alias("seq"), acc["prev"].alias("prev"), F.sha2(F.concat_ws("\x1f", acc["prev"], r["body"]), 256).alias("hash")))).alias("chain"),
-        ),
-        lambda acc: acc["chain"],
-    )
-    chained = rows.select("org", F.explode(fold).alias("c")).select("org", "c.*")
-    return entries.join(chained, ["org", "seq"])
+    rows = entries.select("org", "seq", body.alias("body")).repartition("org").sortWithinPartitions("org", "seq")
+    key = rows.schema["org"].dataType.simpleString()
+    kind = rows.schema["seq"].dataType.simpleString()
+
+    def chain(batches):
+        org, prev, begun = None, "0" * 64, False
+        for batch in batches:
+            before, after = [], []
+            for o, body in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if not begun or o != org:
+                    org, prev, begun = o, "0" * 64, True
+                before.append(prev)
+                prev = hashlib.sha256((prev + "\x1f" + body).encode()).hexdigest()
+                after.append(prev)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(before, pa.string()), pa.array(after, pa.string())], names=["org", "seq", "prev", "hash"])
+
+    return entries.join(rows.mapInArrow(chain, f"org {key}, seq {kind}, prev string, hash string"), ["org", "seq"])
 
 
 def ledger_verify(ledger: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.shared_storage import materialize
+from plumbline.operators.ranges import ranked
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -81,15 +81,22 @@ def hamming_join(hashes: DataFrame, max_distance: int, bands: int = 4) -> DataFr
     """Pairs ``a`` < ``b`` of ids whose 64-bit ``hash`` differs in at most ``max_distance`` bits, and ``distance``.
 
     Multi-index hashing: of ``bands`` equal parts one differs in at most max_distance // bands
-    bits; each hash is looked up under all values within that distance, by equi-join.
+    bits; each hash is looked up under all values within that distance, by equi-join. Different
+    hashes meet through the smallest id that has them; of equal hashes each id is paired with that
+    one alone (distance 0), so that many copies give a star and not all their pairs.
     """
+    every = hashes.filter("hash is not null")
+    first = every.groupBy("hash").agg(F.min("sample_id").alias("first"))
+    star = every.join(first, "hash").filter("sample_id <> first").select(F.col("first").alias("a"), F.col("sample_id").alias("b"), F.lit(0).alias("distance"))
+    hashes = first.select(F.col("first").alias("sample_id"), "hash")
     width = 64 // bands
     masks = [sum(1 << i for i in c) for r in range(max_distance // bands + 1) for c in combinations(range(width), r)]
     part = lambda i: F.shiftrightunsigned("hash", i * width).bitwiseAND(F.lit((1 << width) - 1))
     table = hashes.select("sample_id", "hash", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), part(i).alias("key")) for i in range(bands)])).alias("t")).select("sample_id", "hash", "t.band", "t.key")
     probes = table.select(F.col("sample_id").alias("a"), F.col("hash").alias("ha"), "band", F.explode(F.transform(F.array(*[F.lit(m).cast("bigint") for m in masks]), lambda m: F.col("key").bitwiseXOR(m))).alias("key"))
     distance = F.bit_count(F.col("ha").bitwiseXOR(F.col("hash")))
-    return probes.join(table, ["band", "key"]).filter((F.col("a") < F.col("sample_id")) & (distance <= max_distance)).select("a", F.col("sample_id").alias("b"), distance.alias("distance")).distinct()
+    near = probes.join(table, ["band", "key"]).filter((F.col("a") < F.col("sample_id")) & (distance <= max_distance)).select("a", F.col("sample_id").alias("b"), distance.alias("distance")).distinct()
+    return near.unionByName(star)
 
 
 def local_density(knn: DataFrame, k: int) -> DataFrame:
@@ -98,16 +105,9 @@ def local_density(knn: DataFrame, k: int) -> DataFrame:
 
 
 def percentile_rank(df: DataFrame, value: str, out: str = "pct") -> DataFrame:
-    """Stable rank / (n - 1), ties by id.
-
-    Ranks are positions within ranges of the value plus the sizes of the ranges before, so no
-    single task sorts everything.
-    """
+    """Stable rank / (n - 1), ties by id."""
     n = df.count()
-    ordered = materialize(df.repartitionByRange(F.col(value), F.col("sample_id")).withColumn("__p", F.spark_partition_id()), "ranges")
-    sizes = ordered.groupBy("__p").count().withColumn("__before", F.coalesce(F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = F.row_number().over(Window.partitionBy("__p").orderBy(value, "sample_id"))
-    return ordered.withColumn("__r", within).join(sizes.select("__p", "__before"), "__p").withColumn(out, (F.col("__before") + F.col("__r") - 1) / F.lit(float(max(1, n - 1)))).drop("__p", "__r", "__before")
+    return ranked(df, [F.col(value), F.col("sample_id")]).withColumn(out, (F.col("rk") - 1) / F.lit(float(max(1, n - 1)))).drop("rk")
 
 
 def neighbor_label_stats(knn: DataFrame, labels: DataFrame, skip: DataFrame | None = None) -> DataFrame:

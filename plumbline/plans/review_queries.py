@@ -202,6 +202,6 @@ ORACLES = {
  {{'check': 'coverage', 'outcome': case when gaps_high > 0 then 'warn' else 'pass' end}}, {{'check': 'review_queue', 'outcome': case when unresolved_cases >= 1 then 'warn' else 'pass' end}}, {{'check': 'provenance', 'outcome': case when 1 - provenance_coverage > 0.5 then 'warn' else 'pass' end}}], recursive := true) from facts)
  select "check", outcome, (select case when bool_or(outcome = 'block') then 'BLOCKED' when bool_or(outcome = 'warn') then 'READY_WITH_WARNINGS' else 'READY' end from c) as status from c""",
     "contract": f"with {FACTS} " + " union all ".join(f"select '{m}' as metric, '{op}' as op, {float(v)}::double as expected, round({m}::double, 5) as actual, {m} {'=' if op == '==' else op} {v} as passed from facts" for m, op, v in CONTRACT),
-    "export_clean": f"with {texts.HASHED}, {ACTIVE}, f as (select case_id as sample_id, split_part(final, ':', 1) as action, nullif(split_part(final, ':', 2), '') as target from st where final is not null), k as (select sample_id, split, case when action = 'relabel' then target else label end as label, coalesce(action, 'keep') as action, source, raw_sha from hashed left join f using (sample_id) where coalesce(action, 'keep') <> 'remove'), p as (select *, concat_ws('/', split, label, source || '.txt') as path from k), n as (select *, row_number() over (partition by path order by sample_id) as i from p) select sample_id, split, label, action, case when i > 1 then regexp_replace(path, '\\.txt$', '-' || substring(raw_sha, 1, 8) || '-' || i || '.txt') else path end as path from n",
+    "export_clean": f"with {texts.HASHED}, {ACTIVE}, f as (select case_id as sample_id, split_part(final, ':', 1) as action, nullif(split_part(final, ':', 2), '') as target from st where final is not null), k as (select sample_id, split, case when action = 'relabel' then target else label end as label, coalesce(action, 'keep') as action, source, raw_sha from hashed left join f using (sample_id) where coalesce(action, 'keep') <> 'remove'), p as (select *, concat_ws('/', split, label, source || '.txt') as path from k), n as (select *, row_number() over (partition by path order by sample_id) as i from p) select sample_id, split, label, action, case when i > 1 then regexp_replace(path, '\\.txt$', '-' || coalesce(substring(raw_sha, 1, 8), '') || '-' || sample_id || '.txt') else path end as path from n",
     "change_set": f"with {texts.SQL_TEXT}, {ACTIVE}, a as (select sample_id, case when final = 'remove' then case when split = 'train' then 'remove' else 'eval_drop' end when final like 'relabel%' then 'relabel' end as effect from samples join st on case_id = sample_id where final is not null), b as (select * from a where effect is not null) select effect, count(*) as n, sum(sample_id)::bigint as ids from b where sample_id % 41 <> 0 group by effect union all select 'protected', count(*), sum(sample_id)::bigint from b where sample_id % 41 = 0",
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.shared_storage import written_once
 from plumbline.operators import families, near_text, profile, shortcuts
 from plumbline.operators.graph import connected_components
+from plumbline.operators.ranges import ranked
 from plumbline.sources.bindings import SQL_TEXT, text_samples
 from plumbline.sources.layout import assign_layout
 from plumbline.sources.tables import table
@@ -46,10 +47,10 @@ def content_hash(spark, d):
 
 
 def sample_index(spark, d):
-    from plumbline.operators.similarity import percentile_rank
-
-    s = text_samples(spark, d).select("sample_id", "n_chars")
-    return percentile_rank(s, "n_chars").select("sample_id", F.round("pct", 6).alias("pct"))
+    """A gapless index from 0 by path (label, source, id), and the class's number by name."""
+    s = text_samples(spark, d).select("sample_id", F.concat_ws("/", F.coalesce("label", F.lit("")), F.coalesce("source", F.lit("")), F.lpad(F.col("sample_id").cast("string"), 12, "0")).alias("path"), "label")
+    classes = ranked(s.select("label").distinct(), [F.col("label")]).select("label", (F.col("rk") - 1).alias("class_index"))
+    return ranked(s, [F.col("path")]).join(classes, "label", "left").select("sample_id", "path", (F.col("rk") - 1).cast("bigint").alias("idx"), F.col("class_index").cast("bigint").alias("class_index"))
 
 
 def robust_z(spark, d):
@@ -260,7 +261,7 @@ ORACLES = {
     "layout_assign": """select 'corpus/' || case when doc_id % 10 < 7 then 'Train' when doc_id % 10 < 8 then 'valid' else 'testing' end || '/' || lang || '/' || source || '_' || doc_id || '.txt' as path,
  case when doc_id % 10 < 7 then 'train' when doc_id % 10 < 8 then 'val' else 'test' end as split, lang as label from documents""",
     "content_hash": f"with {HASHED} select sample_id, raw_sha, norm_sha from hashed",
-    "sample_index": f"with {SQL_TEXT} select sample_id, round((row_number() over (order by n_chars, sample_id) - 1) / greatest(1, count(*) over () - 1)::double, 6) as pct from samples",
+    "sample_index": f"with {SQL_TEXT}, p as (select sample_id, label, concat_ws('/', coalesce(label, ''), coalesce(source, ''), lpad(sample_id::varchar, 12, '0')) as path from samples), c as (select label, row_number() over (order by label) - 1 as class_index from (select distinct label from samples)) select sample_id, path, row_number() over (order by path) - 1 as idx, class_index from p left join c using (label)",
     "robust_z": f"with {ATTR}, {_z(['chars', 'symbols'])} select sample_id, round(chars_z, 6) as chars_z, round(symbols_z, 6) as symbols_z from z",
     "attribute_deviation": f"with {ATTR}, {_z(['chars', 'symbols', 'digits'], 'label')} select sample_id, round(greatest(abs(chars_z), abs(symbols_z), abs(digits_z)), 6) as deviation from z",
     "quality_rules": f"with {QUALITY} select * from quality",

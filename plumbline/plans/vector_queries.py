@@ -304,7 +304,7 @@ ORACLES = {
     "split_integrity_near": f"with {SQL_VECTORS}, x as (select a.sample_id, a.split, max(round({_COS.format('a.embedding', 'b.embedding')}, 4)) as sim from vectors a join vectors b on b.split = 'train' where a.split <> 'train' group by all) select split, count(*) as n, round(quantile_cont(sim, 0.5), 6) as median_sim, count(*) filter (sim >= 0.3) as over_30, count(*) filter (sim >= 0.4) as over_40, count(*) filter (sim >= 0.5) as over_50 from x group by split",
     "failure_links": f"with {FAILURES} select * from links",
     "blame_map": f"with {FAILURES} select sample_id, count(*) as links, count(*) filter (neighbor_label = pred) as supporting_error, count(*) filter (neighbor_label = label) as supporting_truth, max(sim) as closest from links group by sample_id",
-    "sign_hash_pairs": "with s as (select vec_id, list_transform(embedding[1:64], lambda x: (x >= 0)::int) as b from embeddings), p as (select x.vec_id as a, y.vec_id as b, list_sum(list_transform(list_zip(x.b, y.b), lambda z: (z[1] <> z[2])::int)) as distance from s x join s y on x.vec_id < y.vec_id) select a, b, distance::int as distance from p where distance <= 15",
+    "sign_hash_pairs": "with s as (select vec_id, list_transform(embedding[1:64], lambda x: (x >= 0)::int) as b from embeddings), s1 as (select *, min(vec_id) over (partition by b) as root from s), p as (select x.vec_id as a, y.vec_id as b, list_sum(list_transform(list_zip(x.b, y.b), lambda z: (z[1] <> z[2])::int)) as distance from s1 x join s1 y on x.vec_id < y.vec_id and (x.root = y.root and x.root = x.vec_id or x.root <> y.root and x.root = x.vec_id and y.root = y.vec_id)) select a, b, distance::int as distance from p where distance <= 15",
     "metrics_confusion": f"with {SQL_PREDICTIONS} select label, pred, count(*) as n from predictions group by all",
     "metrics_per_class": f"with {_PC} select * from pc",
     "metrics_summary": f"with {_PC}, a as (select count(*) as n, round(avg((label = pred)::int::double), 6) as accuracy, round(avg(-ln(greatest(p_given, 1e-12))), 6) as nll from predictions) select n, accuracy, nll, (select round(avg(recall), 5) from pc) as balanced_accuracy, (select round(avg(f1), 5) from pc) as macro_f1 from a",

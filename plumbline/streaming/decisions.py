@@ -10,8 +10,8 @@ from plumbline.operators.review import active_decisions, case_status
 from plumbline.sources.bindings import decisions
 
 
-def keep_latest(spark: SparkSession, store: str):
-    """A ``foreachBatch`` function that appends each batch's latest votes by (case, reviewer) to ``store``.
+def append_batches(spark: SparkSession, store: str):
+    """A ``foreachBatch`` function that appends each batch of votes to ``store``.
 
     The store has one folder per batch, overwritten if the batch is run again, so that replays
     after a failure change nothing. Late rows are ordered by their own time when read.
@@ -33,6 +33,6 @@ def run_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = scratch_path(spark, "decision-log")
     decisions(spark, sf_dir).repartition(4, F.col("case_id")).write.parquet(source)
     stream = spark.readStream.schema(decisions(spark, sf_dir).schema).option("maxFilesPerTrigger", 2).parquet(source)
-    q = stream.writeStream.foreachBatch(keep_latest(spark, store)).option("checkpointLocation", scratch_path(spark, "decision-progress")).trigger(availableNow=True).start()
+    q = stream.writeStream.foreachBatch(append_batches(spark, store)).option("checkpointLocation", scratch_path(spark, "decision-progress")).trigger(availableNow=True).start()
     q.awaitTermination()
     return live_status(spark, store)
