@@ -129,3 +129,118 @@ def test_streams_equal_batch(spark, sf_dir):
     live = {(str(r.start)[:10], r.event_type): r.n for r in stream_issue_rates(spark, sf_dir).collect()}
     batch = {(r.day, r.event_type): r.n for r in issue_rates_window(spark, sf_dir).collect()}
     assert live and all(batch[k] == n for k, n in live.items())
+
+
+def test_near_pairs_equal_brute_force_and_find_planted_copies(spark):
+    import random
+
+    from plumbline.operators import families, near_text
+
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(600)]
+    texts, planted = [], set()
+    for _ in range(20):
+        base = rnd.sample(words, rnd.randrange(20, 90))
+        edited, longer = list(base), base + rnd.sample(words, max(1, len(base) // 8))
+        edited[len(base) // 2] = "changed"
+        at = len(texts)
+        texts += [" ".join(base), " ".join(edited), " ".join(longer)]
+        planted |= {(at, at + 1)} if len(base) >= 60 else set()
+    texts += [" ".join(rnd.sample(words, 50)) for _ in range(20)] + ["", "one two", "one  two", None, " ".join(words) * 20]
+    df = families.content_hash(spark.createDataFrame(list(enumerate(texts)), "sample_id long, text string"))
+    reps = near_text.representatives(df)
+    found = near_text.classify_pairs(near_text.near_pairs(reps.withColumn("text", families.normal_text())), reps).collect()
+    ids = {r.sample_id for r in reps.collect()}
+    runs = lambda t: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(max(1, len(w) - 4))} if t and t.split() else set()
+    sets = {i: runs(t) for i, t in enumerate(texts) if i in ids and runs(t)}
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert {(r.a, r.b): pytest.approx(r.jaccard) for r in found} == want and planted <= set(want)
+    assert {r.relation for r in found} == {"near", "resized"}
+
+
+def test_ranks_and_sums_by_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from plumbline.operators.ranges import ranked
+
+    rows = [(i, (i * 37) % 11, i % 3) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, v int, w int").repartition(5)
+    got = {r.id: (r.rk, r.w_sum) for r in ranked(df, [F.desc("v"), F.col("id")], ("w",)).collect()}
+    want, total = {}, 0
+    for rk, (i, v, w) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1):
+        total += w
+        want[i] = (rk, total)
+    assert got == want
+    assert ranked(df.limit(0), [F.col("id")]).count() == 0
+
+
+def test_counterfactuals_equal_sums_over_pairs(spark):
+    import numpy as np
+
+    from plumbline.operators import predictions
+
+    rng = np.random.default_rng(5)
+    n, dims, classes = 60, 6, 3
+    x, y = rng.normal(size=(n, dims)), rng.integers(0, classes, n)
+    split = ["train" if i % 10 < 7 else "val" if i % 10 < 8 else "test" for i in range(n)]
+    df = spark.createDataFrame([(i, x[i].tolist(), int(y[i]), split[i]) for i in range(n)], "sample_id long, embedding array<double>, label int, split string")
+    p = predictions.class_probabilities(df)
+    rows = {r.sample_id: [q.p for q in r.probs] for r in p.collect()}
+    probs = np.array([rows[i] for i in range(n)])
+    assert probs.sum(1) == pytest.approx(np.ones(n))
+    for i in range(n):  # a sample's own fold has no part in its centroids
+        others = [j for j in range(n) if split[j] == "train" and j % 5 != i % 5]
+        z = np.exp(20 * np.array([x[i] @ np.mean([x[j] for j in others if y[j] == k], axis=0) for k in range(classes)]))
+        assert probs[i] == pytest.approx(z / z.sum())
+    residual, ev = probs - np.eye(classes)[y], [i for i in range(n) if split[i] != "train"]
+    effect = lambda i, k: sum((probs[i] - np.eye(classes)[k]) @ residual[e] * (x[i] @ x[e] + 1) for e in ev) / dims / len(ev)
+    for r in predictions.counterfactuals(p).collect():
+        i = r.sample_id
+        assert r.influence == pytest.approx(effect(i, y[i]), abs=1e-6)
+        options = {(o.action, o.target): o.delta for o in r.options}
+        assert options[("keep", None)] == 0 and options[("remove", None)] == r.influence
+        for k in range(classes):
+            if k != y[i]:
+                assert options[("relabel", k)] == pytest.approx(effect(i, y[i]) - effect(i, k), abs=2e-6)
+        assert r.best_delta == min(options.values())
+    failed = spark.createDataFrame([(7,), (8,)], "sample_id long")
+    for r in predictions.pair_influence(p, failed, 2).collect():
+        pair = lambda t: residual[r.sample_id] @ residual[t] * (x[r.sample_id] @ x[t] + 1) / dims  # noqa: B023, E731
+        least = sorted(pair(t) for t in range(n) if split[t] == "train")
+        assert r.influence == pytest.approx(least[r.rk - 1], abs=1e-6)
+
+
+def test_label_scores_use_reliability_and_dynamics(spark):
+    from plumbline.operators import labels
+
+    base = "sample_id long, p_given double, neighbor_same double, neighbor_major_share double, centroid_ratio double, density_pct double, dup_conflict boolean, severity double"
+    row = (1, 0.2, 0.5, 0.4, 0.55, 0.5, True, 0.0)
+    plain = labels.score_labels(spark.createDataFrame([row], base)).first()
+    assert plain.suspicion == pytest.approx((0.35 * 0.8 + 0.3 * 0.5 + 0.15 * 0.5 + 0.1) / 0.9)
+    weighted = labels.score_labels(spark.createDataFrame([(*row, 0.5, 0.01, "hard"), (*row, 0.5, 0.01, None)], base + ", reliability_model double, reliability_neighbor double, dynamics string")).collect()
+    num, den = 0.175 * 0.8 + 0.015 * 0.5 + 0.15 * 0.5 + 0.1, 0.175 + 0.015 + 0.25
+    assert [r.suspicion for r in weighted] == pytest.approx([(num + 0.05) / (den + 0.05), num / den])
+
+
+def test_equal_hashes_make_a_star(spark):
+    from plumbline.operators.similarity import hamming_join
+
+    df = spark.createDataFrame([(i, 5) for i in range(20)] + [(50, 7), (51, 7), (60, -1), (61, None)], "sample_id long, hash long")
+    got = sorted((r.a, r.b, r.distance) for r in hamming_join(df, 3).collect())
+    assert got == sorted([(0, i, 0) for i in range(1, 20)] + [(50, 51, 0), (0, 50, 1)])
+
+
+def test_contract_of_sets_and_views(spark):
+    from pyspark.sql import functions as F
+
+    from plumbline.operators import governance, views
+
+    actual = spark.createDataFrame([("splits", ["train", "val"])], "metric string, values array<string>")
+    got = {r.metric: (r.missing, r.passed) for r in governance.contract_includes(actual, [("splits", ["train"]), ("splits", ["train", "test"]), ("other", ["x"])]).collect()}
+    assert got["other"] == ("x", False) and got["splits"] in (("", True), ("test", False))
+    rows = spark.createDataFrame([(i, "AB"[i % 2], ["x"] if i % 3 else ["y", "x"], f"Name {i}") for i in range(30)], "id long, kind string, tags array<string>, name string")
+    fit = views.matching(rows, equals={"kind": ["A"]}, contains={"tags": "y"}, like={"name": "name 1"})
+    assert sorted(r.id for r in fit.collect()) == [12, 18]
+    page = views.page(rows, [F.desc("id")], limit=5, offset=10).collect()
+    assert [r.id for r in page] == [19, 18, 17, 16, 15] and {r.total for r in page} == {30}
+    assert {(r.facet, r.value): r.n for r in views.facets(rows, "kind").collect()} == {("kind", "A"): 15, ("kind", "B"): 15}
