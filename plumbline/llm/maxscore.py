@@ -72,7 +72,7 @@ def _matrix(group: pa.Table, dims: int, exact: bool) -> np.ndarray:
     return out
 
 
-def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 4096, query_rows: int = 512) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 4096, query_rows: int = 2048) -> DataFrame:
     """The ``k`` best other vectors for every vector whose id is divisible by ``query_every``.
 
     Components become floor(scale * x) and scores are integer inner products. Returns
@@ -85,7 +85,8 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 25
     A null id takes no part. An empty table gives no rows; other columns are ignored.
 
     Queries and vectors are packed into blocks of a bounded number of rows, every query block
-    meets every shard once, and a pair returns k rows per query.
+    meets every shard once, and a pair returns k rows per query. What is moved grows with the
+    number of shards times that of query blocks, so the blocks are as large as memory allows.
     """
     whole = F.transform(F.col(vector_col), lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("bigint"))
     finite = F.forall(F.col(vector_col), lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
