@@ -1,4 +1,10 @@
-"""Four stages from raw documents to token counts; each takes all that the stage before it kept."""
+"""Four stages from raw documents to token counts; each takes all that the stage before it kept.
+
+Every stage takes null, empty and very long texts, null and repeated ids, repeated rows and further
+columns; what it makes of them is said where its operator is defined. Of rows with equal words one
+stays, so repeated rows and all but one of the texts without words end with the second stage. An
+empty table passes through as such.
+"""
 
 from __future__ import annotations
 

@@ -251,7 +251,8 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     integers), ``decoded_sha256`` (UTF-8) and, with ``with_ids``, ``ids`` as binary and ``decoded``.
 
     A null text counts as empty (no tokens). Ids may be null or repeated: there is one row per
-    input row. Other columns are ignored, whatever their names; an empty table gives no rows.
+    input row. Very long texts are encoded whole, in time linear in their length. Other columns are
+    ignored, whatever their names; an empty table gives no rows.
     The vocabulary (a fixed file of a few MB) is broadcast; rows are independent, so nothing is
     shuffled. Added tokens of the file are matched first, as literal strings.
     """

@@ -157,7 +157,8 @@ def near_duplicate_classes(docs: DataFrame, width: int = 3, distance: int = 3, s
 
     Null, empty and wordless texts have fingerprint zero and are linked like any other. Repeated
     rows and ids stay, one row each. Null ids are kept and get the class of their fingerprint
-    (null only if all reachable ids are null). An empty table gives no rows; other columns are ignored.
+    (null only if all reachable ids are null). Very long texts are read whole, in time linear in
+    their length. An empty table gives no rows; other columns are ignored.
     """
     rows = materialize(fingerprints(docs, width, id_col, text_col), "fingerprints")
     nodes = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "fingerprint-nodes")

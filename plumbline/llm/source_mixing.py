@@ -2,8 +2,9 @@
 
 Documents are tallied into cells of (source, language, topic). Fitting scales the cells' token
 weights to the target share of each source, each language and each topic in turn, never over the
-tokens a cell has, until all three margins agree. A document is then kept with the probability
-weight / tokens of its cell, by a hash of its id and a seed.
+tokens a cell has, for a given number of sweeps; ``residuals`` tells how far the margins still are
+from their targets then. A document is kept with the probability weight / tokens of its cell, by a
+hash of its id and a seed.
 
 Every level is fitted as itself, however many there are. A tally whose margins have at most
 ``max_levels`` levels each is gathered and fitted at once; a larger one stays a Spark table, and
@@ -145,6 +146,24 @@ def _fitted(tally: DataFrame, targets: dict, power: float, keep: float, sweeps:
     return cells.select(*[F.col(m).alias(f"c_{m}") for m in MARGINS], share.alias("probability"))
 
 
+def residuals(mixed: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = 0.8) -> DataFrame:
+    """``margin``, ``level``, ``target`` and ``share``: of every level its target share of the kept tokens, and the share that ``mix`` gives it on average.
+
+    The two differ where levels have fewer tokens than their targets, or after too few sweeps.
+    """
+    named = [F.struct(F.lit(m).alias("margin"), F.coalesce(F.col(m).cast("string"), F.lit(NONE)).alias("level")) for m in MARGINS]
+    levels = mixed.select(F.explode(F.array(*named)).alias("x"), "tokens", "probability").groupBy("x.margin", "x.level").agg(F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("probability")).alias("kept"))
+    fixed = F.lit(None).cast("double")
+    for m, names in (targets or {}).items():
+        for level, share in names.items():
+            fixed = F.when((F.col("margin") == m) & (F.col("level") == level), F.lit(float(share))).otherwise(fixed)
+    goal = levels.withColumns({"fixed": fixed, "free": F.when(fixed.isNull(), F.pow(F.col("tokens").cast("double"), F.lit(power))).otherwise(0.0)})
+    whole = goal.groupBy("margin").agg(F.sum("kept").alias("all"), F.coalesce(F.sum("fixed"), F.lit(0.0)).alias("taken"), F.sum("free").alias("free_all"))
+    left = F.greatest(F.lit(1.0) - F.col("taken"), F.lit(0.0))
+    target = F.coalesce("fixed", F.col("free") * left / F.greatest("free_all", F.lit(1e-300)))
+    return goal.join(whole, "margin").select("margin", "level", F.round(target, 9).alias("target"), F.round(F.col("kept") / F.greatest("all", F.lit(1e-300)), 9).alias("share"))
+
+
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The rows that ``mix`` keeps, with the columns they came with."""
     return mix(docs, **settings).filter("kept").select(*docs.columns)

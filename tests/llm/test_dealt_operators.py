@@ -53,6 +53,12 @@ def test_maxscore_equals_brute_force(spark, spread):
     assert got == sorted(want)
 
 
+def test_maxscore_of_repeated_ids(spark):
+    rows = [(0, [1.0]), (0, [0.5]), (3, [2.0]), (3, [2.0]), (4, [1.0])]
+    got = [tuple(r) for r in maxscore.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=3).collect()]
+    assert sorted(got) == [(0, 1, 3, 128 * 512), (0, 2, 3, 128 * 512), (0, 3, 4, 128 * 256)]
+
+
 def test_maxscore_of_nothing_and_of_few(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert maxscore.top_k(empty).count() == 0
@@ -173,6 +179,17 @@ def test_raking_meets_margins():
     assert (w <= tokens + 1e-9).all()
 
 
+def test_residuals_tell_how_far_margins_are(spark):
+    rows = [(i, "w " * (5 + i % 7), ["en", "de", None][i % 3], f"s{i % 5}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = {"source": {"s1": 0.1}}
+    of = lambda sweeps: {(r.margin, r.level): (r.target, r.share) for r in source_mixing.residuals(source_mixing.mix(df, targets, keep=0.3, sweeps=sweeps), targets).collect()}
+    far = lambda x: max(abs(a - b) for a, b in x.values())
+    done = of(20)
+    assert done["source", "s1"][0] == 0.1 and sum(t for (m, _), (t, _) in done.items() if m == "lang") == pytest.approx(1, abs=1e-6)
+    assert far(done) < 1e-5 < far(of(0))
+
+
 def test_mixing_on_odd_input(spark, odd):
     m = source_mixing.mix(odd)
     rows = m.collect()
