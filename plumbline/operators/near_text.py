@@ -2,22 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.shared_storage import materialize
 
+SAMPLED, COMMON = 16, 200_000  # one text in SAMPLED is looked at for the COMMON most common shingles
 RESIZED = 0.97  # sizes of near copies in a smaller ratio than this make the one an extension of the other
 
 
-def shingles(text: Column, width: int) -> Column:
-    """The different runs of ``width`` words, hashed; a text of fewer words is one run."""
-    words = F.filter(F.split(text, " "), lambda w: w != "")
-    runs = words
-    for k in range(1, width):  # each word with those after it: ``words`` is worked out ``width`` times, not once for each run
-        runs = F.zip_with(runs, F.slice(words, k + 1, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
-    whole = F.slice(runs, 1, F.greatest(F.size(words) - (width - 1), F.lit(1)))
-    return F.array_sort(F.array_distinct(F.transform(whole, lambda r: F.xxhash64(r))))
+def shingles(texts: DataFrame, width: int, common: np.ndarray | None = None) -> DataFrame:
+    """``sample_id`` and ``s``: the different runs of ``width`` words of the text, hashed; a text of fewer words is one run, one without words has none.
+
+    They stand in one order, the same for all texts: by hash, but those of ``common`` last, in its
+    order. Arrow batches, some rows at a time: running windows over arrays have no fast built-in form.
+    """
+    common = np.zeros(0, np.int64) if common is None else common
+    by_hash = np.argsort(common)
+    shared = texts.sparkSession.sparkContext.broadcast((common[by_hash], by_hash))  # at most COMMON entries
+
+    def runs(text: str | None) -> np.ndarray:
+        import xxhash
+
+        words = [w for w in (text or "").split(" ") if w]
+        n = max(len(words) - width + 1, 1) if words else 0
+        found = np.unique(np.fromiter((xxhash.xxh64_intdigest(" ".join(words[i : i + width]).encode(), 42) for i in range(n)), np.uint64, n).view(np.int64))
+        known, rank = shared.value
+        if not len(known):
+            return found
+        at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+        return found[np.argsort(np.where(known[at] == found, rank[at], -1), kind="stable")]
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([runs(t.as_py()) for t in part.column(1)], pa.list_(pa.int64()))], names=["sample_id", "s"])
+
+    kind = texts.schema["sample_id"].dataType.simpleString()
+    return texts.select("sample_id", "text").mapInArrow(run, f"sample_id {kind}, s array<bigint>")
+
+
+def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
+    """Shingles that several texts of a sample have, the rarest first; at most ``COMMON`` reach the driver."""
+    some = texts.filter(F.pmod(F.xxhash64("sample_id"), F.lit(SAMPLED)) == 0)
+    seen = shingles(some, width).select(F.explode("s").alias("h")).groupBy("h").count().filter("count > 1")
+    return seen.orderBy(F.desc("count"), "h").limit(COMMON).select("h").toArrow().column("h").to_numpy()[::-1].astype(np.int64)
 
 
 def representatives(hashed: DataFrame, key: str = "norm_sha") -> DataFrame:
@@ -30,11 +62,12 @@ def near_pairs(texts: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     """Pairs ``a`` < ``b`` of ``sample_id`` whose ``text``s have a Jaccard similarity of ``similarity`` or more, with ``jaccard`` and ``size_ratio``.
 
     Take representatives of equal texts, since pairs are returned in full. Candidates share one of
-    their first shingles in hash order (n - ceil(similarity * n) + 1 of n), which loses no pair;
-    sizes and places in the order rule most of them out before any sets meet. Texts without words
+    their first shingles (n - ceil(similarity * n) + 1 of n, in one order for all), which loses no
+    pair; common shingles come last in that order, so that a passage that many texts hold brings no
+    pairs. Sizes and places in the order rule most pairs out before any sets meet. Texts without words
     take no part.
     """
-    sets = materialize(texts.select("sample_id", shingles(F.col("text"), width).alias("s")).filter(F.size("s") > 0), "shingles")
+    sets = materialize(shingles(texts, width, common_shingles(texts, width)).filter(F.size("s") > 0), "shingles")
     n = F.size("s")
     first = n - F.ceil(F.lit(similarity) * n - 1e-9).cast("int") + 1
     seats = sets.select("sample_id", n.alias("n"), F.posexplode(F.slice("s", F.lit(1), first)).alias("at", "key"))

@@ -25,7 +25,7 @@ def list_quality(spark, d):
 
 def list_leakage(spark, d):
     """Leaks by risk, then size."""
-    leaks = families.family_leaks(families.content_hash(text_samples(spark, d)))
+    leaks = families.family_leaks(texts._hashed(spark, d))
     return views.page(leaks.select("family_id", "size", "kind", "risk"), [F.desc(views.risk_rank()), F.desc("size"), F.col("family_id")], limit=300)
 
 
@@ -75,7 +75,7 @@ def holdout(spark, d):
     """Documents for measuring a change: in evaluation, not decided upon, in no leaking family."""
     s = text_samples(spark, d)
     touched = review._status(spark, d).filter("final is not null").select(F.col("case_id").alias("sample_id"))
-    h = families.content_hash(s)
+    h = texts._hashed(spark, d)
     leaking = families.family_leaks(h).select("family_id")
     least = h.groupBy("norm_sha").agg(F.min("sample_id").alias("family_id"))
     leaked = h.join(least, "norm_sha").join(leaking, "family_id", "left_semi")

@@ -36,7 +36,7 @@ def ledger_page(spark, d):
 
 def leak_membership(spark, d):
     """The worst leak that each sample is part of."""
-    h = families.content_hash(text_samples(spark, d))
+    h = texts._hashed(spark, d)
     rank = F.when(F.col("risk") == "critical", 3).when(F.col("risk") == "high", 2).when(F.col("risk") == "medium", 1).otherwise(0)
     leaks = families.family_leaks(h).select("family_id", "risk", rank.alias("rank"))
     least = h.groupBy("norm_sha").agg(F.min("sample_id").alias("family_id"))
@@ -55,7 +55,7 @@ def similar_subject_clusters(spark, d):
 
 def score_detectors(spark, d):
     """Pairs of equal raw text as truth against families of equal normalised text: precision and recall, counted by groups."""
-    h = families.content_hash(text_samples(spark, d)).filter("text is not null")
+    h = texts._hashed(spark, d).filter("raw_sha is not null")
     pairs = lambda *keys: h.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0)).alias("p"))
     truth, found, both = pairs("raw_sha").select(F.col("p").alias("truth")), pairs("norm_sha").select(F.col("p").alias("found")), pairs("norm_sha", "raw_sha").select(F.col("p").alias("hit"))
     return truth.crossJoin(found).crossJoin(both).select("truth", "found", "hit", F.round(F.col("hit") / F.greatest("found", F.lit(1)), 6).alias("precision"), F.round(F.col("hit") / F.greatest("truth", F.lit(1)), 6).alias("recall"))

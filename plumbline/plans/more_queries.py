@@ -39,7 +39,7 @@ def _members(h):
 
 
 def _detail(spark, d):
-    h = families.content_hash(text_samples(spark, d))
+    h = texts._hashed(spark, d)
     return evidence.sample_detail(text_samples(spark, d), texts.quality_rules(spark, d), families.exact_families(h), _members(h), families.family_leaks(h))
 
 
@@ -59,7 +59,7 @@ def unverified_numbers(spark, d):
 
 def lineage_tree(spark, d):
     """Trees of the families of equal content: the longest text is the root."""
-    h = families.content_hash(text_samples(spark, d))
+    h = texts._hashed(spark, d)
     edges = families.star_edges(h, "norm_sha").select("a", "b", F.lit(0).alias("rank"))
     nodes = _members(h).join(h.select("sample_id", F.col("n_chars").alias("area")), "sample_id")
     return evidence.lineage(edges, nodes)

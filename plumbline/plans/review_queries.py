@@ -94,7 +94,7 @@ def facts(spark, d):
 
 def _facts(spark, d):
     """One row of counts over the texts and the decisions, from which governance is decided."""
-    h = families.content_hash(text_samples(spark, d))
+    h = texts._hashed(spark, d)
     fam = families.exact_families(h)
     leaks = families.family_leaks(h)
     quality = texts.quality_rules(spark, d).filter("severity in ('medium', 'high')")
@@ -102,7 +102,7 @@ def _facts(spark, d):
     counts = h.groupBy("label").count()
     classes = lambda where: h.filter(where).select("label").distinct()
     rows = [
-        h.agg(F.count("*").alias("sample_count"), F.count_if(F.col("split") != "train").alias("eval_count"), F.round(F.avg(F.col("source").isNotNull().cast("double")), 6).alias("provenance_coverage"), F.round(F.avg((F.coalesce(F.length("text"), F.lit(0)) == 0).cast("double")), 6).alias("unreadable_fraction")),
+        h.agg(F.count("*").alias("sample_count"), F.count_if(F.col("split") != "train").alias("eval_count"), F.round(F.avg(F.col("source").isNotNull().cast("double")), 6).alias("provenance_coverage"), F.round(F.avg((F.coalesce(F.col("text_chars"), F.lit(0)) == 0).cast("double")), 6).alias("unreadable_fraction")),
         counts.agg(F.count("*").alias("class_count"), F.min("count").alias("min_class_count"), F.round(F.max("count") / F.min("count"), 6).alias("imbalance_ratio")),
         classes("split <> 'train'").join(classes("split = 'train'"), "label", "left_anti").agg(F.count("*").alias("missing_from_train")),
         classes("true").join(classes("split <> 'train'"), "label", "left_anti").agg(F.count("*").alias("missing_from_eval")),
@@ -136,7 +136,7 @@ def contract(spark, d):
 
 def export_clean(spark, d):
     """Decisions on cases applied to the documents of the same number."""
-    h = families.content_hash(text_samples(spark, d))
+    h = texts._hashed(spark, d)
     final = _status(spark, d).filter("final is not null").select(F.col("case_id").alias("sample_id"), F.split("final", ":")[0].alias("action"), F.get(F.split("final", ":"), F.lit(1)).alias("target"))
     return families.export_clean(h, final).select("sample_id", "split", "label", "action", "path")
 

@@ -15,7 +15,8 @@ from plumbline.sources.tables import table
 
 
 def _hashed(spark, d):
-    return families.content_hash(text_samples(spark, d))
+    """Samples with the hashes and the length of their content, without the texts; written once, since most audits read them."""
+    return written_once(spark, d, "hashed", lambda: families.content_hash(text_samples(spark, d)).withColumn("text_chars", F.length("text")).drop("text"))
 
 
 def _attributes(spark, d):
@@ -93,7 +94,8 @@ def dup_pairs(spark, d):
 def _near(spark, d):
     """Near pairs of different texts, classified."""
     h = near_text.representatives(_hashed(spark, d))
-    pairs = written_once(spark, d, "near-pairs", lambda: near_text.near_pairs(h.withColumn("text", families.normal_text())))
+    first = text_samples(spark, d).select("sample_id", families.normal_text().alias("text")).join(h.select("sample_id"), "sample_id", "left_semi")
+    pairs = written_once(spark, d, "near-pairs", lambda: near_text.near_pairs(first))
     return near_text.classify_pairs(pairs, h)
 
 
