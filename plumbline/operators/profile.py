@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Limits of the quality rules: absolute ones, and distances in robust standard deviations.
-LIMITS = {"min_chars": 32, "min_chars_rel": 0.25, "symbols": 0.2, "symbols_z": 2.5, "digits": 0.1, "digits_z": 2.5, "repeated": 0.3, "word_length": 14.0, "word_length_z": 4.0, "empty_words": 3}
+LIMITS = {"min_chars": 32, "min_chars_rel": 0.25, "symbols": 0.2, "symbols_z": 2.5, "digits": 0.1, "digits_z": 2.5, "repeated": 0.3, "word_length": 14.0, "word_length_z": 4.0, "empty_words": 3, "capitals": 0.3, "capitals_z": 2.5, "max_chars_rel": 20.0, "unbroken": 30.0, "repeated_high": 0.9, "no_digits_symbols": 0.5}
 
 
 def text_attributes(samples: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def quality_rules(attributes: DataFrame, limits: dict = LIMITS) -> DataFrame:
 
     A finding needs an absolute limit and, where it has one, a distance from the rest of the data.
     """
-    z = robust_z(attributes, ["symbols", "digits", "word_length"])
+    z = robust_z(attributes, ["symbols", "digits", "word_length", "capitals"])
     median = attributes.agg(F.percentile("chars", F.lit(0.5)).alias("median_chars"))
     rel = F.lit(limits["min_chars_rel"]) * F.col("median_chars")
 
@@ -70,6 +70,11 @@ def quality_rules(attributes: DataFrame, limits: dict = LIMITS) -> DataFrame:
         finding("digit_heavy", (c("digits") > limits["digits"]) & (c("digits_z") > limits["digits_z"]), F.when(c("digits") > 2 * limits["digits"], "high").otherwise("medium"), c("digits"), limits["digits"], ">"),
         finding("repeated_lines", c("repeated") > limits["repeated"], "medium", c("repeated"), limits["repeated"], ">"),
         finding("unusual_word_length", F.abs(c("word_length_z")) > limits["word_length_z"], "low", c("word_length"), limits["word_length_z"], "|z|>"),
+        finding("capital_heavy", (c("capitals") > limits["capitals"]) & (c("capitals_z") > limits["capitals_z"]), "medium", c("capitals"), limits["capitals"], ">"),
+        finding("very_long", c("chars") > limits["max_chars_rel"] * F.col("median_chars"), "low", c("chars"), F.lit(limits["max_chars_rel"]) * F.col("median_chars"), ">"),
+        finding("unbroken_text", c("word_length") > limits["unbroken"], "high", c("word_length"), limits["unbroken"], ">"),
+        finding("mostly_repeated", c("repeated") > limits["repeated_high"], "high", c("repeated"), limits["repeated_high"], ">"),
+        finding("no_letters", c("symbols") + c("digits") > limits["no_digits_symbols"], "high", c("symbols") + c("digits"), limits["no_digits_symbols"], ">"),
         finding("near_empty", c("words") < limits["empty_words"], "high", c("words"), limits["empty_words"], "<"),
     )
     return z.crossJoin(median).select("sample_id", F.explode(F.array_compact(found)).alias("f")).select("sample_id", "f.*")
@@ -93,7 +98,12 @@ def cues(attributes: DataFrame) -> DataFrame:
     size = F.when(F.col("chars") < 500, "short").when(F.col("chars") < 2000, "medium").otherwise("long")
     marks = F.when(F.col("symbols") < 0.02, "low").when(F.col("symbols") < 0.05, "some").otherwise("high")
     capital = F.when(F.col("capitals") < 0.02, "low").otherwise("high")
-    pairs = F.array(*[F.struct(F.lit(n).alias("cue"), v.alias("value")) for n, v in (("source", F.col("source")), ("length", size), ("marks", marks), ("capitals", capital))])
+    digit = F.when(F.col("digits") < 0.005, "low").when(F.col("digits") < 0.02, "some").otherwise("high")
+    again = F.when(F.col("repeated") > 0, "some").otherwise("none")
+    word = F.when(F.col("word_length") < 5, "short").when(F.col("word_length") < 6.5, "medium").otherwise("long")
+    number = F.when(F.col("words") < 100, "few").when(F.col("words") < 400, "some").otherwise("many")
+    style = F.concat_ws("-", marks, capital)
+    pairs = F.array(*[F.struct(F.lit(n).alias("cue"), v.alias("value")) for n, v in (("source", F.col("source")), ("length", size), ("marks", marks), ("capitals", capital), ("digits", digit), ("repetition", again), ("word_length", word), ("words", number), ("style", style))])
     long = attributes.select("sample_id", "label", "split", F.explode(pairs).alias("p")).select("sample_id", "label", "split", "p.cue", "p.value")
     varied = long.groupBy("cue").agg(F.countDistinct("value").alias("k")).filter("k > 1").select("cue")
     return long.join(varied, "cue", "left_semi")
@@ -101,7 +111,7 @@ def cues(attributes: DataFrame) -> DataFrame:
 
 def capture_conditions(attributes: DataFrame) -> DataFrame:
     """Boolean conditions of each sample."""
-    return attributes.select("sample_id", "label", "split", (F.col("chars") < 200).alias("short"), (F.col("digits") > 0.02).alias("numeric"), (F.col("symbols") > 0.05).alias("marked"), (F.col("repeated") > 0).alias("repetitive"), (F.col("capitals") > 0.05).alias("shouting"))
+    return attributes.select("sample_id", "label", "split", (F.col("chars") < 200).alias("short"), (F.col("digits") > 0.02).alias("numeric"), (F.col("symbols") > 0.05).alias("marked"), (F.col("repeated") > 0).alias("repetitive"), (F.col("capitals") > 0.05).alias("shouting"), (F.col("chars") > 5000).alias("long"), (F.col("word_length") > 6.5).alias("wordy"))
 
 
 #: Personal content in texts: kind and pattern.

@@ -148,7 +148,7 @@ def label_split_changes(spark, d):
 
 def capture_conditions(spark, d):
     c = profile.capture_conditions(_attributes(spark, d))
-    return c.groupBy("label").agg(F.count("*").alias("n"), *[F.round(F.avg(F.col(x).cast("double")), 6).alias(f"{x}_share") for x in ("short", "numeric", "marked", "repetitive", "shouting")])
+    return c.groupBy("label").agg(F.count("*").alias("n"), *[F.round(F.avg(F.col(x).cast("double")), 6).alias(f"{x}_share") for x in ("short", "numeric", "marked", "repetitive", "shouting", "long", "wordy")])
 
 
 def condition_gaps(spark, d):
@@ -224,13 +224,18 @@ def _z(cols, by=None, src="attrs"):
     return f"z as (select *, {z} from (select *, {mad} from (select *, {med} from {src})))"
 
 
-QUALITY = ATTR + ", " + _z(["symbols", "digits", "word_length"]) + """, m as (select quantile_cont(chars::double, 0.5) as mc from attrs), q as (
+QUALITY = ATTR + ", " + _z(["symbols", "digits", "word_length", "capitals"]) + """, m as (select quantile_cont(chars::double, 0.5) as mc from attrs), q as (
 select sample_id, 'too_short' as finding, 'high' as severity, chars::double as value, 32.0 as threshold, '<' as comparator from attrs where chars < 32
 union all select sample_id, 'too_short', 'medium', chars, 0.25 * mc, '<' from attrs, m where chars >= 32 and chars < 0.25 * mc
 union all select sample_id, 'symbol_heavy', case when symbols > 0.4 then 'high' else 'medium' end, symbols, 0.2, '>' from z where symbols > 0.2 and symbols_z > 2.5
 union all select sample_id, 'digit_heavy', case when digits > 0.2 then 'high' else 'medium' end, digits, 0.1, '>' from z where digits > 0.1 and digits_z > 2.5
 union all select sample_id, 'repeated_lines', 'medium', repeated, 0.3, '>' from attrs where repeated > 0.3
 union all select sample_id, 'unusual_word_length', 'low', word_length, 4.0, '|z|>' from z where abs(word_length_z) > 4
+union all select sample_id, 'capital_heavy', 'medium', capitals, 0.3, '>' from z where capitals > 0.3 and capitals_z > 2.5
+union all select sample_id, 'very_long', 'low', chars, 20.0 * mc, '>' from attrs, m where chars > 20.0 * mc
+union all select sample_id, 'unbroken_text', 'high', word_length, 30.0, '>' from attrs where word_length > 30
+union all select sample_id, 'mostly_repeated', 'high', repeated, 0.9, '>' from attrs where repeated > 0.9
+union all select sample_id, 'no_letters', 'high', symbols + digits, 0.5, '>' from attrs where symbols + digits > 0.5
 union all select sample_id, 'near_empty', 'high', words, 3.0, '<' from attrs where words < 3),
 quality as (select sample_id, finding, severity, round(value, 4) as value, round(threshold, 4)::double as threshold, comparator from q),
 escalated as (select *, null as kinds from quality union all
@@ -239,7 +244,12 @@ CUES = ATTR + """, long0 as (
 select sample_id, label, split, 'source' as cue, source as value from attrs
 union all select sample_id, label, split, 'length', case when chars < 500 then 'short' when chars < 2000 then 'medium' else 'long' end from attrs
 union all select sample_id, label, split, 'marks', case when symbols < 0.02 then 'low' when symbols < 0.05 then 'some' else 'high' end from attrs
-union all select sample_id, label, split, 'capitals', case when capitals < 0.02 then 'low' else 'high' end from attrs),
+union all select sample_id, label, split, 'capitals', case when capitals < 0.02 then 'low' else 'high' end from attrs
+union all select sample_id, label, split, 'digits', case when digits < 0.005 then 'low' when digits < 0.02 then 'some' else 'high' end from attrs
+union all select sample_id, label, split, 'repetition', case when repeated > 0 then 'some' else 'none' end from attrs
+union all select sample_id, label, split, 'word_length', case when word_length < 5 then 'short' when word_length < 6.5 then 'medium' else 'long' end from attrs
+union all select sample_id, label, split, 'words', case when words < 100 then 'few' when words < 400 then 'some' else 'many' end from attrs
+union all select sample_id, label, split, 'style', case when symbols < 0.02 then 'low' when symbols < 0.05 then 'some' else 'high' end || '-' || case when capitals < 0.02 then 'low' else 'high' end from attrs),
 cues as (select * from long0 where cue in (select cue from long0 group by cue having count(distinct value) > 1))"""
 CRAMER = """, {p}n as (select cue, count(*) as n, count(distinct value) as r, count(distinct label) as k from {src} group by cue),
 {p}x as (select cue, value, count(*) as nx from {src} group by all), {p}y as (select cue, label, count(*) as ny from {src} group by all),
@@ -248,8 +258,8 @@ CRAMER = """, {p}n as (select cue, count(*) as n, count(distinct value) as r, co
   from {p}x x join {p}y y using (cue) join {p}n using (cue) left join {p}xy xy on xy.cue = x.cue and xy.value = x.value and xy.label = y.label group by x.cue),
 {p}v as (select cue, n, case when r < 2 or k < 2 then 0.0 when least(k - pow(k - 1, 2) / greatest(1, n - 1), r - pow(r - 1, 2) / greatest(1, n - 1)) - 1 > 0
   then sqrt(greatest(0, phi2 - (k - 1) * (r - 1) / greatest(1, n - 1)::double) / (least(k - pow(k - 1, 2) / greatest(1, n - 1), r - pow(r - 1, 2) / greatest(1, n - 1)) - 1)) else 0.0 end as v from {p}phi)"""
-CONDITIONS = ATTR + ", cond as (select sample_id, label, split, chars < 200 as short, digits > 0.02 as numeric, symbols > 0.05 as marked, repeated > 0 as repetitive, capitals > 0.05 as shouting from attrs)"
-_NAMES = ("short", "numeric", "marked", "repetitive", "shouting")
+CONDITIONS = ATTR + ", cond as (select sample_id, label, split, chars < 200 as short, digits > 0.02 as numeric, symbols > 0.05 as marked, repeated > 0 as repetitive, capitals > 0.05 as shouting, chars > 5000 as long, word_length > 6.5 as wordy from attrs)"
+_NAMES = ("short", "numeric", "marked", "repetitive", "shouting", "long", "wordy")
 DNA = """{p}dna as (select dimension, bucket, count(*) / (select count(*) from {src})::double as share from (
   select unnest([{{'dimension': 'class', 'bucket': label}}, {{'dimension': 'split', 'bucket': split}}, {{'dimension': 'source', 'bucket': source}},
   {{'dimension': 'size', 'bucket': case when chars < 500 then 'short' when chars < 2000 then 'medium' else 'long' end}},
