@@ -164,7 +164,11 @@ def cramers_v(spark, d):
 
 
 def shortcut_findings(spark, d):
-    return shortcuts.shortcut_findings(profile.cues(_attributes(spark, d)), min_strength=0.02, min_lift=1.1, min_share=0.05)
+    """The cues of the texts and a planted one (a frame that 85 % of one language have), at the operator's own thresholds."""
+    a = _attributes(spark, d)
+    frame = F.when((F.col("label") == "de") & (F.col("sample_id") % 20 < 17) | (F.col("sample_id") % 20 == 19), "thick").otherwise("none")
+    planted = a.select("sample_id", "label", "split", F.lit("frame").alias("cue"), frame.alias("value"))
+    return shortcuts.shortcut_findings(profile.cues(a).unionByName(planted))
 
 
 def privacy_patterns(spark, d):
@@ -311,11 +315,11 @@ ORACLES = {
     + "), g as (select label, condition, count(*) as n, sum(x) as k from long group by all), t as (select condition, sum(n) as tn, sum(k) as tk from g group by condition) select label, condition, n, round(k / n::double, 6) as share, round((tk - k) / (tn - n)::double, 6) as other_share from g join t using (condition) where tn > n and (tk - k) / (tn - n)::double >= 0.06 and k / n::double <= 0.1",
     "underrepresented": f"with {SQL_TEXT}, c as (select label, count(*) as n from samples where split = 'train' group by label), m as (select quantile_cont(n::double, 0.5) as med from c) select label, n, round(med, 4) as median_n, cast(round_even(greatest(greatest(30, 1.5 * med) - n, 0), 0) as bigint) as wanted, case when n < 30 then 'high' else 'medium' end as priority from c, m where n < greatest(30, 1.5 * med)",
     "cramers_v": f"with {CUES}, fit as (select * from cues where split = 'train')" + CRAMER.format(p="f", src="fit") + " select cue, n, round(v, 6) as v from fv",
-    "shortcut_findings": f"with {CUES}, fit as (select * from cues where split = 'train'), held as (select * from cues where split in ('val', 'test'))" + CRAMER.format(p="f", src="fit") + CRAMER.format(p="e", src="held")
+    "shortcut_findings": f"with {CUES.replace('cues as (select * from long0', 'own as (select * from long0')}, cues as (select * from own union all select sample_id, label, split, 'frame', case when label = 'de' and sample_id % 20 < 17 or sample_id % 20 = 19 then 'thick' else 'none' end from attrs), fit as (select * from cues where split = 'train'), held as (select * from cues where split in ('val', 'test'))" + CRAMER.format(p="f", src="fit") + CRAMER.format(p="e", src="held")
     + """, cells as (select cue, value, label, nxy, nxy / nx::double as p, (nxy / nx::double) / (ny / n::double) as lift, nxy / ny::double as share from fxy join fx using (cue, value) join fy using (cue, label) join fn using (cue)),
- top as (select *, row_number() over (partition by cue order by round(lift * share, 9) desc, value, label) as rk from cells where nxy >= 8 and lift >= 1.1 and share >= 0.05)
+ top as (select *, row_number() over (partition by cue order by round(lift * share, 9) desc, value, label) as rk from cells where nxy >= 8 and lift >= 1.8 and share >= 0.5)
  select cue, value, label, nxy as support, round(lift, 4) as lift, round(share, 4) as share, round(p, 4) as p_class, round(fv.v, 4) as strength, case when en.n >= 20 then round(ev.v, 4) end as strength_eval, case when fv.v >= 0.5 then 'strong' when fv.v >= 0.3 then 'moderate' else 'weak' end as strength_label
- from top join fv using (cue) left join ev using (cue) left join en using (cue) where rk <= 3 and fv.v >= 0.02""",
+ from top join fv using (cue) left join ev using (cue) left join en using (cue) where rk <= 3 and fv.v >= 0.3""",
     "privacy_patterns": f"with {SQL_TEXT}, p as (" + " union all ".join(f"select sample_id, '{k}' as kind, len(regexp_extract_all(coalesce(text, ''), '{p}')) as n from samples" for k, p in profile.PRIVACY.items()) + ") select * from p where n > 0",
     "dna_profile": f"with {ATTR}, {DNA.format(p='', src='attrs')} select dimension, bucket, round(share, 6) as share from dna",
     "dna_drift": f"with {ATTR}, va as (select * from attrs where sample_id % 5 <> 0), vb as (select * from attrs where sample_id % 5 <> 1), {DNA.format(p='a', src='va')}, {DNA.format(p='b', src='vb')},"
