@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.shared_storage import materialize
+from plumbline.functions.shared_storage import discard, materialize
 from plumbline.llm.common import map_batches
 from plumbline.llm.key_filter import split_by_keys
 from plumbline.llm.simhash import hamming_links, majority, shingle_hashes
@@ -326,6 +326,7 @@ def near_duplicate_groups(docs: DataFrame, width: int = 5, similarity: float = 0
     met = seats.filter("node <> anchor").select(F.col("node").alias("a"), F.col("anchor").alias("b")).unionByName(looked_up(nodes)).distinct()
     clusters = materialize(connected_components(possible(met, nodes, similarity), "a", "b").withColumnRenamed("component", "cluster"), "clusters")
     more = materialize(between(seats, nodes, clusters, similarity), "between")
+    discard(seats)
     if not more.isEmpty():
         merged = connected_components(more, "a", "b").withColumnRenamed("component", "into")
         alone = more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(clusters, "node", "left_anti").withColumn("cluster", F.col("node"))
