@@ -104,3 +104,19 @@ def cue_predictability(cues: DataFrame, folds: int = 5) -> DataFrame:
     best = scores.groupBy("sample_id", "label").agg(F.min(F.struct((-F.col("s")).alias("s"), "guess")).alias("b"))
     recall = best.groupBy("label").agg(F.avg((F.col("b.guess") == F.col("label")).cast("double")).alias("r"), F.count("*").alias("n"))
     return recall.agg(F.round(F.avg("r"), 6).alias("balanced_accuracy"), F.round(1 / F.count("*"), 6).alias("chance"), F.sum("n").alias("n"))
+
+
+def dna_strip(profile: DataFrame, bands: int = 24) -> DataFrame:
+    """The first ``bands`` shares of a profile by dimension and bucket, scaled by the largest of them: ``band``, ``height``."""
+    first = profile.orderBy("dimension", "bucket").limit(bands)
+    w = Window.orderBy("dimension", "bucket")  # over ``bands`` rows
+    return first.withColumns({"band": F.row_number().over(w), "top": F.max("share").over(Window.partitionBy())}).select("band", "dimension", "bucket", F.round(F.col("share") / F.greatest("top", F.lit(1e-12)), 4).alias("height"))
+
+
+def centroid_drift(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Per class of two versions of vectors: ten times one minus the cosine of its means, with none, moderate or strong; null where one version lacks the class."""
+    mean = lambda v, c: v.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias(c))
+    both = mean(a, "p").join(mean(b, "q"), ["label", "i"], "full_outer")
+    cosine = F.sum(F.col("p") * F.col("q")) / F.sqrt(F.sum(F.col("p") * F.col("p")) * F.sum(F.col("q") * F.col("q")))
+    drift = both.groupBy("label").agg(F.round(10 * (1 - cosine), 6).alias("shift"))
+    return drift.withColumn("drift", F.when(F.col("shift") >= 0.15, "strong").when(F.col("shift") >= 0.05, "moderate").when(F.col("shift").isNotNull(), "none"))

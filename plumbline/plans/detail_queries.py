@@ -109,7 +109,23 @@ def overview(spark, d):
     return f.select("sample_count", "class_count", "duplicate_families", "quality_samples").crossJoin(levels).crossJoin(ready)  # one row each
 
 
-QUERIES = {f.__name__: f for f in (cue_predictability, list_quality, list_leakage, list_privacy, list_samples_page, case_facets, label_findings_page, cartography, hardest, gap_anchors, holdout, failure_replay, masked_accuracy, contract_includes, overview)}
+def dna_strip(spark, d):
+    return shortcuts.dna_strip(shortcuts.dna_profile(texts._attributes(spark, d)).withColumn("share", F.round("share", 6)))
+
+
+def centroid_drift(spark, d):
+    v = vector_samples(spark, d)
+    return shortcuts.centroid_drift(v.filter("sample_id % 5 <> 0"), v.filter("sample_id % 5 <> 1"))
+
+
+def case_detail(spark, d):
+    """Each sample's verdict with its reasons, prediction, target and eight nearest neighbours."""
+    near = vectors._knn(spark, d).filter("rk <= 8").groupBy("sample_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rk", "neighbor_id"))), lambda n: n["neighbor_id"].cast("string")), ",").alias("neighbors"))  # eight a sample
+    c = vectors._verdicts(spark, d).select("sample_id", "label", "split", "verdict", "rule", F.array_join(F.array_sort("codes"), ",").alias("reasons"), "pred", "p_given", "target", "uncertainty")
+    return c.join(near, "sample_id", "left")
+
+
+QUERIES = {f.__name__: f for f in (cue_predictability, list_quality, list_leakage, list_privacy, list_samples_page, case_facets, label_findings_page, cartography, hardest, gap_anchors, holdout, failure_replay, masked_accuracy, contract_includes, overview, dna_strip, centroid_drift, case_detail)}
 
 _TEXT, _REVIEW = texts.ORACLES, review.ORACLES
 _TRAJECTORY = f"with {SQL_VECTORS}, {vectors._EPOCHS}"
@@ -150,4 +166,10 @@ ORACLES = {
     "overview": f"""select sample_count, class_count, duplicate_families, quality_samples, dimensions, debt_high, debt_low, status, blocks, warnings from (select sample_count, class_count, duplicate_families, quality_samples from ({_REVIEW['facts']})) f,
  (select count(*) as dimensions, count(*) filter (level = 'HIGH') as debt_high, count(*) filter (level = 'LOW') as debt_low from ({_REVIEW['debt']})) d,
  (select max(status) as status, count(*) filter (outcome = 'block') as blocks, count(*) filter (outcome = 'warn') as warnings from ({_REVIEW['preflight']})) p""",
+    "dna_strip": f"with b as (select *, row_number() over (order by dimension, bucket) as band from ({_TEXT['dna_profile']})) select band::integer as band, dimension, bucket, round(share / greatest(max(share) over (), 1e-12), 4) as height from b where band <= 24",
+    "centroid_drift": f"""with {SQL_VECTORS}, m as (select label, i, avg(embedding[i]) filter (sample_id % 5 <> 0) as p, avg(embedding[i]) filter (sample_id % 5 <> 1) as q from vectors, range(1, 65) t(i) group by all),
+ s as (select label, round(10 * (1 - sum(p * q) / sqrt(sum(p * p) * sum(q * q))), 6) as shift from m group by label) select label, shift, case when shift >= 0.15 then 'strong' when shift >= 0.05 then 'moderate' when shift is not null then 'none' end as drift from s""",
+    "case_detail": f"""with {vectors.VERDICT}, nb as (select sample_id, string_agg(neighbor_id::varchar, ',' order by rk) as neighbors from knn where rk <= 8 group by sample_id),
+ u as (select *, case when verdict in ('LEAKAGE_ACTION_NEEDED', 'POSSIBLE_RELABEL') then 'low' when verdict in ('UNCERTAIN', 'REVIEW') then 'high' else 'medium' end as uncertainty, array_to_string(list_sort(list_filter([{", ".join(f"case when {w} then '{n}' end" for n, w in vectors._CODES)}], lambda x: x is not null)), ',') as reasons from verdicts)
+ select sample_id, label, split, verdict, rule, reasons, pred, p_given, target, uncertainty, neighbors from u left join nb using (sample_id)""",
 }
