@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.shared_storage import scratch_path
 from plumbline.operators import coverage, families, governance, metrics, predictions, profile, shortcuts, similarity, views
 from plumbline.plans import more_queries as more
 from plumbline.plans import review_queries as review
 from plumbline.plans import text_queries as texts
 from plumbline.plans import vector_queries as vectors
 from plumbline.sources.bindings import SQL_REGIONS, SQL_TEXT, SQL_VECTORS, text_samples, vector_samples
+from plumbline.sources.files import manifest_digest, write_findings
 
 
 def cue_predictability(spark: SparkSession, d: str) -> DataFrame:
@@ -125,7 +127,28 @@ def case_detail(spark, d):
     return c.join(near, "sample_id", "left")
 
 
-QUERIES = {f.__name__: f for f in (cue_predictability, list_quality, list_leakage, list_privacy, list_samples_page, case_facets, label_findings_page, cartography, hardest, gap_anchors, holdout, failure_replay, masked_accuracy, contract_includes, overview, dna_strip, centroid_drift, case_detail)}
+def manifest(spark, d):
+    """The digest of a version's manifest: paths, contents, labels and splits."""
+    path = F.concat_ws("/", "label", "source", F.concat(F.col("sample_id").cast("string"), F.lit(".txt")))
+    return manifest_digest(texts._hashed(spark, d).select(path.alias("path"), F.col("raw_sha").alias("sha256"), "label", "split"))
+
+
+def findings_store(spark, d):
+    """Quality findings written for two audits, one of them twice, and read back."""
+    place, found = scratch_path(spark, "findings"), texts.quality_rules(spark, d)
+    for audit in ("first", "second", "first"):
+        write_findings(found, audit, place)
+    return spark.read.parquet(place).groupBy("audit_id", "finding").agg(F.count("*").alias("n"))
+
+
+def run_audit(spark, d):
+    """Every stage of an audit with the rows that it wrote."""
+    from plumbline.plans import audit
+
+    return audit.run_audit(spark, d, scratch_path(spark, "audit")).select("stage", "rows", "skipped")
+
+
+QUERIES = {f.__name__: f for f in (cue_predictability, list_quality, list_leakage, list_privacy, list_samples_page, case_facets, label_findings_page, cartography, hardest, gap_anchors, holdout, failure_replay, masked_accuracy, contract_includes, overview, dna_strip, centroid_drift, case_detail, manifest, findings_store, run_audit)}
 
 _TEXT, _REVIEW = texts.ORACLES, review.ORACLES
 _TRAJECTORY = f"with {SQL_VECTORS}, {vectors._EPOCHS}"
@@ -172,4 +195,8 @@ ORACLES = {
     "case_detail": f"""with {vectors.VERDICT}, nb as (select sample_id, string_agg(neighbor_id::varchar, ',' order by rk) as neighbors from knn where rk <= 8 group by sample_id),
  u as (select *, case when verdict in ('LEAKAGE_ACTION_NEEDED', 'POSSIBLE_RELABEL') then 'low' when verdict in ('UNCERTAIN', 'REVIEW') then 'high' else 'medium' end as uncertainty, array_to_string(list_sort(list_filter([{", ".join(f"case when {w} then '{n}' end" for n, w in vectors._CODES)}], lambda x: x is not null)), ',') as reasons from verdicts)
  select sample_id, label, split, verdict, rule, reasons, pred, p_given, target, uncertainty, neighbors from u left join nb using (sample_id)""",
+    "manifest": f"""with {texts.HASHED}, l as (select sha256(concat_ws(chr(31), concat_ws('/', label, source, sample_id || '.txt'), raw_sha, label, split)) as line from hashed),
+ s as (select count(*) as n, {", ".join(f"sum(('0x' || substr(line, {15 * i + 1}, 15))::bigint)::varchar as s{i}" for i in range(4))} from l) select n, sha256(concat_ws(',', n::varchar, s0, s1, s2, s3)) as digest from s""",
+    "findings_store": f"select audit_id, finding, count(*) as n from ({_TEXT['quality_rules']}), (select unnest(['first', 'second']) as audit_id) group by all",
+    "run_audit": " union all ".join(f"select '{stage}' as stage, count(*) as rows, false as skipped from ({sql})" for stage, sql in (("profile", _TEXT["version_stats"]), ("quality", _TEXT["quality_escalate"]), ("families", _TEXT["exact_families"]), ("leakage", _TEXT["family_leaks"]), ("shortcuts", _TEXT["shortcut_findings"]), ("labels", vectors.ORACLES["label_scores"]), ("cases", vectors.ORACLES["case_numbers"]), ("debt", _REVIEW["debt"]), ("preflight", _REVIEW["preflight"]))),
 }

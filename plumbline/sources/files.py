@@ -47,15 +47,20 @@ def write_findings(findings: DataFrame, audit_id: str, path: str) -> None:
 
 
 def write_manifest(samples: DataFrame, path: str) -> str:
-    """Write (path, sha256, label, split) in order of path as JSON lines; return a digest of the digests of its parts.
+    """Write (path, sha256, label, split) in order of path as JSON lines; return ``manifest_digest`` of the rows."""
+    samples.select("path", "sha256", "label", "split").sort("path").write.mode("overwrite").json(path)
+    return manifest_digest(samples).first()["digest"]
+
 
-    The digest is the hash of each path range's ordered rows, combined in order of the ranges by
-    256 groups of the path's hash, so it depends on the rows alone.
+def manifest_digest(samples: DataFrame) -> DataFrame:
+    """One row: ``n`` and ``digest``, the hash of the number of rows and of the sums of the parts of their hashes.
+
+    The rows alone decide it, in whatever order they are, and nothing is gathered to compute it.
     """
-    samples.select("path", "sha256", "label", "split").sort("path").write.mode("overwrite").json(path)
     line = F.sha2(F.concat_ws("\x1f", "path", "sha256", "label", "split"), 256)
-    parts = samples.select((F.conv(F.substring(line, 1, 2), 16, 10)).cast("int").alias("g"), line.alias("l")).groupBy("g").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("l")), ","), 256).alias("d"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "d"))), lambda x: x["d"]), ","), 256).alias("d")).first()["d"]
+    part = lambda i: F.sum(F.conv(F.substring("line", 15 * i + 1, 15), 16, 10).cast("decimal(38,0)")).cast("string").alias(f"s{i}")
+    sums = samples.select(line.alias("line")).agg(F.count("*").alias("n"), *[part(i) for i in range(4)])
+    return sums.select("n", F.sha2(F.concat_ws(",", F.col("n").cast("string"), "s0", "s1", "s2", "s3"), 256).alias("digest"))
 
 
 def integrity_check(samples: DataFrame, content: str = "text", digest: str = "raw_sha") -> DataFrame:
