@@ -161,9 +161,14 @@ def near_duplicate_classes(docs: DataFrame, width: int = 3, distance: int = 3, s
     their length. An empty table gives no rows; other columns are ignored.
     """
     rows = materialize(fingerprints(docs, width, id_col, text_col), "fingerprints")
-    nodes = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "fingerprint-nodes")
+    nodes = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n")), "fingerprint-nodes")
     links = hamming_links(nodes, distance, segments)
     components = connected_components(links)
     linked = components.join(nodes, components["node"] == nodes["fp"]).groupBy("component").agg(F.min("least").alias("class"))
-    of_node = nodes.join(components.join(linked, "component").select("node", "class"), nodes["fp"] == F.col("node"), "left").select("fp", F.coalesce("class", "least").alias("component_id"))
-    return rows.join(of_node, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of_node = nodes.join(components.join(linked, "component").select("node", "class"), nodes["fp"] == F.col("node"), "left").select("fp", "n", F.coalesce("class", "least").alias("component_id"))
+    of_node = materialize(of_node, "fingerprint-classes")
+    # Fingerprints that over a thousandth of all rows share are under a thousand: these are broadcast, so that no task gets all rows of one.
+    share = max((nodes.agg(F.sum("n")).first()[0] or 0) // 1000, 1)
+    frequent = F.broadcast(of_node.filter(F.col("n") > share).drop("n"))
+    met = rows.join(frequent, "fp").unionByName(rows.join(frequent.select("fp"), "fp", "left_anti").join(of_node.filter(F.col("n") <= share).drop("n"), "fp"))
+    return met.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
