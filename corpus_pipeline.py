@@ -16,14 +16,23 @@ from plumbline.llm.registry import default_tokenizer
 from plumbline.sources.tables import table
 
 
+def _bounded_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in batches of fewer rows than Spark's default, which bounds what an executor holds; a size that the session sets is left alone."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(setting) == "10000":
+        spark.conf.set(setting, "1000")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2, learned from the labelled documents of the corpus; rejected documents go."""
+    _bounded_batches(spark)
     model = toxicity.fit(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return toxicity.without_toxic(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9 on five-word shingles at a similarity of 0.8; one document of each group stays."""
+    _bounded_batches(spark)
     return near_dedup.without_near_duplicates(docs, width=5, similarity=0.8)
 
 
@@ -34,6 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10; one row of token counts and digests per document."""
+    _bounded_batches(spark)
     return bpe_automaton.encode_decode(docs, default_tokenizer())
 
 

@@ -29,7 +29,7 @@ from itertools import islice
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from plumbline.llm.common import map_batches
+from plumbline.llm.common import kept, map_batches
 
 #: Fixed: how the byte-level scheme splits text before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -233,17 +233,6 @@ class _Shared:
         return self.broadcast.value
 
 
-#: The codec of this worker process by broadcast, so that tasks after the first find it compiled.
-_CODECS: dict[str, Codec] = {}
-
-
-def _codec(shared) -> Codec:
-    if shared.id not in _CODECS:
-        _CODECS.clear()
-        _CODECS[shared.id] = Codec(shared.value)
-    return _CODECS[shared.id]
-
-
 def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Encode whole texts, decode the ids again, and report both per row.
 
@@ -260,7 +249,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     schema = "id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids binary, decoded string" if with_ids else "")
 
     def make():
-        codec = _codec(shared)
+        codec = kept(shared.id, lambda: Codec(shared.value))
 
         def run(batch: pa.RecordBatch) -> dict:
             out = {k: [] for k in ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")}
@@ -277,4 +266,4 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
         return run
 
-    return map_batches(docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text")), schema, make).withColumnRenamed("id", id_col)
+    return map_batches(docs.select(docs[id_col].cast("bigint").alias("id"), docs[text_col].alias("text")), schema, make, keeps=True).withColumnRenamed("id", id_col)

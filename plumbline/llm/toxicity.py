@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.shared_storage import materialize
-from plumbline.llm.common import map_batches
+from plumbline.llm.common import map_batches, release
 
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;,\n\"“”«»]")
 BOUNDARY = frozenset(".!?;\n")
@@ -233,6 +233,7 @@ def _pattern_counts(rows: DataFrame) -> DataFrame:
     """For each pattern: documents by label and surroundings of its toxic occurrences (64 hashed bits), for folds 1-3 and for fold 4."""
 
     def count(batches):
+        release()
         found: dict[str, list[int]] = {}
 
         def flush():
@@ -373,6 +374,7 @@ def without_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches):
+        release()
         model = shared.value
         known = Grammar(model.patterns)
         line = np.log(model.threshold / (1 - model.threshold))
