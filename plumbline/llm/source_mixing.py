@@ -14,6 +14,7 @@ each step of a sweep is an aggregation and a join.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,7 +97,9 @@ def mix(
     most = max(tally.agg(*[F.count_distinct(m) for m in MARGINS]).first())
     if most <= max_levels:
         probability = _probabilities(tally.orderBy(*MARGINS).toPandas(), targets or {}, power, keep, sweeps)
-        table = F.broadcast(docs.sparkSession.createDataFrame([(*key, p) for key, p in probability.items()] or [("", "", "", 1.0)], "c_source string, c_lang string, c_topic string, probability double"))
+        names = ("c_source", "c_lang", "c_topic")
+        columns = {n: pa.array([key[i] for key in probability], pa.string()) for i, n in enumerate(names)}
+        table = F.broadcast(docs.sparkSession.createDataFrame(pa.table(columns | {"probability": pa.array(probability.values(), pa.float64())})))  # max_levels ** 3 cells at most
     else:
         table = _fitted(tally, targets or {}, power, keep, sweeps)
     met = rows.withColumns({f"l_{m}": named[m] for m in MARGINS})
@@ -129,7 +132,8 @@ def _fitted(tally: DataFrame, targets: dict, power: float, keep: float, sweeps:
     budget = keep * float(tally.agg(F.sum("tokens")).first()[0] or 0)
     goals = {}
     for m in MARGINS:
-        asked = spark.createDataFrame([(k, float(v)) for k, v in (targets.get(m) or {}).items()], f"{m} string, fixed double")
+        fixed = targets.get(m) or {}
+        asked = spark.createDataFrame(pa.table({m: pa.array(fixed, pa.string()), "fixed": pa.array(map(float, fixed.values()), pa.float64())}))
         have = tally.groupBy(m).agg(F.pow(F.sum("tokens").cast("double"), F.lit(float(power))).alias("goal")).join(asked, m, "left")
         have = materialize(have, "mix-goals")
         free = F.sum(F.when(F.col("fixed").isNull(), F.col("goal")))
