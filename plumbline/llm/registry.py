@@ -113,4 +113,12 @@ select conv_id, count(*) as n_turns,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
   sum(length({_ESC.format("role")}) + length({_ESC.format("text")}) + 8 + 7 + case when role = 'assistant' then 9 else 8 end)::bigint as formatted_chars
 from rows group by conv_id""",
+    "op5_warc_capture_history": rf"""
+with p as (select page_id, coalesce(html, '') as html, regexp_replace(coalesce(url, ''), '[\x00-\x20\x7f]', '%20', 'g') as url from pages),
+h as (select *, sha1(html) as d, octet_length(encode(html)) as bytes, lower(case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else url end) as rest from p),
+k as (select *, max(page_id) over (partition by d) as keeper, count(*) over (partition by d) as copies, regexp_extract(rest, '^[^/?#]*') as host from h)
+select page_id, bytes::bigint as payload_bytes, {" || ".join(f"substr('{warc_archive.BASE32}', ((('0x' || substr(d, {10 * i + 1}, 10))::bigint >> {35 - 5 * j}) & 31)::integer + 1, 1)" for i in range(4) for j in range(8))} as payload_digest,
+  case when copies > 1 and page_id < keeper then 'revisit' else 'response' end as record_type, case when copies > 1 and page_id < keeper then keeper end as refers_to,
+  array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || substr(rest, length(host) + 1) as url_key, strftime(to_timestamp(1704067200 + page_id) at time zone 'UTC', '%Y-%m-%dT%H:%M:%SZ') as captured
+from k""",
 }
