@@ -113,6 +113,7 @@ select conv_id, count(*) as n_turns,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
   sum(length({_ESC.format("role")}) + length({_ESC.format("text")}) + 8 + 7 + case when role = 'assistant' then 9 else 8 end)::bigint as formatted_chars
 from rows group by conv_id""",
+    "op4_url_filter": url_filter.oracle_sql(URL_RULES),
     "op5_warc_capture_history": rf"""
 with p as (select page_id, coalesce(html, '') as html, regexp_replace(coalesce(url, ''), '[\x00-\x20\x7f]', '%20', 'g') as url from pages),
 h as (select *, sha1(html) as d, octet_length(encode(html)) as bytes, lower(case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else url end) as rest from p),
