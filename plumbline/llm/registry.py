@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe_automaton, chat_format, chroma_fingerprint, external_shuffle, maxscore, simhash, source_mixing, toxicity, url_filter, warc_archive
+from plumbline.llm import bpe_automaton, chat_format, chroma_fingerprint, external_shuffle, maxscore, phrase_parsing, simhash, source_mixing, toxicity, url_filter, warc_archive
 from plumbline.sources.bindings import spread
 from plumbline.sources.tables import table
 
@@ -78,6 +78,10 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.encode_decode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), default_tokenizer())
 
 
+def op13_phrase_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_parsing.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_maxscore_top_k": op1_maxscore_top_k,
     "op2_toxicity": op2_toxicity,
@@ -89,6 +93,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_bpe_round_trip": op10_bpe_round_trip,
+    "op13_phrase_parsing": op13_phrase_parsing,
 }
 
 _ESC = r"regexp_replace(replace({0}, '\', '\\'), '([<\[])(\||/?s>|/?INST\])', '\1\\\2', 'g')"
