@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe_automaton, chat_format, chroma_fingerprint, external_shuffle, maxscore, phrase_parsing, prefix_trie, simhash, source_mixing, toxicity, url_filter, warc_archive
+from plumbline.llm import bpe_automaton, chat_format, chroma_fingerprint, collocations, external_shuffle, maxscore, phrase_parsing, prefix_trie, simhash, source_mixing, toxicity, url_filter, warc_archive
 from plumbline.sources.bindings import spread
 from plumbline.sources.tables import table
 
@@ -78,6 +78,10 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.encode_decode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), default_tokenizer())
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(spread(table(spark, sf_dir, "documents").select("lang", "text")))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
 
@@ -97,6 +101,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_bpe_round_trip": op10_bpe_round_trip,
+    "op11_phrase_collocations": op11_phrase_collocations,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_phrase_parsing": op13_phrase_parsing,
 }
