@@ -8,6 +8,17 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Names like ``names`` that no column has, whatever its case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 #: The one thing that a worker process keeps from task to task, by its key.
 _KEPT: dict[str, object] = {}
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from plumbline.functions.shared_storage import scratch_path
+from plumbline.llm.common import unused
 
 
 def fisher_yates(n: int, seed: tuple[int, ...]) -> np.ndarray:
@@ -35,24 +36,25 @@ def shard_of(key, shards: int, seed: int):
     return F.array_max(F.array(*[F.struct(F.xxhash64(F.lit(seed), F.lit(s), key).alias("h"), F.lit(s).alias("s")) for s in range(shards)]))["s"]
 
 
-def numbered_repeats(docs: DataFrame, key: str) -> DataFrame:
-    """``docs`` with ``tie``: 0, or a number that tells apart rows of equal ``key``.
+def numbered_repeats(docs: DataFrame, key: str, tie: str = "tie") -> DataFrame:
+    """``docs`` with a column ``tie``: 0, or a number that tells apart rows of equal ``key``.
 
     Rows are numbered within their task and then by the counts of the tasks before, so that a row
     that occurs very often is never sorted in one task. Which of them gets which number doesn't
     matter, since they are equal.
     """
+    none = F.lit(0).cast("bigint")
     repeated = docs.groupBy(key).count().filter("count > 1").select(key)
     if repeated.isEmpty():
-        return docs.withColumn("tie", F.lit(0).cast("bigint"))
-    parted = docs.withColumn("part", F.spark_partition_id())
-    again = parted.join(repeated, key, "left_semi")
-    per_part = again.groupBy(key, "part").count()
-    before = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = per_part.select(key, "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
-    within = Window.partitionBy(key, "part").orderBy(F.lit(0))
-    ties = again.withColumn("rank", F.row_number().over(within)).join(ahead, [key, "part"]).withColumn("tie", F.col("rank") - 1 + F.col("ahead"))
-    return docs.join(repeated, key, "left_anti").withColumn("tie", F.lit(0).cast("bigint")).unionByName(ties.select(*docs.columns, F.col("tie").cast("bigint")))
+        return docs.withColumn(tie, none)
+    part, rank, ahead = unused([*docs.columns, tie], "part", "rank", "ahead")
+    again = docs.withColumn(part, F.spark_partition_id()).join(repeated, key, "left_semi")
+    per_part = again.groupBy(key, part).agg(F.count("*").alias(rank))
+    before = Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = per_part.select(key, part, F.coalesce(F.sum(rank).over(before), F.lit(0)).alias(ahead))
+    within = Window.partitionBy(key, part).orderBy(F.lit(0))
+    ties = again.withColumn(rank, F.row_number().over(within)).join(counts, [key, part]).select(*docs.columns, (F.col(rank) - 1 + F.col(ahead)).cast("bigint").alias(tie))
+    return docs.join(repeated, key, "left_anti").withColumn(tie, none).unionByName(ties)
 
 
 def shuffle_to_shards(docs: DataFrame, shards: int = 8, seed: int = 42, bucket_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, measures: dict | None = None) -> DataFrame:
@@ -72,18 +74,19 @@ def shuffle_to_shards(docs: DataFrame, shards: int = 8, seed: int = 42, bucket_b
     hashed (maps) don't tell rows apart.
     """
     spark = docs.sparkSession
-    docs = docs.drop("shard", "slot", "bucket", "place", "luck", "tie", "part")
+    docs = docs.drop("shard", "slot", "bucket", "place")
+    lot, tie = unused([*docs.columns, "shard", "slot", "bucket", "place"], "luck", "tie")
     total = docs.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 64).alias("bytes")).first()["bytes"] or 0
     buckets = max(1, -(-total // bucket_bytes))
     hashed = [f.name for f in docs.schema if not f.dataType.simpleString().count("map<")]
-    ties = numbered_repeats(docs.withColumn("luck", F.xxhash64(F.lit(seed), *hashed)), "luck")
-    luck = F.xxhash64(F.lit(seed + 1), "luck", "tie")
-    scattered = ties.select(*docs.columns, luck.alias("luck")).withColumns({"bucket": F.pmod("luck", F.lit(buckets)), "shard": shard_of(F.col(id_col), shards, seed)})
+    ties = numbered_repeats(docs.withColumn(lot, F.xxhash64(F.lit(seed), *hashed)), lot, tie)
+    luck = F.xxhash64(F.lit(seed + 1), lot, tie)
+    scattered = ties.select(*docs.columns, luck.alias(lot)).withColumns({"bucket": F.pmod(lot, F.lit(buckets)), "shard": shard_of(F.col(id_col), shards, seed)})
     out_type = scattered.withColumn("place", F.lit(0).cast("bigint")).schema
     arrow_type = to_arrow_schema(out_type)
 
     def permute(key: tuple, bucket: pa.Table) -> pa.Table:
-        order = np.argsort(bucket.column("luck").to_numpy(), kind="stable")[fisher_yates(bucket.num_rows, (seed, key[0].as_py()))]
+        order = np.argsort(bucket.column(lot).to_numpy(), kind="stable")[fisher_yates(bucket.num_rows, (seed, key[0].as_py()))]
         shard = bucket.column("shard").to_numpy()[order]
         place = np.empty(len(order), np.int64)
         for s in np.unique(shard):
@@ -94,7 +97,8 @@ def shuffle_to_shards(docs: DataFrame, shards: int = 8, seed: int = 42, bucket_b
     scattered.groupBy("bucket").applyInArrow(permute, out_type).write.partitionBy("shard").option("compression", "zstd").parquet(path)
     written = spark.read.schema(out_type).parquet(path)
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = written.groupBy("shard", "bucket").count().withColumn("ahead", F.coalesce(F.sum("count").over(before), F.lit(0)))
     out = measures or {c: F.col(c) for c in docs.columns}
+    n, ahead = unused([*out, "shard", "bucket", "place"], "n", "ahead")
+    sizes = written.groupBy("shard", "bucket").agg(F.count("*").alias(n)).select("shard", "bucket", F.coalesce(F.sum(n).over(before), F.lit(0)).alias(ahead))
     rows = written.select(*[e.alias(c) for c, e in out.items()], "shard", "bucket", "place")
-    return rows.join(sizes.select("shard", "bucket", "ahead"), ["shard", "bucket"]).select(*out, "shard", (F.col("ahead") + F.col("place")).alias("slot"))
+    return rows.join(sizes, ["shard", "bucket"]).select(*out, "shard", (F.col(ahead) + F.col("place")).alias("slot"))

@@ -31,13 +31,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.shared_storage import discard, materialize
-from plumbline.llm.common import map_batches
+from plumbline.llm.common import map_batches, unused
 from plumbline.llm.key_filter import split_by_keys
 from plumbline.llm.simhash import hamming_links, majority, shingle_hashes
 from plumbline.operators.graph import connected_components
 
 WORDS = 4  # of 64 bits in a fingerprint; the first is that of operator 9
-POSSIBLE = 76  # of 256 bits; at a similarity of 0.8 they are 39 apart, give or take 6
+SPREAD = 6.5  # standard deviations by which fingerprints may differ more than is to be expected
 FEW = 16  # shingles below which fingerprints are too coarse to rule anything out
 SAMPLED, COMMON = 64, 200_000  # one text in SAMPLED is looked at for the COMMON most common shingles
 CROWDED, SEATS = 512, 2048  # buckets of more members are compared in blocks of up to twice SEATS
@@ -45,6 +45,18 @@ SHINGLES = 100_000  # in a block of the verification
 HUBS = 8  # members that all first blocks of a cluster share
 
 
+def possible_bits(similarity: float) -> int:
+    """In how many of their bits the wide fingerprints of texts of this Jaccard similarity may differ.
+
+    Sets of such texts, as vectors, have a cosine of 2 * t / (1 + t) at least, and each bit differs
+    with a probability of the angle over pi. Of texts exactly at the limit one pair in some
+    10,000,000,000 differs by ``SPREAD`` deviations more than that: 76 of 256 bits at 0.8, 114 at 0.5.
+    """
+    differs = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    n = 64 * WORDS
+    return min(n, math.floor(n * differs + SPREAD * math.sqrt(n * differs * (1 - differs))))
+
+
 def widen(hashes: np.ndarray, words: int) -> np.ndarray:
     """``words`` independent 64-bit hashes of each hash, as rows of bytes; the first is the hash itself."""
     x = hashes[:, None] + np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -167,7 +179,7 @@ def possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame
     """The pairs ``a``, ``b`` whose sizes and signatures allow the similarity."""
     at = lambda side: nodes.select(F.col("node").alias(side), F.col("size").alias(f"n{side}"), F.col("signature").alias(f"s{side}"))
     bits = sum(F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(WORDS))
-    return pairs.join(at("a"), "a").join(at("b"), "b").filter(_sizes_allow("na", "nb", similarity) & ((F.least("na", "nb") < FEW) | (bits <= POSSIBLE))).select("a", "b")
+    return pairs.join(at("a"), "a").join(at("b"), "b").filter(_sizes_allow("na", "nb", similarity) & ((F.least("na", "nb") < FEW) | (bits <= possible_bits(similarity)))).select("a", "b")
 
 
 def looked_up(nodes: DataFrame) -> DataFrame:
@@ -233,7 +245,7 @@ def _possible_with(i: int, rest: np.ndarray, root: np.ndarray, sizes: np.ndarray
     n, mine = sizes[rest], sizes[i]
     fits = (root[rest] != root[i]) & (np.minimum(n, mine) >= (similarity - 1e-9) * np.maximum(n, mine))
     at = np.nonzero(fits)[0]
-    near = np.bitwise_count(signatures[rest[at]] ^ signatures[i]).sum(1, dtype=np.int64) <= POSSIBLE
+    near = np.bitwise_count(signatures[rest[at]] ^ signatures[i]).sum(1, dtype=np.int64) <= possible_bits(similarity)
     fits[at] = near | (np.minimum(n[at], mine) < FEW)
     return fits
 
@@ -351,11 +363,12 @@ def without_near_duplicates(docs: DataFrame, width: int = 5, similarity: float =
     grouped = nodes.join(found, "node")
     keeper = grouped.groupBy("component").agg(F.min(F.struct("is_null", "doc_id", "row_key")).alias("k")).select(F.col("k.row_key").alias("row_key"))
     near = grouped.select("row_key").join(keeper, "row_key", "left_anti")
-    gone = materialize(copies.unionByName(near).distinct().withColumnRenamed("row_key", "__key"), "gone")
-    repeated = materialize(rows.groupBy("row_key").count().filter("count > 1").select(F.col("row_key").alias("__key")), "repeated")
-    keyed = docs.withColumn("__key", row_key_column(docs["doc_id"], docs["text"]))
-    maybe, stay = split_by_keys(keyed, gone, "__key")
-    left = stay.unionByName(maybe.join(gone, "__key", "left_anti"))
+    (key,) = unused(docs.columns, "__key")
+    gone = materialize(copies.unionByName(near).distinct().withColumnRenamed("row_key", key), "gone")
+    repeated = materialize(rows.groupBy("row_key").count().filter("count > 1").select(F.col("row_key").alias(key)), "repeated")
+    keyed = docs.withColumn(key, row_key_column(docs["doc_id"], docs["text"]))
+    maybe, stay = split_by_keys(keyed, gone, key)
+    left = stay.unionByName(maybe.join(gone, key, "left_anti"))
     if not repeated.isEmpty():
-        left = left.join(repeated, "__key", "left_anti").unionByName(left.join(repeated, "__key", "left_semi").dropDuplicates(["__key"]))
+        left = left.join(repeated, key, "left_anti").unionByName(left.join(repeated, key, "left_semi").dropDuplicates([key]))
     return left.select(*docs.columns)

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.shared_storage import materialize
+from plumbline.llm.common import unused
 
 NONE = "(none)"
 MARGINS = ("source", "lang", "topic")
@@ -88,24 +89,32 @@ def mix(
     is one. An empty table gives no rows. Extra columns pass through, except that columns named
     like the results are replaced.
     """
-    own = [c for c in docs.columns if c not in ("tokens", "probability", "kept")]
-    docs = docs.select(*own)
-    topic = F.coalesce(docs["topic"].cast("string"), F.lit(NONE)) if "topic" in own else topic_of(F.coalesce(docs[text_col], F.lit("")))
-    rows = docs.withColumns({"topic": topic, "tokens": token_count(F.coalesce(docs[text_col], F.lit("")))})
-    named = {m: F.coalesce(F.col(m).cast("string"), F.lit(NONE)) for m in MARGINS}
-    tally = materialize(rows.select(*[named[m].alias(m) for m in MARGINS], "tokens").groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), "mix-tally")
+    rows, (*levels, tokens, probability, kept) = _drawn(docs, targets, power, keep, sweeps, max_levels, seed, id_col, text_col)
+    own = [c for c in docs.columns if c.lower() not in ("topic", "tokens", "probability", "kept")]
+    return rows.select(*own, F.col(levels[2]).alias("topic"), F.col(tokens).alias("tokens"), F.col(probability).alias("probability"), F.col(kept).alias("kept"))
+
+
+def _drawn(docs: DataFrame, targets: dict | None, power: float = 0.8, keep: float = 0.7, sweeps: int = 20, max_levels: int = 64, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[str]]:
+    """``docs`` untouched, with six columns more under names that it doesn't have: levels of the margins, tokens, probability, and whether kept."""
+    names = unused(docs.columns, *(f"__{m}" for m in MARGINS), "__tokens", "__probability", "__kept")
+    *levels, tokens, probability_name, kept_name = names
+    text = F.coalesce(docs[text_col], F.lit(""))
+    has_topic = "topic" in (c.lower() for c in docs.columns)
+    named = {m: topic_of(text) if m == "topic" and not has_topic else F.coalesce(docs[m].cast("string"), F.lit(NONE)) for m in MARGINS}
+    met = docs.withColumns({level: named[m] for level, m in zip(levels, MARGINS)} | {tokens: token_count(text)})
+    tally = materialize(met.groupBy(*[F.col(level).alias(m) for level, m in zip(levels, MARGINS)]).agg(F.sum(tokens).alias("tokens")), "mix-tally")
     most = max(tally.agg(*[F.count_distinct(m) for m in MARGINS]).first())
     if most <= max_levels:
         probability = _probabilities(tally.orderBy(*MARGINS).toPandas(), targets or {}, power, keep, sweeps)
-        names = ("c_source", "c_lang", "c_topic")
-        columns = {n: pa.array([key[i] for key in probability], pa.string()) for i, n in enumerate(names)}
+        columns = {n: pa.array([key[i] for key in probability], pa.string()) for i, n in enumerate(("c_source", "c_lang", "c_topic"))}
         table = F.broadcast(docs.sparkSession.createDataFrame(pa.table(columns | {"probability": pa.array(probability.values(), pa.float64())})))  # max_levels ** 3 cells at most
     else:
         table = _fitted(tally, targets or {}, power, keep, sweeps)
-    met = rows.withColumns({f"l_{m}": named[m] for m in MARGINS})
-    joined = met.join(table, [met[f"l_{m}"] == table[f"c_{m}"] for m in MARGINS], "left")
+    table = table.select(*[F.col(f"c_{m}").alias(level) for m, level in zip(MARGINS, levels)], F.col("probability").alias(probability_name))
+    joined = met.join(table, levels, "left")
     luck = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit(NONE)))), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
-    return joined.select(*[c for c in own if c != "topic"], "topic", "tokens", F.coalesce("probability", F.lit(1.0)).alias("probability")).withColumn("kept", luck < F.col("probability"))
+    sure = F.coalesce(F.col(probability_name), F.lit(1.0))
+    return joined.withColumn(probability_name, sure).withColumn(kept_name, luck < F.col(probability_name)), names
 
 
 def _probabilities(cells, targets: dict, power: float, keep: float, sweeps: int) -> dict[tuple, float]:
@@ -169,8 +178,9 @@ def residuals(mixed: DataFrame, targets: dict[str, dict[str, float]] | None = No
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
-    """The rows that ``mix`` keeps, with the columns they came with."""
-    return mix(docs, **settings).filter("kept").select(*docs.columns)
+    """The rows that ``mix`` keeps, untouched: further columns may have any names."""
+    rows, names = _drawn(docs, settings.pop("targets", None), **settings)
+    return rows.filter(F.col(names[-1])).select(*docs.columns)
 
 
 def oracle_sql(power: float, keep: float, sweeps: int, seed: int) -> str:
