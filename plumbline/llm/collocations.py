@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.shared_storage import materialize
 
-FLUSH_WORDS = 1_500_000  # words of a shard
+FLUSH_WORDS = 1_000_000  # words of a shard
 SLICE = 1 << 17  # n-grams added to an automaton at once
-SAMPLE_BYTES, SAMPLES = 2 << 20, 8  # one n-gram is looked at in so many bytes of text; so many of them make a range
+SAMPLE_BYTES, SAMPLES = 1 << 20, 8  # one n-gram is looked at in so many bytes of text; so many of them make a range
 MOST_RANGES = 16_384
 COUNTS, ASKED, ANSWERED, LONGER = range(4)
 
@@ -51,16 +51,21 @@ class Packing:
     def __init__(self, symbols: int):
         self.bits = max(int(symbols).bit_length(), 1)
 
-    def pack(self, w: np.ndarray) -> np.ndarray:
+    def pack(self, w) -> np.ndarray:
+        """Keys of three rows of symbols, the first of which is an array."""
         if 3 * self.bits <= 63:
-            return w[0].astype(np.int64) << 2 * self.bits | w[1].astype(np.int64) << self.bits | w[2]
-        return np.ascontiguousarray(w.T.astype(">u4")).view("S12").ravel()  # very large vocabularies
+            keys = w[0].astype(np.int64) << self.bits
+            keys |= w[1]
+            keys <<= self.bits
+            keys |= w[2]
+            return keys
+        return np.ascontiguousarray(np.stack(np.broadcast_arrays(*w)).T.astype(">u4")).view("S12").ravel()  # very large vocabularies
 
     def unpack(self, keys: np.ndarray) -> np.ndarray:
         if 3 * self.bits <= 63:
             low = (1 << self.bits) - 1
-            return np.stack([keys >> 2 * self.bits, keys >> self.bits & low, keys & low])
-        return keys.view(">u4").reshape(-1, 3).T.astype(np.int64)
+            return np.stack([(keys >> k * self.bits & low).astype(np.int32) for k in (2, 1, 0)])
+        return keys.view(">u4").reshape(-1, 3).T.astype(np.int32)
 
 
 def merged(keys: np.ndarray, weights: np.ndarray | None = None, combine: np.ufunc = np.add) -> tuple[np.ndarray, np.ndarray]:
@@ -126,15 +131,23 @@ class Automaton:
             out += [struct.pack("<QQB", len(data), len(a), a.itemsize), data]
         return b"".join(out)
 
+    @classmethod
+    def words_of(cls, blob: bytes) -> list[bytes]:
+        return cls._fields(blob, 1)[0]
+
     @classmethod
     def unpack(cls, blob: bytes) -> Automaton:
+        return cls(*cls._fields(blob, 5))
+
+    @staticmethod
+    def _fields(blob: bytes, fields: int) -> list:
         arrays, at = [], 0
-        for _ in range(5):
+        for _ in range(fields):
             size, n, width = struct.unpack_from("<QQB", blob, at)
             planes = _CODEC.decompress(blob[at + 17 : at + 17 + size], n * width, asbytes=True)
             arrays.append(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, n).T).view(f"<u{width}").ravel())
             at += 17 + size
-        return cls(arrays[0].tobytes().split(b"\n") if len(arrays[0]) else [], *[a.astype(np.int64) for a in arrays[1:]])
+        return [arrays[0].tobytes().split(b"\n") if len(arrays[0]) else [], *[a.astype(np.int64) for a in arrays[1:]]]
 
     def phrases(self) -> tuple[np.ndarray, np.ndarray]:
         """All phrases (three rows of symbols) and their weights, in no order."""
@@ -238,17 +251,18 @@ class _Builder:
         return [np.concatenate([*self.degree, [len(root[0])]]), *columns]
 
 
-def union(automata: list[Automaton]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Words, phrases in order and summed weights of several automata; some million phrases are added at once."""
-    words = sorted(set().union(*(a.words for a in automata)))
+def union(blobs: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Words, phrases in order and summed weights of several packed automata; some million phrases are added at once."""
+    words = sorted(set().union(*(Automaton.words_of(b) for b in blobs)))
     place = {x: i for i, x in enumerate(words, 1)}
     packing, keys, weights, waiting = Packing(len(words)), [], [], 0
-    for k, a in enumerate(automata):
+    for k, blob in enumerate(blobs):
+        a = Automaton.unpack(blob)
         w, n = a.phrases()
         keys.append(packing.pack(np.array([0, *map(place.__getitem__, a.words)])[w]))
         weights.append(n)
         waiting += len(n)
-        if waiting > 1_000_000 or k == len(automata) - 1:
+        if waiting > 1_000_000 or k == len(blobs) - 1:
             one, n = merged(np.concatenate(keys), np.concatenate(weights))
             keys, weights, waiting = [one], [n], 0
     return words, packing.unpack(keys[0]) if keys else np.zeros((3, 0), np.int64), weights[0] if weights else np.zeros(0, np.int64)
@@ -331,20 +345,21 @@ def _blobs(rows: list[tuple]) -> pa.Table:
 def shard_rows(texts: dict[str, list[np.ndarray]], ids: _Ids, ranges: Ranges) -> Iterator[tuple]:
     """Count transducers of a shard, cut at the ranges."""
     words = sorted(w for w in ids if w not in (b"", b"\n"))
-    rank = np.zeros(len(ids), np.int64)
+    rank = np.zeros(len(ids), np.int32)
     rank[[ids[w] for w in words]] = np.arange(1, len(words) + 1)
     rank[ids[b""]] = -1
     packing = Packing(len(words))
     for lang, arrays in texts.items():
         r = rank[np.concatenate(arrays)]
         r = r[r >= 0]
-        gram, none = [], np.zeros(len(r), np.int64)
         there = r > 0
         two = there[:-1] & there[1:]
         three = two[:-1] & two[1:]
-        gram = [np.stack([r, none, none])[:, there], np.stack([r[:-1], r[1:], none[1:]])[:, two], np.stack([r[:-2], r[1:-1], r[2:]])[:, three]]
-        keys, n = merged(np.concatenate([packing.pack(g) for g in gram]))
+        grams = [packing.pack(g) for g in ((r[there], 0, 0), (r[:-1][two], r[1:][two], 0), (r[:-2][three], r[1:-1][three], r[2:][three]))]
+        keys, n = merged(np.concatenate(grams))
+        del grams, there, two, three
         w = packing.unpack(keys)
+        del keys
         for part, a, b in ranges.cuts(lang, words, w):
             yield lang, part, -1, COUNTS, Automaton.of(words, w[:, a:b], n[a:b]).pack(), 0
 
@@ -382,7 +397,7 @@ def _parts(w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _summed(ranges, least: int):
     def run(key: tuple, group: pa.Table) -> pa.Table:
         lang, part = key[0].as_py(), key[1].as_py()
-        words, w, n = union([Automaton.unpack(b.as_py()) for b in group.column("blob")])
+        words, w, n = union(group.column("blob").to_pylist())
         total = int(n[w[1] == 0].sum())
         w, n = w[:, n >= least], n[n >= least]
         rows = [(lang, part, part, COUNTS, Automaton.of(words, w, n).pack(), total)]
@@ -430,14 +445,14 @@ def exact_scores(a: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarr
 def _scored(top: int, drop_share: int):
     def run(key: tuple, group: pa.Table) -> pa.Table:
         lang, part = key[0].as_py(), key[1].as_py()
-        by_kind: dict[int, list[Automaton]] = {k: [] for k in range(4)}
+        by_kind: dict[int, list[bytes]] = {k: [] for k in range(4)}
         for kind, blob in zip(group.column("kind").to_pylist(), group.column("blob")):
-            by_kind[kind].append(Automaton.unpack(blob.as_py()))
-        counts = by_kind[COUNTS][0]
+            by_kind[kind].append(blob.as_py())
+        counts = Automaton.unpack(by_kind[COUNTS][0])
         w, a = counts.phrases()
         w, a = w[:, w[1] > 0], a[w[1] > 0]
         if by_kind[LONGER]:
-            longer = by_kind[LONGER][0].weights_of(counts.words, w)
+            longer = Automaton.unpack(by_kind[LONGER][0]).weights_of(counts.words, w)
             stay = (w[2] > 0) | (longer == 0) | (100 * longer < drop_share * a)
             w, a = w[:, stay], a[stay]
         words, answers, found = union(by_kind[ANSWERED])

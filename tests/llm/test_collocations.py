@@ -63,7 +63,7 @@ def test_union_sums_and_composition_looks_up(monkeypatch, bits):
     for words, grams in made:
         for g, k in grams.items():
             total[tuple(words[i - 1] for i in g if i)] += k
-    words, w, n = co.union([automaton(*m) for m in made])
+    words, w, n = co.union([automaton(*m).pack() for m in made])
     assert {tuple(words[i - 1] for i in g if i): int(k) for g, k in zip(w.T.tolist(), n)} == total
     one, whole = automaton(*made[0]), co.Automaton.of(words, w, n)
     found, own, summed = one.compose(whole)
