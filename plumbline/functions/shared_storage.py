@@ -52,16 +52,30 @@ def discard(df: DataFrame) -> None:
         place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
 
 
-_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+def version_of(spark: SparkSession, source: str) -> tuple:
+    """What tells one state of the tables under ``source`` from another: times, sizes and numbers of files of each table.
+
+    A few calls for each table, however many files it has.
+    """
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = []
+    for table in store.listStatus(place):
+        whole = store.getContentSummary(table.getPath())
+        found.append((table.getPath().getName(), table.getModificationTime(), whole.getLength(), whole.getFileCount()))
+    return tuple(sorted(found))
+
+
+_WRITTEN: dict[tuple[str, str, str], tuple[tuple, DataFrame]] = {}
 
 
 def written_once(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The result of ``build``, written at the first call of a session for ``source`` and ``name`` and read from then on.
+    """The result of ``build``, written at the first call for ``source`` and ``name`` and read from then on, until the tables at ``source`` change.
 
-    For measures that many queries over the same tables share. The tables at ``source`` are taken
-    not to change while the session lasts.
+    For measures that many queries over the same tables share. Tables that were written before a
+    change stay, since results may still read them.
     """
-    key = (spark.sparkContext.applicationId, source, name)
-    if key not in _WRITTEN:
-        _WRITTEN[key] = materialize(build(), name)
-    return _WRITTEN[key]
+    key, version = (spark.sparkContext.applicationId, source, name), version_of(spark, source)
+    if _WRITTEN.get(key, (None,))[0] != version:
+        _WRITTEN[key] = (version, materialize(build(), name))
+    return _WRITTEN[key][1]

@@ -9,6 +9,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DECISIVE = ("keep", "relabel", "remove")
+#: Facts that follow from the status of cases: how many of them meet a condition.
+DECISION_FACTS = {
+    "unresolved_cases": "status in ('open', 'disputed')",
+    "unresolved_high_priority": "status = 'disputed'",
+    "unresolved_label_strong": "status = 'disputed' and case_id % 2 = 0",
+    "unresolved_label_review": "status = 'open'",
+    "decided_cases": "status in ('decided', 'resolved')",
+    "disputed_cases": "status = 'disputed'",
+    "resolved_cases": "status = 'resolved'",
+    "removals": "final = 'remove'",
+    "relabellings": "final like 'relabel%'",
+}
 
 
 def active_decisions(decisions: DataFrame) -> DataFrame:
