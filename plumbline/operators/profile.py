@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.quantiles import exact_quantiles, one_row
+
 #: Limits of the quality rules: absolute ones, and distances in robust standard deviations.
 LIMITS = {"min_chars": 32, "min_chars_rel": 0.25, "symbols": 0.2, "symbols_z": 2.5, "digits": 0.1, "digits_z": 2.5, "repeated": 0.3, "word_length": 14.0, "word_length_z": 4.0, "empty_words": 3, "capitals": 0.3, "capitals_z": 2.5, "max_chars_rel": 20.0, "unbroken": 30.0, "repeated_high": 0.9, "no_digits_symbols": 0.5}
 
@@ -31,14 +33,23 @@ def text_attributes(samples: DataFrame) -> DataFrame:
 
 
 def robust_scale(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
-    """Median and scale of columns: 1.4826 times the median absolute deviation, or the standard deviation where that vanishes."""
-    by = by or []
-    one = F.lit(1).alias("__one")
-    keys = by or ["__one"]
-    base = df.select(*(by or [one]), *columns)
+    """Median and scale of columns: 1.4826 times the median absolute deviation, or the standard deviation where that vanishes.
+
+    Of whole columns the medians are selected by range histograms; groups are taken to be many and
+    keep their own counts of values.
+    """
+    scale = lambda c: F.when(F.col(f"{c}__mad") < 1e-9, F.col(f"{c}__std") + 1e-9).otherwise(1.4826 * F.col(f"{c}__mad"))
+    if not by:
+        medians = exact_quantiles(df, {c: (c, 0.5) for c in columns})
+        off = df.select(*[F.abs(F.col(c) - F.lit(medians[c]).cast("double")).alias(c) for c in columns])
+        spread = exact_quantiles(off, {c: (c, 0.5) for c in columns})
+        stats = one_row(df, {f"{c}__median": medians[c] for c in columns} | {f"{c}__mad": spread[c] for c in columns})
+        whole = df.agg(*[F.stddev_pop(c).alias(f"{c}__std") for c in columns]).crossJoin(stats)  # one row each
+        return whole.select(F.lit(1).alias("__one"), *[F.col(f"{c}__median") for c in columns], *[scale(c).alias(f"{c}__scale") for c in columns])
+    keys = by
+    base = df.select(*by, *columns)
     medians = base.groupBy(*keys).agg(*[F.percentile(c, F.lit(0.5)).alias(f"{c}__median") for c in columns], *[F.stddev_pop(c).alias(f"{c}__std") for c in columns])
     spread = base.join(medians, keys).groupBy(*keys).agg(*[F.percentile(F.abs(F.col(c) - F.col(f"{c}__median")), F.lit(0.5)).alias(f"{c}__mad") for c in columns])
-    scale = lambda c: F.when(F.col(f"{c}__mad") < 1e-9, F.col(f"{c}__std") + 1e-9).otherwise(1.4826 * F.col(f"{c}__mad"))
     return medians.join(spread, keys).select(*keys, *[F.col(f"{c}__median") for c in columns], *[scale(c).alias(f"{c}__scale") for c in columns])
 
 
@@ -55,7 +66,7 @@ def quality_rules(attributes: DataFrame, limits: dict = LIMITS) -> DataFrame:
     A finding needs an absolute limit and, where it has one, a distance from the rest of the data.
     """
     z = robust_z(attributes, ["symbols", "digits", "word_length", "capitals"])
-    median = attributes.agg(F.percentile("chars", F.lit(0.5)).alias("median_chars"))
+    median = one_row(attributes, {"median_chars": exact_quantiles(attributes, {"m": ("chars", 0.5)})["m"]})
     rel = F.lit(limits["min_chars_rel"]) * F.col("median_chars")
 
     def finding(name: str, when: Column, severity: Column | str, value: Column, threshold: Column | float, comparator: str) -> Column:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import coverage, evidence, families, predictions, similarity
+from plumbline.functions.shared_storage import materialize
+from plumbline.operators import coverage, evidence, families, predictions, similarity, trees
+from plumbline.operators.graph import connected_components
 from plumbline.plans import text_queries as texts
 from plumbline.sources.bindings import SQL_REGIONS, SQL_TEXT, SQL_VECTORS, text_samples, vector_samples
 from plumbline.sources.files import integrity_check as check_content
@@ -65,6 +67,25 @@ def lineage_tree(spark, d):
     return evidence.lineage(edges, nodes)
 
 
+#: How strong a relation is.
+RELATION_RANK = {"exact": 3, "normalized": 2, "resized": 2, "near": 1}
+
+
+def lineage_near(spark, d):
+    """Trees of the families of copies and near copies along their strongest relations: exact before changed before near, then by likeness."""
+    h = texts._hashed(spark, d)
+    same = [families.star_edges(h, key).select("a", "b", "relation", F.lit(1.0).alias("likeness"), F.lit(1.0).alias("size_ratio")) for key in ("raw_sha", "norm_sha")]
+    edges = same[0].unionByName(same[1]).unionByName(texts._near(spark, d).select("a", "b", "relation", F.col("jaccard").alias("likeness"), "size_ratio"))
+    rank = F.coalesce(*[F.when(F.col("relation") == name, F.lit(n)) for name, n in RELATION_RANK.items()])
+    forest = materialize(trees.maximum_spanning_forest(edges.withColumn("rank", rank), ["rank", "likeness", "size_ratio"]), "family-trees")
+    nodes = connected_components(forest, "a", "b").select(F.col("node").alias("sample_id"), F.col("component").alias("family_id"))
+    nodes = materialize(nodes.join(h.select("sample_id", F.col("n_chars").alias("area")), "sample_id"), "family-members")
+    grown = evidence.lineage(forest.select("a", "b", (-F.col("rank")).alias("rank")), nodes)
+    link = forest.select(F.col("a").alias("x"), F.col("b").alias("y"), "rank", F.round("likeness", 4).alias("likeness"))
+    tied = grown.withColumns({"x": F.least("sample_id", "parent_id"), "y": F.greatest("sample_id", "parent_id")}).withColumns({c: F.when(F.col("parent_id").isNotNull(), F.col(c)) for c in ("x", "y")})
+    return tied.join(link, ["x", "y"], "left").select("sample_id", "family_id", "parent_id", "depth", "rank", "likeness")
+
+
 def stream_ingest(spark, d):
     from plumbline.streaming.ingest import run_to_end
 
@@ -82,7 +103,7 @@ def audit_report(spark, d):
     return report(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (coverage_gaps, plan_collection, class_cap, bootstrap_f1, sample_detail, narrative, unverified_numbers, lineage_tree, stream_ingest, integrity_check, audit_report)}
+QUERIES = {f.__name__: f for f in (coverage_gaps, plan_collection, class_cap, bootstrap_f1, sample_detail, narrative, unverified_numbers, lineage_tree, lineage_near, stream_ingest, integrity_check, audit_report)}
 
 _GAPS = SQL_VECTORS + ", " + SQL_REGIONS + """, rg as (select * from vectors join regions using (sample_id)), ol as (select region, label, count(*) as n, count(*) filter (split = 'train') as n_train from rg group by all), tot as (select label, sum(n) as n_label from ol group by label),
  sz as (select region, sum(n) as size, sum(n_train) as train from ol group by region), mx as (select region, label, n, row_number() over (partition by region order by n desc, label) as r from ol),
@@ -106,6 +127,19 @@ ORACLES = {
     "lineage_tree": f"""with {texts.HASHED}, m as (select sample_id, n_chars, min(sample_id) over (partition by norm_sha) as family_id, count(*) over (partition by norm_sha) as n from hashed where norm_sha is not null), f as (select * from m where n > 1),
  r as (select family_id, sample_id as root from (select *, row_number() over (partition by family_id order by n_chars desc, sample_id) as k from f) where k = 1)
  select sample_id, family_id, case when sample_id = root then null when sample_id = family_id then root else family_id end as parent_id, case when sample_id = root then 0 when root = family_id then 1 when sample_id = family_id then 1 else 2 end as depth from f join r using (family_id)""",
+    "lineage_near": f"""with recursive {texts.NEAR}, stars as (select min(sample_id) over (partition by raw_sha) as a, sample_id as b, 3 as rank from hashed where raw_sha is not null union all select min(sample_id) over (partition by norm_sha), sample_id, 2 from hashed where norm_sha is not null),
+ every as (select a, b, rank, 1.0::double as likeness, 1.0::double as size_ratio from stars where a <> b union all
+  select a, b, case when x.raw_sha = y.raw_sha then 3 when x.norm_sha = y.norm_sha then 2 when size_ratio < 0.97 then 2 else 1 end, jaccard, size_ratio from near join hashed x on x.sample_id = a join hashed y on y.sample_id = b),
+ e as (select *, row_number() over (order by rank desc, likeness desc, size_ratio desc, a, b) as k from (select *, row_number() over (partition by a, b order by rank desc, likeness desc, size_ratio desc) as pick from every) where pick = 1),
+ both_ways as (select a as u, b as v, k from e union all select b, a, k from e),
+ family(sample_id, r) as (select a, a from e union select b, b from e union select w.v, f.r from family f join both_ways w on w.u = f.sample_id),
+ members as (select sample_id, min(r) as family_id from family group by sample_id),
+ reach(k, node) as (select k, a from e union select r.k, w.v from reach r join both_ways w on w.u = r.node and w.k < r.k),
+ tree as (select e.* from e left join reach on reach.k = e.k and reach.node = e.b where reach.k is null),
+ ways as (select a as u, b as v, rank, likeness from tree union all select b, a, rank, likeness from tree),
+ roots as (select sample_id, family_id from (select m.*, row_number() over (partition by family_id order by n_chars desc, sample_id) as i from members m join samples using (sample_id)) where i = 1),
+ grown(sample_id, family_id, parent_id, depth, rank, likeness) as (select sample_id, family_id, null::bigint, 0, null::integer, null::double from roots union all select w.v, g.family_id, g.sample_id, g.depth + 1, w.rank, w.likeness from grown g join ways w on w.u = g.sample_id and (g.parent_id is null or w.v <> g.parent_id))
+ select sample_id, family_id, parent_id, depth, rank, round(likeness, 4) as likeness from grown""",
     "stream_ingest": "select sha256(coalesce(text, '')) as sha, count(*) as n, count(*) - 1 as copies from documents group by 1",
     "integrity_check": "select count(*) as n, count(*) filter (doc_id % 97 = 0) as changed from documents",
 }
