@@ -75,10 +75,10 @@ def issue_rates_window(spark, d):
 
 
 def stream_decisions(spark, d):
-    """Case status kept live from the stream of decisions; equal to ``case_status``."""
-    from plumbline.streaming.decisions import run_to_end
+    """Case status kept live from the log of votes and withdrawals; equal to ``case_status``."""
+    from plumbline.streaming.live_facts import live_cases, run_to_end
 
-    return run_to_end(spark, d)
+    return run_to_end(spark, d, live_cases)
 
 
 def stream_facts(spark, d):
@@ -88,13 +88,6 @@ def stream_facts(spark, d):
     return run_to_end(spark, d)
 
 
-def stream_cases(spark, d):
-    """Status of every case from the live state; equal to ``case_status``."""
-    from plumbline.streaming.live_facts import live_cases, run_to_end
-
-    return run_to_end(spark, d, live_cases)
-
-
 def stream_issue_rates(spark, d):
     from plumbline.streaming.issue_rates import run_to_end
 
@@ -165,7 +158,7 @@ def change_set(spark, d):
     return kept.groupBy("effect").agg(F.count("*").alias("n"), F.sum("sample_id").alias("ids")).unionByName(acts.join(protect, "sample_id", "left_semi").agg(F.lit("protected").alias("effect"), F.count("*").alias("n"), F.sum("sample_id").alias("ids")))
 
 
-QUERIES = {f.__name__: f for f in (active_decisions, case_status, final_decision, validate_decision, agreement_kappa, reviewer_activity, session_progress, review_budget, ledger_chain, ledger_verify, issue_rates_window, stream_decisions, stream_facts, stream_cases, stream_issue_rates, facts, debt, preflight, contract, export_clean, change_set)}
+QUERIES = {f.__name__: f for f in (active_decisions, case_status, final_decision, validate_decision, agreement_kappa, reviewer_activity, session_progress, review_budget, ledger_chain, ledger_verify, issue_rates_window, stream_decisions, stream_facts, stream_issue_rates, facts, debt, preflight, contract, export_clean, change_set)}
 
 ACTIVE = SQL_DECISIONS + """, active as (select case_id, reviewer, decision_id, action, target, adjudicate, created_at from (select *, row_number() over (partition by case_id, reviewer order by created_at desc, decision_id desc) as r from decisions where not undone) where r = 1),
 voted as (select *, action || coalesce(':' || target, '') as key, action in ('keep', 'relabel', 'remove') as decisive from active),
@@ -208,7 +201,6 @@ ORACLES = {
     "ledger_verify": "select user_id as org, count(*) as entries, count(*) filter (event_id % 500 = 499) = 0 as valid, min(event_id) filter (event_id % 500 = 499) as broken_at from events group by user_id",
     "issue_rates_window": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n, round(sum(value), 2) as total from events group by all",
     "stream_decisions": f"with {ACTIVE} select case_id, votes, status, final from st",
-    "stream_cases": f"with {ACTIVE} select case_id, votes, status, final from st",
     "stream_facts": f"with {ACTIVE} select " + ", ".join(f"count(*) filter ({e}) as {m}" for m, e in review.DECISION_FACTS.items()) + " from st",
     "facts": f"with {FACTS} select * from facts",
     "debt": f"with {DEBT} select dimension, round(v, 5)::double as value, ['LOW', 'MODERATE', 'HIGH', 'CRITICAL'][rk + 1] as level, round(least(100, 100 * v / k::double), 1)::double as score, ['LOW', 'MODERATE', 'HIGH', 'CRITICAL'][case when t = 3 then 3 when t = 2 or mods >= 3 then 2 else t end + 1] as overall from ranked, ov",

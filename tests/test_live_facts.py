@@ -72,6 +72,28 @@ def test_a_batch_run_again_counts_once(spark):
     assert (got["unresolved_cases"], got["decided_cases"]) == (0, 1)
 
 
+def test_arrivals_are_stored_once_in_every_batch(spark):
+    """Copies within a batch and across batches, samples delivered again, null and empty texts, against a plain loop."""
+    from plumbline.streaming import ingest
+
+    rnd = random.Random(9)
+    rows = [(i, rnd.choice(["a", "b", "c " * 50, "", None, f"only {i}"]), rnd.choice(["train", "test", None])) for i in range(90)]
+    rnd.shuffle(rows)
+    batches = [rows[:30], rows[30:60] + rows[:10], rows[60:] + rows[20:40] + [(None, "a", "train")]]
+    source, store, progress = (tempfile.mkdtemp() for _ in range(3))
+    schema, first, want = "sample_id long, text string, split string", {}, {}
+    for k, batch in enumerate(batches):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
+        ingest.start(spark.readStream.schema(schema).parquet(source), store, progress).awaitTermination()
+        new = sorted((i, t or "") for i, t, _ in batch if i is not None and i not in want)
+        for i, t in new:
+            first.setdefault(t, i)
+            want[i] = None if first[t] == i else first[t]
+        got = {r.sample_id: r.copy_of for r in spark.read.parquet(store).collect()}
+        assert got == want
+        assert spark.read.parquet(f"{store}/batch={k}").count() == len(new)
+
+
 def test_shared_measures_follow_the_tables(spark, tmp_path):
     """What is written once for many queries is written again when documents or decisions change."""
     from plumbline.plans import review_queries, text_queries
