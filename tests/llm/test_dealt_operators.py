@@ -395,7 +395,7 @@ def test_recordings_align_with_their_excerpts(spark):
     assert got[6].class_id == got[2].class_id and got[7].class_id == got[0].class_id and got[8].class_id == got[9].class_id
     assert len({got[i].class_id for i in range(6)}) == 6
     link = got[6] if got[6].anchor else got[2]
-    assert abs(link.shift) == 10 and link.bit_error < 0.1
+    assert abs(link.shift) == 10 * chroma_fingerprint.PHASES and link.bit_error < 0.1
     assert chroma_fingerprint.match_recordings(spark.createDataFrame([], "id long, audio binary"), "audio", ["id"]).count() == 0
 
 
@@ -407,26 +407,44 @@ def test_alignments_connect_what_brute_force_connects(spark, block):
     jingle = rnd.integers(0, 36, 16)
     parts = [*songs, np.concatenate((songs[0][:30], songs[1][20:60])), np.concatenate((songs[2][40:], songs[3][:50])), songs[3][10:60], songs[4][5:40]]
     parts += [np.concatenate((rnd.integers(0, 36, k), jingle, rnd.integers(0, 36, 90 - k))) for k in (10, 30, 50, 70)] + [np.concatenate((jingle, songs[4][:30]))]
-    codes = [chroma_fingerprint.fingerprint(chroma_fingerprint._notes()[p].ravel()) for p in parts]
-    df = spark.createDataFrame([(i, [int(c) for c in x.astype(np.int64)]) for i, x in enumerate(codes)], "id long, codes array<long>")
-    n, run, want = len(codes), chroma_fingerprint.RUN, list(range(len(codes)))
+    pcm = [chroma_fingerprint._notes()[p].ravel() for p in parts]
+    pcm += [pcm[k][cut:] for k, cut in ((0, 3000), (1, 5 * 512 + 256), (2, 100))]  # cut off the grid of frames
+    grids = [chroma_fingerprint.fingerprint_grids(x) for x in pcm]
+    longs = lambda x: [int(c) for c in x.astype(np.int64)]
+    df = spark.createDataFrame([(i, *map(longs, x)) for i, x in enumerate(grids)], "id long, codes array<long>, shifted array<long>")
+    on_first = {int(c) for x in grids for c in x[0]}  # an integer on the second grids alone has no anchor
+    n, want = len(grids), list(range(len(grids)))
     for i in range(n):
         for j in range(i):
-            at = {}
-            for k in range(len(codes[j]) - run + 1):
-                at.setdefault(tuple(codes[j][k : k + run]), []).append(k)
-            shifts = {b - a for a in range(len(codes[i]) - run + 1) for b in at.get(tuple(codes[i][a : a + run]), [])}
-            if any(m >= 8 and e <= 0.35 for m, e in (chroma_fingerprint.overlap_error(codes[i], codes[j], s) for s in shifts)):
+            tries = set()
+            for a, x in enumerate(grids[i]):
+                for b, y in enumerate(grids[j]):
+                    tries |= {(a, b, int(q - p)) for p, c in enumerate(x) if int(c) in on_first for q in np.flatnonzero(y == c)}
+            if any(m >= 8 and e <= chroma_fingerprint.MAX_ERROR * min(1.0, m / chroma_fingerprint.FULL) for m, e in (chroma_fingerprint.overlap_error(grids[i][a], grids[j][b], s) for a, b, s in tries)):
                 lo, hi = sorted((want[i], want[j]))
                 want = [lo if x == hi else x for x in want]
     found = chroma_fingerprint.align(df, block=block).collect()
     for r in found:
-        m, e = chroma_fingerprint.overlap_error(codes[r.id], codes[r.anchor], r.shift)
-        assert (r.overlap, r.bit_error) == (m, pytest.approx(e)) and m >= 8 and e <= 0.35
+        near = [(a, b) for a in (0, 1) for b in (0, 1) if (r.shift - (b - a)) % 2 == 0]
+        errors = [chroma_fingerprint.overlap_error(grids[r.id][a], grids[r.anchor][b], (r.shift - (b - a)) // 2) for a, b in near]
+        assert any((r.overlap, r.bit_error) == (m, pytest.approx(e)) for m, e in errors) and r.overlap >= 8 and r.bit_error <= chroma_fingerprint.MAX_ERROR
     assert parts_of(n, [(r.id, r.anchor) for r in found]) == want and 1 < len(set(want)) < n
     assert want[5] == want[0] == want[1]
 
 
+def test_excerpts_cut_anywhere_are_found(spark):
+    """Recall at random offsets from the grid of frames, and no class that joins different songs."""
+    rng = np.random.default_rng(12)
+    notes, rows, k = chroma_fingerprint._notes(), [], 150
+    songs = [notes[rng.integers(0, 36, 50)].ravel() for _ in range(k)]
+    cuts = [songs[i][int(c) :] for i, c in enumerate(5 * chroma_fingerprint.HOP + rng.integers(0, chroma_fingerprint.HOP, k))]
+    rows = [(i, s.astype("<f4").tobytes()) for i, s in enumerate(songs)] + [(k + i, s.astype("<f4").tobytes()) for i, s in enumerate(cuts)]
+    got = {r.id: r.class_id for r in chroma_fingerprint.match_recordings(spark.createDataFrame(rows, "id long, audio binary"), "audio", ["id"], decode=lambda b: np.frombuffer(b, "<f4")).collect()}
+    found = sum(got[i] == got[k + i] for i in range(k))
+    assert found >= 0.9 * k
+    assert len({got[i] for i in range(k)}) == k
+
+
 # 7 ---------------------------------------------------------------------------------------------
 
 def test_fisher_yates_is_a_uniform_permutation():
