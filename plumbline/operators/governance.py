@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Levels and statuses in rising order.
 LEVELS = ("LOW", "MODERATE", "HIGH", "CRITICAL")
 STATUSES = ("READY", "READY_WITH_WARNINGS", "BLOCKED")
-#: Dimension: limits of moderate, high and critical, and whether it counts overall.
+#: Fixed values, by dimension: limits of moderate, high and critical, and whether it counts overall.
 DEBT_LIMITS = {
     "label": (0.01, 0.03, 0.08, True),
     "leakage": (0.005, 0.02, 0.05, True),
@@ -80,10 +81,12 @@ def preflight(facts: DataFrame) -> DataFrame:
     return rows.select(F.explode("r").alias("x"), total.alias("status")).select("x.check", "x.outcome", "status")
 
 
+COMPARE = {"<=": lambda a, b: a <= b, "<": lambda a, b: a < b, ">=": lambda a, b: a >= b, ">": lambda a, b: a > b, "==": lambda a, b: a == b}
+
+
 def contract(facts: DataFrame, rules: list[tuple[str, str, float]]) -> DataFrame:
     """``metric``, ``op``, ``expected``, ``actual``, ``passed`` of numeric rules over columns of ``facts``; a null fact fails."""
-    compare = {"<=": lambda a, b: a <= b, "<": lambda a, b: a < b, ">=": lambda a, b: a >= b, ">": lambda a, b: a > b, "==": lambda a, b: a == b}
-    rows = [F.struct(F.lit(m).alias("metric"), F.lit(op).alias("op"), F.lit(float(v)).alias("expected"), F.round(F.col(m).cast("double"), 5).alias("actual"), F.coalesce(compare[op](F.col(m), F.lit(v)), F.lit(False)).alias("passed")) for m, op, v in rules]
+    rows = [F.struct(F.lit(m).alias("metric"), F.lit(op).alias("op"), F.lit(float(v)).alias("expected"), F.round(F.col(m).cast("double"), 5).alias("actual"), F.coalesce(COMPARE[op](F.col(m), F.lit(v)), F.lit(False)).alias("passed")) for m, op, v in rules]
     return facts.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
@@ -98,9 +101,19 @@ def contract_includes(actual: DataFrame, rules: list[tuple[str, list[str]]]) ->
     return met.select("metric", F.array_join(missing, ",").alias("missing"), (F.size(missing) == 0).alias("passed"))
 
 
-#: Levels in rising order, for rules that compare them.
-LEVELS = ("LOW", "MODERATE", "HIGH", "CRITICAL")
+def level_rank(level: str | Column) -> Column:
+    """Place of a level or status in rising order; null for another word."""
+    level = F.col(level) if isinstance(level, str) else level
+    return F.coalesce(*[F.when(level == name, F.lit(i)) for order in (LEVELS, STATUSES) for i, name in enumerate(order)])
 
 
-def level_rank(level: str):
-    return F.coalesce(*[F.when(F.col(level) == name, F.lit(i)) for i, name in enumerate(LEVELS)])
+def contract_levels(actual: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """``metric``, ``op``, ``expected``, ``level`` and ``passed`` of rules that compare levels or statuses by their order.
+
+    ``actual`` has ``metric`` and ``level``; a metric that isn't there, or a word that is no level, fails.
+    """
+    asked = actual.sparkSession.createDataFrame(rules, "metric string, op string, expected string")
+    met = asked.join(actual, "metric", "left")
+    a, b = level_rank("level"), level_rank("expected")
+    passed = F.coalesce(*[F.when(F.col("op") == op, test(a, b)) for op, test in COMPARE.items()])
+    return met.select("metric", "op", "expected", "level", F.coalesce(passed, F.lit(False)).alias("passed"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: How much each witness counts.
 WEIGHTS = {"model": 0.35, "neighbor": 0.30, "centroid": 0.15, "dynamics": 0.10, "dup": 0.10}
 LEAST_RELIABILITY = 0.05
 #: How doubtful a category of training dynamics makes a label.
@@ -55,40 +56,67 @@ def rare_or_wrong(scored: DataFrame) -> DataFrame:
     return out.withColumn("hypothesis", F.when((top >= 0.5) & (F.round(top - second, 4) >= 0.08), c("r")[0]["k"]).otherwise("uncertain")).drop("r")
 
 
+#: From which measured reliability a witness counts, and from which a model, an influence or harm is remarkable.
+MIN_RELIABILITY, UNCALIBRATED, HIGH_SELF_INFLUENCE, HARMS_FAILURES = 0.35, 0.1, 0.95, 3
+
+
 def reason_codes(judged: DataFrame) -> DataFrame:
-    """``codes``: the reasons that a sample's evidence gives, in a fixed order."""
+    """``codes``: the reasons that a sample's evidence gives, in a fixed order.
+
+    Besides the columns of ``rare_or_wrong``, these are used where they are there, and give no
+    reason where they are null: ``reliability_neighbor`` and ``reliability_centroid`` (a witness below
+    ``MIN_RELIABILITY`` is called weak and says nothing), ``model_ece``, ``near_copy`` (a near copy of
+    another sample, not its family's root), ``leak_risk`` (low, medium, high or critical, in place
+    of ``leaks``), ``dynamics``, ``self_influence_pct``, ``failures_harmed``, ``in_shortcut`` and ``privacy``.
+    """
     c = F.col
+    has = lambda name: name in judged.columns
     differs = c("pred") != c("label")
+    counts = lambda witness: F.coalesce(c(f"reliability_{witness}") >= MIN_RELIABILITY, F.lit(True)) if has(f"reliability_{witness}") else F.lit(True)
+    near, far = counts("neighbor"), counts("centroid")
+    leaks = c("leak_risk").isNotNull() if has("leak_risk") else c("leaks")
     rules: list[tuple[str, Column]] = [
         ("HIGH_MODEL_DISAGREEMENT", differs & (c("p_given") < 0.2)),
         ("MODEL_DISAGREEMENT", differs & (c("p_given") >= 0.2) & (c("p_given") < 0.4)),
         ("MODEL_AGREES", (c("p_given") >= 0.6)),
-        ("HIGH_NEIGHBOR_DISAGREEMENT", (c("neighbor_same") < 0.35) & (c("neighbor_major_share") >= 0.5)),
-        ("NEIGHBORS_AGREE", c("neighbor_same") >= 0.6),
-        ("OUTSIDE_CLASS_CLUSTER", c("centroid_ratio") > 0.55),
-        ("INSIDE_CLASS_CLUSTER", c("centroid_ratio") < 0.45),
-        ("CONSISTENT_ALTERNATIVE_LABEL", c("consistent")),
-        ("LOW_DENSITY", c("density_pct") <= 0.05),
+        ("HIGH_NEIGHBOR_DISAGREEMENT", near & (c("neighbor_same") < 0.35) & (c("neighbor_major_share") >= 0.5)),
+        ("NEIGHBORS_AGREE", near & (c("neighbor_same") >= 0.6)),
+        ("OUTSIDE_CLASS_CLUSTER", far & (c("centroid_ratio") >= 0.55)),
+        ("INSIDE_CLASS_CLUSTER", far & (c("centroid_ratio") < 0.45)),
+        ("CONSISTENT_ALTERNATIVE_LABEL", c("consistent") & near & far),
+        ("LOW_DENSITY_REGION", c("density_pct") <= 0.05),
         ("QUALITY_OK", c("severity") < 0.6),
         ("SEVERE_QUALITY_ISSUE", c("severity") >= 0.9),
         ("QUALITY_CONCERN", (c("severity") >= 0.6) & (c("severity") < 0.9)),
         ("EXACT_DUPLICATE_COPY", c("is_copy")),
         ("DUPLICATE_LABEL_CONFLICT", c("dup_conflict")),
-        ("CROSS_SPLIT_LEAKAGE", c("leaks")),
-        ("NO_LEAKAGE", ~c("leaks")),
+        ("CROSS_SPLIT_LEAKAGE", (c("leak_risk") == "medium") if has("leak_risk") else leaks),
+        ("NO_LEAKAGE", ~leaks),
         ("RARE_HYPOTHESIS", c("hypothesis") == "rare_valid"),
         ("MISLABEL_HYPOTHESIS", c("hypothesis") == "likely_mislabeled"),
         ("AMBIGUOUS_HYPOTHESIS", c("hypothesis") == "ambiguous"),
         ("DOMAIN_SHIFT_HYPOTHESIS", c("hypothesis") == "domain_shifted"),
         ("EVALUATION_SAMPLE", c("split").isin("val", "test")),
     ]
-    if "dynamics" in judged.columns:
+    rules += [(name, ~there & c(value).isNotNull()) for name, there, value in (("NEIGHBOR_WITNESS_WEAK", near, "neighbor_same"), ("EMBEDDING_WITNESS_WEAK", far, "centroid_ratio"))]
+    if has("leak_risk"):
+        rules += [("CROSS_SPLIT_LEAKAGE_HIGH", c("leak_risk").isin("high", "critical")), ("SIMILAR_SUBJECT_ACROSS_SPLITS", c("leak_risk") == "low")]
+    more = {
+        "model_ece": ("MODEL_POORLY_CALIBRATED", lambda x: x > UNCALIBRATED),
+        "near_copy": ("NEAR_DUPLICATE_MEMBER", lambda x: x & ~c("is_copy")),
+        "self_influence_pct": ("HIGH_SELF_INFLUENCE", lambda x: x >= HIGH_SELF_INFLUENCE),
+        "failures_harmed": ("HARMS_EVAL_FAILURES", lambda x: x >= HARMS_FAILURES),
+        "in_shortcut": ("SHORTCUT_GROUP_MEMBER", lambda x: x),
+        "privacy": ("PRIVACY_SENSITIVE_CONTENT", lambda x: x),
+    }
+    rules += [(name, when(c(column))) for column, (name, when) in more.items() if has(column)]
+    if has("dynamics"):
         names = {"hard": "HARD_TO_LEARN", "forgotten": "FORGOTTEN_DURING_TRAINING", "ambiguous": "AMBIGUOUS_TRAINING", "unstable": "UNSTABLE_TRAINING", "easy": "EASY_TO_LEARN"}
         rules += [(name, c("dynamics") == category) for category, name in names.items()]
     return judged.withColumn("codes", F.array_compact(F.array(*[F.when(when, name) for name, when in rules])))
 
 
-#: Verdict by the first rule that matches, with its severity.
+#: Verdict by the first rule that matches, with its severity.
 SEVERITY = {"LEAKAGE_ACTION_NEEDED": 0.9, "POSSIBLE_RELABEL": 0.85, "STRONG_REVIEW": 0.8, "POSSIBLE_REMOVE": 0.6, "REVIEW": 0.5, "UNCERTAIN": 0.45, "LIKELY_RARE": 0.35, "KEEP": 0.1}
 
 
@@ -98,7 +126,7 @@ def deliberate(coded: DataFrame) -> DataFrame:
     model, near, far = has("HIGH_MODEL_DISAGREEMENT", "MODEL_DISAGREEMENT"), has("HIGH_NEIGHBOR_DISAGREEMENT"), has("OUTSIDE_CLASS_CLUSTER")
     two = model.cast("int") + near.cast("int") + far.cast("int") >= 2
     rules = [
-        ("R1", has("CROSS_SPLIT_LEAKAGE"), "LEAKAGE_ACTION_NEEDED"),
+        ("R1", has("CROSS_SPLIT_LEAKAGE", "CROSS_SPLIT_LEAKAGE_HIGH"), "LEAKAGE_ACTION_NEEDED"),
         ("R2", has("EXACT_DUPLICATE_COPY") & ~has("DUPLICATE_LABEL_CONFLICT"), "POSSIBLE_REMOVE"),
         ("R3", has("DUPLICATE_LABEL_CONFLICT"), "STRONG_REVIEW"),
         ("R4", has("SEVERE_QUALITY_ISSUE") & model & ~has("RARE_HYPOTHESIS"), "POSSIBLE_REMOVE"),
@@ -116,7 +144,7 @@ def deliberate(coded: DataFrame) -> DataFrame:
     strength = F.greatest("suspicion", F.when(F.col("leaks"), 0.85).otherwise(0.0), 0.8 * F.col("severity"))
     out = out.withColumn("strength", strength)
     impact = F.when(F.col("split").isin("val", "test"), 0.6 * F.col("strength")).otherwise(0.0)
-    concerns = {"leakage": has("CROSS_SPLIT_LEAKAGE"), "label": model | near | far, "quality": has("SEVERE_QUALITY_ISSUE", "QUALITY_CONCERN"), "duplicate": has("EXACT_DUPLICATE_COPY", "DUPLICATE_LABEL_CONFLICT")}
+    concerns = {"leakage": has("CROSS_SPLIT_LEAKAGE", "CROSS_SPLIT_LEAKAGE_HIGH"), "label": model | near | far, "quality": has("SEVERE_QUALITY_ISSUE", "QUALITY_CONCERN"), "duplicate": has("EXACT_DUPLICATE_COPY", "DUPLICATE_LABEL_CONFLICT")}
     uncertainty = F.when(F.col("verdict").isin("LEAKAGE_ACTION_NEEDED", "POSSIBLE_RELABEL"), "low").when(F.col("verdict").isin("UNCERTAIN", "REVIEW"), "high").otherwise("medium")
     return out.withColumns(
         {
@@ -145,9 +173,12 @@ def witnesses(coded: DataFrame) -> DataFrame:
         ("centroid", stance(has("OUTSIDE_CLASS_CLUSTER"), has("INSIDE_CLASS_CLUSTER")), F.abs(0.5 - c("centroid_ratio")) * 2, F.lit(True)),
         ("quality", stance(has("SEVERE_QUALITY_ISSUE", "QUALITY_CONCERN"), has("QUALITY_OK")), F.when(has("QUALITY_OK"), 0.4).otherwise(c("severity")), F.lit(True)),
         ("duplicate", stance(has("DUPLICATE_LABEL_CONFLICT", "EXACT_DUPLICATE_COPY"), F.lit(False)), F.when(has("DUPLICATE_LABEL_CONFLICT"), 1.0).otherwise(0.6), has("DUPLICATE_LABEL_CONFLICT", "EXACT_DUPLICATE_COPY")),
-        ("split", stance(has("CROSS_SPLIT_LEAKAGE"), has("NO_LEAKAGE")), F.when(has("CROSS_SPLIT_LEAKAGE"), 0.9).otherwise(0.3), F.lit(True)),
+        ("split", stance(has("CROSS_SPLIT_LEAKAGE", "CROSS_SPLIT_LEAKAGE_HIGH"), has("NO_LEAKAGE")), F.when(has("CROSS_SPLIT_LEAKAGE", "CROSS_SPLIT_LEAKAGE_HIGH"), 0.9).otherwise(0.3), F.lit(True)),
         ("dynamics", stance(has("HARD_TO_LEARN", "FORGOTTEN_DURING_TRAINING"), has("EASY_TO_LEARN")), F.lit(0.6), has("HARD_TO_LEARN", "FORGOTTEN_DURING_TRAINING", "AMBIGUOUS_TRAINING", "UNSTABLE_TRAINING", "EASY_TO_LEARN")),
         ("rarity", stance(F.lit(False), has("RARE_HYPOTHESIS")), F.lit(0.8), has("RARE_HYPOTHESIS")),
+        ("influence", stance(has("HIGH_SELF_INFLUENCE", "HARMS_EVAL_FAILURES"), F.lit(False)), F.when(has("HARMS_EVAL_FAILURES"), 0.8).otherwise(0.6), has("HIGH_SELF_INFLUENCE", "HARMS_EVAL_FAILURES")),
+        ("shortcut", F.lit("neutral"), F.lit(0.3), has("SHORTCUT_GROUP_MEMBER")),
+        ("privacy", F.lit("neutral"), F.lit(0.2), has("PRIVACY_SENSITIVE_CONTENT")),
     ]
     heard = F.array_compact(F.array(*[F.when(there, F.struct(F.lit(name).alias("witness"), s.alias("stance"), F.round(w, 4).alias("weight"))) for name, s, w, there in said]))
     against = F.when(c("verdict").isin("KEEP", "LIKELY_RARE"), "prosecution").otherwise("defense")

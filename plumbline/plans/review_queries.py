@@ -141,6 +141,16 @@ def contract(spark, d):
     return governance.contract(facts(spark, d), CONTRACT)
 
 
+LEVEL_CONTRACT = [("debt_overall", "<=", "MODERATE"), ("debt_leakage", "<=", "LOW"), ("debt_quality", "<", "CRITICAL"), ("preflight", "<=", "READY_WITH_WARNINGS"), ("debt_nothing", "<=", "LOW")]
+
+
+def contract_levels(spark, d):
+    """Rules on the levels of debt and the status of the preflight; the last names a metric that isn't there."""
+    levels = debt(spark, d).select(F.explode(F.array(F.struct(F.concat(F.lit("debt_"), "dimension").alias("metric"), "level"), F.struct(F.lit("debt_overall").alias("metric"), F.col("overall").alias("level")))).alias("x")).select("x.*").distinct()
+    status = preflight(spark, d).select(F.lit("preflight").alias("metric"), F.col("status").alias("level")).distinct()
+    return governance.contract_levels(levels.unionByName(status), LEVEL_CONTRACT)
+
+
 def export_clean(spark, d):
     """Decisions on cases applied to the documents of the same number."""
     h = texts._hashed(spark, d)
@@ -158,7 +168,7 @@ def change_set(spark, d):
     return kept.groupBy("effect").agg(F.count("*").alias("n"), F.sum("sample_id").alias("ids")).unionByName(acts.join(protect, "sample_id", "left_semi").agg(F.lit("protected").alias("effect"), F.count("*").alias("n"), F.sum("sample_id").alias("ids")))
 
 
-QUERIES = {f.__name__: f for f in (active_decisions, case_status, final_decision, validate_decision, agreement_kappa, reviewer_activity, session_progress, review_budget, ledger_chain, ledger_verify, issue_rates_window, stream_decisions, stream_facts, stream_issue_rates, facts, debt, preflight, contract, export_clean, change_set)}
+QUERIES = {f.__name__: f for f in (active_decisions, case_status, final_decision, validate_decision, agreement_kappa, reviewer_activity, session_progress, review_budget, ledger_chain, ledger_verify, issue_rates_window, stream_decisions, stream_facts, stream_issue_rates, facts, debt, preflight, contract, contract_levels, export_clean, change_set)}
 
 ACTIVE = SQL_DECISIONS + """, active as (select case_id, reviewer, decision_id, action, target, adjudicate, created_at from (select *, row_number() over (partition by case_id, reviewer order by created_at desc, decision_id desc) as r from decisions where not undone) where r = 1),
 voted as (select *, action || coalesce(':' || target, '') as key, action in ('keep', 'relabel', 'remove') as decisive from active),
@@ -213,3 +223,9 @@ ORACLES = {
     "export_clean": f"with {texts.HASHED}, {ACTIVE}, f as (select case_id as sample_id, split_part(final, ':', 1) as action, nullif(split_part(final, ':', 2), '') as target from st where final is not null), k as (select sample_id, split, case when action = 'relabel' then target else label end as label, coalesce(action, 'keep') as action, source, raw_sha from hashed left join f using (sample_id) where coalesce(action, 'keep') <> 'remove'), p as (select *, concat_ws('/', split, label, source || '.txt') as path from k), n as (select *, row_number() over (partition by path order by sample_id) as i from p) select sample_id, split, label, action, case when i > 1 then regexp_replace(path, '\\.txt$', '-' || coalesce(substring(raw_sha, 1, 8), '') || '-' || sample_id || '.txt') else path end as path from n",
     "change_set": f"with {texts.SQL_TEXT}, {ACTIVE}, a as (select sample_id, case when final = 'remove' then case when split = 'train' then 'remove' else 'eval_drop' end when final like 'relabel%' then 'relabel' end as effect from samples join st on case_id = sample_id where final is not null), b as (select * from a where effect is not null) select effect, count(*) as n, sum(sample_id)::bigint as ids from b where sample_id % 41 <> 0 group by effect union all select 'protected', count(*), sum(sample_id)::bigint from b where sample_id % 41 = 0",
 }
+ORACLES["contract_levels"] = f"""with d as ({ORACLES["debt"]}), p as ({ORACLES["preflight"]}),
+ a as (select 'debt_' || dimension as metric, level from d union select 'debt_overall', overall from d union select 'preflight', status from p),
+ rules(metric, op, expected) as (values {", ".join(f"('{m}', '{op}', '{e}')" for m, op, e in LEVEL_CONTRACT)}),
+ ranks(word, n) as (values {", ".join(f"('{w}', {i})" for order in (governance.LEVELS, governance.STATUSES) for i, w in enumerate(order))})
+ select metric, op, expected, level, coalesce(case op when '<=' then x.n <= y.n when '<' then x.n < y.n when '>=' then x.n >= y.n when '>' then x.n > y.n else x.n = y.n end, false) as passed
+ from rules left join a using (metric) left join ranks x on x.word = level left join ranks y on y.word = expected"""

@@ -274,11 +274,11 @@ h as (select *, round(least(1.0, (p_other + neighbor_major_share + s_centroid) /
  round((1 - density_pct) * least(greatest((deviation - 2) / 4, 0), 1), 4)::double as domain_shifted, round((1 - least(greatest(gap / 0.3::double, 0), 1)) * case when neighbor_major_share >= 0.3 then 1.0 else 0.5 end, 4)::double as ambiguous from h0),
 hr as (select sample_id, list({'s': s, 'k': k} order by s desc, i) as r from (select sample_id, unnest([{'i': 0, 'k': 'likely_mislabeled', 's': likely_mislabeled}, {'i': 1, 'k': 'rare_valid', 's': rare_valid}, {'i': 2, 'k': 'poor_quality', 's': poor_quality}, {'i': 3, 'k': 'domain_shifted', 's': domain_shifted}, {'i': 4, 'k': 'ambiguous', 's': ambiguous}], recursive := true) from h) group by sample_id),
 hyp as (select h.*, case when r[1].s >= 0.5 and round(r[1].s - r[2].s, 4) >= 0.08 then r[1].k else 'uncertain' end as hypothesis from h join hr using (sample_id))"""
-_CODES = [("HIGH_MODEL_DISAGREEMENT", "pred <> label and p_given < 0.2"), ("MODEL_DISAGREEMENT", "pred <> label and p_given >= 0.2 and p_given < 0.4"), ("MODEL_AGREES", "p_given >= 0.6"), ("HIGH_NEIGHBOR_DISAGREEMENT", "neighbor_same < 0.35 and neighbor_major_share >= 0.5"), ("NEIGHBORS_AGREE", "neighbor_same >= 0.6"), ("OUTSIDE_CLASS_CLUSTER", "centroid_ratio > 0.55"), ("INSIDE_CLASS_CLUSTER", "centroid_ratio < 0.45"), ("CONSISTENT_ALTERNATIVE_LABEL", "consistent"), ("LOW_DENSITY", "density_pct <= 0.05"), ("SEVERE_QUALITY_ISSUE", "severity >= 0.9"), ("QUALITY_CONCERN", "severity >= 0.6 and severity < 0.9"), ("EXACT_DUPLICATE_COPY", "is_copy"), ("DUPLICATE_LABEL_CONFLICT", "dup_conflict"), ("CROSS_SPLIT_LEAKAGE", "leaks"), ("RARE_HYPOTHESIS", "hypothesis = 'rare_valid'"), ("MISLABEL_HYPOTHESIS", "hypothesis = 'likely_mislabeled'"), ("AMBIGUOUS_HYPOTHESIS", "hypothesis = 'ambiguous'"), ("DOMAIN_SHIFT_HYPOTHESIS", "hypothesis = 'domain_shifted'"), ("QUALITY_OK", "severity < 0.6"), ("NO_LEAKAGE", "not leaks"), ("EVALUATION_SAMPLE", "split in ('val', 'test')"),
+_CODES = [("HIGH_MODEL_DISAGREEMENT", "pred <> label and p_given < 0.2"), ("MODEL_DISAGREEMENT", "pred <> label and p_given >= 0.2 and p_given < 0.4"), ("MODEL_AGREES", "p_given >= 0.6"), ("HIGH_NEIGHBOR_DISAGREEMENT", "rn >= 0.35 and neighbor_same < 0.35 and neighbor_major_share >= 0.5"), ("NEIGHBORS_AGREE", "rn >= 0.35 and neighbor_same >= 0.6"), ("NEIGHBOR_WITNESS_WEAK", "rn < 0.35"), ("OUTSIDE_CLASS_CLUSTER", "centroid_ratio >= 0.55"), ("INSIDE_CLASS_CLUSTER", "centroid_ratio < 0.45"), ("CONSISTENT_ALTERNATIVE_LABEL", "consistent and rn >= 0.35"), ("LOW_DENSITY_REGION", "density_pct <= 0.05"), ("SEVERE_QUALITY_ISSUE", "severity >= 0.9"), ("QUALITY_CONCERN", "severity >= 0.6 and severity < 0.9"), ("EXACT_DUPLICATE_COPY", "is_copy"), ("DUPLICATE_LABEL_CONFLICT", "dup_conflict"), ("CROSS_SPLIT_LEAKAGE", "leaks"), ("RARE_HYPOTHESIS", "hypothesis = 'rare_valid'"), ("MISLABEL_HYPOTHESIS", "hypothesis = 'likely_mislabeled'"), ("AMBIGUOUS_HYPOTHESIS", "hypothesis = 'ambiguous'"), ("DOMAIN_SHIFT_HYPOTHESIS", "hypothesis = 'domain_shifted'"), ("QUALITY_OK", "severity < 0.6"), ("NO_LEAKAGE", "not leaks"), ("EVALUATION_SAMPLE", "split in ('val', 'test')"),
           ("HARD_TO_LEARN", "dynamics = 'hard'"), ("FORGOTTEN_DURING_TRAINING", "dynamics = 'forgotten'"), ("AMBIGUOUS_TRAINING", "dynamics = 'ambiguous'"), ("UNSTABLE_TRAINING", "dynamics = 'unstable'"), ("EASY_TO_LEARN", "dynamics = 'easy'")]
-VERDICT = HYP + """, b as (select *, pred <> label and p_given < 0.4 as m, neighbor_same < 0.35 and neighbor_major_share >= 0.5 as nn, centroid_ratio > 0.55 as o from hyp),
+VERDICT = HYP + """, b as (select *, pred <> label and p_given < 0.4 as m, rn >= 0.35 and neighbor_same < 0.35 and neighbor_major_share >= 0.5 as nn, centroid_ratio >= 0.55 as o, consistent and rn >= 0.35 as agreed from hyp),
 r as (select *, case when leaks then 'R1' when is_copy and not dup_conflict then 'R2' when dup_conflict then 'R3' when severity >= 0.9 and m and hypothesis <> 'rare_valid' then 'R4'
- when pred <> label and p_given < 0.2 and nn and o and consistent and severity < 0.9 then 'R5' when hypothesis = 'rare_valid' and not consistent then 'R6' when m::int + nn::int + o::int >= 2 then 'R7' when m and neighbor_same >= 0.6 and centroid_ratio < 0.45 then 'R8'
+ when pred <> label and p_given < 0.2 and nn and o and agreed and severity < 0.9 then 'R5' when hypothesis = 'rare_valid' and not agreed then 'R6' when m::int + nn::int + o::int >= 2 then 'R7' when m and rn >= 0.35 and neighbor_same >= 0.6 and centroid_ratio < 0.45 then 'R8'
  when m or nn or o or severity >= 0.6 or hypothesis in ('ambiguous', 'domain_shifted', 'likely_mislabeled') then 'R9' else 'R10' end as rule from b),
 v0 as (select *, case rule when 'R1' then 'LEAKAGE_ACTION_NEEDED' when 'R2' then 'POSSIBLE_REMOVE' when 'R3' then 'STRONG_REVIEW' when 'R4' then 'POSSIBLE_REMOVE' when 'R5' then 'POSSIBLE_RELABEL' when 'R6' then 'LIKELY_RARE' when 'R7' then 'STRONG_REVIEW' when 'R8' then 'UNCERTAIN' when 'R9' then 'REVIEW' else 'KEEP' end as verdict,
  greatest(suspicion, case when leaks then 0.85 else 0.0 end, 0.8::double * severity) as strength from r),
@@ -325,7 +325,7 @@ ORACLES = {
     "confident_failures": f"with {SQL_PREDICTIONS} select sample_id, label, pred, conf from predictions where split in ('val', 'test') and pred <> label order by conf desc, sample_id limit 2000",
     "witnesses": f"""with {VERDICT}, w0 as (select *, round(abs(0.5 - p_given) * 2, 4) as mw, round(abs(0.5 - neighbor_same) * 2, 4) as nw2, round(abs(0.5 - centroid_ratio) * 2, 4) as cw from verdicts),
  st as (select sample_id, verdict, unnest([{{'witness': 'model', 'stance': case when m then 'prosecution' when p_given >= 0.6 then 'defense' else 'neutral' end, 'weight': mw, 'there': true}},
-  {{'witness': 'neighbor', 'stance': case when nn then 'prosecution' when neighbor_same >= 0.6 then 'defense' else 'neutral' end, 'weight': nw2, 'there': true}},
+  {{'witness': 'neighbor', 'stance': case when nn then 'prosecution' when rn >= 0.35 and neighbor_same >= 0.6 then 'defense' else 'neutral' end, 'weight': nw2, 'there': true}},
   {{'witness': 'centroid', 'stance': case when o then 'prosecution' when centroid_ratio < 0.45 then 'defense' else 'neutral' end, 'weight': cw, 'there': true}},
   {{'witness': 'quality', 'stance': case when severity >= 0.6 then 'prosecution' else 'defense' end, 'weight': round(case when severity < 0.6 then 0.4 else severity end::double, 4), 'there': true}},
   {{'witness': 'duplicate', 'stance': 'prosecution', 'weight': case when dup_conflict then 1.0 else 0.6 end::double, 'there': dup_conflict or is_copy}},
