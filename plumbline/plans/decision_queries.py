@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.shared_storage import materialize
-from plumbline.operators import budget, experiments, labels, predictions, similarity
+from plumbline.operators import blame, budget, experiments, labels, predictions, similarity
 from plumbline.plans import vector_queries as vectors
 from plumbline.sources.bindings import SQL_PROBABILITIES, SQL_VECTORS, vector_samples
 
@@ -53,7 +53,24 @@ def what_if_study(spark, d):
     return experiments.what_if_study(v, changes, v.join(crossing, "embedding", "left_semi"), replicates=3, resamples=100)
 
 
-QUERIES = {f.__name__: f for f in (review_queue, review_coverage, temperature_scale, what_if_study)}
+def blame_chain(spark, d):
+    """Every column of the blame map of each wrong prediction on evaluation rows: nearest and harmful training samples, copies, findings, cases, the class's sign cue and leaks."""
+    v = vector_samples(spark, d)
+    p = materialize(predictions.class_probabilities(v), "probabilities")
+    judged = materialize(predictions.fold_predictions(v), "predictions")
+    failed = judged.filter("split in ('val', 'test') and pred <> label").select("sample_id", "split", "label", "pred", "conf")
+    near = vectors.failure_links(spark, d).select("sample_id", F.col("neighbor_id").alias("train_id"), F.lit(blame.NEAREST).alias("link_type"), F.col("sim").alias("score"), F.col("rk").cast("int").alias("rank"))
+    harm = predictions.pair_influence(p, predictions.confident_failures(judged), 3).select("sample_id", "train_id", F.lit(blame.HARMFUL).alias("link_type"), F.col("influence").alias("score"), F.col("rk").cast("int").alias("rank"))
+    copies = materialize(vectors._copies(v).select("sample_id", F.col("root").alias("family_id"), "leaks"), "copies")
+    links = near.unionByName(harm).unionByName(blame.family_links(failed, copies, v))
+    findings = vectors.label_scores(spark, d)
+    cases = vectors.case_numbers(spark, d).select("sample_id", "case_no", "verdict")
+    shortcuts = v.filter(F.col("embedding")[0] >= 0.2).select("sample_id", F.lit("first_component=high").alias("cue"))
+    known = materialize(blame.described_links(failed, links, v.select("sample_id", "label"), findings, cases, copies.select("sample_id", "family_id"), shortcuts), "described-links")
+    return blame.blame_map(failed, known, cases, copies.filter("leaks").select("sample_id"))
+
+
+QUERIES = {f.__name__: f for f in (review_queue, review_coverage, temperature_scale, what_if_study, blame_chain)}
 
 _RECURSIVE = vectors.VERDICT.replace("with ", "with recursive ", 1) if vectors.VERDICT.startswith("with ") else "recursive " + vectors.VERDICT
 CASES = _RECURSIVE + f""",
@@ -84,3 +101,24 @@ ORACLES = {
   union all select 'high_impact', taken, 1.0 from marked where verdict in ('POSSIBLE_RELABEL', 'STRONG_REVIEW', 'LEAKAGE_ACTION_NEEDED', 'POSSIBLE_REMOVE'))
  select part, round(sum(w * taken), 4) as taken, round(sum(w), 4) as open, round(case when sum(w) > 0 then sum(w * taken) / sum(w) else 0 end::double, 4) as share from parts group by part""",
 }
+ORACLES["blame_chain"] = f"""with near as ({vectors.ORACLES["failure_links"]}), harm as ({vectors.ORACLES["influence_pairs"]}), cases as ({vectors.ORACLES["case_numbers"]}), findings as ({vectors.ORACLES["label_scores"]}),
+ judged as (with {vectors.SQL_PREDICTIONS} select * from predictions), vs as (with {SQL_VECTORS} select * from vectors),
+ failed as (select sample_id, split, label, pred, conf from judged where split in ('val', 'test') and pred <> label),
+ kin as (select * from (select sample_id, split, min(sample_id) over (partition by embedding) as family_id, count(*) over (partition by embedding) as n from vs) where n > 1),
+ crossing as (select family_id from kin group by family_id having count(distinct split) > 1),
+ links as (select sample_id, neighbor_id as train_id, 'nearest_neighbor' as link_type, sim::double as score, rk from near union all select sample_id, train_id, 'harmful_influence', influence, rk from harm
+  union all select a.sample_id, b.sample_id, 'same_family', 1.0, 0 from failed f join kin a on a.sample_id = f.sample_id join kin b on b.family_id = a.family_id and b.sample_id <> a.sample_id and b.split = 'train'),
+ known as (select l.*, f.label as actual, f.pred as predicted, v.label as train_label, c.case_no, kin.family_id, v.embedding[1] >= 0.2 as cued,
+  coalesce(s.action in ('REVIEW', 'LOW_PRIORITY_REVIEW'), false) or coalesce(c.verdict in ('POSSIBLE_RELABEL', 'STRONG_REVIEW'), false) as suspicious
+  from links l join failed f on f.sample_id = l.sample_id join vs v on v.sample_id = l.train_id left join findings s on s.sample_id = l.train_id left join cases c on c.sample_id = l.train_id left join kin on kin.sample_id = l.train_id),
+ once as (select sample_id, train_id, any_value(train_label = predicted) as conflicting, any_value(suspicious) as suspicious, any_value(case_no) as case_no, any_value(family_id) as family_id, any_value(cued) as cued, min(case when link_type = 'harmful_influence' then rk end) as harm_rank
+  from known where link_type <> 'same_family' group by sample_id, train_id),
+ acts as (select sample_id, array_to_string(list_sort(list(distinct act)), ',') as actions from (select sample_id, case when suspicious and case_no is not null then 'review_case:' || case_no when case_no is null and harm_rank <= 5 then 'inspect_sample:' || train_id end as act from once) where act is not null group by sample_id),
+ per_sample as (select sample_id, count(*) as contributing, count(*) filter (conflicting) as conflicting, count(*) filter (suspicious) as suspicious, count(*) filter (cued) as shortcut_samples, count(distinct family_id) as duplicate_families from once group by sample_id),
+ per_link as (select sample_id, count(*) filter (link_type = 'nearest_neighbor') as nearest, count(*) filter (link_type = 'nearest_neighbor' and train_label = predicted) as nearest_predicted, count(*) filter (link_type = 'nearest_neighbor' and train_label = actual) as nearest_true,
+  count(*) filter (link_type = 'harmful_influence') as harmful, count(*) filter (link_type = 'same_family') as family_samples, max(score) filter (link_type = 'nearest_neighbor') as closest from known group by sample_id),
+ spread as (select sample_id, string_agg(train_label || ':' || n, ',' order by train_label) as nearest_labels from (select sample_id, train_label, count(*) as n from known where link_type = 'nearest_neighbor' group by all) group by sample_id)
+ select f.sample_id, f.split, f.label as actual, f.pred as predicted, f.conf as confidence, c.case_no as own_case, c.verdict as own_verdict, case when x.family_id is not null then 1 else 0 end as leaks,
+  coalesce(nearest, 0) as nearest, coalesce(nearest_predicted, 0) as nearest_predicted, coalesce(nearest_true, 0) as nearest_true, coalesce(harmful, 0) as harmful, coalesce(family_samples, 0) as family_samples, closest, coalesce(contributing, 0) as contributing, coalesce(conflicting, 0) as conflicting,
+  coalesce(suspicious, 0) as suspicious, coalesce(shortcut_samples, 0) as shortcut_samples, coalesce(duplicate_families, 0) as duplicate_families, coalesce(actions, '') as actions, coalesce(nearest_labels, '') as nearest_labels
+ from failed f left join cases c on c.sample_id = f.sample_id left join kin k on k.sample_id = f.sample_id left join crossing x on x.family_id = k.family_id left join per_link p on p.sample_id = f.sample_id left join per_sample q on q.sample_id = f.sample_id left join acts a on a.sample_id = f.sample_id left join spread s on s.sample_id = f.sample_id"""

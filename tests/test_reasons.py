@@ -51,3 +51,25 @@ def test_contracts_compare_levels_by_their_order(spark):
     assert got == {("a", "<="): True, ("a", "<"): False, ("b", "=="): True, ("c", "<"): True, ("d", "<="): False, ("e", "<="): False}
     assert governance.contract_levels(actual, rules).filter("metric = 'b' and op = '<='").first().passed is False
     assert actual.select(F.max(governance.level_rank("level"))).first()[0] == 3
+
+
+def test_blame_map_of_made_links(spark):
+    from plumbline.operators import blame
+
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    failures = make([(1, "test", 0, 1, 0.9), (2, "val", 1, 0, 0.8)], "sample_id long, split string, label int, pred int, conf double")
+    labels_ = make([(i, i % 2, "train") for i in range(10, 20)], "sample_id long, label int, split string")
+    families = make([(1, 7), (15, 7), (16, 7), (11, 8), (13, 8)], "sample_id long, family_id long")
+    links = make([(1, 11, blame.NEAREST, 0.9, 1), (1, 13, blame.NEAREST, 0.8, 2), (1, 12, blame.NEAREST, 0.7, 3), (1, 11, blame.HARMFUL, 0.2, 1), (1, 14, blame.HARMFUL, 0.1, 2), (1, 99, blame.NEAREST, 0.1, 4)], "sample_id long, train_id long, link_type string, score double, rank int")
+    links = links.unionByName(blame.family_links(failures, families, labels_))
+    findings = make([(11, 0.7, "REVIEW"), (12, 0.1, "NO_ACTION")], "sample_id long, suspicion double, action string")
+    cases = make([(11, 5, "REVIEW"), (1, 3, "STRONG_REVIEW"), (13, 9, "POSSIBLE_RELABEL")], "sample_id long, case_no long, verdict string")
+    shortcuts = make([(12, "b"), (12, "a")], "sample_id long, cue string")
+    known = blame.described_links(failures, links, labels_, findings, cases, families, shortcuts)
+    assert {tuple(r.cues) for r in known.filter("train_id = 12").collect()} == {("a", "b")}
+    got = {r.sample_id: r for r in blame.blame_map(failures, known, cases, make([(1,), (1,)], "sample_id long")).collect()}
+    a, b = got[1], got[2]
+    assert (a.own_case, a.own_verdict, a.leaks, a.nearest, a.nearest_predicted, a.nearest_true, a.harmful, a.family_samples, a.closest) == (3, "STRONG_REVIEW", 2, 3, 2, 1, 2, 2, 0.9)
+    assert (a.contributing, a.conflicting, a.suspicious, a.shortcut_samples, a.duplicate_families, a.nearest_labels) == (4, 2, 2, 1, 1, "0:1,1:2")
+    assert a.actions == "inspect_sample:14,review_case:5,review_case:9"
+    assert (b.own_case, b.leaks, b.nearest, b.contributing, b.actions, b.closest) == (None, 0, 0, 0, "", None)
