@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.shared_storage import written_once
-from plumbline.operators import families, governance, review
+from plumbline.operators import export, families, governance, review
 from plumbline.plans import text_queries as texts
 from plumbline.sources.bindings import SQL_DECISIONS, decisions, text_samples
 from plumbline.sources.tables import table
@@ -158,6 +158,30 @@ def export_clean(spark, d):
     return families.export_clean(h, final).select("sample_id", "split", "label", "action", "path")
 
 
+def _decided(spark, d):
+    h = texts._hashed(spark, d).select("sample_id", F.concat_ws("/", "split", "label", F.concat(F.col("sample_id").cast("string"), F.lit(".txt"))).alias("path"), F.col("raw_sha").alias("sha"), "label", "split")
+    return h, export.applied(h, export.final_decisions(review.active_decisions(decisions(spark, d))))
+
+
+def export_log(spark, d):
+    """The log of the decisions that the cleaned version applies."""
+    return export.action_log(_decided(spark, d)[1]).withColumn("decided_at", F.date_format("decided_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+def export_removed(spark, d):
+    return export.removed_list(_decided(spark, d)[1])
+
+
+def export_relabels(spark, d):
+    return export.relabel_map(_decided(spark, d)[1])
+
+
+def export_summary(spark, d):
+    """The cleaned version's number and counts; each split of the corpus counts as a version before."""
+    samples, decided = _decided(spark, d)
+    return export.summary(samples, decided, samples.agg(F.countDistinct("split").alias("version_number")))
+
+
 def change_set(spark, d):
     """Effects of decisions on documents: removed, relabelled, dropped from evaluation, protected."""
     s = text_samples(spark, d)
@@ -168,7 +192,7 @@ def change_set(spark, d):
     return kept.groupBy("effect").agg(F.count("*").alias("n"), F.sum("sample_id").alias("ids")).unionByName(acts.join(protect, "sample_id", "left_semi").agg(F.lit("protected").alias("effect"), F.count("*").alias("n"), F.sum("sample_id").alias("ids")))
 
 
-QUERIES = {f.__name__: f for f in (active_decisions, case_status, final_decision, validate_decision, agreement_kappa, reviewer_activity, session_progress, review_budget, ledger_chain, ledger_verify, issue_rates_window, stream_decisions, stream_facts, stream_issue_rates, facts, debt, preflight, contract, contract_levels, export_clean, change_set)}
+QUERIES = {f.__name__: f for f in (active_decisions, case_status, final_decision, validate_decision, agreement_kappa, reviewer_activity, session_progress, review_budget, ledger_chain, ledger_verify, issue_rates_window, stream_decisions, stream_facts, stream_issue_rates, facts, debt, preflight, contract, contract_levels, export_clean, export_log, export_removed, export_relabels, export_summary, change_set)}
 
 ACTIVE = SQL_DECISIONS + """, active as (select case_id, reviewer, decision_id, action, target, adjudicate, created_at from (select *, row_number() over (partition by case_id, reviewer order by created_at desc, decision_id desc) as r from decisions where not undone) where r = 1),
 voted as (select *, action || coalesce(':' || target, '') as key, action in ('keep', 'relabel', 'remove') as decisive from active),
@@ -229,3 +253,13 @@ ORACLES["contract_levels"] = f"""with d as ({ORACLES["debt"]}), p as ({ORACLES["
  ranks(word, n) as (values {", ".join(f"('{w}', {i})" for order in (governance.LEVELS, governance.STATUSES) for i, w in enumerate(order))})
  select metric, op, expected, level, coalesce(case op when '<=' then x.n <= y.n when '<' then x.n < y.n when '>=' then x.n >= y.n when '>' then x.n > y.n else x.n = y.n end, false) as passed
  from rules left join a using (metric) left join ranks x on x.word = level left join ranks y on y.word = expected"""
+_DECIDED = f"""with {texts.HASHED}, {ACTIVE},
+ settled as (select v.*, st.status = 'resolved' as adjudicated, row_number() over (partition by v.case_id order by v.created_at desc, v.decision_id desc) as i from voted v join st on st.case_id = v.case_id where st.status = 'resolved' and v.adjudicate or st.status = 'decided' and v.decisive),
+ decided as (select sample_id, s.split || '/' || label || '/' || sample_id || '.txt' as path, raw_sha as sha, label, s.split, d.case_id, d.decision_id, d.reviewer, d.created_at, d.adjudicated, d.target, case when action = 'remove' then 'remove' when action = 'relabel' and target is not null then 'relabel' else 'keep' end as applied
+ from hashed s join settled d on d.case_id = s.sample_id where i = 1 and action in ('keep', 'relabel', 'remove'))"""
+ORACLES |= {
+    "export_log": f"{_DECIDED} select case_id, applied as action, path, reviewer, strftime(created_at, '%Y-%m-%d %H:%M:%S') as decided_at, adjudicated from decided",
+    "export_removed": f"{_DECIDED} select path, sha, label, split, case_id, decision_id from decided where applied = 'remove'",
+    "export_relabels": f"{_DECIDED} select path, sha, label as from_label, target::varchar as to_label, case_id, decision_id from decided where applied = 'relabel'",
+    "export_summary": f"{_DECIDED} select n.v + 1 as version_number, n.s as samples, n.s - r.removed as exported, r.* from (select count(*) as s, count(distinct split) as v from hashed) n, (select count(*) filter (applied = 'remove') as removed, count(*) filter (applied = 'relabel') as relabelled, count(*) as applied_cases from decided) r",
+}

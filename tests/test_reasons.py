@@ -73,3 +73,22 @@ def test_blame_map_of_made_links(spark):
     assert (a.contributing, a.conflicting, a.suspicious, a.shortcut_samples, a.duplicate_families, a.nearest_labels) == (4, 2, 2, 1, 1, "0:1,1:2")
     assert a.actions == "inspect_sample:14,review_case:5,review_case:9"
     assert (b.own_case, b.leaks, b.nearest, b.contributing, b.actions, b.closest) == (None, 0, 0, 0, "", None)
+
+
+def test_export_of_made_decisions(spark):
+    import datetime as dt
+
+    from plumbline.operators import export
+
+    at = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    # case, reviewer, decision, action, target, adjudicate, time
+    votes = [(1, 1, 10, "remove", None, False, at(1)), (1, 2, 11, "remove", None, False, at(2)), (2, 1, 12, "relabel", 3, False, at(1)), (3, 1, 13, "keep", None, False, at(1)), (3, 2, 14, "remove", None, False, at(1)), (3, 3, 15, "relabel", None, True, at(5)), (4, 1, 16, "escalate", None, False, at(1)), (5, 1, 17, "unsure", None, True, at(1)), (99, 1, 18, "remove", None, False, at(1))]
+    active = spark.createDataFrame(votes, "case_id long, reviewer long, decision_id long, action string, target int, adjudicate boolean, created_at timestamp_ntz")
+    samples = spark.createDataFrame([(i, f"p{i}", f"s{i}", "a", "train") for i in range(1, 8)], "sample_id long, path string, sha string, label string, split string")
+    decided = export.applied(samples, export.final_decisions(active))
+    assert {(r.case_id, r.action, r.reviewer, r.adjudicated) for r in export.action_log(decided).collect()} == {(1, "remove", 2, False), (2, "relabel", 1, False), (3, "keep", 3, True)}
+    assert [(r.path, r.decision_id) for r in export.removed_list(decided).collect()] == [("p1", 11)]
+    assert [(r.path, r.from_label, r.to_label) for r in export.relabel_map(decided).collect()] == [("p2", "a", "3")]
+    versions = spark.createDataFrame([(4,), (2,)], "version_number int")
+    assert tuple(export.summary(samples, decided, versions).first()) == (5, 7, 6, 1, 1, 3)
+    assert export.summary(samples, decided, versions.limit(0)).first().version_number == 1
