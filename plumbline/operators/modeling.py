@@ -11,6 +11,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.shared_storage import materialize
+
 
 def with_features(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("features", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))))
@@ -33,7 +35,7 @@ def fit_baseline(rows: DataFrame, c: float = 0.001, max_iter: int = 50):
 def out_of_fold(vectors: DataFrame, k: int = 3, seed: int = 1234) -> DataFrame:
     """``sample_id``, ``label``, ``pred`` and ``probabilities`` from models that did not see the row; folds by a hash of the id, so that classes are even among them on average and no class is sorted."""
     fold = F.pmod(F.xxhash64("sample_id", F.lit(seed)), F.lit(k))
-    rows = with_features(vectors).withColumn("fold", fold).cache()
+    rows = with_features(materialize(vectors.withColumn("fold", fold), "folds"))
     parts = []
     for f in range(k):
         model = fit_baseline(rows.filter(F.col("fold") != f))
@@ -78,7 +80,7 @@ def train_epochs(vectors: DataFrame, epochs: int = 6, lr: float = 0.5) -> list[n
     A partition sums its rows' gradients in Arrow batches and Spark adds the sums, so an epoch
     moves one small matrix per partition.
     """
-    rows = vectors.select("embedding", "label").cache()
+    rows = materialize(vectors.select("embedding", "label"), "epoch-rows")
     n = rows.count()
     classes = rows.agg(F.max("label")).first()[0] + 1 if n else 0
     dims = len(rows.first()["embedding"]) if n else 0
@@ -141,7 +143,7 @@ def what_if(vectors: DataFrame, remove: DataFrame, relabel: DataFrame) -> DataFr
     changed = fit.join(remove.select("sample_id"), "sample_id", "left_anti").join(relabel.select("sample_id", "target"), "sample_id", "left").withColumn("label", F.coalesce("target", "label")).drop("target")
     out = None
     for name, rows in (("before", fit), ("after", changed)):
-        model = fit_baseline(with_features(rows).cache())
+        model = fit_baseline(with_features(materialize(rows, "variant")))
         scored = model.transform(with_features(held).withColumn("label", F.col("label").cast("double")))
         p = vector_to_array("probability")
         s = summary(scored.select(F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("pred"), F.get(p, F.col("label").cast("int")).alias("p_given"))).withColumn("variant", F.lit(name))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.shared_storage import scratch_path
+from plumbline.functions.shared_storage import materialize, scratch_path
 from plumbline.operators import coverage, families, governance, metrics, predictions, profile, shortcuts, similarity, views
 from plumbline.plans import more_queries as more
 from plumbline.plans import review_queries as review
@@ -43,6 +43,26 @@ def list_samples_page(spark, d):
     return views.page(s.join(worst, "sample_id", "left"), [F.desc_nulls_last("findings"), F.col("sample_id")], limit=50, offset=0)
 
 
+def _listed_cases(spark, d):
+    """Numbered cases with what they can be listed by; the status follows the decisions on the case of their number."""
+    from plumbline.operators import review
+    from plumbline.sources.bindings import decisions
+
+    v = materialize(vectors._verdicts(spark, d).select("sample_id", "verdict", "categories", "codes", "label", "split", "uncertainty", "priority", "impact"), "verdicts")
+    numbers = materialize(vectors.case_numbers(spark, d).select("sample_id", "case_no"), "case-numbers")
+    status = review.case_status(review.active_decisions(decisions(spark, d))).select(F.col("case_id").alias("case_no"), "status")
+    sha = vector_samples(spark, d).select("sample_id", F.sha2(F.concat_ws(",", F.transform("embedding", lambda x: F.when(x >= 0, "1").otherwise("0"))), 256).alias("sha"))
+    path = F.concat_ws("/", "split", F.col("label").cast("string"), F.concat(F.lit("V"), F.col("sample_id").cast("string"), F.lit(".vec")))
+    rows = v.join(numbers, "sample_id").join(status, "case_no", "left").join(sha, "sample_id").withColumn("status", F.coalesce("status", F.lit("open")))
+    return rows.select("case_no", "sample_id", "verdict", "status", "categories", "codes", "label", "split", "uncertainty", F.lit(None).cast("bigint").alias("family_id"), path.alias("path"), "sha", F.round("priority", 4).alias("priority"), F.round("impact", 6).alias("impact"), F.lit(None).cast("timestamp").alias("updated_at"))
+
+
+def list_cases(spark, d):
+    """Undecided cases of evaluation samples with a doubtful label, the highest impact first: the second page."""
+    page = views.list_cases(_listed_cases(spark, d), {"verdict": ["STRONG_REVIEW", "REVIEW", "POSSIBLE_RELABEL"], "category": "label", "split": "test"}, search="/V", sort="impact", limit=20, offset=5)
+    return page.select("case_no", "sample_id", "verdict", "status", "priority", "total")
+
+
 def case_facets(spark, d):
     c = vectors._verdicts(spark, d)
     return views.facets(c, "verdict", "uncertainty", "rule")
@@ -148,7 +168,7 @@ def run_audit(spark, d):
     return audit.run_audit(spark, d, scratch_path(spark, "audit")).select("stage", "rows", "skipped")
 
 
-QUERIES = {f.__name__: f for f in (cue_predictability, list_quality, list_leakage, list_privacy, list_samples_page, case_facets, label_findings_page, cartography, hardest, gap_anchors, holdout, failure_replay, masked_accuracy, contract_includes, overview, dna_strip, centroid_drift, case_detail, manifest, findings_store, run_audit)}
+QUERIES = {f.__name__: f for f in (cue_predictability, list_quality, list_leakage, list_privacy, list_samples_page, list_cases, case_facets, label_findings_page, cartography, hardest, gap_anchors, holdout, failure_replay, masked_accuracy, contract_includes, overview, dna_strip, centroid_drift, case_detail, manifest, findings_store, run_audit)}
 
 _TEXT, _REVIEW = texts.ORACLES, review.ORACLES
 _TRAJECTORY = f"with {SQL_VECTORS}, {vectors._EPOCHS}"
@@ -200,3 +220,7 @@ ORACLES = {
     "findings_store": f"select audit_id, finding, count(*) as n from ({_TEXT['quality_rules']}), (select unnest(['first', 'second']) as audit_id) group by all",
     "run_audit": " union all ".join(f"select '{stage}' as stage, count(*) as rows, false as skipped from ({sql})" for stage, sql in (("profile", _TEXT["version_stats"]), ("quality", _TEXT["quality_escalate"]), ("families", _TEXT["exact_families"]), ("leakage", _TEXT["family_leaks"]), ("shortcuts", _TEXT["shortcut_findings"]), ("labels", vectors.ORACLES["label_scores"]), ("cases", vectors.ORACLES["case_numbers"]), ("debt", _REVIEW["debt"]), ("preflight", _REVIEW["preflight"]))),
 }
+ORACLES["list_cases"] = f"""with n as ({vectors.ORACLES["case_numbers"]}), v as (with {vectors.VERDICT} select sample_id, split, round(priority, 4) as priority, case when split in ('val', 'test') then 0.6::double * strength else 0 end as impact, m or nn or o as labelled from verdicts),
+ s as ({__import__("plumbline.plans.review_queries", fromlist=["ORACLES"]).ORACLES["case_status"]}),
+ c as (select case_no, n.sample_id, n.verdict, coalesce(s.status, 'open') as status, v.priority, round(impact, 6) as impact from n join v on v.sample_id = n.sample_id left join s on s.case_id = n.case_no where n.verdict in ('STRONG_REVIEW', 'REVIEW', 'POSSIBLE_RELABEL') and labelled and split = 'test')
+ select case_no, sample_id, verdict, status, priority, count(*) over () as total from c order by impact desc, priority desc, case_no limit 20 offset 5"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import families, shortcuts, similarity
 from plumbline.operators.graph import connected_components
+from plumbline.operators.ranges import ranked
 from plumbline.plans import text_queries as texts
 from plumbline.plans import vector_queries as vectors
 from plumbline.sources.bindings import SQL_TEXT, text_samples, vector_samples
@@ -16,8 +17,8 @@ from plumbline.sources.tables import table
 def stride_sample(spark: SparkSession, d: str) -> DataFrame:
     """Every k-th vector, for a plot of at most 200 points."""
     v = vector_samples(spark, d)
-    step = v.agg(F.ceil(F.count("*") / 200).cast("bigint").alias("step"))
-    return v.crossJoin(step).filter(F.col("sample_id") % F.greatest("step", F.lit(1)) == 0).select("sample_id", "label", "step")
+    step = v.agg(F.greatest(F.ceil(F.count("*") / 200), F.lit(1)).cast("bigint").alias("step"))
+    return ranked(v.select("sample_id", "label"), [F.col("sample_id")]).crossJoin(step).filter((F.col("rk") - 1) % F.col("step") == 0).select("sample_id", "label", "step")  # one row
 
 
 def validate_version(spark, d):
@@ -99,7 +100,7 @@ def order_drift(spark, d):
 QUERIES = {f.__name__: f for f in (stride_sample, validate_version, ledger_page, leak_membership, similar_subject_clusters, score_detectors, contamination_near, dna_fingerprint, order_cues, order_drift)}
 
 ORACLES = {
-    "stride_sample": "with s as (select greatest(1, ceil(count(*) / 200.0))::bigint as step from embeddings) select vec_id as sample_id, label, step from embeddings, s where vec_id % step = 0",
+    "stride_sample": "with s as (select greatest(1, ceil(count(*) / 200.0))::bigint as step from embeddings) select vec_id as sample_id, label, step from (select *, row_number() over (order by vec_id) - 1 as i from embeddings), s where i % step = 0",
     "validate_version": f"with {SQL_TEXT}, f as (select count(distinct label) as classes, count(*) filter (split = 'train') as train, count(*) filter (split <> 'train') as held, count(*) filter (coalesce(length(text), 0) < 32) as tiny from samples) select *, coalesce(concat_ws('; ', case when classes < 2 then 'fewer than two classes' end, case when train = 0 then 'no training split' end, case when held = 0 then 'no evaluation split' end, case when tiny > 0 then 'very short texts' end), '') as warnings from f",
     "ledger_page": "select event_id, event_type from events where user_id = 7 and event_id < 5000 order by event_id desc limit 10",
     "leak_membership": "with " + texts.HASHED + ", leak as (with " + texts.ORACLES["family_leaks"].split("with ", 1)[1][len(texts.HASHED):].lstrip(", \n") + "), m as (select sample_id, min(sample_id) over (partition by norm_sha) as family_id from hashed where norm_sha is not null) select sample_id, family_id, risk from m join leak using (family_id)",

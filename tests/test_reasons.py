@@ -92,3 +92,24 @@ def test_export_of_made_decisions(spark):
     versions = spark.createDataFrame([(4,), (2,)], "version_number int")
     assert tuple(export.summary(samples, decided, versions).first()) == (5, 7, 6, 1, 1, 3)
     assert export.summary(samples, decided, versions.limit(0)).first().version_number == 1
+
+
+def test_lists_filter_search_and_sort(spark):
+    from plumbline.operators import views
+
+    cases = [(1, "REVIEW", "open", ["label"], ["A"], "cat", "train", "low", 7, "a/One.txt", "ff", 0.5, 0.1), (2, "KEEP", "decided", ["quality"], [], "dog", "test", "high", None, "b/two.txt", "0a", 0.9, 0.3), (3, "REVIEW", "disputed", ["label", "leakage"], ["A", "B"], "cat", "test", "medium", 7, "c/one.txt", "0b", 0.7, 0.3)]
+    df = spark.createDataFrame(cases, "case_no long, verdict string, status string, categories array<string>, codes array<string>, label string, split string, uncertainty string, family_id long, path string, sha string, priority double, impact double").withColumn("updated_at", F.timestamp_micros(F.col("case_no") % 3))
+    ids = lambda **k: [r.case_no for r in views.list_cases(df, **k).collect()]
+    assert ids() == [2, 3, 1] and ids(sort="impact") == [2, 3, 1] and ids(sort="newest") == [2, 1, 3] and ids(sort="uncertainty") == [2, 3, 1] and ids(sort="case") == [1, 2, 3] and ids(sort="class") == [3, 1, 2] and ids(sort="name") == [1, 2, 3] and ids(sort="odd") == [2, 3, 1]
+    assert ids(filters={"verdict": "REVIEW"}) == [3, 1] and ids(filters={"verdict": ["KEEP", "REVIEW"], "split": "test"}) == [2, 3] and ids(filters={"category": "leakage"}) == [3] and ids(filters={"reason_code": "A", "status": "open"}) == [1] and ids(filters={"family_id": 7, "uncertainty": "low", "label": "cat"}) == [1]
+    assert ids(search="ONE") == [3, 1] and ids(search="2") == [2] and ids(search="0B") == [3] and ids(search="nothing") == []
+    assert [(r.case_no, r.total) for r in views.list_cases(df, sort="case", limit=1, offset=1).collect()] == [(2, 3)]
+    with pytest.raises(ValueError):
+        views.list_cases(df, {"color": "red"})
+    samples = spark.createDataFrame([("p/a", "ff", "cat", "train", "KEEP", 0.1, 0.2, True, False, None, False, ["too_short"]), ("p/b", "ee", "dog", "test", None, None, None, False, True, True, True, None), ("q/c", "dd", "cat", "test", "REVIEW", 0.9, 0.8, None, None, False, False, [])], "path string, sha string, label string, split string, verdict string, suspicion double, priority double, has_label_finding boolean, in_family boolean, leaks boolean, private boolean, quality array<string>")
+    names = lambda **k: [r.path for r in views.list_samples(samples, **k).collect()]
+    assert names() == ["p/a", "p/b", "q/c"] and names(sort="suspicion") == ["q/c", "p/a", "p/b"] and names(sort="priority", limit=1, offset=1) == ["p/a"]
+    assert names(finding="label") == ["p/a"] and names(finding="duplicate") == names(finding="leakage") == names(finding="privacy") == ["p/b"] and names(finding="too_short") == ["p/a"] and names(finding="very_long") == []
+    assert names(label="cat", split="test") == ["q/c"] and names(verdict="KEEP") == ["p/a"] and names(search="P/") == ["p/a", "p/b"] and names(search="DD") == ["q/c"]
+    with pytest.raises(ValueError):
+        views.list_samples(samples, sort="color")
