@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.shared_storage import materialize
+from plumbline.operators.graph import connected_components
+
 REAL_SPLITS = ("train", "val", "test")
 EVAL_SPLITS = ("val", "test")
 
@@ -130,6 +133,47 @@ def family_signatures(hashed: DataFrame, key: str = "norm_sha") -> DataFrame:
     return groups.select(F.sha2(F.array_join("m", ","), 256).alias("signature")).distinct()
 
 
+def group_signatures(members: DataFrame, by: str, content: str = "raw_sha") -> DataFrame:
+    """``by`` and ``signature``, which tells what different contents (SHA-256 in hex) a group has, whatever it is called and in any order.
+
+    Number, sum and exclusive or of 60 bits of each content: partial aggregates, so no group is
+    gathered however large it is.
+    """
+    x = F.conv(F.substring(content, 1, 15), 16, 10).cast("bigint")
+    own = members.select(by, content).distinct().groupBy(by).agg(F.count("*").alias("__n"), F.sum(x.cast("decimal(38,0)")).alias("__s"), F.bit_xor(x).alias("__x"))
+    return own.select(by, F.concat_ws("-", "__n", "__s", "__x").alias("signature"))
+
+
+def version_groups(hashed: DataFrame, near: DataFrame) -> DataFrame:
+    """Groups of two samples or more of one version: ``kind`` (family, leak, label_conflict), ``signature``, ``n``; a group has one row for each kind that fits.
+
+    ``near`` links contents (``a``, ``b``: ``norm_sha``), not samples, so a link holds for whatever
+    samples have the contents in this version, and goes if one of them has none. Samples of equal
+    content are a group without any link. Samples without content take no part.
+    """
+    some = hashed.filter("norm_sha is not null").select("sample_id", "norm_sha", "raw_sha", "split", "label")
+    here = some.select("norm_sha").distinct()
+    links = near.join(here.withColumnRenamed("norm_sha", "a"), "a", "left_semi").join(here.withColumnRenamed("norm_sha", "b"), "b", "left_semi")
+    joined = connected_components(links, "a", "b").select(F.col("node").alias("norm_sha"), "component")
+    grouped = materialize(some.join(joined, "norm_sha", "left").withColumn("group", F.coalesce("component", "norm_sha")), "version-groups")
+    crosses = lambda c: F.min(c) < F.max(c)
+    sizes = grouped.groupBy("group").agg(F.count("*").alias("n"), crosses("split").alias("leak"), crosses("label").alias("conflict")).filter("n > 1")
+    kinds = F.array_compact(F.array(F.lit("family"), F.when(F.col("leak"), "leak"), F.when(F.col("conflict"), "label_conflict")))
+    return sizes.join(group_signatures(grouped, "group"), "group").select(F.explode(kinds).alias("kind"), "signature", "n")
+
+
+def findings_between(before: DataFrame, after: DataFrame, near: DataFrame) -> DataFrame:
+    """``kind``, ``signature``, ``status`` (new, resolved, persisting), ``n_before`` and ``n_after`` of the groups of two versions.
+
+    A group persists if a group of the same different contents is there in the other version, even
+    if its samples, their ids or numbers of copies have changed; one that gains or loses a content
+    is resolved under the old signature and new under the new one.
+    """
+    side = lambda v, n: version_groups(v, near).withColumnRenamed("n", n)
+    both = side(before, "n_before").join(side(after, "n_after"), ["kind", "signature"], "full_outer")
+    return both.select("kind", "signature", F.when(F.col("n_before").isNull(), "new").when(F.col("n_after").isNull(), "resolved").otherwise("persisting").alias("status"), "n_before", "n_after")
+
+
 def export_clean(samples: DataFrame, final: DataFrame) -> DataFrame:
     """The cleaned version: removed samples go, relabelled ones move, and of samples that would have one name all but the first get a suffix of content and id.
 
