@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+THUMB = 64  # side of the thumbnails on which structure is compared
 MAGIC = {"png": "89504E47", "jpeg": "FFD8FF", "gif": "47494638", "bmp": "424D"}
 
 
@@ -60,6 +61,27 @@ def perceptual_hash(gray: np.ndarray) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
 
 
+def resample(gray: np.ndarray, rows: int, columns: int) -> np.ndarray:
+    """Area means over ``rows`` by ``columns`` cells, which may end between pixels."""
+
+    def along(n: int, cells: int) -> np.ndarray:
+        edges = np.linspace(0, n, cells + 1)
+        left, right = np.maximum(edges[:-1, None], np.arange(n)), np.minimum(edges[1:, None], np.arange(1, n + 1))
+        return np.maximum(right - left, 0) * cells / n
+
+    return along(gray.shape[0], rows) @ gray @ along(gray.shape[1], columns).T
+
+
+def difference_hash(gray: np.ndarray) -> int:
+    """64 signs of the steps along the rows of an 8 by 9 image, as a signed long."""
+    return int(np.packbits((np.diff(resample(gray, 8, 9), axis=1) > 1e-9).ravel(), bitorder="little").view(np.int64)[0])
+
+
+def structure_thumb(gray: np.ndarray) -> np.ndarray:
+    """The image at 64 by 64 grey values."""
+    return np.clip(np.rint(shrink(gray, THUMB)), 0, 255).astype(np.uint8)
+
+
 def attributes(rgb: np.ndarray) -> dict[str, float]:
     g = _gray(rgb)
     inner = g[1:-1, 1:-1]
@@ -91,7 +113,7 @@ def descriptor(rgb: np.ndarray) -> np.ndarray:
 
 
 def measure(images: DataFrame) -> DataFrame:
-    """``path``, hashes, attributes and embedding of accepted images; a hash of the pixels tells equal content in other encodings."""
+    """``path``, hashes, attributes, embedding and thumbnail of accepted images; a hash of the pixels tells equal content in other encodings."""
     names = ["brightness", "contrast", "sharpness", "entropy", "saturation", "colorfulness", "edge_density", "dark", "bright", "border_mean", "border_std"]
 
     def run(batches):
@@ -101,11 +123,11 @@ def measure(images: DataFrame) -> DataFrame:
                 rgb = _pixels(data, h, w, c)
                 g = _gray(rgb)
                 a = attributes(rgb)
-                rows.append((path, perceptual_hash(g), perceptual_hash(g[:, ::-1]), *[float(a[n]) for n in names], descriptor(rgb).tolist()))
+                rows.append((path, perceptual_hash(g), perceptual_hash(g[:, ::-1]), difference_hash(g), *[float(a[n]) for n in names], descriptor(rgb).tolist(), structure_thumb(g).tobytes()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["path", "phash", "phash_flip", *names, "embedding"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["path", "phash", "phash_flip", "dhash", *names, "embedding", "thumb"])
 
-    schema = "path string, phash bigint, phash_flip bigint, " + ", ".join(f"{n} double" for n in names) + ", embedding array<double>"
+    schema = "path string, phash bigint, phash_flip bigint, dhash bigint, " + ", ".join(f"{n} double" for n in names) + ", embedding array<double>, thumb binary"
     ok = images.filter("status = 'accepted'")
     pixel = ok.select("path", F.sha2(F.concat(F.encode(F.concat_ws("x", "width", F.concat("height", F.lit(":"))), "UTF-8"), F.col("data")), 256).alias("pixel_sha"), "width", "height")
     return ok.select("path", "height", "width", "channels", "data").mapInArrow(run, schema).join(pixel, "path")
