@@ -94,11 +94,20 @@ def dup_pairs(spark, d):
 def _near(spark, d):
     """Near pairs of different texts, classified."""
     h = near_text.representatives(_hashed(spark, d))
-    first = text_samples(spark, d).select("sample_id", families.normal_text().alias("text")).join(h.select("sample_id"), "sample_id", "left_semi")
-    pairs = written_once(spark, d, "near-pairs", lambda: near_text.near_pairs(first))
+    pairs = written_once(spark, d, "near-pairs", lambda: near_text.near_pairs(_different(spark, d, h)))
     return near_text.classify_pairs(pairs, h)
 
 
+def _different(spark, d, first):
+    """The normalised texts of the rows of ``first``."""
+    return text_samples(spark, d).select("sample_id", families.normal_text().alias("text")).join(first.select("sample_id"), "sample_id", "left_semi")
+
+
+def _near_links(spark, d):
+    """Links that connect the same different texts as all near pairs do."""
+    return written_once(spark, d, "near-links", lambda: near_text.near_connections(_different(spark, d, near_text.representatives(_hashed(spark, d)))))
+
+
 def near_pairs(spark, d):
     """Texts that share four fifths of their five-word shingles or more, compared whole."""
     return _near(spark, d).select("a", "b", F.round("jaccard", 4).alias("jaccard"), F.round("size_ratio", 4).alias("size_ratio"), "relation")
@@ -106,7 +115,7 @@ def near_pairs(spark, d):
 
 def families_components(spark, d):
     """Families as components of copies and near copies."""
-    links = families.star_edges(_hashed(spark, d), "norm_sha").select("a", "b").unionByName(_near(spark, d).select("a", "b"))
+    links = families.star_edges(_hashed(spark, d), "norm_sha").select("a", "b").unionByName(_near_links(spark, d).select("a", "b"))
     return connected_components(links, "b", "a").select(F.col("node").alias("sample_id"), F.col("component").alias("family_id"))
 
 
