@@ -83,7 +83,7 @@ def near_connections(texts: DataFrame, width: int = 5, similarity: float = 0.8,
     whole, and the second search loses none, so components are exact whatever the minima miss.
     """
     sets = _sets(texts, width)
-    seats = _minima(sets, bands, rows)
+    seats = materialize(_minima(sets, bands, rows), "near-minima")
     anchors = seats.groupBy("band", "key").agg(F.min("sample_id").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
     starred = seats.join(anchors, ["band", "key"]).filter("a <> sample_id").select("a", F.col("sample_id").alias("b")).distinct()
     stars = materialize(_compared(starred, sets, similarity), "near-stars")
