@@ -100,3 +100,31 @@ def test_a_link_goes_with_its_content(spark):
     assert statuses(spark, before, [before[0], before[2]], chain) == [("family", "resolved", 3, None), ("leak", "resolved", 3, None)]
     assert statuses(spark, before, before, chain) == [("family", "persisting", 3, 3), ("leak", "persisting", 3, 3)]
     assert statuses(spark, [], before, []) == []
+
+
+def test_wide_distances_are_compared_in_blocks(spark, monkeypatch):
+    """Beyond the share of lookups every pair is compared; both ways give the same, and nothing is broadcast that grows."""
+    from plumbline.operators import blocks, similarity
+
+    rows = planted(1300, 5, 0.1) + [(5000 + i, None, None) for i in range(3)]
+    df = spark.createDataFrame([(i, None if h is None else signed(h), None if f is None else signed(f)) for i, h, f in rows], "sample_id long, hash long, flip long")
+    close = lambda n: {tuple(r) for r in hash_pairs.mirrored_pairs(df, n).collect()}
+    straight = lambda n: {tuple(r) for r in similarity.hamming_join(df, n).collect()}
+    called, every = [], blocks.close_signatures
+    monkeypatch.setattr(blocks, "close_signatures", lambda *a, **b: called.append(1) or every(*a, **b))
+    wide, plain = close(13), straight(13)
+    assert len(called) == 2
+    assert wide == every_pair([r for r in rows if r[1] is not None], 13)
+    assert plain == {(a, b, d) for a, b, d in straight_pairs(rows, 13)}
+    called.clear()
+    monkeypatch.setattr(blocks, "LOOKUPS", 1.0)
+    assert close(6) == {r for r in wide if min(r[2], 64 if r[3] is None else r[3]) <= 6} and straight(6) == {r for r in plain if r[2] <= 6} and not called
+
+
+def straight_pairs(rows, limit):
+    first = {}
+    for i, h, _ in sorted((r for r in rows if r[1] is not None), key=lambda r: r[0]):
+        first.setdefault(h, i)
+    yield from ((first[h], i, 0) for i, h, _ in rows if h is not None and first[h] != i)
+    kinds = sorted((i, h) for h, i in first.items())
+    yield from ((a, b, (x ^ y).bit_count()) for n, (a, x) in enumerate(kinds) for b, y in kinds[n + 1 :] if (x ^ y).bit_count() <= limit)
