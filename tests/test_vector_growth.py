@@ -22,3 +22,7 @@ def test_copies_are_told_from_neighbours_without_meeting_in_pairs(spark):
     knn = spark.createDataFrame([(7, 0), (7, n), (n, n + 1), (n + 1, 3), (n + 5, n), (n - 1, 8)], "sample_id long, neighbor_id long")
     found = sorted(map(tuple, similarity.neighboring_copies(knn, copies).collect()))
     assert found == [(7, 0), (n - 1, 8), (n, n + 1)]
+
+
+def test_vectors_of_one_file_are_dealt_to_all_cores(spark, sf_dir):
+    assert len(vector_queries._planted(spark, sf_dir).inputFiles()) >= spark.sparkContext.defaultParallelism
