@@ -57,6 +57,9 @@ def possible_bits(similarity: float) -> int:
     return min(n, math.floor(n * differs + SPREAD * math.sqrt(n * differs * (1 - differs))))
 
 
+POSSIBLE = possible_bits(0.8)  # at the similarity that near copies have by default
+
+
 def widen(hashes: np.ndarray, words: int) -> np.ndarray:
     """``words`` independent 64-bit hashes of each hash, as rows of bytes; the first is the hash itself."""
     x = hashes[:, None] + np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
