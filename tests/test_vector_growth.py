@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import similarity
+from plumbline.operators import blocks, similarity
 from plumbline.plans import vector_queries
 
 
@@ -26,3 +26,10 @@ def test_copies_are_told_from_neighbours_without_meeting_in_pairs(spark):
 
 def test_vectors_of_one_file_are_dealt_to_all_cores(spark, sf_dir):
     assert len(vector_queries._planted(spark, sf_dir).inputFiles()) >= spark.sparkContext.defaultParallelism
+
+
+def test_no_vector_is_sent_more_than_a_few_times():
+    """The left ones come back with their neighbours, about half their own size: so many times its size a vector moves in all."""
+    sent = lambda n: (lambda s: s[0] + s[1] * 1.55)(blocks.grid(n, n, 65536, 0.55))
+    assert max(map(sent, (2_000, 10_000, 50_000, 100_000, 300_000, 600_000))) <= 26
+    assert sent(600_000) <= 1.3 * sent(10_000)
