@@ -33,3 +33,22 @@ def test_no_vector_is_sent_more_than_a_few_times():
     sent = lambda n: (lambda s: s[0] + s[1] * 1.55)(blocks.grid(n, n, 65536, 0.55))
     assert max(map(sent, (2_000, 10_000, 50_000, 100_000, 300_000, 600_000))) <= 26
     assert sent(600_000) <= 1.3 * sent(10_000)
+
+
+def test_copies_by_their_vectors(spark):
+    """Conflicts and leaks among copies; zeros of either sign are equal, and vectors that are missing are no copies."""
+    rows = [(1, [0.0, 1.0], 3, "train"), (2, [-0.0, 1.0], 3, "test"), (3, [1.0, 1.0], 1, "train"), (4, [1.0, 1.0], 2, "train"), (5, [2.0, 1.0], 1, "train"), (6, None, 1, "train"), (7, None, 1, "test"), (8, [1.0, 1.0], None, "train"), (9, [5.0], None, "val"), (10, [5.0], None, "val")]
+    v = spark.createDataFrame(rows, "sample_id long, embedding array<float>, label int, split string")
+    found = sorted(map(tuple, vector_queries._copies(v).collect()))
+    assert found == [(1, 1, False, True), (2, 1, False, True), (3, 3, True, False), (4, 3, True, False), (8, 3, True, False), (9, 9, False, False), (10, 9, False, False)]
+
+
+def test_vectors_without_copies_are_not_moved(spark, sf_dir, monkeypatch):
+    """What the evidence sends of a vector that occurs once is its hash."""
+    written = []
+    monkeypatch.setattr(vector_queries, "materialize", lambda df, label, own=vector_queries.materialize: written.append((label, own(df, label))) or written[-1][1])
+    vector_queries._signals(spark, sf_dir, vector_queries._vectors(spark, sf_dir))
+    kept = dict(written)
+    assert {"alike", "copies"} <= set(kept)
+    v = vector_queries._vectors(spark, sf_dir)
+    assert kept["alike"].count() == v.groupBy("embedding").count().filter("count > 1").join(v, "embedding").count()
