@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.shared_storage import materialize
 from plumbline.operators import families, shortcuts, similarity
 from plumbline.operators.graph import connected_components
 from plumbline.operators.ranges import ranked
@@ -47,7 +48,7 @@ def leak_membership(spark, d):
 
 def similar_subject_clusters(spark, d):
     """Components of similar vectors across splits, with size and range of similarity."""
-    pairs = vectors.similar_subject_pairs(spark, d).filter("sim >= 0.35")
+    pairs = materialize(vectors.similar_subject_pairs(spark, d).filter("sim >= 0.35"), "similar-pairs")  # read twice
     c = connected_components(pairs, "a", "b")
     sizes = c.groupBy("component").agg(F.count("*").alias("size"))
     sims = pairs.join(c, F.col("a") == F.col("node")).groupBy("component").agg(F.min("sim").alias("low"), F.max("sim").alias("high"))

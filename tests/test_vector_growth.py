@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from plumbline.operators import blocks, similarity
-from plumbline.plans import vector_queries
+from plumbline.plans import extra_queries, vector_queries
 
 
 def test_codes_and_verdicts_are_written_before_they_are_read(spark, sf_dir):
@@ -52,3 +52,9 @@ def test_vectors_without_copies_are_not_moved(spark, sf_dir, monkeypatch):
     assert {"alike", "copies"} <= set(kept)
     v = vector_queries._vectors(spark, sf_dir)
     assert kept["alike"].count() == v.groupBy("embedding").count().filter("count > 1").join(v, "embedding").count()
+
+
+def test_similar_pairs_are_joined_once(spark, sf_dir):
+    """The range of similarities reads the pairs that were connected, and doesn't join the neighbours again."""
+    plan = extra_queries.similar_subject_clusters(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "neighbor_id" not in plan
