@@ -86,7 +86,9 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 25
 
     Queries and vectors are packed into blocks of a bounded number of rows, every query block
     meets every shard once, and a pair returns k rows per query. What is moved grows with the
-    number of shards times that of query blocks, so the blocks are as large as memory allows.
+    number of shards times that of query blocks, so the blocks are as large as memory allows and
+    components take the bytes that the largest needs. Neither side is broadcast, however small its
+    rows look before they are sent to every block of the other.
     """
     whole = F.transform(F.col(vector_col), lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("bigint"))
     finite = F.forall(F.col(vector_col), lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
@@ -96,10 +98,11 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 25
     stats = usable.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dims"), F.max(magnitude).alias("big"), F.count_if(F.col("id") % query_every == 0).alias("q")).first()
     dims, exact = stats["dims"] or 0, (stats["big"] or 0) ** 2 * (stats["dims"] or 0) < EXACT
     shards, blocks = max(1, -(-stats["n"] // shard_rows)), max(1, -(-stats["q"] // query_rows))
+    sent = next(t for t in (np.int16, np.int32, np.int64) if (stats["big"] or 0) <= np.iinfo(t).max)
 
     def pack(key: tuple, group: pa.Table) -> pa.Table:
         ids = group.column("id").to_numpy().astype(np.int64)
-        return pa.table({"block": [key[0].as_py()], "ids": [ids.tobytes()], "weights": [_matrix(group, dims, exact).astype(np.int64 if not exact else np.float64).tobytes()]}, schema=pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("weights", pa.binary())]))
+        return pa.table({"block": [key[0].as_py()], "ids": [ids.tobytes()], "weights": [_matrix(group, dims, exact).astype(sent).tobytes()]}, schema=pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("weights", pa.binary())]))
 
     packed = "block bigint, ids binary, weights binary"
     deal = lambda df, n: df.withColumn("block", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(n))).groupBy("block").applyInArrow(pack, packed)
@@ -112,14 +115,14 @@ def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 25
             for row in range(batch.num_rows):
                 ids, weights, q_ids, q_weights = (batch.column(c)[row].as_py() for c in ("ids", "weights", "q_ids", "q_weights"))
                 ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
-                shard = Shard(ids, np.frombuffer(weights, number).reshape(len(ids), dims))
-                found = [(q, *shard.top(q, w, k)) for q, w in zip(q_ids.tolist(), np.frombuffer(q_weights, number).reshape(len(q_ids), dims))]
+                shard = Shard(ids, np.frombuffer(weights, sent).reshape(len(ids), dims).astype(number))
+                found = [(q, *shard.top(q, w, k)) for q, w in zip(q_ids.tolist(), np.frombuffer(q_weights, sent).reshape(len(q_ids), dims).astype(number))]
                 if found:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found]), pa.int64()), pa.array(np.concatenate([f[1] for f in found]), pa.int64()), pa.array(np.concatenate([f[2] for f in found]).astype(np.int64))],
                         names=["query_id", "vec_id", "score"],
                     )
 
-    found = base.join(asked, ["s", "b"]).select("ids", "weights", "q_ids", "q_weights").mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
+    found = base.join(asked.hint("merge"), ["s", "b"]).select("ids", "weights", "q_ids", "q_weights").mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
