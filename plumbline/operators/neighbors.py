@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.shared_storage import discard, materialize
+from plumbline.operators import blocks
 from plumbline.operators.ranges import ranked
+from plumbline.operators.similarity import _take
 
 BLOCK = pa.schema([("cell", pa.int32()), ("block", pa.int64()), ("low", pa.float64()), ("high", pa.float64()), ("ids", pa.binary()), ("m", pa.binary())])
+FOUND = pa.schema([("q_cell", pa.int32()), ("q_block", pa.int64()), ("sample_id", pa.int64()), ("neighbor_id", pa.int64()), ("sim", pa.float64())])
 BLOCK_DDL = "cell int, block bigint, low double, high double, ids binary, m binary"
 EDGE = 1e-7  # added to every bound on an angle, far above the error of doubles
 
@@ -78,34 +81,66 @@ def build_cells(base: DataFrame, copies: int, block_rows: int = 2048, max_pivots
     wanted = min(max_pivots, max(1, few.count() // block_rows))
     chosen = few.orderBy(F.xxhash64("sample_id"), "sample_id").limit(wanted).select("embedding").collect()
     pivots = _unit([r["embedding"] for r in chosen]) if chosen else np.zeros((0, 0))
-    blocks = materialize(_blocked(few, pivots, block_rows), "cells")
+    cells = materialize(_blocked(few, pivots, block_rows), "cells")
     discard(few)
-    return Cells(pivots, blocks, block_rows, copies)
+    return Cells(pivots, cells, block_rows, copies)
 
 
-def _best(visits: DataFrame, k: int, decimals: int, pivots: np.ndarray, bounded: bool) -> DataFrame:
-    """``k`` candidates of each query of a visit; with ``bounded``, only queries that the base block may serve."""
-    shared = visits.sparkSession.sparkContext.broadcast(pivots)
+def _best(pairs: DataFrame, sides: DataFrame, index: Cells, k: int, decimals: int, bounded: bool) -> DataFrame:
+    """``k`` candidates of each query in each cell of a grid that ``pairs`` (of a block of queries and one of the index) fall into; with ``bounded``, only those that its ``reach`` in ``sides`` allows.
 
-    def run(batches):
-        for batch in batches:
-            for r in range(batch.num_rows):
-                cell, low, high, q_cell, q_block, q_ids, q_m, ids, m, reach = (batch.column(c)[r].as_py() for c in range(10))
-                q_ids, ids = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
-                q_m, m = np.frombuffer(q_m, np.float64).reshape(len(q_ids), -1), np.frombuffer(m, np.float64).reshape(len(ids), -1)
+    Blocks are dealt to the rows and columns of the grid (``blocks.grid``), and a block is sent once to
+    every cell where it has a pair, not with each pair. A task holds the blocks of one cell at a time
+    and returns the best of them together.
+    """
+    pivots, decided = index.pivots, 0.5 * 10.0**-decimals + 1e-9
+    shared = pairs.sparkSession.sparkContext.broadcast(pivots)
+    counts = [df.count() for df in (sides, index.blocks)]
+    rows, columns = (min(max(1, n), side) for n, side in zip(counts, blocks.grid(*[n * index.block_rows for n in counts], max(1, blocks.MOST_VALUES // pivots.shape[1]), 14 * k / (8 * pivots.shape[1]))))
+    deal = lambda cell, block, n: F.pmod(F.xxhash64(cell, block), F.lit(n)).cast("int")
+    dealt = pairs.withColumns({"row": deal("q_cell", "q_block", rows), "column": deal("cell", "block", columns)})
+    asked = dealt.groupBy("row", "column", "q_cell", "q_block").agg(F.collect_list(F.struct("cell", "block")).alias("wanted"))  # at most as many as blocks in a column
+    asked = asked.join(sides.select("q_cell", "q_block", "q_ids", "q_m", "reach"), ["q_cell", "q_block"])
+    given = dealt.select(*[F.col(c).alias(c) for c in ("row", "column", "cell", "block")]).distinct().join(index.blocks, ["cell", "block"])
+
+    def one(asking: pa.Table, there: pa.Table) -> pa.Table:
+        held, out = {}, []
+        for x in there.to_pylist() if there.num_rows else ():
+            ids = np.frombuffer(x["ids"], np.int64)
+            held[x["cell"], x["block"]] = ids, np.frombuffer(x["m"], np.float64).reshape(len(ids), -1), x["low"], x["high"]
+        for x in asking.to_pylist() if asking.num_rows else ():
+            q_ids = np.frombuffer(x["q_ids"], np.int64)
+            q_m = np.frombuffer(x["q_m"], np.float64).reshape(len(q_ids), -1)
+            best, best_id, floor = np.full((len(q_ids), k), -np.inf), np.full((len(q_ids), k), -1, np.int64), np.full(len(q_ids), -np.inf)
+            if bounded:
+                t = np.frombuffer(x["reach"], np.float64)
+                floor = np.cos(np.minimum(t, np.pi)) - 1e-9
+            for w in x["wanted"]:
+                ids, m, low, high = held[w["cell"], w["block"]]
+                use = np.arange(len(q_ids))
                 if bounded:
-                    t = np.frombuffer(reach, np.float64)
-                    away = _angle(q_m @ shared.value[cell])
-                    use = (away - t <= high) & (away + t >= low) & (_beyond(q_m, shared.value, q_cell, np.array([cell]))[:, 0] <= t)
-                    q_ids, q_m = q_ids[use], q_m[use]
-                for at in range(0, len(q_ids), 256):
-                    sims = np.round(q_m[at : at + 256] @ m.T, decimals)
-                    top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-                    mine = np.repeat(q_ids[at : at + 256], top.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), q_cell, np.int32)), pa.array(np.full(len(mine), q_block, np.int64)), pa.array(mine), pa.array(ids[top].ravel()), pa.array(np.take_along_axis(sims, top, 1).ravel())], names=["q_cell", "q_block", "sample_id", "neighbor_id", "sim"])
-
-    columns = ["cell", "low", "high", "q_cell", "q_block", "q_ids", "q_m", "ids", "m", "reach"]
-    return visits.select(*columns).mapInArrow(run, "q_cell int, q_block bigint, sample_id bigint, neighbor_id bigint, sim double")
+                    away = _angle(q_m @ shared.value[w["cell"]])
+                    use = np.flatnonzero((away - t <= high) & (away + t >= low) & (_beyond(q_m, shared.value, x["q_cell"], np.array([w["cell"]]))[:, 0] <= t))
+                for at in range(0, len(use), 256):
+                    mine = use[at : at + 256]
+                    sims = q_m[mine] @ m.T
+                    least = np.maximum(floor[mine], best[mine, -1] - decided)
+                    if len(ids) > k:
+                        many = np.count_nonzero(sims >= least[:, None], axis=1) > 4 * k
+                        if many.any():
+                            least[many] = np.maximum(least[many], np.partition(sims[many], len(ids) - k, axis=1)[:, len(ids) - k] - 2 * decided)
+                    r, c = np.nonzero(sims >= least[:, None])
+                    if len(r):
+                        part, part_id = best[mine], best_id[mine]
+                        _take(part, part_id, r, ids[c], np.round(sims[r, c], decimals))
+                        best[mine], best_id[mine] = part, part_id
+            found = np.isfinite(best)
+            n = int(found.sum())
+            out.append(pa.table([np.full(n, x["q_cell"], np.int32), np.full(n, x["q_block"], np.int64), np.repeat(q_ids, found.sum(1)), best_id[found], best[found]], schema=FOUND))
+        return pa.concat_tables(out) if out else FOUND.empty_table()
+
+    keyed = lambda df: df.repartition(blocks.SPREAD * rows * columns, "row", "column").groupBy("row", "column")
+    return keyed(asked).cogroup(keyed(given)).applyInArrow(one, "q_cell int, q_block bigint, sample_id bigint, neighbor_id bigint, sim double")
 
 
 def _beyond(q: np.ndarray, pivots: np.ndarray, own: int, cells: np.ndarray) -> np.ndarray:
@@ -144,10 +179,7 @@ def search_cells(index: Cells, queries: DataFrame, k: int, exclude_self: bool =
     near = own.filter((F.col("low") <= F.col("q_high")) & (F.col("high") >= F.col("q_low"))).select("q_cell", "q_block", "cell", "block")
     near = materialize(near, "cells-near")
 
-    def visit(pairs: DataFrame, sides: DataFrame) -> DataFrame:
-        return pairs.join(sides, ["q_cell", "q_block"]).join(index.blocks, ["cell", "block"])
-
-    found = materialize(_best(visit(near, q.withColumn("reach", F.lit(None).cast("binary"))), need, decimals, pivots, False), "cells-found")
+    found = materialize(_best(near, q.withColumn("reach", F.lit(None).cast("binary")), index, need, decimals, False), "cells-found")
     order = Window.partitionBy("sample_id").orderBy(F.desc("sim"), "neighbor_id")
     last = found.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") == need).select("q_cell", "q_block", F.col("sample_id").alias("id"), F.col("sim").alias("last"))
 
@@ -181,7 +213,7 @@ def search_cells(index: Cells, queries: DataFrame, k: int, exclude_self: bool =
     wide = sides.select("q_cell", "q_block", "q_m", "reach").mapInArrow(spans, "q_cell int, q_block bigint, cell int, start double, stop double")
     more = wide.join(rings, "cell").filter((F.col("low") <= F.col("stop")) & (F.col("high") >= F.col("start"))).select("q_cell", "q_block", "cell", "block")
     more = materialize(more.join(near, ["q_cell", "q_block", "cell", "block"], "left_anti"), "cells-more")
-    rest = _best(visit(more, sides), need, decimals, pivots, True)
+    rest = _best(more, sides, index, need, decimals, True)
     best = materialize(found.unionByName(rest).withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= need).select(F.col("sample_id").alias("rep"), "neighbor_id", "sim"), "cells-best")
     answers = same.join(best, "rep").select("sample_id", "neighbor_id", "sim")
     if exclude_self:
