@@ -25,3 +25,9 @@ def test_equal_signatures_of_different_contents_meet_in_full(spark, monkeypatch)
         expected = want | {p for p in pairs if min(p[2:]) <= limit}
         assert len(got) == len(set(got)) and set(got) == expected
         assert any(p[2] == 0 for p in expected - want)
+
+
+def test_ids_that_are_no_numbers_in_blocks(spark):
+    rows = [(f"file:///x{i}.png", h, None) for i, h in enumerate((0, 1, 3, -1))]
+    got = {tuple(x) for x in hash_pairs.mirrored_pairs(spark.createDataFrame(rows, "sample_id string, hash long, flip long"), 20).collect()}
+    assert got == {(rows[a][0], rows[b][0], d, None) for a, b, d in ((0, 1, 1), (0, 2, 2), (1, 2, 1))}
